@@ -14,6 +14,7 @@ from __future__ import annotations
 import json
 from bisect import bisect_right
 from functools import lru_cache
+from itertools import accumulate
 
 import regex
 from pyspark.sql import DataFrame
@@ -78,7 +79,8 @@ class ByteBpe:
         n, vocab, apart = len(piece), self.vocab, self.apart
         counts, last = [0] * (n + 1), [-1] * (n + 1)
         for i in range(1, n + 1):
-            for j in range(max(0, i - self.longest), i):
+            # one token at most fits, so the order is free; short ones are the usual
+            for j in range(i - 1, max(0, i - self.longest) - 1, -1):
                 token = vocab.get(piece[j:i])
                 if token is not None and (j == 0 or (last[j] >= 0 and apart[last[j], token])):
                     counts[i], last[i] = counts[j] + 1, token
@@ -106,6 +108,20 @@ class ByteBpe:
             return self._part(text)
         return sum(1 if p in self.special else self._part(p) for p in self.at_special.split(text))
 
+    def fit(self, text: str, budget: int) -> int:
+        """Characters of the longest prefix within ``budget`` tokens that ends between pieces.
+
+        Sums of the chunks' counts find the chunk where the budget ends, and the
+        prefix table of what is left from there the piece."""
+        first, *rest = text.split(" ")
+        counts = [self._part(first), *map(self.of_chunk.__getitem__, rest)]
+        if sum(counts) >= ODD or (self.at_special and "<|" in text):
+            return self.table(text).longest(budget)
+        at = bisect_right(sums := list(accumulate(counts)), budget)
+        start = sum(map(len, [first, *rest][:at])) + max(0, at - 1)
+        left = text[start : start + len(rest[at - 1]) + 1 if at else len(first)] if at < len(counts) else ""
+        return start + self.table(left).longest(budget - (sums[at - 1] if at else 0))
+
     def table(self, text: str) -> PrefixTable:
         return PrefixTable(self, text)
 
@@ -163,7 +179,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:
 
         def call(keys, texts):
             n = [bpe.count(t) for t in texts]
-            fit = [len(t) if k <= limit else bpe.table(t).longest(limit) for t, k in zip(texts, n, strict=True)]
+            fit = [len(t) if k <= limit else bpe.fit(t, limit) for t, k in zip(texts, n, strict=True)]
             return {"doc_id": keys, "n_bytes": [len(t.encode()) for t in texts], "n_tokens": n, "over_limit": [k > limit for k in n], "fit_chars": fit}
 
         return call
