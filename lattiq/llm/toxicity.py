@@ -25,6 +25,8 @@ BUCKETS, DIM, WIDTHS, FILTERS = 1 << 16, 16, (1, 2, 3), 16
 #: At most so many labelled rows of each class are learned from, the ones with the lowest hash.
 SAMPLE = 2000
 EPOCHS, BATCH, SEED = 6, 32, 11
+#: Steps at least, unless that takes over 60 epochs.
+STEPS = 600
 STRIP = ".,;:!?\"'()[]{}<>|*#$%&-–—…«»¿¡"
 #: Frequent function words by language (fixed values).
 FUNCTION_WORDS = {
@@ -191,6 +193,7 @@ def fit(texts: list[str], labels: list[int], share: float = 0.5, epochs: int = E
     rng, words, model, seen = np.random.default_rng(seed), Words(), Cnn.fresh(seed), {}
     order = rng.permutation(len(y))
     held, used = order[::4], np.setdiff1d(order, order[::4])
+    epochs = max(epochs, min(60, STEPS * BATCH // max(1, len(used))))  # a small sample is gone over more often
     for epoch in range(epochs):
         for at in np.array_split(rng.permutation(used), max(1, len(used) // BATCH)):
             model.step(words.batch([texts[i] for i in at]), y[at], seen, 0.05 if epoch < epochs - 1 else 0.02)
