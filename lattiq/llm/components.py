@@ -18,9 +18,8 @@ def components(edges: DataFrame) -> DataFrame:
     e = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "edges")
     while True:
         # done when the edges are stars: each node hangs on one root, and no root hangs
-        many = e.groupBy("u").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).where("lo != hi").limit(1)
-        deep = e.join(e.select(F.col("u").alias("v")), "v", "left_semi").limit(1)
-        if not many.count() and not deep.count():
+        ends = e.select(F.explode(F.array(F.struct(F.col("u").alias("x"), F.lit(1).alias("hangs")), F.struct(F.col("v").alias("x"), F.lit(0).alias("hangs")))).alias("end")).select("end.*")
+        if not ends.groupBy("x").agg(F.sum("hangs").alias("n"), F.min("hangs").alias("root")).where("n > 1 or (n = 1 and root = 0)").limit(1).count():
             break
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))

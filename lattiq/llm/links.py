@@ -1,10 +1,11 @@
 """Similarity links within band buckets, verified exactly, without all pairs of a bucket.
 
-A bucket's members are compared with a few centres at a time. Members already in
-one component need no further comparison; while a bucket holds several, its next
-members become centres, until every member has been one. So no link between
-different components of a bucket is lost, at a number of rows linear in the
-members for each round.
+A bucket's members are first compared with one of them. Members in one component
+need no further comparison; while a bucket holds several components, its next
+members become centres, which are compared with the members of other components:
+all members of a bucket of up to WHOLE at once, SLOTS at a time of a larger one,
+until every member has been one. So no link between different components of a
+bucket is lost, at a number of rows linear in the members for each round.
 """
 
 from __future__ import annotations
@@ -19,8 +20,8 @@ from pyspark.sql import functions as F
 from lattiq.llm.common import written
 from lattiq.llm.components import components
 
-#: Centres of a bucket in a later round, and pairs that share one copy of their centre's set.
-SLOTS, SHARED = 16, 128
+#: Members of a bucket that are all centres at once, centres of a larger one in a round, and pairs that share one copy of their centre's set.
+WHOLE, SLOTS, SHARED = 256, 64, 128
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -80,11 +81,11 @@ def link(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: i
     members = members.select("key", "node")
     while True:
         named = members.join(labels, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
-        mixed = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("key")
+        mixed = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo != hi").select("key", "n")
         named = written(named.join(mixed, "key"), "open")  # buckets of one component are closed for good
         members = named.select("key", "node")
         fresh = named.join(done, ["key", "node"], "left_anti")
-        slot = F.pmod(F.xxhash64("node"), F.lit(SLOTS))
+        slot = F.when(F.col("n") <= WHOLE, F.col("node")).otherwise(F.pmod(F.xxhash64("node"), F.lit(SLOTS)))
         centres = fresh.groupBy("key", slot.alias("slot")).agg(F.min(F.struct("node", "comp")).alias("c")).select("key", F.col("c.node").alias("centre"), F.col("c.comp").alias("centre_comp"))
         centres = written(centres, "centres")
         if not centres.limit(1).count():
