@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lattiq.llm import bpe, decontaminate, html_text, katz, near_dedup, quality, secrets, token_counts, toxicity
+from lattiq.llm import bpe, decontaminate, html_text, katz, near_dedup, quality, secrets, substring_dedup, token_counts, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op1_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("th")
 
@@ -52,7 +56,7 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe_codec, op3_decontaminate, op4_katz_scores, op5_quality_rules, op6_toxicity, op7_html_text, op8_secret_scan, op9_token_counts, op10_minhash_dedup)}
+    return {f.__name__: f for f in (op1_bpe_codec, op2_substring_dedup, op3_decontaminate, op4_katz_scores, op5_quality_rules, op6_toxicity, op7_html_text, op8_secret_scan, op9_token_counts, op10_minhash_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
