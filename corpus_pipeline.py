@@ -1,24 +1,99 @@
-"""The corpus pipeline: stages over ``documents``, each written and reread as the next one's input."""
+"""The corpus pipeline: stages over ``documents``, each written and reread as the next one's input.
+
+Every stage but the last returns the columns of its input. Documents judged toxic
+go; of near duplicates the one with the lowest doc_id stays, of repeated rows one;
+contaminated documents go; secrets are replaced by a mark; the last encodes.
+"""
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterable, Iterator
 
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lattiq.llm import bpe
-from lattiq.llm.common import shared_dir
+from lattiq.llm import bpe, decontaminate, near_dedup, secrets, toxicity
+from lattiq.llm.common import shared_dir, slices, small, written
 
 #: A trained classifier decides in one stage, which SQL can't express.
 ORACLE_SQL = None
 
 
+def over_texts(docs: DataFrame, make: Callable[[], Callable[[list], list]], keep: bool) -> DataFrame:
+    """Rows with all their columns, by a function of whole texts: if ``keep``, those
+    for which it is true; else all, with the texts (and n_chars) that it returns."""
+    names = docs.columns
+    at = names.index("text")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        call = None
+        for batch in batches:
+            call = call or make()
+            for a, b in slices(batch.column(at)):
+                part = batch.slice(a, b - a)
+                texts = part.column(at).to_pylist()
+                found = call(["" if t is None else t for t in texts])
+                if keep:
+                    yield part.filter(pa.array(found, pa.bool_()))
+                    continue
+                new = [None if t is None else f for t, f in zip(texts, found, strict=True)]
+                cols = list(part.columns)
+                cols[at] = pa.array(new, cols[at].type)
+                if "n_chars" in names:
+                    k = names.index("n_chars")
+                    cols[k] = pa.array([n if t == f or f is None else len(f) for t, f, n in zip(texts, new, cols[k].to_pylist(), strict=True)], cols[k].type)
+                yield pa.RecordBatch.from_arrays(cols, schema=part.schema)
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = spark.sparkContext.broadcast(toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+    def make():
+        words, cnn = toxicity.Words(), model.value
+
+        def call(texts):
+            if cnn is None:
+                return [True] * len(texts)
+            return [s < 0.5 for part in toxicity.parts(texts) for s in cnn.scores(words.batch(part))]
+
+        return call
+
+    return over_texts(docs, make, True)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    judged = written(near_dedup.near_duplicates(docs), "judged")
+    gone = judged.where("not kept").select("doc_id").distinct()
+    out = docs.join(small(gone), "doc_id", "left_anti").select(docs.columns)
+    again = written(judged.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
+    if again.limit(1).count():  # rows that share a doc_id: one of them stays
+        once = out.join(small(again), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+        out = out.join(small(again), "doc_id", "left_anti").select(docs.columns).unionByName(once.select(docs.columns))
+    return out
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    judged = decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    bad = written(judged.where("contaminated").select(F.col("doc_id").alias("bad_id"), F.col("th").alias("bad_th")).distinct(), "contaminated")
+    bad = small(bad)
+    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("bad_id")) & (F.xxhash64("text") == F.col("bad_th")), "left_anti")
+
+
+def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = secrets.train(docs)
+    return over_texts(docs, lambda: lambda texts: [secrets.redacted(model, t) for t in texts], False)
+
+
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.digest_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
-STAGES = [("bpe", encode)]
+STAGES = [("toxicity", drop_toxic), ("near_dedup", drop_near_copies), ("decontaminate", drop_contaminated), ("secrets", hide_secrets), ("bpe", encode)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
