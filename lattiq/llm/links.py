@@ -1,10 +1,14 @@
 """Similarity links within band buckets, verified exactly, without all pairs of a bucket.
 
 A bucket's members are first compared with one of them. Members in one component
-need no further comparison; while a bucket holds several components, its next
-members become centres, which are compared with the members of other components:
-all members of a bucket of up to WHOLE at once, SLOTS at a time of a larger one,
-until every member has been one. So no link between different components of a
+need no further comparison. Members of buckets that hold several components are
+open, and pairs of these are found exactly by their sets' rarest elements: two
+sets at the similarity asked for share an element of their prefixes in any common
+order, and the place of the first shared one bounds their overlap. So parts that
+very many texts share lead to no pairs, though they lead to common bands. Within
+a prefix element's bucket again only members of different components are
+compared, all members of a bucket of up to WHOLE at once, SLOTS at a time of a
+larger one, until every member has been a centre: no link between components of a
 bucket is lost, at a number of rows linear in the members for each round.
 """
 
@@ -13,8 +17,9 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lattiq.llm.common import written
@@ -22,6 +27,8 @@ from lattiq.llm.components import components
 
 #: Members of a bucket that are all centres at once, centres of a larger one in a round, and pairs that share one copy of their centre's set.
 WHOLE, SLOTS, SHARED = 256, 64, 128
+#: Counters of the frequency sketch, and the slices in which they travel.
+COUNTERS, SLICES = 1 << 18, 64
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -62,6 +69,60 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return ordered.mapInArrow(run, "a long, b long").distinct()
 
 
+def frequencies(sets: DataFrame) -> np.ndarray:
+    """A sketch of fixed size of how many sets hold an element, by its hash.
+
+    Any order of elements is right for prefixes; this one puts the frequent last.
+    Tasks add up their own counts, which travel in slices and are summed by slice.
+    """
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            for blob in batch.column(0):
+                total += np.bincount(counter(np.frombuffer(blob.as_buffer(), np.uint64)), minlength=COUNTERS)
+        parts = np.split(total, SLICES)
+        some = [i for i, p in enumerate(parts) if p.any()]
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([parts[i].tobytes() for i in some], pa.binary())], ["slice", "counts"])
+
+    def add(frame: pd.DataFrame) -> pd.DataFrame:
+        total = sum(np.frombuffer(c, np.int64) for c in frame["counts"])
+        return pd.DataFrame({"slice": frame["slice"].iloc[:1], "counts": [total.tobytes()]})
+
+    shape = "slice int, counts binary"
+    out = np.zeros((SLICES, COUNTERS // SLICES), np.int64)
+    for r in sets.select("set").mapInArrow(count, shape).groupBy("slice").applyInPandas(add, shape).collect():  # SLICES rows
+        out[r["slice"]] = np.frombuffer(r.counts, np.int64)
+    return out.reshape(-1)
+
+
+def counter(values: np.ndarray) -> np.ndarray:
+    return (values >> np.uint64(64 - COUNTERS.bit_length() + 1)).astype(np.int64)
+
+
+def prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """(key, node, n, rest): the elements of each set's prefix, the set's size, and how many elements follow, the element included."""
+    known = sets.sparkSession.sparkContext.broadcast(frequencies(sets))  # COUNTERS numbers
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = known.value
+        for batch in batches:
+            keys, nodes, sizes, rests = [], [], [], []
+            for node, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                own = np.frombuffer(blob.as_buffer(), np.uint64)
+                n = len(own)
+                least = -(-percent * n // 100)  # elements that a similar set shares at least
+                first = own[np.lexsort((own, counts[counter(own)]))][: n - least + 1]
+                keys.append(first.view(np.int64))
+                nodes.append(np.full(len(first), node))
+                sizes.append(np.full(len(first), n))
+                rests.append(n - np.arange(len(first)))
+            flat = [np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in (keys, nodes, sizes, rests)]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in flat], ["key", "node", "n", "rest"])
+
+    return sets.select("node", "set").mapInArrow(run, "key long, node long, n long, rest long")
+
+
 def link(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int = 75) -> DataFrame:
     """(node, comp) of the nodes that have a link.
 
@@ -74,30 +135,52 @@ def link(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: i
     if not members.limit(1).count():
         return nodes.sparkSession.createDataFrame([], "node long, comp long")
     sets = written(sets_of(members.select("node").distinct()), "sets")
-    pairs = members.where("a != node").select("a", F.col("node").alias("b")).distinct()
-    tested = written(pairs, "tested")
+    tested = members.where("a != node").select("a", F.col("node").alias("b")).distinct()
     labels = written(components(verified(tested, sets, percent)), "labels")
-    done = lows.select("key", F.col("a").alias("node"))
-    members = members.select("key", "node")
+    named = members.select("key", "node").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    mixed = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("key")
+    open_ = named.join(mixed, "key", "left_semi").select("node").distinct()
+    rest = written(sets.join(open_, "node", "left_semi"), "open")
+    if not rest.limit(1).count():
+        return labels
+    return link_exactly(prefixes(rest, percent), rest, labels, percent)
+
+
+def may_link(x: str, y: str, percent: int) -> Column:
+    """Whether two members of a bucket can be similar: the elements from the shared one on are enough of both."""
+    least = F.least(f"{x}.rest", f"{y}.rest")
+    return least * (100 + percent) >= (F.col(f"{x}.n") + F.col(f"{y}.n")) * percent
+
+
+def link_exactly(members: DataFrame, sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """``labels`` with all links among the members of the prefix buckets (key, node, n, rest)."""
+    tested = None
     while True:
-        named = members.join(labels, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
-        mixed = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo != hi").select("key", "n")
-        named = written(named.join(mixed, "key"), "open")  # buckets of one component are closed for good
-        members = named.select("key", "node")
-        fresh = named.join(done, ["key", "node"], "left_anti")
-        slot = F.when(F.col("n") <= WHOLE, F.col("node")).otherwise(F.pmod(F.xxhash64("node"), F.lit(SLOTS)))
-        centres = fresh.groupBy("key", slot.alias("slot")).agg(F.min(F.struct("node", "comp")).alias("c")).select("key", F.col("c.node").alias("centre"), F.col("c.comp").alias("centre_comp"))
-        centres = written(centres, "centres")
+        named = members.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        mixed = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("n").alias("low"), F.count(F.lit(1)).alias("size")).where("lo != hi").select("key", "low", "size")
+        # buckets of one component are closed for good, and members that can't
+        # link even to the smallest left in their bucket leave it
+        fit = F.col("rest") * (100 + percent) >= (F.col("n") + F.col("low")) * percent
+        named = written(named.join(mixed, "key").where(fit).drop("low"), "open")
+        if tested is None:  # the smallest set of a bucket first: if any links to a member, it does
+            slot = F.lit(0)
+        else:
+            slot = F.when(F.col("size") <= WHOLE, F.col("node")).otherwise(F.pmod(F.xxhash64("node"), F.lit(SLOTS)))
+        centres = named.groupBy("key", slot.alias("slot")).agg(F.min(F.struct("n", "node", "rest", "comp")).alias("c"))
+        centres = written(centres.select("key", "c.*"), "centres")
         if not centres.limit(1).count():
             return labels
-        pairs = named.join(centres, "key").where("comp != centre_comp").select(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b")).distinct()
-        pairs = written(pairs.join(tested, ["a", "b"], "left_anti"), "more")
-        tested = tested.unionByName(pairs)
-        done = done.unionByName(centres.select("key", F.col("centre").alias("node")))
+        # a centre meets all members of its bucket now, and leaves it
+        members = named.join(centres, ["key", "node"], "left_anti").select("key", "node", "n", "rest")
+        x, y = centres.alias("x"), named.alias("y")
+        both = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") != F.col("y.comp")) & may_link("x", "y", percent))
+        pairs = both.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+        pairs = written(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "more")
+        tested = pairs if tested is None else tested.unionByName(pairs)
         if not pairs.limit(1).count():
             continue
         found = verified(pairs, sets, percent)
-        # contract: links between components, then components of components
+        # links between components, then components of components
         for end in ("a", "b"):
             found = found.join(labels.select(F.col("node").alias(end), F.col("comp").alias("c_" + end)), end, "left").withColumn("c_" + end, F.coalesce("c_" + end, end))
         found = written(found.where("c_a != c_b").select(F.col("c_a").alias("a"), F.col("c_b").alias("b")).distinct(), "found")
