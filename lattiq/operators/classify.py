@@ -70,32 +70,43 @@ def module_format(path: Column, scope_type: Column) -> Column:
     return F.when(ext.isin("mjs", "mts"), "esm").when(ext.isin("cjs", "cts"), "commonjs").when(scope_type == "module", "esm").otherwise("commonjs")
 
 
-def framework(path: Column, root: Column, directives: Column, runtime: Column, markers: Column) -> Column:
-    """adapter, attributes and runtime of a module by the conventions of the app and pages routers."""
-    clean = F.trim(F.lit("/"), root)
+def with_framework(df: DataFrame) -> DataFrame:
+    """``df`` with f (adapter_id, attributes, runtime) by the conventions of the app and pages routers.
+
+    df: path, package_root, directives, exported_runtime, marker_imports. What later
+    steps use more than once is a column of its own, so no expression is repeated.
+    """
+    path, clean = F.col("path"), F.trim(F.col("package_root"), F.lit("/"))
     relative = F.when((clean == "") | (clean == "."), F.regexp_replace(path, r"^(\./)+", "")).when(path.startswith(F.concat(clean, F.lit("/"))), F.substring(path, F.length(clean) + 2, F.length(path))).otherwise(path)
-    name, parts = stem(path), F.split(relative, "/")
-    at = lambda router: F.when(F.get(parts, F.lit(0)) == router, 0).when((F.get(parts, F.lit(0)) == "src") & (F.get(parts, F.lit(1)) == router), 1)
-    app, pages = at("app"), at("pages")
-    in_app, in_pages = app.isNotNull(), app.isNull() & pages.isNotNull()
-    use_client, use_server = F.array_contains(directives, "use client"), F.array_contains(directives, "use server")
-    server_only, client_only = F.array_contains(markers, "server-only"), F.array_contains(markers, "client-only")
-    middleware = (name == "middleware") & ((F.size(parts) == 1) | ((F.size(parts) == 2) & (F.get(parts, F.lit(0)) == "src")))
-    action = F.when(use_server, "server-action-module").otherwise("module")
-    pick = lambda names, rest: reduce(lambda c, kv: c.when(name == kv[0], kv[1]), list(names.items())[1:], F.when(name == next(iter(names)), names[next(iter(names))])).otherwise(rest)
+    part = lambda i: F.get("_parts", i if not isinstance(i, int) else F.lit(i))
+    at = lambda router: F.when(part(0) == router, 0).when((part(0) == "src") & (part(1) == router), 1)
+    d = df.withColumn("_parts", F.split(relative, "/")).withColumn("_name", stem(path))
+    d = d.withColumn("_app", at("app").isNotNull()).withColumn("_at", at("pages"))
+    d = d.withColumn("_pages", ~F.col("_app") & F.col("_at").isNotNull())
+    d = d.withColumn("_client", F.array_contains("directives", "use client")).withColumn("_server", F.array_contains("directives", "use server"))
+    name = F.col("_name")
+    pick = lambda names, rest: reduce(lambda c, kv: c.when(name == kv[0], kv[1]), list(names.items())[1:], F.when(name == next(iter(names)), next(iter(names.values())))).otherwise(rest)
+    action = F.when(F.col("_server"), "server-action-module").otherwise("module")
+    middleware = (name == "middleware") & ((F.size("_parts") == 1) | ((F.size("_parts") == 2) & (part(0) == "src")))
     app_role = pick({"page": "page", "layout": "layout", "route": "route-handler", "loading": "loading", "error": "error-boundary", "not-found": "not-found", "template": "template"}, action)
-    page_role = F.when(F.get(parts, pages + 1) == "api", "api-route").otherwise(pick({"_app": "custom-app", "_document": "custom-document", "_error": "custom-error"}, F.lit("page")))
-    role = F.when(middleware, "middleware").when(in_app, app_role).when(in_pages, page_role).otherwise(action)
-    explicit = F.when(runtime == "edge", "edge").when(runtime == "nodejs", "node")
-    pair = lambda r, s: F.struct(F.lit(r).alias("runtime") if isinstance(r, str) else r.alias("runtime"), F.lit(s).alias("source"))
-    verdict = F.when(server_only & client_only, pair("unknown", "conflicting-marker")).when(server_only, pair("server", "marker-package")).when(client_only, pair("browser", "marker-package")).when(explicit.isNotNull(), pair(explicit, "explicit")).when(use_client, pair("browser", "directive")).when(role == "middleware", pair("edge", "convention")).when(in_app | role.isin("api-route", "custom-document", "server-action-module"), pair("server", "convention")).otherwise(pair("universal", "default"))
+    page_role = F.when(part(F.col("_at") + 1) == "api", "api-route").otherwise(pick({"_app": "custom-app", "_document": "custom-document", "_error": "custom-error"}, F.lit("page")))
+    d = d.withColumn("_role", F.when(middleware, "middleware").when(F.col("_app"), app_role).when(F.col("_pages"), page_role).otherwise(action))
+    so, co = F.array_contains("marker_imports", "server-only"), F.array_contains("marker_imports", "client-only")
+    explicit = F.when(F.col("exported_runtime") == "edge", "edge").when(F.col("exported_runtime") == "nodejs", "node")
+    served = F.col("_app") | F.col("_role").isin("api-route", "custom-document", "server-action-module")
+    ladder = [(so & co, "unknown", "conflicting-marker"), (so, "server", "marker-package"), (co, "browser", "marker-package"), (explicit.isNotNull(), explicit, "explicit"), (F.col("_client"), "browser", "directive"), (F.col("_role") == "middleware", "edge", "convention"), (served, "server", "convention")]
+    step = reduce(lambda c, x: c.when(x[0], x[2]), ladder[1:], F.when(ladder[0][0], ladder[0][2])).otherwise("default")
+    d = d.withColumn("_source", step)
+    runtime = F.when(F.col("_source") == "explicit", explicit).when(F.col("_source") == "marker-package", F.when(so, "server").otherwise("browser"))
+    runtime = runtime.when(F.col("_source") == "conflicting-marker", "unknown").when(F.col("_source") == "directive", "browser").when(F.col("_source") == "convention", F.when(F.col("_role") == "middleware", "edge").otherwise("server")).otherwise("universal")
+    d = d.withColumn("_runtime", runtime)
     yes = lambda c: c.cast("string")
     attributes = F.create_map(
-        F.lit("router"), F.when(in_app, "app").when(in_pages, "pages").otherwise("none"), F.lit("role"), role, F.lit("component"), F.when(use_client, "client").when(in_app, "server").otherwise("none"),
-        F.lit("runtime"), verdict["runtime"], F.lit("runtimeSource"), verdict["source"], F.lit("useClient"), yes(use_client), F.lit("useServer"), yes(use_server),
-        F.lit("rpcBoundary"), yes(use_server), F.lit("serverOnly"), yes(server_only), F.lit("clientOnly"), yes(client_only),
+        F.lit("router"), F.when(F.col("_app"), "app").when(F.col("_pages"), "pages").otherwise("none"), F.lit("role"), F.col("_role"), F.lit("component"), F.when(F.col("_client"), "client").when(F.col("_app"), "server").otherwise("none"),
+        F.lit("runtime"), F.col("_runtime"), F.lit("runtimeSource"), F.col("_source"), F.lit("useClient"), yes(F.col("_client")), F.lit("useServer"), yes(F.col("_server")),
+        F.lit("rpcBoundary"), yes(F.col("_server")), F.lit("serverOnly"), yes(so), F.lit("clientOnly"), yes(co),
     )
-    return F.struct(F.lit("nextjs").alias("adapter_id"), attributes.alias("attributes"), verdict["runtime"].alias("runtime"))
+    return d.withColumn("f", F.struct(F.lit("nextjs").alias("adapter_id"), attributes.alias("attributes"), F.col("_runtime").alias("runtime"))).select(*df.columns, "f")
 
 
 def propagate_client(modules: DataFrame, dependencies: DataFrame, mode: str = "auto") -> DataFrame:

@@ -118,16 +118,16 @@ def is_small(edges: DataFrame, limit: int = LOCAL_EDGES) -> bool:
 
 def in_one_task(parts: dict[str, DataFrame], work: Callable[[dict[str, pd.DataFrame]], pd.DataFrame], schema: str) -> DataFrame:
     """Run ``work`` on frames of up to two string columns, tagged by name, in one task."""
-    union = None
+    union, names = None, list(parts)
     for name, df in parts.items():
         cols = [F.col(f"`{c}`").cast("string") for c in df.columns] + [F.lit(None).cast("string")] * (2 - len(df.columns))
         own = df.select(F.lit(name).alias("tag"), cols[0].alias("a"), cols[1].alias("b"))
         union = own if union is None else union.unionByName(own)
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        return work({name: frame.loc[frame["tag"] == name, ["a", "b"]] for name in parts})
+        return work({name: frame.loc[frame["tag"] == name, ["a", "b"]] for name in names})
 
-    return union.groupBy(F.lit(1)).applyInPandas(run, schema)
+    return union.withColumn("task", F.lit(0)).groupBy("task").applyInPandas(run, schema)
 
 
 def pairs(frame: pd.DataFrame) -> list[tuple[str, str]]:

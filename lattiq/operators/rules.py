@@ -161,7 +161,7 @@ def with_features(c: Context) -> DataFrame:
 
 def feature_boundary(c: Context) -> DataFrame:
     entries = c.config["architecture"]["features"]["public_entrypoints"]
-    prefix = F.concat(F.trim(F.lit("/"), F.col("target_root")), F.lit("/"), F.col("target.feature"), F.lit("/"))
+    prefix = F.concat(F.trim(F.col("target_root"), F.lit("/")), F.lit("/"), F.col("target.feature"), F.lit("/"))
     path = F.translate("to", "\\", "/")
     public = path.startswith(prefix) & matches(F.substring(path, F.length(prefix) + 1, F.length(path)), entries)
     bad = with_features(c).where(~F.col("own").eqNullSafe(F.col("target")) & ~public)
