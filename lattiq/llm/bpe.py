@@ -10,6 +10,7 @@ of any length is encoded whole.
 
 from __future__ import annotations
 
+import copy
 import hashlib
 import json
 import struct
@@ -104,9 +105,18 @@ class WordBpe:
         self.pieces = regex.compile(WORD_PATTERN).findall
         self.at_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.spaces = regex.compile(f"[{SPACE}]+")
+        self._memos()
+
+    def _memos(self) -> None:
         self.of_piece = Memo(self._piece)
         self.of_chunk = Memo(self._chunk)
 
+    def fresh(self) -> WordBpe:
+        """The same vocabulary with memos of its own, which end with the task that asks."""
+        other = copy.copy(self)
+        other._memos()
+        return other
+
     def _piece(self, piece: str) -> tuple[int, ...]:
         symbols = [self.letters[b] for b in piece.encode()]
         symbols[-1] += self.end
@@ -158,7 +168,7 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, ids (array<int>) and decoded text of each document."""
 
     def make():
-        bpe = word_bpe(path)
+        bpe = word_bpe(path).fresh()
 
         def call(keys, texts):
             packed = [bpe.packed(t) for t in texts]
@@ -173,7 +183,7 @@ def digest_documents(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each document, from the same encoder."""
 
     def make():
-        bpe = word_bpe(path)
+        bpe = word_bpe(path).fresh()
 
         def call(keys, texts):
             packed = [bpe.packed(t) for t in texts]

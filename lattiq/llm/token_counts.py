@@ -11,6 +11,7 @@ one token, as the library has it by default.
 
 from __future__ import annotations
 
+import copy
 import json
 from bisect import bisect_right
 from functools import lru_cache
@@ -45,10 +46,19 @@ class ByteBpe:
         self.special = sorted((t["content"] for t in conf["added_tokens"]), key=len, reverse=True)
         self.at_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.pattern = regex.compile(BYTE_PATTERN)
+        self._memos()
+        self.edge = {side: Memo(lambda t, side=side: self._edge(t, side), 1 << 16) for side in (0, 1)}
+
+    def _memos(self) -> None:
         self.of_piece = Memo(lambda p: self.prefixes(p.encode())[-1])
         self.of_chunk = Memo(self._chunk)
-        self.apart = Memo(self._apart, 1 << 20)
-        self.edge = {side: Memo(lambda t, side=side: self._edge(t, side), 1 << 16) for side in (0, 1)}
+        self.apart = Memo(self._apart)
+
+    def fresh(self) -> ByteBpe:
+        """The same vocabulary with memos of its own, which end with the task that asks."""
+        other = copy.copy(self)
+        other._memos()
+        return other
 
     def _edge(self, token: int, side: int) -> list[tuple[int, int]]:
         """The tokens at one side of a token while it is built up, with the rank at which each is used up."""
@@ -175,7 +185,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:
     the characters of the longest prefix, cut at a piece, within the limit."""
 
     def make():
-        bpe = byte_bpe(path)
+        bpe = byte_bpe(path).fresh()
 
         def call(keys, texts):
             n = [bpe.count(t) for t in texts]

@@ -12,6 +12,7 @@ each get a row; without labels of both kinds every score is 0.
 
 from __future__ import annotations
 
+import struct
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -38,11 +39,11 @@ FUNCTION_WORDS = {
 LANGUAGES = (*FUNCTION_WORDS, "other")
 
 
-def features(word: str) -> list[int]:
-    """Buckets of a word: itself, its first 3 to 6 letters and its last 3."""
+def features(word: str) -> bytes:
+    """Buckets of a word, packed: itself, its first 3 to 6 letters and its last 3."""
     w = word.lower().strip(STRIP)
     parts = {"=" + w, *("<" + w[:k] for k in (3, 4, 5, 6) if len(w) >= k), ">" + w[-3:]} if w else {"="}
-    return [xxhash.xxh32_intdigest(p) % BUCKETS for p in sorted(parts)]
+    return struct.pack(f"{len(parts)}i", *(xxhash.xxh32_intdigest(p) % BUCKETS for p in sorted(parts)))
 
 
 class Words:
@@ -55,7 +56,7 @@ class Words:
                 marks.setdefault(w, np.zeros(len(FUNCTION_WORDS), np.float32))[i] = 1
         self.none = np.zeros(len(FUNCTION_WORDS), np.float32)
         self.marks = marks
-        self.of = Memo(features, 200_000)
+        self.of = Memo(features, 150_000)
 
     def batch(self, texts: list[str]) -> Batch:
         split = [t.split() for t in texts]
@@ -72,10 +73,10 @@ class Words:
             flat += pad
             flat.append(0)  # so an empty text has a whole window
             ends.append(len(flat))
-        buckets = [[], *(self.of[w] for w in list(index)[1:])]
-        sizes = np.fromiter(map(len, buckets), np.int64, len(buckets))
+        buckets = [b"", *(self.of[w] for w in list(index)[1:])]
+        sizes = np.fromiter(map(len, buckets), np.int64, len(buckets)) // 4
         marks = np.array([self.marks.get(w.lower().strip(STRIP), self.none) for w in index])
-        return Batch(np.array(flat, np.int32), np.array(ends), np.fromiter((b for bs in buckets for b in bs), np.int64, int(sizes.sum())), sizes, marks)
+        return Batch(np.array(flat, np.int32), np.array(ends), np.frombuffer(b"".join(buckets), np.int32).astype(np.int64), sizes, marks)
 
 
 @dataclass
