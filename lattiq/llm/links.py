@@ -39,7 +39,6 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """
     n = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SHARED)
     dealt = pairs.join(n, "a", "left").select("a", "b", F.coalesce(F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / SHARED)), F.lit(0)).alias("part"))
-    dealt = written(dealt, "pairs")
     members = dealt.join(sets.select(F.col("node").alias("b"), "set"), "b").select("a", "part", "b", "set")
     heads = dealt.select("a", "part").distinct().join(sets.select(F.col("node").alias("a"), "set"), "a").select("a", "part", F.lit(None).cast("long").alias("b"), "set")
 
@@ -154,7 +153,6 @@ def may_link(x: str, y: str, percent: int) -> Column:
 
 def link_exactly(members: DataFrame, sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """``labels`` with all links among the members of the prefix buckets (key, node, n, rest)."""
-    tested = None
     while True:
         named = members.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         mixed = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("n").alias("low"), F.count(F.lit(1)).alias("size")).where("lo != hi").select("key", "low", "size")
@@ -162,10 +160,8 @@ def link_exactly(members: DataFrame, sets: DataFrame, labels: DataFrame, percent
         # link even to the smallest left in their bucket leave it
         fit = F.col("rest") * (100 + percent) >= (F.col("n") + F.col("low")) * percent
         named = written(named.join(mixed, "key").where(fit).drop("low"), "open")
-        if tested is None:  # the smallest set of a bucket first: if any links to a member, it does
-            slot = F.lit(0)
-        else:
-            slot = F.when(F.col("size") <= WHOLE, F.col("node")).otherwise(F.pmod(F.xxhash64("node"), F.lit(SLOTS)))
+        slot = F.when(F.col("size") <= WHOLE, F.col("node")).otherwise(F.pmod(F.xxhash64("node"), F.lit(SLOTS)))
+        # of a slot the smallest set: if any links to a member, it does
         centres = named.groupBy("key", slot.alias("slot")).agg(F.min(F.struct("n", "node", "rest", "comp")).alias("c"))
         centres = written(centres.select("key", "c.*"), "centres")
         if not centres.limit(1).count():
@@ -175,8 +171,7 @@ def link_exactly(members: DataFrame, sets: DataFrame, labels: DataFrame, percent
         x, y = centres.alias("x"), named.alias("y")
         both = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") != F.col("y.comp")) & may_link("x", "y", percent))
         pairs = both.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-        pairs = written(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "more")
-        tested = pairs if tested is None else tested.unionByName(pairs)
+        pairs = written(pairs, "more")
         if not pairs.limit(1).count():
             continue
         found = verified(pairs, sets, percent)
