@@ -63,7 +63,7 @@ def map_texts(docs: DataFrame, make: Callable[[], Callable[[list, list], dict]],
     return texts_of(docs, key, text).mapInArrow(run, schema)
 
 
-def slices(column: pa.Array, most: int = 16 << 20) -> Iterator[tuple[int, int]]:
+def slices(column: pa.Array, most: int = 4 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of rows of about ``most`` bytes, so one batch of long texts isn't decoded at once."""
     n, per = len(column), max(1, column.nbytes // max(1, len(column)))
     step = max(1, most // per)

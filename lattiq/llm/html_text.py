@@ -33,6 +33,7 @@ LEAST_TOKENS, LEAST_PAGES = 3, 3
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 NEVER = frozenset("nav footer aside form button select option input textarea script style noscript template iframe svg canvas object head title menu dialog video audio math".split())
+HOLDERS = frozenset("html body main article section div td center figure details".split())
 OUTER = frozenset("html body main article".split())
 #: Words of class and id names that mark what is no article (fixed values).
 MARKS = frozenset("ad ads adv advert adverts advertisement advertising banner banners breadcrumb breadcrumbs comment comments consent cookie cookies copyright disclaimer disqus feedback footer gdpr hidden legal login masthead menu menus modal nav navbar navigation newsletter notice notices overlay pager pagination popup promo promos promotion recommended related replies reply search share sharing sidebar sidebars signup skip social sponsor sponsored subscribe subscription toolbar topbar widget widgets".split())
@@ -81,7 +82,7 @@ def parse(page: str) -> list[Node]:
                 block += 1
             continue
         if name not in INLINE:
-            block += 1
+            block += name != "br"
         for i in range(len(stack) - 1, -1, -1):
             if stack[i][0] in ENDS.get(name, ()):
                 del stack[i:]
@@ -95,6 +96,8 @@ def parse(page: str) -> list[Node]:
         out = above[2] or name in NEVER or bool(marked) or (name == "header" and not above[3]) or names.get("role") in ("navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert")
         path = f"{above[1]}/{name}" + (f".{names['class']}" if names.get("class") else "")
         nodes.append(Node((path,), None, out, main, above[4] or name == "a", block))
+        if name == "br":  # parts words, not blocks
+            nodes.append(Node((above[1], ""), " ", out, main, above[4], block))
         if name not in VOID and not (m.group(4) or "").rstrip().endswith("/"):
             stack.append((name, path, out, main, above[4] or name == "a"))
     return nodes
@@ -151,39 +154,50 @@ def main_texts(pages: list[str]) -> list[str]:
     parsed = [parse(p) for p in pages]
     distinct = list({p: n for p, n in zip(pages, parsed, strict=True)}.values())
     known = template(distinct) if len(distinct) >= LEAST_PAGES else set()
-    slots = [slots_of(nodes, known) for nodes in parsed]
-    # running text by slot over the whole group, for pages that mark no article
+    # running text by container over the whole group, for pages that mark no article
     weight: Counter = Counter()
-    for nodes, ids in zip(parsed, slots, strict=True):
-        for node, slot in zip(nodes, ids, strict=True):
-            if node.text is not None and not node.out and not node.link and node.key not in known:
-                weight[slot] += len(node.key[1])
+    for nodes in parsed:
+        for slot in slots_of(nodes, known):
+            for node in slot:
+                if not node.out and not node.link:
+                    for path in containers(node.key[0]):
+                        weight[path] += len(node.key[1])
     most = max(weight.values(), default=0)
-    good = {s for s, n in weight.items() if n * 5 >= most}
-    return [text_of(nodes, ids, good, known) for nodes, ids in zip(parsed, slots, strict=True)]
+    good = max((p for p, n in weight.items() if n * 4 >= most * 3), key=lambda p: (p.count("/"), weight[p], p), default="")
+    return [text_of(nodes, good, known) for nodes in parsed]
 
 
-def slots_of(nodes: list[Node], known: set[tuple]) -> list[tuple]:
-    """For each node the template token before it, by its key and which occurrence it is."""
-    seen: Counter = Counter()
-    at, ids = (), []
+def containers(path: str) -> list[str]:
+    """The paths above a text that end in an element that holds blocks."""
+    steps = path.split("/")
+    return ["/".join(steps[: i + 1]) for i in range(1, len(steps)) if steps[i].split(".")[0] in HOLDERS]
+
+
+def slots_of(nodes: list[Node], known: set[tuple]) -> list[list[Node]]:
+    """Text nodes between one template token and the next."""
+    slots: list[list[Node]] = [[]]
     for node in nodes:
         if node.key in known:
-            seen[node.key] += 1
-            at = (node.key, seen[node.key])
-        ids.append(at)
-    return ids
+            slots.append([])
+        elif node.text is not None:
+            slots[-1].append(node)
+    return [s for s in slots if s]
 
 
-def text_of(nodes: list[Node], ids: list[tuple], good: set[tuple], known: set[tuple]) -> str:
+def text_of(nodes: list[Node], good: str, known: set[tuple]) -> str:
+    """Text of the page's article, or of the group's main container without blocks that are all template."""
     marked = any(n.main and not n.out and n.text is not None and n.key[1] for n in nodes)
+    texts = [n for n in nodes if n.text is not None and not n.out]
+    if marked:
+        texts = [n for n in texts if n.main]
+    else:
+        own = {n.block for n in texts if n.key[1] and n.key not in known}
+        texts = [n for n in texts if n.block in own and (n.key[0] + "/").startswith(good + "/")]
     parts: list[str] = []
     last = None
-    for node, slot in zip(nodes, ids, strict=True):
-        if node.text is None or node.out or not (node.main if marked else slot in good and node.key not in known):
-            continue
-        parts += [node.text] if node.block == last else [" ", node.text]
-        last = node.block
+    for n in texts:
+        parts += [n.text] if n.block == last else [" ", n.text]
+        last = n.block
     return " ".join("".join(parts).split())
 
 

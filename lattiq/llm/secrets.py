@@ -1,6 +1,6 @@
 """Operator 8: secrets by character Markov models beside fixed patterns.
 
-Two models of order two, of random strings and of ordinary identifiers, are
+Two models of first order, of random strings and of ordinary identifiers, are
 trained on labelled samples; a run of token characters is a secret if its mean
 log-likelihood ratio passes a threshold set on held-out samples. The base
 patterns' spans always stay; the models add spans that overlap none of them.
@@ -29,6 +29,8 @@ HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 RUN = re.compile(r"(?<![\w+/=-])[A-Za-z0-9+/_=-]{20,}(?![\w])")
 LETTERS = string.ascii_letters + string.digits + "+/_=-"
+#: Ordinary words of identifiers, learned beside those of the documents (fixed values).
+COMMON = "account action address array block buffer build cache call change check chunk class client code color column command config connection content context control copy count create cursor data date default delete depth device dict directory document domain edge element email empty end entry error event example export field file filter find first flag format frame function global graph group handler header height hidden home host image import index info input item join key label language last layer left length level library limit line link list load local log main map match max message method min mode model module month name network next node number object offset open option order output owner page panel parent parser path pattern player point pool port position prefix previous process product profile project property query queue random range read record remove render reply report request resource response result return right root row rule sample schema scope score screen search section select sender sequence server service session setting shape share shift show size socket sort source space split stack start state status step stop storage stream string style suffix switch symbol system table target task template test text thread time timer title total track tree type unit update upload user utils valid value vector version view visible web width window word worker write year zone"
 #: Documents from which ordinary words are learned, the ones with the lowest hash: a bound on the training sample.
 SAMPLE_DOCS = 1000
 
@@ -46,7 +48,7 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 class Markov:
-    """Log-likelihood ratio of random strings to identifiers, by characters given the two before."""
+    """Mean log-likelihood ratio of random strings to identifiers, by characters given the one before."""
 
     def __init__(self, ratio: np.ndarray, threshold: float):
         self.ratio, self.threshold = ratio, threshold
@@ -56,29 +58,28 @@ class Markov:
         index = np.full(128, len(LETTERS), np.int64)
         index[[ord(c) for c in LETTERS]] = range(len(LETTERS))
         raw = np.frombuffer(run.encode("ascii", "replace"), np.uint8)
-        return np.concatenate(([len(LETTERS)] * 2, index[np.minimum(raw, 127)]))
+        return np.concatenate(([len(LETTERS)], index[np.minimum(raw, 127)]))
 
     def score(self, run: str) -> float:
         c = self.codes(run)
-        return float(self.ratio[c[:-2], c[1:-1], c[2:]].mean()) if len(c) > 2 else 0.0
+        return float(self.ratio[c[:-1], c[1:]].mean()) if len(c) > 1 else 0.0
 
     @classmethod
     def train(cls, samples: list[tuple[str, int]], worst: float = 1e-3) -> Markov:
         """Fit on labelled (run, 1 if random); every fifth sample is held out for the threshold,
         above which at most ``worst`` of the held-out identifiers score."""
         size = len(LETTERS) + 1
-        counts = np.full((2, size, size, size), 0.02, np.float64)
+        counts = np.full((2, size, size), 0.1, np.float64)
         for i, (run, label) in enumerate(samples):
             if i % 5:
                 c = cls.codes(run)
-                np.add.at(counts[label], (c[:-2], c[1:-1], c[2:]), 1)
-        single = counts.sum((1, 2)) + 1
-        back = single / single.sum(1, keepdims=True)  # a context unseen falls back to letters alone
-        counts += 2 * back[:, None, None, :]
-        logs = np.log(counts / counts.sum(3, keepdims=True))
+                np.add.at(counts[label], (c[:-1], c[1:]), 1)
+        logs = np.log(counts / counts.sum(2, keepdims=True))
         model = cls((logs[1] - logs[0]).astype(np.float32), 0.0)
-        held = [model.score(r) for r, label in samples[::5] if not label] or [0.0]
-        model.threshold = max(0.1, float(np.quantile(held, 1 - worst)))
+        held = [[model.score(r) for r, y in samples[::5] if y == label] or [0.0] for label in (0, 1)]
+        low, high = float(np.quantile(held[0], 1 - worst)), float(np.quantile(held[1], 0.01))
+        # above held-out identifiers, and halfway up to random strings for words not learned
+        model.threshold = max(0.1, low, high / 2)
         return model
 
     def spans(self, text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
@@ -112,10 +113,18 @@ def train(docs: DataFrame, sample: int = SAMPLE_DOCS) -> Markov:
     # ranks alone first, so no task sends texts that others displace
     top = texts_of(docs).select(rank.alias("r")).orderBy("r").limit(sample).agg(F.max("r")).first()[0]
     rows = texts_of(docs).where(rank <= top).limit(sample).collect() if top is not None else []
-    words = sorted({w for r in rows for w in re.findall(r"[A-Za-z]{2,}", r.text) if len(w) < 20})
+    words = {w for r in rows for w in re.findall(r"[A-Za-z]{2,}", without_runs(r.text)) if len(w) < 20}
+    words = sorted(words | set(COMMON.split()))
     return Markov.train(samples_of(words))
 
 
+def without_runs(text: str) -> str:
+    """A text without what may be a secret."""
+    for a, b, _ in sorted(base_spans(text), reverse=True):
+        text = text[:a] + " " + text[b:]
+    return RUN.sub(" ", text)
+
+
 def all_spans(model: Markov, text: str) -> tuple[list, list]:
     base = sorted(base_spans(text), key=lambda s: (s[0], KINDS.index(s[2])))
     return base, sorted(base + model.spans(text, base), key=lambda s: (s[0], KINDS.index(s[2])))

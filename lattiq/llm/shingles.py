@@ -109,7 +109,7 @@ def sketches(sets: Sets, size: int = 128) -> np.ndarray:
 
 def band_keys(sketch: np.ndarray, bands: int) -> np.ndarray:
     """(items, bands) keys as signed integers: equal where all rows of a band are."""
-    parts = sketch.reshape(len(sketch), bands, -1)
+    parts = sketch.reshape(len(sketch), bands, sketch.shape[1] // bands)
     key = np.broadcast_to(mix(np.arange(1, bands + 1, dtype=np.uint64) * ODD), parts.shape[:2]).copy()
     for r in range(parts.shape[2]):
         key = mix(key * np.uint64(0x100000001B3) + parts[:, :, r])

@@ -126,6 +126,8 @@ class Cnn:
         total = (words @ w[0])[batch.flat]
         for j in range(1, len(w)):
             total[: len(total) - j] += (words @ w[j])[batch.flat[j:]]
+        for j in range(1, len(w)):  # a window that begins here would run into the next text
+            total[batch.ends - j] = -np.inf
         return total
 
     def pooled(self, batch: Batch) -> np.ndarray:
@@ -260,7 +262,7 @@ def classify(docs: DataFrame, model: Cnn | None) -> DataFrame:
     return out.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-def parts(texts: list[str], most: int = 1_500_000):
+def parts(texts: list[str], most: int = 700_000):
     """Runs of texts of about ``most`` characters; a longer text is alone."""
     run, size = [], 0
     for t in texts:
