@@ -1,7 +1,7 @@
 """Operator 6: a convolutional text classifier for toxicity, trained in numpy.
 
-A word's embedding is the mean of hashed buckets of the word and its beginnings
-and end; filters of several widths slide over the words, the largest answer of
+A word's embedding is the mean of hashed buckets of the word, its beginnings
+and its end; filters of several widths slide over the words, the largest answer of
 each in a text goes through one logistic layer. Thresholds are calibrated for
 each language as guessed from a text's own function words (never from the lang
 column), and scores are stretched so that 0.5 is the threshold.
@@ -29,6 +29,7 @@ EPOCHS, BATCH, SEED = 6, 32, 11
 #: Steps at least, unless that takes over 60 epochs.
 STEPS = 600
 STRIP = ".,;:!?\"'()[]{}<>|*#$%&-–—…«»¿¡"
+NO_WORD = struct.pack("i", 0)
 #: Frequent function words by language (fixed values).
 FUNCTION_WORDS = {
     "en": "the of and to in a is that it for was on with as are be this from at by",
@@ -39,11 +40,14 @@ FUNCTION_WORDS = {
 LANGUAGES = (*FUNCTION_WORDS, "other")
 
 
-def features(word: str) -> bytes:
-    """Buckets of a word, packed: itself, its first 3 to 6 letters and its last 3."""
-    w = word.lower().strip(STRIP)
-    parts = {"=" + w, *("<" + w[:k] for k in (3, 4, 5, 6) if len(w) >= k), ">" + w[-3:]} if w else {"="}
-    return struct.pack(f"{len(parts)}i", *(xxhash.xxh32_intdigest(p) % BUCKETS for p in sorted(parts)))
+def features(w: str) -> bytes:
+    """Buckets of a lower-case word, packed: itself, its end and its first 4 and 5 letters."""
+    if not w:
+        return NO_WORD
+    digest, n = xxhash.xxh32_intdigest, len(w)
+    if n < 4:
+        return struct.pack("2i", digest("=" + w) % BUCKETS, digest(">" + w) % BUCKETS)
+    return struct.pack("4i", digest("=" + w) % BUCKETS, digest(">" + w[-3:]) % BUCKETS, digest("<" + w[:4]) % BUCKETS, digest("<" + w[:5]) % BUCKETS)
 
 
 class Words:
@@ -73,9 +77,11 @@ class Words:
             flat += pad
             flat.append(0)  # so an empty text has a whole window
             ends.append(len(flat))
-        buckets = [b"", *(self.of[w] for w in list(index)[1:])]
+        plain = [w.lower().strip(STRIP) for w in index]
+        buckets = list(map(self.of.__getitem__, plain))
+        buckets[0] = b""  # padding
         sizes = np.fromiter(map(len, buckets), np.int64, len(buckets)) // 4
-        marks = np.array([self.marks.get(w.lower().strip(STRIP), self.none) for w in index])
+        marks = np.array([self.marks.get(w, self.none) for w in plain])
         return Batch(np.array(flat, np.int32), np.array(ends), np.frombuffer(b"".join(buckets), np.int32).astype(np.int64), sizes, marks)
 
 
@@ -262,7 +268,7 @@ def classify(docs: DataFrame, model: Cnn | None) -> DataFrame:
     return out.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-def parts(texts: list[str], most: int = 700_000):
+def parts(texts: list[str], most: int = 1_200_000):
     """Runs of texts of about ``most`` characters; a longer text is alone."""
     run, size = [], 0
     for t in texts:
