@@ -60,4 +60,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontaminate": decontaminate.SQL}
+    return {"op3_decontaminate": decontaminate.SQL, "op10_minhash_dedup": near_dedup.SQL}
