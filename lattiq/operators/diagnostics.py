@@ -134,7 +134,7 @@ def suppress_by_config(diags: DataFrame, config: Config, file: str = "lattiq.yam
         if kind == "fingerprint":
             on = F.array_contains(named, e["fingerprint"])
         else:
-            on = F.col("rule_id").isin(*e["rules"]) & F.exists(places, lambda p, e=e: matches(p, [e["pattern"]], crossing=True))
+            on = F.col("rule_id").isin(*e["rules"]) & F.exists(places, crossing_match(e["pattern"]))
         case = F.when(on, F.lit(f"{kind}:{i}")).otherwise(case)
     d = diags.withColumn("entry", F.when(~F.col("suppressed"), case))
     counts = {r.entry: r["n"] for r in d.where("entry is not null").groupBy("entry").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -155,6 +155,10 @@ def suppress_by_config(diags: DataFrame, config: Config, file: str = "lattiq.yam
     return out
 
 
+def crossing_match(pattern: str):
+    return lambda p: matches(p, [pattern], crossing=True)
+
+
 def note(kind: str, i: int, e: dict, file: str, n: int, old: bool) -> dict[str, str]:
     """Metadata of a configured suppression."""
     made = {"suppression.kind": kind, "suppression.status": "expired" if old else "active" if n else "unused", "suppression.definedIn": e.get("_defined_in") or f"{file}:suppressions.{kind}s[{i}]", "suppression.matchedCount": str(n)}

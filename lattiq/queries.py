@@ -66,9 +66,11 @@ def dependencies(spark: SparkSession, sf_dir: str, where: str | None = None) ->
     return e.select("from", "to", "kind", at.cast(LOCATION).alias("location"), (F.col("line") * 16 + F.col("col")).cast("long").alias("ord"))
 
 
-def project(spark: SparkSession, sf_dir: str, where: str | None = None) -> Frames:
+def project(spark: SparkSession, sf_dir: str, where: str | None = None, keep: bool = False) -> Frames:
+    """All relations; ``keep`` writes the dependencies once where many rules read them."""
     mods, config = modules(spark, sf_dir).drop("p_partkey"), from_dict(CONFIG)
     deps = dependencies(spark, sf_dir, where)
+    deps = written(deps, "dependencies") if keep else deps
     resolved = deps.select("from", F.when(F.col("ord") % 3 == 0, "./x").otherwise("pkg").alias("specifier"), "kind", F.lit("workspace").alias("target_kind"), F.lit(None).cast("string").alias("target_package"), F.col("to").alias("target_module"), F.lit(None).cast("string").alias("target_name"), F.lit(None).cast("string").alias("reason"), "location", "ord")
     resolved = resolved.drop("target_package").join(mods.select(F.col("id").alias("target_module"), F.col("package").alias("target_package")), "target_module")
     brands = mods.select("package").distinct()
@@ -500,7 +502,8 @@ def rule_catalogue(spark, d):
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All configured edge, metric and package rules, arbitrated, with fingerprints."""
     only = {"ARCH-002", "ARCH-003", "ARCH-004", "ARCH-005", "ARCH-007", "ARCH-008", "ARCH-010", "ARCH-011", "PACKAGE-002", "PACKAGE-003", "PACKAGE-004"}
-    found = diagnostics.arbitrate(rules.evaluate(context(spark, sf_dir), only))
+    own = rules.Context(project(spark, sf_dir, keep=True), from_dict(CONFIG))
+    found = diagnostics.arbitrate(rules.evaluate(own, only))
     return found.select("rule_id", "fingerprint", "severity", "message", F.array_join("dependency_path", " -> ").alias("path"), F.col("primary_location.file").alias("file"), F.col("primary_location.line").alias("line"))
 
 

@@ -17,14 +17,34 @@ from lattiq.schemas import CHANGES, FILES, MANIFESTS, TSCONFIGS
 #: Files beside sources that an analysis depends on (fixed values).
 INPUTS = r"(?:^|/)(?:package\.json|pnpm-workspace\.yaml|[tj]sconfig[^/]*\.json|next\.config\.[cm]?[jt]s)$"
 
+#: Larger files with hidden names aren't read.
+HIDDEN_BYTES = 4 << 20
+
 
 def scan(spark: SparkSession, root: str) -> DataFrame:
-    """path (relative, with slashes), length and content of all files below a folder of any store Spark reads."""
+    """path (relative, with slashes), length and content of all files below a folder of any store Spark reads.
+
+    Spark's readers pass over names that begin with a dot or an underscore; a source
+    tree has few of these, and they are read through the store's own client.
+    """
+    jvm = spark.sparkContext._jvm
+    base = jvm.org.apache.hadoop.fs.Path(root)
+    fs = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    at = re.sub("^[a-z]+:/*", "/", fs.makeQualified(base).toString().rstrip("/"))
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    base = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
-    base = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(base).toString().rstrip("/")
-    strip = F.regexp_replace(F.regexp_replace("path", "^[a-z]+:/*", "/"), "^" + re.escape(re.sub("^[a-z]+:/*", "/", base)).replace("/", "/") + "/", "")
-    return raw.select(slashes(strip).alias("path"), "length", "content")
+    strip = F.regexp_replace(F.regexp_replace("path", "^[a-z]+:/*", "/"), "^" + re.escape(at) + "/", "")
+    seen = raw.select(slashes(strip).alias("path"), "length", "content")
+    rows, listing = [], fs.listFiles(base, True)
+    while listing.hasNext():
+        status = listing.next()
+        path = re.sub("^[a-z]+:/*", "/", status.getPath().toString())[len(at) + 1 :]
+        parts = path.split("/")
+        if any(p[:1] in "._" for p in parts) and not {".git", "node_modules"} & set(parts[:-1]) and status.getLen() <= HIDDEN_BYTES:
+            stream = fs.open(status.getPath())
+            rows.append((path, status.getLen(), bytearray(jvm.org.apache.commons.io.IOUtils.toByteArray(stream))))
+            stream.close()
+    hidden = spark.createDataFrame(rows, "path string, length bigint, content binary")
+    return seen.join(hidden.select("path"), "path", "left_anti").unionByName(hidden)
 
 
 def ignored(rules: list[tuple[str, str]]) -> list[tuple[str, bool]]:

@@ -20,6 +20,7 @@ FILES = {
     "packages/web/src/shared/b.ts": 'import { a } from "./a";\nexport const b = a;\n',
     "packages/web/src/shared/broken.ts": "const x = (\n",
     "packages/web/src/shared/c.ts": "// lattiq-ignore ARCH-002 -- nothing here\nexport const c = 1;\n",
+    "packages/web/src/pages/_app.tsx": "export default 1;\n",
     "ignored/x.ts": "import './nowhere';\n",
     ".gitignore": "ignored/\n",
 }
@@ -61,14 +62,14 @@ def test_order_and_fingerprints_are_stable(spark, root, done):
 
 def test_modules(done):
     kinds = {r.kind: r.modules for r in views.counts_by_kind(done.frames.modules).collect()}
-    assert kinds == {"source": 7, "external": 2}
+    assert kinds == {"source": 8, "external": 2}
     web = done.frames.modules.where("id = 'packages/web/src/app/page.tsx'").first()
     assert (web.package, web.runtime, web.framework.attributes["runtimeSource"]) == ("@t/web", "browser", "directive")
 
 
 def test_reports(done):
     doc = json.loads(sinks.to_json(done))
-    assert doc["modules"]["source"] == 7
+    assert doc["modules"]["source"] == 8
     assert doc["policy"]["failed"]
     sarif = json.loads(sinks.to_sarif(done))
     assert len(sarif["runs"][0]["results"]) == len(doc["diagnostics"]) == len(sinks.to_jsonl(done).splitlines()) - 1
@@ -95,7 +96,8 @@ def test_views(spark, done):
     assert {r.path.rsplit("/", 1)[1] for r in views.impact(f, lost).collect()} == {"page.tsx"}
     a, b = "packages/ui/src/index.ts", "packages/web/src/shared/a.ts"
     assert views.dependency_policy(f, done.diagnostics, a, b).first().verdict == "denied"
-    assert views.dependency_policy(f, done.diagnostics, b, a).first().verdict == "indeterminate"
+    c = "packages/web/src/shared/c.ts"
+    assert views.dependency_policy(f, done.diagnostics, c, b).first().verdict == "indeterminate"
     assert views.dependency_path(f, a, "packages/web/src/shared/b.ts").first().dist == 2
     assert set(views.inspect(f, done.diagnostics, b)) == {"module", "edges", "diagnostics"}
     assert views.overview(f, done.diagnostics).count() > 5
