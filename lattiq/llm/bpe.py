@@ -39,40 +39,23 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in printable else chr(next(spare)) for b in range(256)]
 
 
-def merge(symbols: list, rank_of) -> list:
-    """Symbols after all merges. rank_of(a, b): (rank, merged symbol) or None."""
+def merge(symbols: list, ranks: dict) -> list:
+    """Symbols after all merges. ranks: (a, b) -> (rank, merged symbol)."""
     n = len(symbols)
     if n < 2:
         return symbols
-    width = 1 << (n - 1).bit_length()
+    get = ranks.get
+    width = 1 << (n - 2).bit_length()
     tree, joined = [NONE] * (2 * width), [None] * n
-    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-
-    def leaf(i: int) -> int:
-        j = after[i]
-        found = rank_of(symbols[i], symbols[j]) if j < n else None
-        if found is None:
-            return NONE
-        joined[i] = found[1]
-        return found[0] << 32 | i
-
-    def put(i: int, value: int) -> None:
-        at = width + i
-        tree[at] = value
-        at >>= 1
-        while at:
-            left, right = tree[2 * at], tree[2 * at + 1]
-            value = left if left < right else right
-            if tree[at] == value:
-                return
-            tree[at] = value
-            at >>= 1
-
     for i in range(n - 1):
-        tree[width + i] = leaf(i)
+        found = get((symbols[i], symbols[i + 1]))
+        if found is not None:
+            tree[width + i] = found[0] << 32 | i
+            joined[i] = found[1]
     for at in range(width - 1, 0, -1):
         left, right = tree[2 * at], tree[2 * at + 1]
         tree[at] = left if left < right else right
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
     while (top := tree[1]) < NONE:
         i = top & 0xFFFFFFFF
         gone = after[i]
@@ -81,10 +64,28 @@ def merge(symbols: list, rank_of) -> list:
         if nxt < n:
             before[nxt] = i
         symbols[gone] = None
-        put(gone, NONE)
-        put(i, leaf(i))
-        if before[i] >= 0:
-            put(before[i], leaf(before[i]))
+        # the pair that was merged, the one that began at the right symbol, the one that ends at the left
+        for k in (i, gone, before[i]):
+            if k < 0 or (k == gone and k == n - 1):
+                continue
+            value = NONE
+            if k != gone and (j := after[k]) < n:
+                found = get((symbols[k], symbols[j]))
+                if found is not None:
+                    value = found[0] << 32 | k
+                    joined[k] = found[1]
+            at = width + k
+            if tree[at] == value:
+                continue
+            tree[at] = value
+            at >>= 1
+            while at:
+                left, right = tree[2 * at], tree[2 * at + 1]
+                value = left if left < right else right
+                if tree[at] == value:
+                    break
+                tree[at] = value
+                at >>= 1
     return [s for s in symbols if s is not None]
 
 
@@ -105,22 +106,19 @@ class WordBpe:
         self.pieces = regex.compile(WORD_PATTERN).findall
         self.at_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.spaces = regex.compile(f"[{SPACE}]+")
-        self._memos()
-
-    def _memos(self) -> None:
-        self.of_piece = Memo(self._piece)
+        self.of_piece = Memo(self._piece, 120_000)
         self.of_chunk = Memo(self._chunk)
 
     def fresh(self) -> WordBpe:
-        """The same vocabulary with memos of its own, which end with the task that asks."""
+        """The same vocabulary and pieces with a memo of chunks of its own, which ends with the task that asks."""
         other = copy.copy(self)
-        other._memos()
+        other.of_chunk = Memo(other._chunk)
         return other
 
     def _piece(self, piece: str) -> tuple[int, ...]:
         symbols = [self.letters[b] for b in piece.encode()]
         symbols[-1] += self.end
-        return tuple(self.vocab[s] for s in merge(symbols, lambda a, b: self.ranks.get((a, b))) if s in self.vocab)
+        return tuple(self.vocab[s] for s in merge(symbols, self.ranks) if s in self.vocab)
 
     def _chunk(self, chunk: str) -> tuple[bytes, str]:
         ids = [i for p in self.pieces(chunk) for i in self.of_piece[p]]

@@ -79,7 +79,7 @@ def spark_schema(spark: SparkSession, schema: str) -> list[tuple[str, pa.DataTyp
 class Memo(dict):
     """A bounded memo: two generations, the older one dropped when the newer fills."""
 
-    def __init__(self, make: Callable, most: int = 200_000):
+    def __init__(self, make: Callable, most: int = 300_000):
         super().__init__()
         self.make, self.most, self.old = make, most, {}
 

@@ -46,18 +46,15 @@ class ByteBpe:
         self.special = sorted((t["content"] for t in conf["added_tokens"]), key=len, reverse=True)
         self.at_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.pattern = regex.compile(BYTE_PATTERN)
-        self._memos()
-        self.edge = {side: Memo(lambda t, side=side: self._edge(t, side), 1 << 16) for side in (0, 1)}
-
-    def _memos(self) -> None:
-        self.of_piece = Memo(lambda p: self.prefixes(p.encode())[-1])
+        self.of_piece = Memo(lambda p: self.prefixes(p.encode())[-1], 120_000)
         self.of_chunk = Memo(self._chunk)
-        self.apart = Memo(self._apart)
+        self.apart = Memo(self._apart, 150_000)
+        self.edge = {side: Memo(lambda t, side=side: self._edge(t, side), 1 << 16) for side in (0, 1)}
 
     def fresh(self) -> ByteBpe:
-        """The same vocabulary with memos of its own, which end with the task that asks."""
+        """The same vocabulary and pieces with a memo of chunks of its own, which ends with the task that asks."""
         other = copy.copy(self)
-        other._memos()
+        other.of_chunk = Memo(other._chunk)
         return other
 
     def _edge(self, token: int, side: int) -> list[tuple[int, int]]:

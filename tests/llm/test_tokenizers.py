@@ -44,8 +44,8 @@ def test_encode_any(words, text):
 
 def test_merge_is_leftmost_lowest():
     ranks = {("a", "b"): (0, "ab"), ("b", "a"): (1, "ba"), ("ab", "ab"): (2, "abab")}
-    assert bpe.merge(list("abab"), lambda x, y: ranks.get((x, y))) == ["abab"]
-    assert bpe.merge(list("aaa"), lambda x, y: (0, "aa") if (x, y) == ("a", "a") else None) == ["aa", "a"]
+    assert bpe.merge(list("abab"), ranks) == ["abab"]
+    assert bpe.merge(list("aaa"), {("a", "a"): (0, "aa")}) == ["aa", "a"]
 
 
 @pytest.mark.parametrize("text", TEXTS)
