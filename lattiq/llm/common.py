@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -38,6 +40,18 @@ def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Smaller Arrow batches than usual: a row here is a whole text or set."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+def release() -> None:
+    """Give freed memory back at the end of a task: its worker lives on for others."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def texts_of(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Key and text alone (null text: empty), so extra columns can't clash."""
     return docs.select(F.col(key).cast("long").alias(key), F.coalesce(F.col(text), F.lit("")).alias(text))
@@ -51,15 +65,18 @@ def map_texts(docs: DataFrame, make: Callable[[], Callable[[list, list], dict]],
     """
     target = spark_schema(docs.sparkSession, schema)
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(given: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         call = None
-        for batch in batches:
+        for batch in given:
             call = call or make()
             keys, whole = batch.column(0).to_pylist(), batch.column(1)
             for a, b in slices(whole):
                 cols = call(keys[a:b], whole.slice(a, b - a).to_pylist())
                 yield pa.RecordBatch.from_arrays([pa.array(cols[n], t) for n, t in target], [n for n, _ in target])
+        call = None
+        release()
 
+    batches(docs.sparkSession)
     return texts_of(docs, key, text).mapInArrow(run, schema)
 
 

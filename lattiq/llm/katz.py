@@ -31,7 +31,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattiq.llm.common import Memo, shared_dir, slices, texts_of, written
+from lattiq.llm.common import Memo, release, shared_dir, slices, texts_of, written
+from lattiq.llm.common import batches as small_batches
 from lattiq.llm.shingles import mix
 
 #: Tokens of a chunk, and bytes of packed n-grams that one reducing task holds.
@@ -73,7 +74,9 @@ def chunks_of(docs: DataFrame) -> DataFrame:
                         ids, hashes, sizes, held, number = [], [], [], 0, number + 1
         if ids:
             yield pack(number, ids, hashes, sizes)
+        release()
 
+    small_batches(docs.sparkSession)
     return texts_of(docs).mapInArrow(run, CHUNKS)
 
 

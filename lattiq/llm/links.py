@@ -22,7 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lattiq.llm.common import written
+from lattiq.llm.common import batches as small_batches
+from lattiq.llm.common import release, written
 from lattiq.llm.components import components
 
 #: Members of a bucket that are all centres at once, centres of a larger one in a round, and pairs that share one copy of their centre's set.
@@ -63,6 +64,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                         kept.append((x, y))
                         break
             yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in kept], pa.int64()) for i in (0, 1)], ["a", "b"])
+        release()
 
     ordered = members.unionByName(heads).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
     return ordered.mapInArrow(run, "a long, b long").distinct()
@@ -118,6 +120,7 @@ def prefixes(sets: DataFrame, percent: int) -> DataFrame:
                 rests.append(n - np.arange(len(first)))
             flat = [np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in (keys, nodes, sizes, rests)]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in flat], ["key", "node", "n", "rest"])
+        release()
 
     return sets.select("node", "set").mapInArrow(run, "key long, node long, n long, rest long")
 
@@ -128,6 +131,7 @@ def link(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: i
     nodes: (node, bands), one row a node. sets_of: from a frame of wanted (node) to
     their (node, set), sets as ascending 64-bit integers.
     """
+    small_batches(nodes.sparkSession, 1000)
     keyed = written(nodes.select("node", F.explode("bands").alias("key")), "bands")
     lows = keyed.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("hi")).where("a != hi").drop("hi")
     members = written(keyed.join(lows, "key"), "members")

@@ -58,7 +58,7 @@ def full_sets(docs: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of each document."""
     made = written(sketch(docs), "sketch")
-    nodes = made.where("node is not null").groupBy("node").agg(F.min(F.struct("doc_id", "bands")).alias("x")).select("node", "x.*")
+    nodes = made.where("node is not null and doc_id is not null").groupBy("node").agg(F.min(F.struct("doc_id", "bands")).alias("x")).select("node", "x.*")
     nodes = written(nodes, "nodes")
 
     def sets_of(wanted: DataFrame) -> DataFrame:

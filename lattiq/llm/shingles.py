@@ -21,7 +21,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def word_hashes() -> Memo:
-    return Memo(lambda w: xxhash.xxh64_intdigest(w))
+    return Memo(lambda w: xxhash.xxh64_intdigest(w), 100_000)
 
 
 @dataclass

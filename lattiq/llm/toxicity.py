@@ -27,7 +27,9 @@ BUCKETS, DIM, WIDTHS, FILTERS = 1 << 16, 16, (1, 2, 3), 16
 SAMPLE = 2000
 EPOCHS, BATCH, SEED = 6, 32, 11
 #: Steps at least, unless that takes over 60 epochs.
-STEPS = 600
+STEPS = 1200
+#: Positive texts held out from which a threshold is set.
+LEAST = 30
 STRIP = ".,;:!?\"'()[]{}<>|*#$%&-–—…«»¿¡"
 NO_WORD = struct.pack("i", 0)
 #: Frequent function words by language (fixed values).
@@ -205,13 +207,13 @@ def fit(texts: list[str], labels: list[int], share: float = 0.5, epochs: int = E
     epochs = max(epochs, min(60, STEPS * BATCH // max(1, len(used))))  # a small sample is gone over more often
     for epoch in range(epochs):
         for at in np.array_split(rng.permutation(used), max(1, len(used) // BATCH)):
-            model.step(words.batch([texts[i] for i in at]), y[at], seen, 0.05 if epoch < epochs - 1 else 0.02)
+            model.step(words.batch([texts[i] for i in at]), y[at], seen, 0.05 if epoch < epochs * 2 // 3 else 0.02)
     calibrate(model, [texts[i] for i in held], y[held], share)
     return model
 
 
 def calibrate(model: Cnn, texts: list[str], y: np.ndarray, share: float) -> None:
-    """Set each language's threshold where the held-out error, weighed to ``share`` positives, is least; a few texts don't move it."""
+    """Set each language's threshold where the held-out error, weighed to ``share`` positives, is least; too few texts leave it at 0.5."""
     if not len(texts):
         return
     words, s, lang = Words(), [], []
@@ -223,8 +225,8 @@ def calibrate(model: Cnn, texts: list[str], y: np.ndarray, share: float) -> None
     weight = np.where(y == 1, share / max(1, (y == 1).sum()), (1 - share) / max(1, (y == 0).sum()))
     for k in range(len(LANGUAGES)):
         on = lang == k
-        if on.sum() < 40 or len(set(y[on])) < 2:
-            on = np.ones(len(y), bool)
+        if y[on].sum() < LEAST:  # too few of a language to move its threshold
+            continue
         cuts = np.clip(np.unique(np.concatenate(([0.5], s[on]))), 0.05, 0.95)
         error = np.array([(weight[on] * ((s[on] >= c) != (y[on] == 1))).sum() for c in cuts])
         best = cuts[error <= error.min() + 1e-12]
