@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattiq.llm import bpe, decontaminate, near_dedup, secrets, toxicity
-from lattiq.llm.common import shared_dir, slices, small, written
+from lattiq.llm.common import batches, release, shared_dir, slices, small, written
 
 #: A trained classifier decides in one stage, which SQL can't express.
 ORACLE_SQL = None
@@ -28,9 +28,9 @@ def over_texts(docs: DataFrame, make: Callable[[], Callable[[list], list]], keep
     names = docs.columns
     at = names.index("text")
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(given: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         call = None
-        for batch in batches:
+        for batch in given:
             call = call or make()
             for a, b in slices(batch.column(at)):
                 part = batch.slice(a, b - a)
@@ -46,7 +46,10 @@ def over_texts(docs: DataFrame, make: Callable[[], Callable[[list], list]], keep
                     k = names.index("n_chars")
                     cols[k] = pa.array([n if t == f or f is None else len(f) for t, f, n in zip(texts, new, cols[k].to_pylist(), strict=True)], cols[k].type)
                 yield pa.RecordBatch.from_arrays(cols, schema=part.schema)
+        call = None
+        release()
 
+    batches(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)
 
 
