@@ -27,7 +27,7 @@ from lattiq.llm.common import release, written
 from lattiq.llm.components import components
 
 #: Members of a bucket that are all centres at once, centres of a larger one in a round, and pairs that share one copy of their centre's set.
-WHOLE, SLOTS, SHARED = 256, 64, 128
+WHOLE, SLOTS, SHARED = 1024, 512, 128
 #: Counters of the frequency sketch, and the slices in which they travel.
 COUNTERS, SLICES = 1 << 18, 64
 
