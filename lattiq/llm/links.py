@@ -27,7 +27,9 @@ from lattiq.llm.common import release, written
 from lattiq.llm.components import components
 
 #: Members of a bucket that are all centres at once, centres of a larger one in a round, and pairs that share one copy of their centre's set.
-WHOLE, SLOTS, SHARED = 1024, 512, 128
+WHOLE, SLOTS, SHARED = 256, 64, 128
+#: Later rounds, when most members are in one component, take so many times more centres.
+LATER = 8
 #: Counters of the frequency sketch, and the slices in which they travel.
 COUNTERS, SLICES = 1 << 18, 64
 
@@ -157,6 +159,7 @@ def may_link(x: str, y: str, percent: int) -> Column:
 
 def link_exactly(members: DataFrame, sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """``labels`` with all links among the members of the prefix buckets (key, node, n, rest)."""
+    more = 1
     while True:
         named = members.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         mixed = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("n").alias("low"), F.count(F.lit(1)).alias("size")).where("lo != hi").select("key", "low", "size")
@@ -164,7 +167,8 @@ def link_exactly(members: DataFrame, sets: DataFrame, labels: DataFrame, percent
         # link even to the smallest left in their bucket leave it
         fit = F.col("rest") * (100 + percent) >= (F.col("n") + F.col("low")) * percent
         named = written(named.join(mixed, "key").where(fit).drop("low"), "open")
-        slot = F.when(F.col("size") <= WHOLE, F.col("node")).otherwise(F.pmod(F.xxhash64("node"), F.lit(SLOTS)))
+        slot = F.when(F.col("size") <= WHOLE * more, F.col("node")).otherwise(F.pmod(F.xxhash64("node"), F.lit(SLOTS * more)))
+        more = LATER
         # of a slot the smallest set: if any links to a member, it does
         centres = named.groupBy("key", slot.alias("slot")).agg(F.min(F.struct("n", "node", "rest", "comp")).alias("c"))
         centres = written(centres.select("key", "c.*"), "centres")
