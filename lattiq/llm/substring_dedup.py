@@ -6,6 +6,14 @@ shingles, and components of confirmed links are clusters: the occurrence with th
 lowest (doc_id, paragraph) stays, the others are to be removed. The number of
 bands is tuned to the recall asked for at the similarity asked for.
 
+A repeat inside longer lines or over several short ones is found by windows of
+``MIN_WORDS`` words over the whole text, wherever its lines end. Windows start
+where the hash of five words is the lowest of ``STEP`` starts in a row, so any two
+texts with the same ``MIN_WORDS + STEP - 1`` = 51 words in a row have a window in
+common. Windows with equal words are one cluster; those inside a removed line are
+left out first. Up to ``STEP - 1`` words at either end of a run may stay outside
+its windows.
+
 Null and empty texts have no paragraphs. Documents without a repeated passage
 have no row. Rows that share a doc_id are one document; a repeat within one
 document counts. Rows with a null doc_id are left out.
@@ -15,15 +23,18 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattiq.llm.common import map_texts, written
+from lattiq.llm.common import Memo, map_texts, written
 from lattiq.llm.links import link
-from lattiq.llm.shingles import band_keys, shingle_sets, sketches, word_hashes
+from lattiq.llm.shingles import band_keys, mix, shingle_sets, sketches, word_hashes
 
 #: Shorter paragraphs are too common to be passages; those of over 50 words are well within.
 MIN_WORDS, ROWS, RECALL = 32, 3, 0.998
+#: Of so many starts in a row at least one has a window.
+STEP = 20
 
 
 def bands_for(similarity: float, rows: int = ROWS, recall: float = RECALL) -> int:
@@ -59,6 +70,91 @@ def sketched(docs: DataFrame, percent: int, least: int) -> DataFrame:
     return map_texts(docs.where("doc_id is not null"), make, "doc_id long, paragraph long, start long, end long, node long, bands array<long>")
 
 
+def rolled(flat: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
+    """A hash of the ``width`` words from each place ``at`` on."""
+    h = np.zeros(len(at), np.uint64)
+    for k in range(width):
+        h = (h + flat[at + k]) * np.uint64(0x100000001B3 + 2 * k)
+    return mix(h)
+
+
+def window_starts(flat: np.ndarray, item: np.ndarray, least: int, step: int = STEP) -> np.ndarray:
+    """Word numbers at which windows start: the lowest hash of five words in each ``step`` starts of one text."""
+    n = len(flat) - least + 1
+    if n < step:
+        return np.zeros(0, np.int64)
+    low = np.uint64((1 << 24) - 1)  # a batch of texts has fewer words; of equal hashes the last is taken
+    best = (rolled(flat, np.arange(n), min(5, least)) & ~low) | np.arange(n - 1, -1, -1, dtype=np.uint64)
+    width = 1
+    while width < step:
+        more = min(width, step - width)
+        best = np.minimum(best[:-more], best[more:])
+        width += more
+    whole = item[: len(best)] == item[least + step - 2 :]
+    return np.unique(n - 1 - (best[whole] & low).astype(np.int64))
+
+
+def windows(texts: list[str], words: Memo, least: int) -> dict[str, list]:
+    """text (its number), paragraph and last (of the first and last word), start, end and hash of each
+    window; a window that overlaps an equal one of its text is left out."""
+    raw = "\n".join(texts).encode()
+    split = raw.lower().split()
+    flat = np.fromiter((words[w] for w in split), np.uint64, len(split))
+    b = np.frombuffer(raw, np.uint8)
+    inside = np.zeros(len(b) + 2, np.int8)
+    inside[1:-1] = (b != 32) & ((b < 9) | (b > 13))
+    edge = np.diff(inside)
+    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    points = np.zeros(len(b) + 1, np.int64)
+    np.cumsum((b & 0xC0) != 0x80, out=points[1:])
+    lines = np.zeros(len(b) + 1, np.int64)
+    np.cumsum(b == 10, out=lines[1:])
+    sizes = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
+    begins = np.cumsum(sizes) - sizes  # in code points
+    first_line = lines[np.searchsorted(points, begins)]
+    item = np.searchsorted(begins, points[starts], "right") - 1
+    at = window_starts(flat, item, least)
+    h, own, end = rolled(flat, at, least).view(np.int64), item[at], at + least - 1
+    order = np.lexsort((at, h, own))
+    keep, prev = np.ones(len(at), bool), None
+    same = np.zeros(len(at), bool)
+    same[1:] = (h[order][1:] == h[order][:-1]) & (own[order][1:] == own[order][:-1])
+    for i in np.flatnonzero(same):
+        prev = order[i - 1] if not same[i - 1] else prev
+        if at[order[i]] < at[prev] + least:
+            keep[order[i]] = False
+        else:
+            prev = order[i]
+    at, h, own, end = at[keep], h[keep], own[keep], end[keep]
+    return {"text": own, "paragraph": lines[starts[at]] - first_line[own], "last": lines[starts[end]] - first_line[own], "start": points[starts[at]] - begins[own], "end": points[ends[end]] - begins[own], "hash": h}
+
+
+def windowed(docs: DataFrame, least: int) -> DataFrame:
+    """doc_id, paragraph, last, start, end, hash of each window."""
+
+    def make():
+        words = word_hashes()
+
+        def call(keys, texts):
+            found = windows(texts, words, least)
+            return {"doc_id": np.asarray(keys, np.int64)[found.pop("text")]} | found
+
+        return call
+
+    return map_texts(docs.where("doc_id is not null"), make, "doc_id long, paragraph long, last long, start long, end long, hash long")
+
+
+def repeated_windows(docs: DataFrame, lines: DataFrame, least: int) -> DataFrame:
+    """Rows like those of ``lines``, of repeats that no removed line holds whole."""
+    made = written(windowed(docs, least), "windows")
+    twice = written(made.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash"), "twice")
+    gone = lines.where("removed").select("doc_id", "paragraph", F.col("paragraph").alias("last")).distinct()
+    left = written(made.join(twice, "hash", "left_semi").join(gone, ["doc_id", "paragraph", "last"], "left_anti"), "left")
+    place = F.struct("doc_id", "start", "paragraph")
+    clusters = left.groupBy("hash").agg(F.min(place).alias("first"), F.max(place).alias("final"), F.count(F.lit(1)).alias("n_occurrences")).where("first != final")
+    return left.join(clusters, "hash").select("doc_id", "paragraph", "start", "end", F.col("first.doc_id").alias("first_doc_id"), F.col("first.paragraph").alias("first_paragraph"), "n_occurrences", (place != F.col("first")).alias("removed"))
+
+
 def sets_in(docs: DataFrame, least: int) -> DataFrame:
     def make():
         words = word_hashes()
@@ -74,7 +170,8 @@ def sets_in(docs: DataFrame, least: int) -> DataFrame:
 
 def repeated_passages(docs: DataFrame, percent: int = 75, least: int = MIN_WORDS) -> DataFrame:
     """doc_id, paragraph, start, end (code points), first_doc_id and first_paragraph of the
-    cluster, n_occurrences and removed, of every paragraph that is not alone in its cluster."""
+    cluster, n_occurrences and removed, of every paragraph that is not alone in its cluster, then
+    the same of windows, whose paragraph is the line they start in; windows may overlap."""
     made = written(sketched(docs, percent, least), "paragraphs")
     nodes = made.groupBy("node").agg(F.min(F.struct("doc_id", "paragraph", "bands")).alias("x")).select("node", "x.doc_id", "x.bands")
     nodes = written(nodes, "nodes")
@@ -91,11 +188,29 @@ def repeated_passages(docs: DataFrame, percent: int = 75, least: int = MIN_WORDS
     place = F.struct("doc_id", "paragraph")
     clusters = places.groupBy("cluster").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count(F.lit(1)).alias("n_occurrences")).where("first != last")
     out = places.join(clusters, "cluster")
-    return out.select("doc_id", "paragraph", "start", "end", F.col("first.doc_id").alias("first_doc_id"), F.col("first.paragraph").alias("first_paragraph"), "n_occurrences", (F.struct("doc_id", "paragraph") != F.col("first")).alias("removed"))
+    out = out.select("doc_id", "paragraph", "start", "end", F.col("first.doc_id").alias("first_doc_id"), F.col("first.paragraph").alias("first_paragraph"), "n_occurrences", (F.struct("doc_id", "paragraph") != F.col("first")).alias("removed"))
+    out = written(out, "lines")
+    return out.unionByName(repeated_windows(docs, out, least))
+
+
+def cut_spans(text: str, spans: list | None) -> str:
+    """``text`` without the spans (start, end); a line that is cut whole goes with its line end."""
+    if not spans:
+        return text
+    marks = np.zeros(len(text) + 1, bool)
+    for start, end in spans:
+        marks[start:end] = True
+    kept, at = [], 0
+    for line in text.split("\n"):
+        gone = marks[at : at + len(line)]
+        if not (gone.all() if line else marks[at]):
+            kept.append("".join(c for c, g in zip(line, gone, strict=True) if not g) if gone.any() else line)
+        at += len(line) + 1
+    return "\n".join(kept)
 
 
 def without_repeats(docs: DataFrame, repeats: DataFrame) -> DataFrame:
-    """doc_id and text of each document, its removed paragraphs cut out with their line ends."""
-    cut = repeats.where("removed").groupBy("doc_id").agg(F.collect_set("paragraph").alias("cut"))
-    lines = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x, i: ~F.coalesce(F.array_contains("cut", i.cast("long")), F.lit(False)))
-    return docs.select("doc_id", "text").join(cut, "doc_id", "left").select("doc_id", F.array_join(lines, "\n").alias("text"))
+    """doc_id and text of each document, its removed paragraphs cut out with their line ends, and its removed windows."""
+    cut = repeats.where("removed").groupBy("doc_id").agg(F.collect_set(F.struct("start", "end")).alias("cut"))
+    left = F.udf(cut_spans, "string")(F.coalesce("text", F.lit("")), "cut")
+    return docs.select("doc_id", "text").join(cut, "doc_id", "left").select("doc_id", left.alias("text"))

@@ -117,3 +117,36 @@ def test_passages(spark):
     assert left[1] == texts[1]
     assert left[6] == ""
     assert substring_dedup.repeated_passages(docs.limit(0)).count() == 0
+
+
+def test_passages_inside_longer_lines_and_over_short_ones(spark):
+    p = words(60, 5)
+    short = "\n".join(" ".join(p[i : i + 10]) for i in range(0, 60, 10))
+    other = words(500, 8)
+    rows = [(1, "é intro\n" + " ".join(other[:150] + p + other[150:300])), (2, "x\n" + short), (3, " ".join(words(200, 9) + p[:51])), (4, " ".join(other[300:]))]
+    docs = spark.createDataFrame([(i, t, 0) for i, t in rows], SCHEMA)
+    got = substring_dedup.repeated_passages(docs)
+    rows_, texts = got.collect(), dict(rows)
+    assert {r.doc_id for r in rows_} == {1, 2, 3}
+    assert all(r.removed == (r.doc_id != 1) and (r.first_doc_id, r.first_paragraph) == (1, 1) for r in rows_)
+    assert all(" ".join(texts[r.doc_id][r.start : r.end].split()) in " ".join(p) and len(texts[r.doc_id][r.start : r.end].split()) == 32 for r in rows_)
+    assert all(texts[r.doc_id][: r.start].count("\n") == r.paragraph for r in rows_)
+    left = {r.doc_id: r.text for r in substring_dedup.without_repeats(docs, got).collect()}
+    assert (left[1], left[4]) == (texts[1], texts[4])
+    assert len(left[2].split()) <= 1 + 60 - 32 and left[3].startswith(" ".join(words(200, 9)))
+
+
+def test_each_run_of_51_words_has_a_window():
+    memo = shingles.word_hashes()
+    for seed in range(100):
+        p = words(51, seed)
+        a, b = words(90, 200 + seed) + p + words(70, 400 + seed), words(seed, 600 + seed) + p
+        found = [set(substring_dedup.windows([" ".join(t)], memo, 32)["hash"].tolist()) for t in (a, b)]
+        assert found[0] & found[1]
+
+
+def test_equal_windows_of_a_text_do_not_overlap():
+    got = substring_dedup.windows(["other " * 3, "a " * 200], shingles.word_hashes(), 32)
+    at = sorted(got["start"].tolist())
+    assert at and all(y - x >= 64 for x, y in zip(at, at[1:], strict=False))
+    assert set(got["text"].tolist()) == {1}
