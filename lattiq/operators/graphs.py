@@ -1,6 +1,6 @@
 """Graph operators: traversal, strongly connected components, cycles.
 
-Each has two ways with the same answers. ``local`` runs in one task and is taken
+Each has two ways with the same answers, but for the path that ``cycles`` shows. ``local`` runs in one task and is taken
 only where a count shows the graph to be small. ``distributed`` is a loop over
 frontiers, each a written table; ranks that order a level come from a range
 sort, so no step gathers a level in one task.

@@ -80,3 +80,19 @@ def test_empty_graph(spark):
     e = frame(spark, [])
     assert graphs.cycles(e).count() == 0
     assert graphs.degrees(e).count() == 0
+
+
+def test_modes_agree_on_cyclic_components_of_random_graphs(spark):
+    rng, edges = random.Random(11), set()
+    for g in range(12):  # graphs apart from each other, in one run
+        nodes = [f"g{g:02d}n{i:02d}" for i in range(10)]
+        edges |= {(rng.choice(nodes), rng.choice(nodes)) for _ in range(14)}
+    e = frame(spark, sorted(edges))
+    of = {n: min(c) for c in Graph([], edges).components() for n in c}
+    found = {}
+    for mode in ("local", "distributed"):
+        rows = graphs.cycles(e, mode).collect()
+        assert all(r.cycle[0] == r.cycle[-1] and set(zip(r.cycle, r.cycle[1:], strict=False)) <= edges for r in rows)
+        found[mode] = {of[r.cycle[0]]: (r.size, r.cycle) for r in rows}
+        assert len(found[mode]) == len(rows)
+    assert {k: v[0] for k, v in found["local"].items()} == {k: v[0] for k, v in found["distributed"].items()}
