@@ -8,6 +8,9 @@ fits by position and length, and containment is verified word by word.
 
 Null, empty and wordless texts and items have no words, windows or hits; rows
 that share a doc_id are told apart by their text; repeated rows each get a row.
+Overlapping windows hit a word once, and an item counts once however often it
+occurs. Very long texts are one array of words each. An empty table of documents
+gives no rows, an empty benchmark rows without hits. Extra columns are left out.
 """
 
 from __future__ import annotations
@@ -36,6 +39,11 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
+def folded(text: Column) -> Column:
+    """Lower case without regard to neighbours: sigma, whose small letter depends on them, goes first."""
+    return F.lower(F.replace(text, F.lit("Σ"), F.lit("σ")))
+
+
 def shingles(low: Column, k: int) -> Column:
     """Hashes of ``k`` consecutive words; positions are those of their first words."""
     if k == 1:
@@ -54,10 +62,10 @@ def windows_of(benchmark: DataFrame, window: int) -> DataFrame:
 
 def hits(docs: DataFrame, wins: DataFrame, k: int) -> DataFrame:
     """doc_id, th (hash of the text), start, len, items of every occurrence of a window; all windows have ``k`` words at least."""
-    # Unicode's lower case maps words that are equal but for A-Z to equal ones: it
-    # finds all candidates, and verification tells the others from them
-    low = F.lower(F.coalesce("text", F.lit("")))
-    of_window = wins.select("win", "len", F.posexplode(shingles(F.split(F.lower("win"), " "), k)).alias("offset", "h"))
+    # Folding letter by letter maps words that are equal but for A-Z to equal ones:
+    # it finds all candidates, and verification tells the others from them
+    low = folded(F.coalesce("text", F.lit("")))
+    of_window = wins.select("win", "len", F.posexplode(shingles(F.split(folded(F.col("win")), " "), k)).alias("offset", "h"))
     tokens = small(of_window.select("h").distinct())
     seen = docs.select(F.explode(shingles(words(low, PARTS_LOW), k)).alias("h")).join(tokens, "h").groupBy("h").agg(F.count(F.lit(1)).alias("n"))
     rarest = of_window.join(seen, "h", "left").groupBy("win").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "h", "offset")).alias("x"))
