@@ -1,15 +1,23 @@
 """Operator 5: quality rules with risk-controlled thresholds, in DataFrame functions only.
 
-Labelled good documents are halved by a hash. One half proposes, for each rule
-and stratum (language), cutoffs at several levels of strictness; on the other,
-the exact binomial distribution tests whether all rules of a level together
-reject more than ``ALPHA`` of good documents. Levels are tested from the mildest
-on and stop at the first that fails, so only the strata need Bonferroni's
-correction. Of the levels certified, the one that tells good from bad best on
-the proposing half is used; a stratum without any keeps what passes the base.
+Labelled good documents are halved by a hash. One half proposes, for each stratum
+(language), cutoffs at several levels: from far beyond the worst good value down
+to small shares of good documents beyond the cutoff. A rule takes part in a level
+only if it rejects more bad than good documents there, so rules that tell nothing
+add no risk. On the other half the exact binomial distribution tests whether all
+rules of a level together reject more than ``ALPHA`` of good documents. Levels are
+tested from the mildest on and stop at the first that fails, so only the strata
+need Bonferroni's correction. Of the levels certified, the one that tells good
+from bad best on the proposing half is used, the mildest of equals; a stratum
+without any keeps what passes the base. With s strata no level of a stratum can
+be certified on fewer than log(s / DELTA) / -log(1 - ALPHA) good testing
+documents, 436 of four strata.
 
 Null and empty texts have no words and fail the base. Documents without a
-two-letter language form one stratum. Repeated rows each get a row.
+two-letter language form one stratum. Repeated rows each get a row; of labels that
+differ for a document the lowest counts. A value at a cutoff is rejected. Very
+long texts are one array of words each. An empty table gives no rows, empty labels
+no cutoffs. Extra columns are left out.
 """
 
 from __future__ import annotations
@@ -25,8 +33,8 @@ from lattiq.llm.decontaminate import let
 SPACE = r"[\x20\x09-\x0D]+"
 #: Bound on false rejection of good documents in a stratum, and on the chance that any stratum breaks it.
 ALPHA, DELTA = 0.01, 0.05
-#: Shares of the proposing half's good documents beyond a rule's cutoff, by level.
-LEVELS = (0.0, 0.0005, 0.001, 0.002, 0.004, 0.008)
+#: By level: the share of the proposing half's good documents beyond a rule's value, and how many bins further the cutoff is.
+LEVELS = ((0.0, 32), (0.0, 16), (0.0, 8), (0.0, 4), (0.0, 2), (0.0, 1), (0.0005, 1), (0.001, 1), (0.002, 1), (0.004, 1), (0.008, 1))
 BINS = 200
 #: Few distinct repeated windows are looked up one by one, more by sorting.
 FEW = 32
@@ -84,33 +92,49 @@ def tail_probability(k: Column, n: Column, p: float) -> Column:
     return F.aggregate(F.when(k > 0, F.sequence(F.lit(1).cast("long"), k)).otherwise(F.array().cast("array<bigint>")), first, step)["sum"]
 
 
+def proposed(labelled: DataFrame) -> DataFrame:
+    """stratum, level and cutoffs (a bin for each rule, BINS where it takes no part), from the proposing half ``labelled``."""
+    of = lambda good: F.count(F.when((F.col("quality") == 1) == good, 1))
+    counts = labelled.select("stratum", "quality", F.posexplode("bins").alias("rule", "bin")).groupBy("stratum", "rule", "bin").agg(of(True).alias("good"), of(False).alias("bad"))
+    per_rule = Window.partitionBy("stratum", "rule")
+    down = per_rule.orderBy(F.desc("bin"))
+    tails = counts.withColumn("tail", F.sum("good").over(down)).withColumn("all", F.sum("good").over(per_rule))
+    levels = F.explode(F.array(*[F.struct(F.lit(i).alias("level"), F.lit(q).alias("q"), F.lit(m).alias("margin")) for i, (q, m) in enumerate(LEVELS)])).alias("x")
+    # beyond the lowest value with at most a share q of good documents above it
+    over = F.coalesce(F.max(F.when(F.col("tail") > F.col("q") * F.col("all"), F.col("bin"))), F.lit(-1))
+    values = F.collect_list(F.struct("bin", "good", "bad"))
+    cut = tails.where(F.col("all") > 0).select("*", levels).select("*", "x.*").groupBy("stratum", "rule", "level", "margin").agg(over.alias("over"), values.alias("values"))
+    cut = cut.withColumn("cutoff", F.col("over") + F.col("margin"))
+    beyond = lambda name: F.aggregate("values", F.lit(0).cast("long"), lambda n, v: n + F.when(v["bin"] >= F.col("cutoff"), v[name]).otherwise(0))
+    used = F.when(beyond("bad") > beyond("good"), F.col("cutoff")).otherwise(F.lit(BINS)).alias("cutoff")
+    each = cut.select("stratum", "level", "rule", used)
+    return each.groupBy("stratum", "level").agg(F.transform(F.sort_array(F.collect_list(F.struct("rule", "cutoff"))), lambda x: x["cutoff"]).alias("cutoffs"))
+
+
 def thresholds(labelled: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """stratum and cutoffs (a bin for each rule) of the strata where a level is certified.
+    """stratum, cutoffs (a bin for each rule), level, and n, k and chance of its test (k of n good
+    documents of the testing half rejected), of the strata where a useful level is certified.
 
     labelled: doc_id, stratum, bins, quality. All tables after the first counts
     have a row for each of at most 677 strata, a rule and a bin or level.
     """
     proposing = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(2)) == 0
     own = labelled.withColumn("first", proposing)
-    counts = own.where("first and quality = 1").select("stratum", F.posexplode("bins").alias("rule", "bin")).groupBy("stratum", "rule", "bin").agg(F.count(F.lit(1)).alias("n"))
-    down = Window.partitionBy("stratum", "rule").orderBy(F.desc("bin"))
-    tails = counts.withColumn("tail", F.sum("n").over(down)).withColumn("all", F.sum("n").over(Window.partitionBy("stratum", "rule")))
-    levels = F.explode(F.array(*[F.struct(F.lit(i).alias("level"), F.lit(q).alias("q")) for i, q in enumerate(LEVELS)])).alias("x")
-    # the lowest cutoff with at most a share q of good documents at or above it
-    over = tails.select("stratum", "rule", "bin", "tail", "all", levels).select("*", "x.*").groupBy("stratum", "rule", "level").agg(F.coalesce(F.max(F.when(F.col("tail") > F.col("q") * F.col("all"), F.col("bin"))), F.lit(-1)).alias("b"))
-    cutoffs = over.groupBy("stratum", "level").agg(F.transform(F.sort_array(F.collect_list(F.struct("rule", "b"))), lambda x: x["b"] + 1).alias("cutoffs"))
-    cutoffs = written(cutoffs, "cutoffs")
+    cutoffs = written(proposed(own.where("first")), "cutoffs")
     judged = own.join(small(cutoffs), "stratum")
     hit = rejected("bins", "cutoffs")
     half = lambda first, good: (F.col("first") == first) & ((F.col("quality") == 1) == good)
     of = lambda c: F.count(F.when(c, 1))
     tally = judged.groupBy("stratum", "level").agg(of(half(False, True)).alias("n"), of(half(False, True) & hit).alias("k"), of(half(True, True) & hit).alias("good"), of(half(True, False) & hit).alias("bad"))
-    tally = tally.withColumn("strata", F.lit(max(1, cutoffs.select("stratum").distinct().count())))
-    passed = (F.col("k") <= F.col("n") * alpha) & (tail_probability(F.least(F.col("k"), F.ceil(F.col("n") * alpha)), F.col("n"), alpha) <= delta / F.col("strata"))
+    strata = max(1, cutoffs.select("stratum").distinct().count())
+    most = F.col("n") * alpha
+    # beyond the share itself the chance is above a half at least
+    chance = F.when(F.col("k") <= most, tail_probability(F.least(F.col("k"), F.ceil(most)), F.col("n"), alpha)).otherwise(F.lit(1.0))
+    tally = tally.withColumn("chance", chance)
     milder = Window.partitionBy("stratum").orderBy("level")
-    sure = tally.withColumn("passed", F.min(passed.cast("int")).over(milder)).where("passed = 1 and bad > good")
-    best = sure.groupBy("stratum").agg(F.max(F.struct((F.col("bad") - F.col("good")).alias("gain"), (-F.col("level")).alias("mild"))).alias("x")).select("stratum", (-F.col("x.mild")).alias("level"))
-    return written(best.join(cutoffs, ["stratum", "level"]).select("stratum", "cutoffs"), "thresholds")
+    sure = tally.withColumn("passed", F.min((F.col("chance") <= delta / strata).cast("int")).over(milder)).where("passed = 1 and bad > good")
+    best = sure.groupBy("stratum").agg(F.max(F.struct((F.col("bad") - F.col("good")).alias("gain"), (-F.col("level")).alias("mild"), "n", "k", "chance")).alias("x")).select("stratum", (-F.col("x.mild")).alias("level"), "x.n", "x.k", "x.chance")
+    return written(best.join(cutoffs, ["stratum", "level"]).select("stratum", "cutoffs", "level", "n", "k", "chance"), "thresholds")
 
 
 def rejected(bins: str, cutoffs: str) -> Column:
@@ -123,6 +147,6 @@ def judge(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float
     known = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
     labelled = written(made.where("not base_failed").select("doc_id", "stratum", "bins").join(known, "doc_id"), "labelled")
     cut = thresholds(labelled, alpha, delta)
-    out = made.join(small(cut), "stratum", "left")
+    out = made.join(small(cut.select("stratum", "cutoffs")), "stratum", "left")
     kept = ~F.col("base_failed") & ~F.coalesce(rejected("bins", "cutoffs"), F.lit(False))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"))

@@ -2,6 +2,7 @@ import hashlib
 import math
 import random
 import re
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -46,6 +47,19 @@ def test_decontamination_against_brute_force(spark):
     assert sorted(((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in got), key=key) == sorted(want, key=key)
 
 
+def test_decontamination_of_letters_that_depend_on_neighbours(spark):
+    rng = random.Random(12)
+    greek = ["ΟΔΟΣ", "ΝΕΑ", "οδος", "οδοσ", "Σ", "ΑΣ", "ας", "İΣ", "x", "Ω"]
+    items = [(1, "ΟΔΟΣ ΝΕΑ"), (2, " ".join(rng.choice(greek) for _ in range(15))), (3, "ΟΔΟΣ" + " ΝΕΑ" * 12)]
+    docs = [(0, "a ΟΔΟΣ.ΝΕΑ b"), (1, "ΟΔΟΣ." + ".".join(["ΝΕΑ"] * 12)), (2, items[1][1].replace(" ", "'"))]
+    docs += [(i, "".join(rng.choice(greek) + rng.choice([" ", ".", "’", "'", "-ΟΔΟΣ-ΝΕΑ "]) for _ in range(40))) for i in range(3, 40)]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_hit, r.n_items) for r in decontaminate.decontaminate(d, b).collect()}
+    want = {i: brute_hits(t, items) for i, t in docs}
+    assert got == {i: (n, h, len(ids)) for i, (n, h, ids) in want.items()}
+    assert got[0][1] == 2 and got[1][1] == 13
+
+
 def test_decontamination_of_nothing(spark):
     d = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     none = spark.createDataFrame([], "item_id long, text string")
@@ -102,6 +116,45 @@ def test_thresholds_reject_junk_and_keep_good(spark):
     assert bare.where("kept = base_failed").count() == 0
 
 
+def test_thresholds_against_brute_force(spark):
+    """The published counts, chances and verdicts are those of a recount, and the bound holds on what is kept."""
+    rng = random.Random(16)
+    rows = []
+    for i in range(3000):
+        bad = i % 8 == 0
+        noisy = 30 if bad else min(11, int(rng.expovariate(0.6)))
+        rows.append((i, "en" if i % 5 else "de", [noisy + rng.randint(0, 3) * bad, rng.randint(0, 150), rng.randint(0, 9)], 0 if bad else 1))
+    labelled = spark.createDataFrame(rows, "doc_id long, stratum string, bins array<int>, quality int")
+    got = {r.stratum: r for r in quality.thresholds(labelled).collect()}
+    assert set(got) == {"en"}  # 262 good documents of the other are too few
+    r = got["en"]
+    test = [b for i, s, b, q in rows if s == "en" and q == 1 and zlib.crc32(str(i).encode()) % 2]
+    k = sum(any(x >= c for x, c in zip(b, r.cutoffs, strict=True)) for b in test)
+    chance = sum(math.comb(len(test), i) * 0.01**i * 0.99 ** (len(test) - i) for i in range(k + 1))
+    assert (r.n, r.k) == (len(test), k) and r.chance == pytest.approx(chance) and chance <= 0.05 / 2
+    assert r.cutoffs[1:] == [quality.BINS] * 2 and 11 < r.cutoffs[0] <= 30
+    bad = [b for i, s, b, q in rows if s == "en" and not q]
+    assert all(b[0] >= r.cutoffs[0] for b in bad)
+
+
+def test_thresholds_refuse_what_the_bound_does_not_allow(spark):
+    rng = random.Random(17)
+    rows = [(i, "en", [rng.randint(0, 40)], int(i % 2 == 0)) for i in range(2000)]
+    labelled = spark.createDataFrame(rows, "doc_id long, stratum string, bins array<int>, quality int")
+    got = quality.thresholds(labelled).collect()
+    test = [b[0] for i, _, b, q in rows if q and zlib.crc32(str(i).encode()) % 2]
+    assert all(sum(x >= r.cutoffs[0] for x in test) <= 0.01 * len(test) for r in got)
+    assert quality.thresholds(labelled.limit(0)).count() == 0
+
+
+def test_quality_of_empty_table_and_odd_columns(spark):
+    docs = spark.createDataFrame([(1, "a b " * 100_000, "en", 3, True), (1, "x", "en", 3, True)], "doc_id int, text string, lang string, n_words int, kept boolean")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (None, 1)], "doc_id long, quality int")
+    got = sorted((r.n_words, r.kept) for r in quality.judge(docs, labels).collect())
+    assert got == [(1, False), (200_000, False)]
+    assert quality.judge(docs.limit(0), labels).count() == 0
+
+
 BASE = (("assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), ("access", "AKIA[A-Z0-9]+", 0), ("hex", "[0-9a-f]+", 0))
 
 
