@@ -5,7 +5,8 @@ rank and, of equal ones, the leftmost; a merge updates three leaves in
 logarithmic time, until the root holds no mergeable pair.
 
 Null and empty texts have no tokens; repeated rows each get their row; a text
-of any length is encoded whole.
+of any length is encoded whole; of equal ranks the leftmost is merged first. An
+empty table gives no rows; extra columns are left out.
 """
 
 from __future__ import annotations
@@ -122,7 +123,7 @@ class WordBpe:
 
     def _chunk(self, chunk: str) -> tuple[bytes, str]:
         ids = [i for p in self.pieces(chunk) for i in self.of_piece[p]]
-        return struct.pack(f"<{len(ids)}I", *ids), " ".join(self.names[i] for i in ids)
+        return struct.pack(f"<{len(ids)}I", *ids), self.decode(ids)
 
     def normalise(self, text: str) -> str:
         # lower case letter by letter: a final sigma is like any other
@@ -153,7 +154,8 @@ class WordBpe:
         return list(struct.unpack(f"<{len(raw) // 4}I", raw))
 
     def decode(self, ids: list[int]) -> str:
-        """As the library's decode without a decoder: tokens joined by a space; unknown ids are skipped."""
+        """As the library's decode without a decoder: tokens joined by a space; unknown ids are skipped.
+        So a text's decoding is that of its parts, joined by a space."""
         return " ".join(self.names[i] for i in ids if i in self.names)
 
 

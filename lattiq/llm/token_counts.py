@@ -2,21 +2,26 @@
 
 For each prefix of a piece the program stores the last token of its one valid
 encoding and its token count: of the tokens that end there, the one whose
-neighbour on the left is left apart by the merges. Sums over pieces answer
-truncation and budget questions for any prefix without encoding again.
+neighbour on the left is left apart by the merges. A piece's counts are kept for
+all its prefixes; the text's table puts them one after the other, so the count of
+any prefix of a text is read off, and the longest prefix within a budget is the
+last whose count is within it, in the middle of a piece too.
 
 Null and empty texts have zero tokens. A special token's string in a text is
-one token, as the library has it by default.
+one token, as the library has it by default. Repeated rows each get a row; an empty
+table gives none; extra columns are left out. Texts of any length are counted whole;
+of prefixes with equal counts the longest fits a budget.
 """
 
 from __future__ import annotations
 
 import copy
 import json
-from bisect import bisect_right
+from array import array
+from collections.abc import Iterator
 from functools import lru_cache
-from itertools import accumulate
 
+import numpy as np
 import regex
 from pyspark.sql import DataFrame
 
@@ -25,6 +30,10 @@ from lattiq.llm.common import Memo, map_texts
 
 #: The pre-tokeniser's pattern of the byte vocabulary (fixed value).
 BYTE_PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
+#: Pieces of which a shorter prefix is more than one piece (fixed values).
+CONTRACTIONS = frozenset(("'re", "'ve", "'ll"))
+SPACES = frozenset(regex.findall(f"[{SPACE}]", "".join(map(chr, range(0x3001)))))
+WHITE = "".join(SPACES)
 #: Added to a count: this chunk's split depends on its neighbours.
 ODD = 1 << 48
 
@@ -46,7 +55,9 @@ class ByteBpe:
         self.special = sorted((t["content"] for t in conf["added_tokens"]), key=len, reverse=True)
         self.at_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.pattern = regex.compile(BYTE_PATTERN)
-        self.of_piece = Memo(lambda p: self.prefixes(p.encode())[-1], 120_000)
+        # what at the end of a text may make one piece with what follows: a run of one kind, and the spaces before it
+        self.tail = regex.compile(rf"(?r)(?:[{SPACE}]*(?:\p{{L}}*|\p{{N}}*|[^{SPACE}\p{{L}}\p{{N}}]*))?\Z")
+        self.of_piece = Memo(self._piece, 120_000)
         self.of_chunk = Memo(self._chunk)
         self.apart = Memo(self._apart, 150_000)
         self.edge = {side: Memo(lambda t, side=side: self._edge(t, side), 1 << 16) for side in (0, 1)}
@@ -94,11 +105,27 @@ class ByteBpe:
                     break
         return counts
 
+    def _piece(self, piece: str) -> bytes | array:
+        """Token counts of the prefixes of a piece by characters, the whole last."""
+        counts = self.prefixes(piece.encode())
+        if piece.isascii():
+            found = counts[1:]
+        else:
+            ends, at = [], 0
+            for c in piece:
+                at += len(c.encode())
+                ends.append(at)
+            found = [counts[e] for e in ends]
+        if piece in CONTRACTIONS:  # cut short, it is an apostrophe and a letter
+            found = [1, *(1 + n for n in self.prefixes(piece[1:-1].encode())[1:]), found[-1]]
+        return bytes(found) if max(found) < 256 else array("L", found)
+
     def _chunk(self, chunk: str) -> int:
         """Count of a space and ``chunk``, a run without spaces."""
         if not chunk or self.pattern.match(chunk).group().isspace():
             return ODD
-        return sum(map(self.of_piece.__getitem__, self.pattern.findall(" " + chunk)))
+        get = self.of_piece.__getitem__
+        return sum([get(p)[-1] for p in self.pattern.findall(" " + chunk)])
 
     def _part(self, text: str) -> int:
         if not text:
@@ -107,8 +134,8 @@ class ByteBpe:
         total = sum(map(self.of_chunk.__getitem__, rest))
         get = self.of_piece.__getitem__
         if total >= ODD:  # runs of spaces: split the whole text
-            return sum(map(get, self.pattern.findall(text)))
-        return total + sum(map(get, self.pattern.findall(first)))
+            return sum([get(p)[-1] for p in self.pattern.findall(text)])
+        return total + sum([get(p)[-1] for p in self.pattern.findall(first)])
 
     def count(self, text: str) -> int:
         if self.at_special is None or "<|" not in text:
@@ -116,60 +143,66 @@ class ByteBpe:
         return sum(1 if p in self.special else self._part(p) for p in self.at_special.split(text))
 
     def fit(self, text: str, budget: int) -> int:
-        """Characters of the longest prefix within ``budget`` tokens that ends between pieces.
-
-        Sums of the chunks' counts find the chunk where the budget ends, and the
-        prefix table of what is left from there the piece."""
-        first, *rest = text.split(" ")
-        counts = [self._part(first), *map(self.of_chunk.__getitem__, rest)]
-        if sum(counts) >= ODD or (self.at_special and "<|" in text):
-            return self.table(text).longest(budget)
-        at = bisect_right(sums := list(accumulate(counts)), budget)
-        start = sum(map(len, [first, *rest][:at])) + max(0, at - 1)
-        left = text[start : start + len(rest[at - 1]) + 1 if at else len(first)] if at < len(counts) else ""
-        return start + self.table(left).longest(budget - (sums[at - 1] if at else 0))
+        """Characters of the longest prefix within ``budget`` tokens. The table is only made
+        as far as the pieces before a place are within it: ``budget`` pieces at most."""
+        return PrefixTable(self, text, budget).longest(budget)
 
     def table(self, text: str) -> PrefixTable:
         return PrefixTable(self, text)
 
 
 class PrefixTable:
-    """Token counts at piece borders of one text, from which any prefix is answered."""
-
-    def __init__(self, bpe: ByteBpe, text: str):
-        self.bpe, self.text = bpe, text
-        self.ends, self.sums, self.marks, total = [0], [0], [], 0
-        at = 0
-        for part in bpe.at_special.split(text) if bpe.at_special else [text]:
+    """The token count of every prefix of one text, by characters; with a budget, of the
+    prefixes up to the end of the piece in which it is spent."""
+
+    def __init__(self, bpe: ByteBpe, text: str, budget: int | None = None):
+        total, made = 0, [np.zeros(1, np.int64)]
+        before = ""  # what stands before a special token, back to a place where pieces are sure to end
+        parts = bpe.at_special.split(text) if bpe.at_special and "<|" in text else [text]
+        for part in parts:
             if part in bpe.special:
-                self.marks.append((at, at + len(part)))
-                total, at = total + 1, at + len(part)
-                self.ends.append(at)
-                self.sums.append(total)
-                continue
-            for m in bpe.pattern.finditer(part):
-                total += bpe.of_piece[m.group()]
-                self.ends.append(at + m.end())
-                self.sums.append(total)
-            at += len(part)
+                # cut short it is plain text, which may join what stands before it
+                cut = [bpe._part(before + part[:k]) for k in range(1, len(part))]
+                made.append(np.array([*(total - bpe._part(before) + n for n in cut), total + 1], np.int64))
+                total, before = total + 1, ""
+            elif part:
+                for counts, whole in self.pieces(bpe, part):
+                    made.append(counts + total)
+                    total += whole
+                    if budget is not None and total > budget:
+                        break
+                if len(parts) > 1:
+                    tail = bpe.tail.search(part)
+                    before = (before if tail.start() == 0 else "") + tail.group()
+            if budget is not None and total > budget:
+                break
+        self.counts = np.concatenate(made)
+
+    @staticmethod
+    def pieces(bpe: ByteBpe, part: str) -> Iterator[tuple[np.ndarray, int]]:
+        """Counts of the prefixes of each piece, and the whole's. A run of white space that a cut
+        leaves at the end is one piece, though with more text its last space goes to the next word."""
+        run = 0  # white space pieces' characters before the piece, of the same run
+        for m in bpe.pattern.finditer(part):
+            piece = m.group()
+            own = bpe.of_piece[piece]
+            counts = np.frombuffer(own, np.uint8).astype(np.int64) if isinstance(own, bytes) else np.array(own, np.int64)
+            if run and piece[0] in SPACES:
+                # as one run with what stands before it, whose own count is in the total already
+                lead = len(piece) - len(piece.lstrip(WHITE))
+                whole = bpe.of_piece[part[m.start() - run : m.start() + lead]]
+                head = bpe.of_piece[part[m.start() - run : m.start()]][-1]
+                counts[:lead] = [n - head for n in list(whole)[run:]]
+            run = len(piece) if piece[-1] in SPACES else 0
+            yield counts, own[-1]
 
     def count(self, n: int) -> int:
         """Tokens of the first ``n`` characters as a text of its own."""
-        n = max(0, min(n, len(self.text)))
-        # A piece depends on what follows it by one character, a run of spaces by
-        # all of the run, so the pieces before the last run of the prefix stand.
-        head, safe = self.text[:n], n
-        at = bisect_right(self.marks, (n, 0)) - 1
-        if at >= 0 and self.marks[at][0] < n < self.marks[at][1]:  # cut inside a special token
-            safe = self.marks[at][0]
-        safe = len(head[:safe].rstrip()) if safe < n or head[-1:].isspace() else n
-        k = max(0, bisect_right(self.ends, max(0, safe - 1)) - 1)
-        start = self.ends[k]
-        return self.sums[k] + self.bpe.count(head[start:])
+        return int(self.counts[max(0, min(n, len(self.counts) - 1))])
 
     def longest(self, budget: int) -> int:
-        """Characters of the longest prefix up to a piece border within ``budget`` tokens."""
-        return self.ends[bisect_right(self.sums, budget) - 1]
+        """Characters of the longest prefix within ``budget`` tokens."""
+        return int(np.flatnonzero(self.counts <= max(0, budget))[-1])
 
 
 @lru_cache(2)
@@ -179,7 +212,7 @@ def byte_bpe(path: str) -> ByteBpe:
 
 def count_tokens(docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit), and fit_chars:
-    the characters of the longest prefix, cut at a piece, within the limit."""
+    the characters of the longest prefix within the limit."""
 
     def make():
         bpe = byte_bpe(path).fresh()

@@ -60,9 +60,40 @@ def test_every_prefix(counts, text):
     own, lib = counts
     table = own.table(text)
     assert [table.count(i) for i in range(len(text) + 1)] == [len(lib.encode(text[:i], add_special_tokens=False).ids) for i in range(len(text) + 1)]
-    for budget in (0, 1, 3):
-        if own.count(text) > budget:
-            assert own.fit(text, budget) == table.longest(budget)
+    fits(own, text, table)
+
+
+def fits(own, text, table):
+    """Brute force of every budget: the longest prefix within it."""
+    for budget in range(own.count(text) + 1):
+        want = max(i for i in range(len(text) + 1) if table.count(i) <= budget)
+        assert table.longest(budget) == own.fit(text, budget) == want
+
+
+MORE = ["you're we've they'll don't 're 've", "x-- --  -- y", "a!!<|endoftext|>'re", "word <|endoftext|><|endoftext|> more  ", "a\u2003 \u2003b - -- c", "unbelievablyinterestingly" * 4, " " * 40 + "x" + "\n" * 30]
+
+
+@pytest.mark.parametrize("text", [*(t[:200] for t in TEXTS), *MORE])
+def test_every_prefix_of_odd_texts(counts, text):
+    own, lib = counts
+    table = own.table(text)
+    assert [table.count(i) for i in range(len(text) + 1)] == [len(lib.encode(text[:i], add_special_tokens=False).ids) for i in range(len(text) + 1)]
+    fits(own, text, table)
+
+
+def test_budget_ends_inside_one_long_piece(counts):
+    own, _ = counts
+    text = "abcdefghij" * 2000
+    n = own.fit(text, 100)
+    assert 100 <= n < len(text) and own.count(text[:n]) == 100
+
+
+def test_clashing_columns_and_long_texts(spark):
+    rows = [(1, "word " * 200_000, 1, "a"), (2, "", 2, "b"), (2, "", 2, "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_tokens int, fit_chars string")
+    got = {r.doc_id: r for r in token_counts.count_tokens(docs, BYTES).collect()}
+    assert got[1].n_tokens == len(Tokenizer.from_file(BYTES).encode("word " * 200_000, add_special_tokens=False).ids)
+    assert (got[2].n_tokens, got[2].fit_chars) == (0, 0)
 
 
 def test_digests(spark, words):
