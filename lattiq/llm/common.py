@@ -40,6 +40,18 @@ def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def join_hot(left: DataFrame, right: DataFrame, key: str, size: str, least: int = 512) -> DataFrame:
+    """``left`` joined with ``right``, which has one row a key and in ``size`` how many rows of ``left`` have it.
+
+    Keys of many rows are broadcast, so none of them lands in one task. As a key
+    counts as hot from rows / BROADCAST_ROWS on, BROADCAST_ROWS of them are the most.
+    """
+    hot = F.col(size) > max(least, left.count() // BROADCAST_ROWS)
+    some = F.broadcast(right.where(hot))
+    rest = left.join(some.select(key), key, "left_anti").join(right.where(~hot), key)
+    return left.join(some, key).unionByName(rest)
+
+
 def batches(spark: SparkSession, rows: int = 2000) -> None:
     """Smaller Arrow batches than usual: a row here is a whole text or set."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

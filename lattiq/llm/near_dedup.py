@@ -5,17 +5,20 @@ placement, documents with equal sets become one node, nodes that share a band
 are candidates, and links are confirmed on full sets recomputed from whole texts.
 
 Null, empty and wordless texts have an empty set and are linked with nothing.
-Rows with equal texts form one group; rows that share a doc_id share its
-component. A null doc_id gets a null component and is kept.
-Shingles are compared as 64-bit hashes.
+Rows with equal texts form one group, and a row's component is that of its own
+text. A null doc_id is linked with nothing, gets a null component and is kept.
+Very long texts are sketched whole, one at a time. An empty table gives no rows.
+Extra columns are left out. Shingles are compared as 64-bit hashes.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattiq.llm.common import map_texts, written
+from lattiq.llm.common import join_hot, map_texts, written
 from lattiq.llm.links import link
 from lattiq.llm.shingles import band_keys, shingle_sets, sketches, word_hashes
 
@@ -24,7 +27,7 @@ BANDS, ROWS = 32, 4
 
 
 def sketch(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, n_shingles, node (digest of the set, null if empty) and bands."""
+    """doc_id, th (Spark's xxhash64 of the text), n_shingles, node (digest of the set, null if empty) and bands."""
 
     def make():
         words = word_hashes()
@@ -33,11 +36,12 @@ def sketch(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
             sets = shingle_sets(texts, words)
             keyed = band_keys(sketches(sets, bands * rows), bands)
             sizes = sets.sizes
-            return {"doc_id": keys, "n_shingles": sizes, "node": sets.nodes(), "bands": [k if n else [] for k, n in zip(keyed, sizes, strict=True)]}
+            th = np.array([xxhash.xxh64_intdigest(t.encode(), 42) for t in texts], np.uint64).view(np.int64)
+            return {"doc_id": keys, "th": th, "n_shingles": sizes, "node": sets.nodes(), "bands": [k if n else [] for k, n in zip(keyed, sizes, strict=True)]}
 
         return call
 
-    return map_texts(docs, make, "doc_id long, n_shingles long, node long, bands array<long>")
+    return map_texts(docs, make, "doc_id long, th long, n_shingles long, node long, bands array<long>")
 
 
 def full_sets(docs: DataFrame) -> DataFrame:
@@ -55,25 +59,49 @@ def full_sets(docs: DataFrame) -> DataFrame:
     return map_texts(docs, make, "node long, set binary").where("node is not null")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of each document."""
+def grouped(docs: DataFrame, percent: int = 75, null_ids: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(rows, nodes): doc_id, th, n_shingles and node of each row, and the component comp, named by
+    one of its nodes, of each node with its lowest doc_id. Rows with a null doc_id take part if ``null_ids``."""
     made = written(sketch(docs), "sketch")
-    nodes = made.where("node is not null and doc_id is not null").groupBy("node").agg(F.min(F.struct("doc_id", "bands")).alias("x")).select("node", "x.*")
+    own = made.where("node is not null" if null_ids else "node is not null and doc_id is not null")
+    nodes = own.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min(F.struct("th", "bands")).alias("x")).select("node", "doc_id", "x.*")
     nodes = written(nodes, "nodes")
 
     def sets_of(wanted: DataFrame) -> DataFrame:
-        ids = nodes.join(wanted, "node", "left_semi").select("doc_id")
-        return full_sets(docs.join(ids, "doc_id", "left_semi")).dropDuplicates(["node"])
+        texts = nodes.join(wanted, "node", "left_semi").select("th")
+        mine = docs.withColumn("th", F.xxhash64(F.coalesce("text", F.lit(""))))
+        return full_sets(mine.join(texts, "th", "left_semi")).dropDuplicates(["node"])
 
     labels = link(nodes.select("node", "bands"), sets_of, percent)
-    groups = nodes.join(labels, "node", "left").select("node", "doc_id", F.coalesce("comp", "node").alias("comp"))
-    lowest = groups.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    groups = groups.join(lowest, "comp").select("node", "component_id")
-    out = made.select("doc_id", "n_shingles", "node").join(groups, "node", "left")
+    nodes = nodes.join(labels, "node", "left").select("node", "doc_id", F.coalesce("comp", "node").alias("comp"))
+    return made.drop("bands"), written(nodes, "groups")
+
+
+def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of each document."""
+    made, nodes = grouped(docs, percent)
+    lowest = written(nodes.groupBy("comp").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("size")), "lowest")
+    nodes = written(join_hot(nodes, lowest, "comp", "size").select("node", "component_id"), "components")
+    linked = F.col("node").isNotNull() & F.col("doc_id").isNotNull()
+    rows = made.where(linked).groupBy("node").agg(F.count(F.lit(1)).alias("size"))
+    nodes = written(nodes.join(rows, "node"), "sized")
+    out = join_hot(made.where(linked), nodes, "node", "size").drop("size").unionByName(made.where(~linked).withColumn("component_id", F.col("doc_id")))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
+def spare_rows(docs: DataFrame, percent: int = 75) -> DataFrame:
+    """(doc_id, th) of the rows that a pass for one text a group leaves out: those of a component but
+    the one with the lowest doc_id (null last) and hash of its text. No text goes for its doc_id alone."""
+    made, nodes = grouped(docs, percent, null_ids=True)
+    made = made.where("node is not null")
+    rows = written(made.groupBy("node").agg(F.count(F.lit(1)).alias("size")).join(nodes.select("node", "comp"), "node"), "sized")
+    named = written(join_hot(made.select("doc_id", "th", "node"), rows, "node", "size").select("doc_id", "th", "comp"), "named")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
+    first = written(named.groupBy("comp").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("size")).where("size > 1"), "first")
+    return join_hot(named, first, "comp", "size").where(order != F.col("first")).select("doc_id", "th").distinct()
+
+
 SQL = r"""
 WITH RECURSIVE d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
