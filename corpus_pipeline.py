@@ -1,8 +1,14 @@
 """The corpus pipeline: stages over ``documents``, each written and reread as the next one's input.
 
 Every stage but the last returns the columns of its input. Documents judged toxic
-go; of near duplicates the one with the lowest doc_id stays, of repeated rows one;
+go; of near duplicates the row with the lowest doc_id stays, of repeated rows one;
 contaminated documents go; secrets are replaced by a mark; the last encodes.
+
+Rows are told apart by doc_id and text: texts that differ stay, whatever their
+doc_id. Null and empty texts are never toxic, near copies, contaminated or secret,
+and have no tokens. A null doc_id sorts last among near copies. Texts of any length
+are read whole, one at a time. An empty table gives no rows. Columns beside
+doc_id and text pass through; n_chars, where there is one, follows the text.
 """
 
 from __future__ import annotations
@@ -12,7 +18,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import public_tokenizers
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattiq.llm import bpe, decontaminate, near_dedup, secrets, toxicity
@@ -69,22 +75,32 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return over_texts(docs, make, True)
 
 
+def text_hash() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
+def without(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """``docs`` but those whose doc_id and text's hash are in ``rows`` (doc_id, th)."""
+    bad = small(written(rows.select(F.col("doc_id").cast("long").alias("__gone_id"), F.col("th").alias("__gone_th")), "gone"))
+    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("__gone_id")) & (text_hash() == F.col("__gone_th")), "left_anti")
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    judged = written(near_dedup.near_duplicates(docs), "judged")
-    gone = judged.where("not kept").select("doc_id").distinct()
-    out = docs.join(small(gone), "doc_id", "left_anti").select(docs.columns)
-    again = written(judged.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
-    if again.limit(1).count():  # rows that share a doc_id: one of them stays
-        once = out.join(small(again), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-        out = out.join(small(again), "doc_id", "left_anti").select(docs.columns).unionByName(once.select(docs.columns))
-    return out
+    out = without(docs, near_dedup.spare_rows(docs))
+    # rows that repeat in both doc_id and text: one of them stays
+    mine = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("th"))
+    again = written(mine.groupBy("doc_id", "th").count().where("count > 1").select("doc_id", "th"), "again")
+    if not again.limit(1).count():
+        return out
+    bad = small(again.select(F.col("doc_id").alias("__gone_id"), F.col("th").alias("__gone_th")))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__gone_id")) & (text_hash() == F.col("__gone_th"))
+    once = out.join(bad, same, "left_semi").withColumn("__gone_th", text_hash()).dropDuplicates(["doc_id", "__gone_th"]).select(docs.columns)
+    return out.join(bad, same, "left_anti").unionByName(once)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     judged = decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    bad = written(judged.where("contaminated").select(F.col("doc_id").alias("bad_id"), F.col("th").alias("bad_th")).distinct(), "contaminated")
-    bad = small(bad)
-    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("bad_id")) & (F.xxhash64("text") == F.col("bad_th")), "left_anti")
+    return without(docs, judged.where("contaminated").select("doc_id", "th").distinct())
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
