@@ -85,3 +85,14 @@ def test_near_duplicates_agree_with_stage(spark, tables):
     out = corpus_pipeline.drop_near_copies(spark, docs, tables)
     kept = near_dedup.near_duplicates(docs).where("kept").select("doc_id").distinct().count()
     assert out.count() == kept == out.select("doc_id").distinct().count()
+
+
+def test_no_text_goes_for_its_id(spark):
+    say = lambda k: " ".join(f"{k}w{i}" for i in range(40))
+    rows = [(1, say("a")), (1, say("b")), (2, say("c")), (2, say("a") + " more"), (None, say("d")), (None, say("d")), (None, say("e")), (None, say("c")), (3, ""), (3, ""), (4, None), (4, None), (4, "")]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id int, text string, th string")
+    got = corpus_pipeline.drop_near_copies(spark, docs, "")
+    assert got.dtypes == docs.dtypes
+    want = [(1, say("a")), (1, say("b")), (2, say("c")), (None, say("d")), (None, say("e")), (3, ""), (4, "")]
+    key = lambda r: (r[0] or 0, r[1])
+    assert sorted(((r.doc_id, r.text or "") for r in got.collect()), key=key) == sorted(want, key=key)
