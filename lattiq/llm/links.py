@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lattiq.llm.common import batches as small_batches
-from lattiq.llm.common import release, written
+from lattiq.llm.common import join_hot, release, small, written
 from lattiq.llm.components import components
 
 #: Members of a bucket that are all centres at once, centres of a larger one in a round, and pairs that share one copy of their centre's set.
@@ -131,21 +131,22 @@ def prefixes(sets: DataFrame, percent: int) -> DataFrame:
 def link(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int = 75) -> DataFrame:
     """(node, comp) of the nodes that have a link.
 
-    nodes: (node, bands), one row a node. sets_of: from a frame of wanted (node) to
-    their (node, set), sets as ascending 64-bit integers.
+    nodes: (node, bands), of a written table; a node may have several rows with equal
+    bands. sets_of: from a frame of wanted (node) to their (node, set), sets as
+    ascending 64-bit integers.
     """
     small_batches(nodes.sparkSession, 1000)
-    keyed = written(nodes.select("node", F.explode("bands").alias("key")), "bands")
-    lows = keyed.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("hi")).where("a != hi").drop("hi")
-    members = written(keyed.join(lows, "key"), "members")
+    keyed = nodes.select("node", F.explode("bands").alias("key"))
+    lows = written(keyed.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("hi")).where("a != hi").drop("hi"), "lows")
+    members = written(keyed.join(small(lows), "key").distinct(), "members")
     if not members.limit(1).count():
         return nodes.sparkSession.createDataFrame([], "node long, comp long")
     sets = written(sets_of(members.select("node").distinct()), "sets")
     tested = members.where("a != node").select("a", F.col("node").alias("b")).distinct()
     labels = written(components(verified(tested, sets, percent)), "labels")
     named = members.select("key", "node").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    mixed = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("key")
-    open_ = named.join(mixed, "key", "left_semi").select("node").distinct()
+    mixed = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo != hi").select("key", "size")
+    open_ = join_hot(members.select("key", "node"), written(mixed, "mixed"), "key", "size").select("node").distinct()
     rest = written(sets.join(open_, "node", "left_semi"), "open")
     if not rest.limit(1).count():
         return labels

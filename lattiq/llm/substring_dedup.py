@@ -1,22 +1,24 @@
 """Operator 2: repeated passages by MinHash banding of paragraphs.
 
-Paragraphs (lines) of at least ``MIN_WORDS`` words are sketched, those that share
-a band are joined and confirmed by the exact Jaccard similarity of their five-word
-shingles, and components of confirmed links are clusters: the occurrence with the
-lowest (doc_id, paragraph) stays, the others are to be removed. The number of
-bands is tuned to the recall asked for at the similarity asked for.
-
-A repeat inside longer lines or over several short ones is found by windows of
-``MIN_WORDS`` words over the whole text, wherever its lines end. Windows start
-where the hash of five words is the lowest of ``STEP`` starts in a row, so any two
-texts with the same ``MIN_WORDS + STEP - 1`` = 51 words in a row have a window in
-common. Windows with equal words are one cluster; those inside a removed line are
-left out first. Up to ``STEP - 1`` words at either end of a run may stay outside
-its windows.
-
-Null and empty texts have no paragraphs. Documents without a repeated passage
-have no row. Rows that share a doc_id are one document; a repeat within one
-document counts. Rows with a null doc_id are left out.
+Paragraphs are of two kinds. Lines of at least ``MIN_WORDS`` words are sketched by
+bands of ``ROWS`` values, as many as the recall asked for needs. For what repeats
+inside longer lines or over several short ones, windows of ``MIN_WORDS`` words are
+taken from the whole text, wherever its lines end: they start where the hash of five
+words is the lowest of ``STEP`` starts in a row. That lowest hash is a MinHash value
+of the text around, and the band of the window: any two texts with the same
+``MIN_WORDS + STEP - 1`` = 51 words in a row have an equal window, and an edited
+passage meets by each anchor that its edits left alone. Both kinds then go one way:
+those that share a band are joined, the exact Jaccard similarity of their five-word
+shingles confirms links, and components of links are clusters. The occurrence with
+the lowest (doc_id, start) stays, the others are to be removed. Windows of a document
+that repeat the same document and overlap are one run; up to ``STEP - 1`` words at
+either end of a repeat may stay outside it.
+
+Only clusters with two documents count, unless ``within`` asks for repeats inside one
+document too. Null and empty texts have no paragraphs. Documents without a repeated
+passage have no row. Rows that share a doc_id are one document. Rows with a null
+doc_id are left out. Of equal places the first counts. Very long texts are read whole,
+one at a time. An empty table gives no rows. Extra columns are left out.
 """
 
 from __future__ import annotations
@@ -24,15 +26,15 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lattiq.llm.common import Memo, map_texts, written
+from lattiq.llm.common import Memo, join_hot, map_texts, small, written
 from lattiq.llm.links import link
-from lattiq.llm.shingles import band_keys, mix, shingle_sets, sketches, word_hashes
+from lattiq.llm.shingles import Sets, band_keys, mix, shingle_sets, sketches, word_hashes
 
 #: Shorter paragraphs are too common to be passages; those of over 50 words are well within.
-MIN_WORDS, ROWS, RECALL = 32, 3, 0.998
+MIN_WORDS, ROWS, RECALL = 32, 2, 0.998
 #: Of so many starts in a row at least one has a window.
 STEP = 20
 
@@ -94,9 +96,9 @@ def window_starts(flat: np.ndarray, item: np.ndarray, least: int, step: int = ST
     return np.unique(n - 1 - (best[whole] & low).astype(np.int64))
 
 
-def windows(texts: list[str], words: Memo, least: int) -> dict[str, list]:
-    """text (its number), paragraph and last (of the first and last word), start, end and hash of each
-    window; a window that overlaps an equal one of its text is left out."""
+def windows(texts: list[str], words: Memo, least: int) -> dict[str, np.ndarray]:
+    """text (its number), paragraph and last (of the first and last word), start, end, hash, anchor and
+    place (among all words) of each window; a window that overlaps an equal one of its text is left out."""
     raw = "\n".join(texts).encode()
     split = raw.lower().split()
     flat = np.fromiter((words[w] for w in split), np.uint64, len(split))
@@ -114,7 +116,7 @@ def windows(texts: list[str], words: Memo, least: int) -> dict[str, list]:
     first_line = lines[np.searchsorted(points, begins)]
     item = np.searchsorted(begins, points[starts], "right") - 1
     at = window_starts(flat, item, least)
-    h, own, end = rolled(flat, at, least).view(np.int64), item[at], at + least - 1
+    h, own = rolled(flat, at, least).view(np.int64), item[at]
     order = np.lexsort((at, h, own))
     keep, prev = np.ones(len(at), bool), None
     same = np.zeros(len(at), bool)
@@ -125,12 +127,14 @@ def windows(texts: list[str], words: Memo, least: int) -> dict[str, list]:
             keep[order[i]] = False
         else:
             prev = order[i]
-    at, h, own, end = at[keep], h[keep], own[keep], end[keep]
-    return {"text": own, "paragraph": lines[starts[at]] - first_line[own], "last": lines[starts[end]] - first_line[own], "start": points[starts[at]] - begins[own], "end": points[ends[end]] - begins[own], "hash": h}
+    at, h, own = at[keep], h[keep], own[keep]
+    end = at + least - 1
+    anchor = rolled(flat, at, min(5, least)).view(np.int64)
+    return {"text": own, "paragraph": lines[starts[at]] - first_line[own], "last": lines[starts[end]] - first_line[own], "start": points[starts[at]] - begins[own], "end": points[ends[end]] - begins[own], "node": h, "anchor": anchor, "place": at}
 
 
 def windowed(docs: DataFrame, least: int) -> DataFrame:
-    """doc_id, paragraph, last, start, end, hash of each window."""
+    """doc_id, paragraph, last, start, end, node, anchor of each window."""
 
     def make():
         words = word_hashes()
@@ -141,21 +145,35 @@ def windowed(docs: DataFrame, least: int) -> DataFrame:
 
         return call
 
-    return map_texts(docs.where("doc_id is not null"), make, "doc_id long, paragraph long, last long, start long, end long, hash long")
+    return map_texts(docs.where("doc_id is not null"), make, "doc_id long, paragraph long, last long, start long, end long, node long, anchor long")
 
 
-def repeated_windows(docs: DataFrame, lines: DataFrame, least: int) -> DataFrame:
-    """Rows like those of ``lines``, of repeats that no removed line holds whole."""
-    made = written(windowed(docs, least), "windows")
-    twice = written(made.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash"), "twice")
-    gone = lines.where("removed").select("doc_id", "paragraph", F.col("paragraph").alias("last")).distinct()
-    left = written(made.join(twice, "hash", "left_semi").join(gone, ["doc_id", "paragraph", "last"], "left_anti"), "left")
-    place = F.struct("doc_id", "start", "paragraph")
-    clusters = left.groupBy("hash").agg(F.min(place).alias("first"), F.max(place).alias("final"), F.count(F.lit(1)).alias("n_occurrences")).where("first != final")
-    return left.join(clusters, "hash").select("doc_id", "paragraph", "start", "end", F.col("first.doc_id").alias("first_doc_id"), F.col("first.paragraph").alias("first_paragraph"), "n_occurrences", (place != F.col("first")).alias("removed"))
+def window_sets(docs: DataFrame, least: int) -> DataFrame:
+    """node and set (of five-word shingles) of each window."""
+
+    def make():
+        words = word_hashes()
+
+        def call(keys, texts):
+            found = windows(texts, words, least)
+            nodes, first = np.unique(found["node"], return_index=True)
+            flat = np.fromiter((words[w] for t in texts for w in t.encode().lower().split()), np.uint64)
+            # the places of a window's shingles are those of its words
+            grid = found["place"][first][:, None] + np.arange(max(1, least - 4))
+            values = np.sort(rolled(flat, grid.reshape(-1), min(5, least)).reshape(grid.shape), axis=1)
+            new = np.ones(values.shape, bool)
+            new[:, 1:] = values[:, 1:] != values[:, :-1]
+            sets = Sets(values[new], np.cumsum(new.sum(1)))
+            return {"node": nodes, "set": [sets.of(i).tobytes() for i in range(len(nodes))]}
+
+        return call
+
+    return map_texts(docs.where("doc_id is not null"), make, "node long, set binary")
 
 
 def sets_in(docs: DataFrame, least: int) -> DataFrame:
+    """node and set of each long line."""
+
     def make():
         words = word_hashes()
 
@@ -168,29 +186,54 @@ def sets_in(docs: DataFrame, least: int) -> DataFrame:
     return map_texts(docs, make, "node long, set binary")
 
 
-def repeated_passages(docs: DataFrame, percent: int = 75, least: int = MIN_WORDS) -> DataFrame:
-    """doc_id, paragraph, start, end (code points), first_doc_id and first_paragraph of the
-    cluster, n_occurrences and removed, of every paragraph that is not alone in its cluster, then
-    the same of windows, whose paragraph is the line they start in; windows may overlap."""
-    made = written(sketched(docs, percent, least), "paragraphs")
-    nodes = made.groupBy("node").agg(F.min(F.struct("doc_id", "paragraph", "bands")).alias("x")).select("node", "x.doc_id", "x.bands")
-    nodes = written(nodes, "nodes")
+def clustered(docs: DataFrame, made: DataFrame, sets, percent: int, within: bool) -> DataFrame:
+    """The places of ``made`` (doc_id, paragraph, start, end, node, bands ...) in clusters of more than one,
+    with first_doc_id, first_paragraph, n_occurrences and removed. sets: from documents to (node, set)."""
 
     def sets_of(wanted: DataFrame) -> DataFrame:
-        wanted = written(wanted, "wanted")
-        ids = nodes.join(wanted, "node", "left_semi").select("doc_id").distinct()
-        found = sets_in(docs.join(ids, "doc_id", "left_semi"), least)
-        return found.join(wanted, "node", "left_semi").dropDuplicates(["node"])
-
-    labels = link(nodes.select("node", "bands"), sets_of, percent)
-    places = made.select("doc_id", "paragraph", "start", "end", "node").join(labels, "node", "left").withColumn("cluster", F.coalesce("comp", "node")).drop("node", "comp")
-    places = written(places, "places")
-    place = F.struct("doc_id", "paragraph")
-    clusters = places.groupBy("cluster").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count(F.lit(1)).alias("n_occurrences")).where("first != last")
-    out = places.join(clusters, "cluster")
-    out = out.select("doc_id", "paragraph", "start", "end", F.col("first.doc_id").alias("first_doc_id"), F.col("first.paragraph").alias("first_paragraph"), "n_occurrences", (F.struct("doc_id", "paragraph") != F.col("first")).alias("removed"))
-    out = written(out, "lines")
-    return out.unionByName(repeated_windows(docs, out, least))
+        wanted = small(written(wanted, "wanted"))
+        ids = made.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
+        mine = docs.join(small(written(ids, "ids")), "doc_id", "left_semi")
+        return sets(mine).join(wanted, "node", "left_semi").dropDuplicates(["node"])
+
+    labels = link(made.select("node", "bands"), sets_of, percent)
+    # places alone in their cluster are out first, by one number a place
+    nodes = made.groupBy("node").agg(F.count(F.lit(1)).alias("size"))
+    nodes = nodes.join(small(labels), "node", "left").where("size > 1 or comp is not null")
+    nodes = written(nodes.select("node", F.coalesce("comp", "node").alias("cluster"), "size"), "repeated")
+    places = written(join_hot(made.drop("bands"), nodes, "node", "size").drop("node", "size"), "places")
+    place = F.struct("doc_id", "start", "paragraph")
+    more = F.min("doc_id") != F.max("doc_id") if not within else F.min(place) != F.max(place)
+    clusters = places.groupBy("cluster").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n_occurrences"), more.alias("more")).where("more").drop("more")
+    out = join_hot(places, written(clusters, "clusters"), "cluster", "n_occurrences")
+    rest = [c for c in places.columns if c not in ("doc_id", "paragraph", "start", "end")]
+    return out.select("doc_id", "paragraph", "start", "end", F.col("first.doc_id").alias("first_doc_id"), F.col("first.paragraph").alias("first_paragraph"), "n_occurrences", (place != F.col("first")).alias("removed"), *rest)
+
+
+def runs(found: DataFrame) -> DataFrame:
+    """Windows of a document that repeat the same document (or are both first) and overlap, as one row."""
+    own = Window.partitionBy("doc_id", "first_doc_id", "removed").orderBy("start", "end")
+    reached = F.max("end").over(own.rowsBetween(Window.unboundedPreceding, -1))
+    new = F.coalesce((F.col("start") > reached).cast("int"), F.lit(1))
+    each = found.withColumn("run", F.sum(new).over(own))
+    return each.groupBy("doc_id", "first_doc_id", "removed", "run").agg(F.min("paragraph").alias("paragraph"), F.min("start").alias("start"), F.max("end").alias("end"), F.min("first_paragraph").alias("first_paragraph"), F.max("n_occurrences").alias("n_occurrences")).drop("run")
+
+
+def repeated_passages(docs: DataFrame, percent: int = 75, least: int = MIN_WORDS, within: bool = False) -> DataFrame:
+    """doc_id, paragraph, start, end (code points), first_doc_id and first_paragraph of the
+    cluster, n_occurrences and removed, of every line that is not alone in its cluster, then
+    the same of runs of windows that no removed line holds whole; a run's paragraph is the line it
+    starts in, its n_occurrences the most of its windows. Runs may overlap."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    made = written(sketched(docs, percent, least), "paragraphs")
+    lines = written(clustered(docs, made, lambda d: sets_in(d, least), percent, within), "lines")
+    made = written(windowed(docs, least), "windows").withColumn("bands", F.array("anchor")).drop("anchor")
+    found = clustered(docs, made, lambda d: window_sets(d, least), percent, within)
+    gone = lines.where("removed").select("doc_id", "paragraph", F.col("paragraph").alias("last")).distinct()
+    found = written(found.join(small(gone), ["doc_id", "paragraph", "last"], "left_anti").drop("last"), "found")
+    # a place that stays is told only beside one that goes
+    alive = written(found.where("removed").select("cluster").distinct(), "alive")
+    return lines.drop("cluster").unionByName(runs(found.join(small(alive), "cluster", "left_semi")))
 
 
 def cut_spans(text: str, spans: list | None) -> str:
