@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from lattiq.llm.common import join_hot, map_texts, written
 from lattiq.llm.links import link
-from lattiq.llm.shingles import band_keys, shingle_sets, sketches, word_hashes
+from lattiq.llm.shingles import band_keys, shingle_sets, sketches
 
 #: At similarity 0.75 a pair shares no band of 32 with a chance of 5e-6.
 BANDS, ROWS = 32, 4
@@ -30,10 +30,8 @@ def sketch(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, th (Spark's xxhash64 of the text), n_shingles, node (digest of the set, null if empty) and bands."""
 
     def make():
-        words = word_hashes()
-
         def call(keys, texts):
-            sets = shingle_sets(texts, words)
+            sets = shingle_sets(texts)
             keyed = band_keys(sketches(sets, bands * rows), bands)
             sizes = sets.sizes
             th = np.array([xxhash.xxh64_intdigest(t.encode(), 42) for t in texts], np.uint64).view(np.int64)
@@ -48,10 +46,8 @@ def full_sets(docs: DataFrame) -> DataFrame:
     """node and set of each text with words."""
 
     def make():
-        words = word_hashes()
-
         def call(keys, texts):
-            sets = shingle_sets(texts, words)
+            sets = shingle_sets(texts)
             return {"node": sets.nodes(), "set": [sets.of(i).tobytes() for i in range(len(texts))]}
 
         return call

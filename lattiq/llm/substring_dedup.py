@@ -1,18 +1,19 @@
 """Operator 2: repeated passages by MinHash banding of paragraphs.
 
-Paragraphs are of two kinds. Lines of at least ``MIN_WORDS`` words are sketched by
-bands of ``ROWS`` values, as many as the recall asked for needs. For what repeats
-inside longer lines or over several short ones, windows of ``MIN_WORDS`` words are
-taken from the whole text, wherever its lines end: they start where the hash of five
-words is the lowest of ``STEP`` starts in a row. That lowest hash is a MinHash value
-of the text around, and the band of the window: any two texts with the same
-``MIN_WORDS + STEP - 1`` = 51 words in a row have an equal window, and an edited
-passage meets by each anchor that its edits left alone. Both kinds then go one way:
-those that share a band are joined, the exact Jaccard similarity of their five-word
-shingles confirms links, and components of links are clusters. The occurrence with
-the lowest (doc_id, start) stays, the others are to be removed. Windows of a document
-that repeat the same document and overlap are one run; up to ``STEP - 1`` words at
-either end of a repeat may stay outside it.
+Paragraphs, lines of at least ``MIN_WORDS`` words, are sketched by bands of ``ROWS``
+values, as many as the recall asked for needs. Those that share a band are joined,
+the exact Jaccard similarity of their five-word shingles confirms links, and
+components of links are clusters.
+
+What repeats inside longer lines or over several short ones is found by windows of
+``MIN_WORDS`` words over the whole text, wherever its lines end. They start where the
+hash of five words, a MinHash value of the text around, is the lowest of ``STEP``
+starts in a row, so any two texts with the same ``MIN_WORDS + STEP - 1`` = 51 words in a
+row have an equal window. Equal windows are one cluster; edited ones are not linked.
+
+Of a cluster the occurrence with the lowest (doc_id, start) stays, the others are to be
+removed. Windows of a document that repeat the same document and overlap are one
+run; up to ``STEP - 1`` words at either end of a repeat may stay outside it.
 
 Only clusters with two documents count, unless ``within`` asks for repeats inside one
 document too. Null and empty texts have no paragraphs. Documents without a repeated
@@ -24,14 +25,15 @@ one at a time. An empty table gives no rows. Extra columns are left out.
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lattiq.llm.common import Memo, join_hot, map_texts, small, written
+from lattiq.llm.common import join_hot, map_texts, small, written
 from lattiq.llm.links import link
-from lattiq.llm.shingles import Sets, band_keys, mix, shingle_sets, sketches, word_hashes
+from lattiq.llm.shingles import Sets, Words, band_keys, rolled, sets_by, sketches, words_of
 
 #: Shorter paragraphs are too common to be passages; those of over 50 words are well within.
 MIN_WORDS, ROWS, RECALL = 32, 2, 0.998
@@ -44,40 +46,80 @@ def bands_for(similarity: float, rows: int = ROWS, recall: float = RECALL) -> in
     return math.ceil(math.log(1 - recall) / math.log(1 - similarity**rows))
 
 
-def paragraphs(text: str, least: int = MIN_WORDS) -> list[tuple[int, int, int, str]]:
-    """(number, start, end, line) of each line with at least ``least`` words."""
-    found, at = [], 0
-    for k, line in enumerate(text.split("\n")):
-        if len(line) >= 2 * least - 1 and len(line.split()) >= least:
-            found.append((k, at, at + len(line), line))
-        at += len(line) + 1
-    return found
+@dataclass
+class Places:
+    """The words of a batch of texts, with the line each is in and code points of each byte."""
+
+    words: Words
+    points: np.ndarray  # code points before each byte of the batch
+    line: np.ndarray  # of each word, counted over the batch
+    lines: np.ndarray  # where each line starts, and the end
+    first: np.ndarray  # line of each text's start
+
+    @classmethod
+    def of(cls, texts: list[str]) -> Places:
+        words = words_of(texts)
+        points = np.zeros(len(words.raw) + 1, np.int64)
+        np.cumsum((words.raw & 0xC0) != 0x80, out=points[1:])
+        lines = np.concatenate(([0], np.flatnonzero(words.raw == 10) + 1, [len(words.raw) + 1]))
+        find = lambda at: np.searchsorted(lines, at, "right") - 1
+        return cls(words, points, find(words.starts), lines, find(words.begins))
+
+    def long_lines(self, least: int) -> tuple[dict[str, np.ndarray], Sets]:
+        """text, paragraph, last, start and end of each line with at least ``least`` words, and its shingles."""
+        sizes = np.bincount(self.line, minlength=len(self.lines) - 1)
+        which = np.flatnonzero(sizes >= max(1, least))
+        number = np.full(len(sizes), -1)
+        number[which] = np.arange(len(which))
+        mine = number[self.line] >= 0
+        own = np.searchsorted(self.words.begins, self.lines[which], "right") - 1
+        zero = self.points[self.words.begins[own]]
+        at = which - self.first[own]
+        found = {"text": own, "paragraph": at, "last": at, "start": self.points[self.lines[which]] - zero, "end": self.points[self.lines[which + 1] - 1] - zero}
+        return found, sets_by(self.words.hashes[mine], number[self.line[mine]], len(which))
+
+    def windows(self, least: int) -> dict[str, np.ndarray]:
+        """text, paragraph and last (lines of the first and last word), start, end and node (a hash)
+        of each window; a window that overlaps an equal one of its text is left out."""
+        w = self.words
+        at = window_starts(w.hashes, w.item, least)
+        h, own = rolled(w.hashes, at, least).view(np.int64), w.item[at]
+        order = np.lexsort((at, h, own))
+        keep, prev = np.ones(len(at), bool), None
+        same = np.zeros(len(at), bool)
+        same[1:] = (h[order][1:] == h[order][:-1]) & (own[order][1:] == own[order][:-1])
+        for i in np.flatnonzero(same):
+            prev = order[i - 1] if not same[i - 1] else prev
+            if at[order[i]] < at[prev] + least:
+                keep[order[i]] = False
+            else:
+                prev = order[i]
+        at, h, own = at[keep], h[keep], own[keep]
+        end, zero = at + least - 1, self.points[w.begins[own]]
+        return {"text": own, "paragraph": self.line[at] - self.first[own], "last": self.line[end] - self.first[own], "start": self.points[w.starts[at]] - zero, "end": self.points[w.ends[end]] - zero, "node": h}
+
+
+SCHEMA = "doc_id long, paragraph long, last long, start long, end long, node long, whole boolean, bands array<long>"
 
 
 def sketched(docs: DataFrame, percent: int, least: int) -> DataFrame:
-    """doc_id, paragraph, start, end, node, bands of each paragraph."""
+    """doc_id, paragraph, last, start, end and node of each long line (``whole``, with its bands) and window."""
     bands = bands_for(percent / 100)
 
     def make():
-        words = word_hashes()
-
         def call(keys, texts):
-            rows = [(k, *p) for k, t in zip(keys, texts, strict=True) for p in paragraphs(t, least)]
-            sets = shingle_sets([r[4] for r in rows], words)
+            places = Places.of(texts)
+            found, sets = places.long_lines(least)
+            other = places.windows(least)
             keyed = band_keys(sketches(sets, bands * ROWS), bands)
-            return {"doc_id": [r[0] for r in rows], "paragraph": [r[1] for r in rows], "start": [r[2] for r in rows], "end": [r[3] for r in rows], "node": sets.nodes(), "bands": list(keyed)}
+            found["node"] = np.array(sets.nodes(), np.int64)
+            n, m = len(found["node"]), len(other["node"])
+            rows = {k: np.concatenate((found[k], other[k])) for k in other}
+            return {"doc_id": np.asarray(keys, np.int64)[rows.pop("text")]} | rows | {"whole": np.arange(n + m) < n, "bands": [*keyed, *[None] * m]}
 
         return call
 
-    return map_texts(docs.where("doc_id is not null"), make, "doc_id long, paragraph long, start long, end long, node long, bands array<long>")
-
-
-def rolled(flat: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
-    """A hash of the ``width`` words from each place ``at`` on."""
-    h = np.zeros(len(at), np.uint64)
-    for k in range(width):
-        h = (h + flat[at + k]) * np.uint64(0x100000001B3 + 2 * k)
-    return mix(h)
+    return map_texts(docs.where("doc_id is not null"), make, SCHEMA)
 
 
 def window_starts(flat: np.ndarray, item: np.ndarray, least: int, step: int = STEP) -> np.ndarray:
@@ -96,89 +138,12 @@ def window_starts(flat: np.ndarray, item: np.ndarray, least: int, step: int = ST
     return np.unique(n - 1 - (best[whole] & low).astype(np.int64))
 
 
-def windows(texts: list[str], words: Memo, least: int) -> dict[str, np.ndarray]:
-    """text (its number), paragraph and last (of the first and last word), start, end, hash, anchor and
-    place (among all words) of each window; a window that overlaps an equal one of its text is left out."""
-    raw = "\n".join(texts).encode()
-    split = raw.lower().split()
-    flat = np.fromiter((words[w] for w in split), np.uint64, len(split))
-    b = np.frombuffer(raw, np.uint8)
-    inside = np.zeros(len(b) + 2, np.int8)
-    inside[1:-1] = (b != 32) & ((b < 9) | (b > 13))
-    edge = np.diff(inside)
-    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    points = np.zeros(len(b) + 1, np.int64)
-    np.cumsum((b & 0xC0) != 0x80, out=points[1:])
-    lines = np.zeros(len(b) + 1, np.int64)
-    np.cumsum(b == 10, out=lines[1:])
-    sizes = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
-    begins = np.cumsum(sizes) - sizes  # in code points
-    first_line = lines[np.searchsorted(points, begins)]
-    item = np.searchsorted(begins, points[starts], "right") - 1
-    at = window_starts(flat, item, least)
-    h, own = rolled(flat, at, least).view(np.int64), item[at]
-    order = np.lexsort((at, h, own))
-    keep, prev = np.ones(len(at), bool), None
-    same = np.zeros(len(at), bool)
-    same[1:] = (h[order][1:] == h[order][:-1]) & (own[order][1:] == own[order][:-1])
-    for i in np.flatnonzero(same):
-        prev = order[i - 1] if not same[i - 1] else prev
-        if at[order[i]] < at[prev] + least:
-            keep[order[i]] = False
-        else:
-            prev = order[i]
-    at, h, own = at[keep], h[keep], own[keep]
-    end = at + least - 1
-    anchor = rolled(flat, at, min(5, least)).view(np.int64)
-    return {"text": own, "paragraph": lines[starts[at]] - first_line[own], "last": lines[starts[end]] - first_line[own], "start": points[starts[at]] - begins[own], "end": points[ends[end]] - begins[own], "node": h, "anchor": anchor, "place": at}
-
-
-def windowed(docs: DataFrame, least: int) -> DataFrame:
-    """doc_id, paragraph, last, start, end, node, anchor of each window."""
-
-    def make():
-        words = word_hashes()
-
-        def call(keys, texts):
-            found = windows(texts, words, least)
-            return {"doc_id": np.asarray(keys, np.int64)[found.pop("text")]} | found
-
-        return call
-
-    return map_texts(docs.where("doc_id is not null"), make, "doc_id long, paragraph long, last long, start long, end long, node long, anchor long")
-
-
-def window_sets(docs: DataFrame, least: int) -> DataFrame:
-    """node and set (of five-word shingles) of each window."""
-
-    def make():
-        words = word_hashes()
-
-        def call(keys, texts):
-            found = windows(texts, words, least)
-            nodes, first = np.unique(found["node"], return_index=True)
-            flat = np.fromiter((words[w] for t in texts for w in t.encode().lower().split()), np.uint64)
-            # the places of a window's shingles are those of its words
-            grid = found["place"][first][:, None] + np.arange(max(1, least - 4))
-            values = np.sort(rolled(flat, grid.reshape(-1), min(5, least)).reshape(grid.shape), axis=1)
-            new = np.ones(values.shape, bool)
-            new[:, 1:] = values[:, 1:] != values[:, :-1]
-            sets = Sets(values[new], np.cumsum(new.sum(1)))
-            return {"node": nodes, "set": [sets.of(i).tobytes() for i in range(len(nodes))]}
-
-        return call
-
-    return map_texts(docs.where("doc_id is not null"), make, "node long, set binary")
-
-
 def sets_in(docs: DataFrame, least: int) -> DataFrame:
     """node and set of each long line."""
 
     def make():
-        words = word_hashes()
-
         def call(keys, texts):
-            sets = shingle_sets([p[3] for t in texts for p in paragraphs(t, least)], words)
+            sets = Places.of(texts).long_lines(least)[1]
             return {"node": sets.nodes(), "set": [sets.of(i).tobytes() for i in range(len(sets.ends))]}
 
         return call
@@ -186,28 +151,44 @@ def sets_in(docs: DataFrame, least: int) -> DataFrame:
     return map_texts(docs, make, "node long, set binary")
 
 
-def clustered(docs: DataFrame, made: DataFrame, sets, percent: int, within: bool) -> DataFrame:
-    """The places of ``made`` (doc_id, paragraph, start, end, node, bands ...) in clusters of more than one,
-    with first_doc_id, first_paragraph, n_occurrences and removed. sets: from documents to (node, set)."""
+def clusters_of(places: DataFrame, key: str, within: bool) -> DataFrame:
+    """key, first (doc_id, start, paragraph) and n_occurrences of the keys that several documents (or places) have."""
+    place = F.struct("doc_id", "start", "paragraph")
+    more = F.min("doc_id") != F.max("doc_id") if not within else F.min(place) != F.max(place)
+    return places.groupBy(key).agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n_occurrences"), more.alias("more")).where("more").drop("more")
+
+
+def judged(places: DataFrame, clusters: DataFrame, key: str) -> DataFrame:
+    """The places in clusters, with first_doc_id, first_paragraph, n_occurrences and removed."""
+    out = join_hot(places, clusters, key, "n_occurrences")
+    gone = F.struct("doc_id", "start", "paragraph") != F.col("first")
+    return out.select("doc_id", "paragraph", "last", "start", "end", F.col("first.doc_id").alias("first_doc_id"), F.col("first.paragraph").alias("first_paragraph"), "n_occurrences", gone.alias("removed"), key)
+
 
+def repeated_lines(docs: DataFrame, made: DataFrame, percent: int, least: int, within: bool) -> DataFrame:
     def sets_of(wanted: DataFrame) -> DataFrame:
         wanted = small(written(wanted, "wanted"))
         ids = made.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
         mine = docs.join(small(written(ids, "ids")), "doc_id", "left_semi")
-        return sets(mine).join(wanted, "node", "left_semi").dropDuplicates(["node"])
+        return sets_in(mine, least).join(wanted, "node", "left_semi").dropDuplicates(["node"])
 
     labels = link(made.select("node", "bands"), sets_of, percent)
-    # places alone in their cluster are out first, by one number a place
+    # lines alone in their cluster are out first, by one number a line
     nodes = made.groupBy("node").agg(F.count(F.lit(1)).alias("size"))
     nodes = nodes.join(small(labels), "node", "left").where("size > 1 or comp is not null")
     nodes = written(nodes.select("node", F.coalesce("comp", "node").alias("cluster"), "size"), "repeated")
-    places = written(join_hot(made.drop("bands"), nodes, "node", "size").drop("node", "size"), "places")
-    place = F.struct("doc_id", "start", "paragraph")
-    more = F.min("doc_id") != F.max("doc_id") if not within else F.min(place) != F.max(place)
-    clusters = places.groupBy("cluster").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n_occurrences"), more.alias("more")).where("more").drop("more")
-    out = join_hot(places, written(clusters, "clusters"), "cluster", "n_occurrences")
-    rest = [c for c in places.columns if c not in ("doc_id", "paragraph", "start", "end")]
-    return out.select("doc_id", "paragraph", "start", "end", F.col("first.doc_id").alias("first_doc_id"), F.col("first.paragraph").alias("first_paragraph"), "n_occurrences", (place != F.col("first")).alias("removed"), *rest)
+    places = written(join_hot(made.drop("bands", "whole"), nodes, "node", "size").drop("node", "size"), "places")
+    return judged(places, written(clusters_of(places, "cluster", within), "clusters"), "cluster").drop("last", "cluster")
+
+
+def repeated_windows(made: DataFrame, lines: DataFrame, within: bool) -> DataFrame:
+    """Runs of windows that repeat and that no line of ``lines`` tells."""
+    places = made.drop("bands", "whole")
+    found = judged(places, written(clusters_of(places, "node", within), "clusters"), "node")
+    # what a removed line holds is gone, and a place that stays in a line that stays is told by the line
+    told = small(lines.select("doc_id", "paragraph", F.col("paragraph").alias("last"), F.col("removed").alias("gone")))
+    same = [found[c] == told[c] for c in ("doc_id", "paragraph", "last")]
+    return runs(found.join(told, [*same, told["gone"] | ~found["removed"]], "left_anti"))
 
 
 def runs(found: DataFrame) -> DataFrame:
@@ -222,18 +203,12 @@ def runs(found: DataFrame) -> DataFrame:
 def repeated_passages(docs: DataFrame, percent: int = 75, least: int = MIN_WORDS, within: bool = False) -> DataFrame:
     """doc_id, paragraph, start, end (code points), first_doc_id and first_paragraph of the
     cluster, n_occurrences and removed, of every line that is not alone in its cluster, then
-    the same of runs of windows that no removed line holds whole; a run's paragraph is the line it
+    the same of runs of windows that no such line tells; a run's paragraph is the line it
     starts in, its n_occurrences the most of its windows. Runs may overlap."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     made = written(sketched(docs, percent, least), "paragraphs")
-    lines = written(clustered(docs, made, lambda d: sets_in(d, least), percent, within), "lines")
-    made = written(windowed(docs, least), "windows").withColumn("bands", F.array("anchor")).drop("anchor")
-    found = clustered(docs, made, lambda d: window_sets(d, least), percent, within)
-    gone = lines.where("removed").select("doc_id", "paragraph", F.col("paragraph").alias("last")).distinct()
-    found = written(found.join(small(gone), ["doc_id", "paragraph", "last"], "left_anti").drop("last"), "found")
-    # a place that stays is told only beside one that goes
-    alive = written(found.where("removed").select("cluster").distinct(), "alive")
-    return lines.drop("cluster").unionByName(runs(found.join(small(alive), "cluster", "left_semi")))
+    lines = written(repeated_lines(docs, made.where("whole"), percent, least, within), "lines")
+    return lines.unionByName(repeated_windows(made.where("not whole"), lines, within))
 
 
 def cut_spans(text: str, spans: list | None) -> str:

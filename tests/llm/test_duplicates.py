@@ -78,10 +78,9 @@ def test_empty_table_and_null_id(spark):
 
 
 def test_bins_all_fill_and_estimate():
-    memo = shingles.word_hashes()
     base = words(400, 1)
     texts = [" ".join(base), " ".join(edited(base, 20, 2)), "a b c d e", ""]
-    sets = shingles.shingle_sets(texts, memo)
+    sets = shingles.shingle_sets(texts)
     sk = shingles.sketches(sets, 128)
     assert (sk[:3] != np.iinfo(np.uint64).max).all()
     a, b = set(sets.of(0).tolist()), set(sets.of(1).tolist())
@@ -172,33 +171,25 @@ def test_passages_at_any_offset_against_brute_force(spark):
     assert {r.doc_id for r in inside} == set(range(100))
 
 
-def test_edited_passages_inside_lines(spark):
-    rows, rng = [], random.Random(5)
-    for k in range(60):  # two texts with one passage, a word of it changed
-        p = words(80, 40_000 + k)
-        q = list(p)
-        q[40] = "changed"
-        for j, part in enumerate((p, q)):
-            ws = words(150, 70_000 + 2 * k + j)
-            at = rng.randint(0, 150)
-            rows.append((2 * k + j, " ".join(ws[:at] + part + ws[at:])))
-    assert not runs_of(rows, 51)
-    docs = spark.createDataFrame([(i, t, 0) for i, t in rows], SCHEMA)
-    got = {r.doc_id for r in substring_dedup.repeated_passages(docs).collect()}
-    assert len(got) >= 0.9 * len(rows)
+def test_words_against_splitting():
+    texts = ["É  Été\tx\x0by", "", " \n", "ABC abc " + "L" * 60 + " " + "l" * 60, "\x1c a\x1cb 日本"]
+    got = shingles.words_of(texts)
+    split = [(i, w) for i, t in enumerate(texts) for w in t.encode().lower().split()]
+    assert got.item.tolist() == [i for i, _ in split]
+    pairs = list(zip(got.hashes.tolist(), [w for _, w in split], strict=True))
+    assert len(dict(pairs)) == len({w for _, w in pairs}) == len(set(pairs))
 
 
 def test_each_run_of_51_words_has_a_window():
-    memo = shingles.word_hashes()
     for seed in range(100):
         p = words(51, seed)
         a, b = words(90, 200 + seed) + p + words(70, 400 + seed), words(seed, 600 + seed) + p
-        found = [set(substring_dedup.windows([" ".join(t)], memo, 32)["node"].tolist()) for t in (a, b)]
+        found = [set(substring_dedup.Places.of([" ".join(t)]).windows(32)["node"].tolist()) for t in (a, b)]
         assert found[0] & found[1]
 
 
 def test_equal_windows_of_a_text_do_not_overlap():
-    got = substring_dedup.windows(["other " * 3, "a " * 200], shingles.word_hashes(), 32)
+    got = substring_dedup.Places.of(["other " * 3, "a " * 200]).windows(32)
     at = sorted(got["start"].tolist())
     assert at and all(y - x >= 64 for x, y in zip(at, at[1:], strict=False))
     assert set(got["text"].tolist()) == {1}
