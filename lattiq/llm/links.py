@@ -40,8 +40,8 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     A centre with many partners is dealt in parts of about SHARED pairs, each with
     one copy of its set, read in a stream: a task holds one centre's set at a time.
     """
-    n = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SHARED)
-    dealt = pairs.join(n, "a", "left").select("a", "b", F.coalesce(F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / SHARED)), F.lit(0)).alias("part"))
+    n = written(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SHARED), "shared")
+    dealt = pairs.join(small(n), "a", "left").select("a", "b", F.coalesce(F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / SHARED)), F.lit(0)).alias("part"))
     dealt = written(dealt, "pairs")
     members = dealt.join(sets.select(F.col("node").alias("b"), "set"), "b").select("a", "part", "b", "set")
     heads = dealt.select("a", "part").distinct().join(sets.select(F.col("node").alias("a"), "set"), "a").select("a", "part", F.lit(None).cast("long").alias("b"), "set")
