@@ -6,6 +6,8 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from lattiq.llm import html_text, katz, toxicity
 
 
@@ -136,15 +138,79 @@ def test_main_text(spark, tag, attr):
     rows = [(n, "http://h.example/a", PAGE.format(tag=tag, attr=attr, n=n, words="lorem " * (n + 5))) for n in range(6)]
     rows += [(90, None, "<p>alone &lt;b&gt;"), (91, "http://x.example", None), (92, "http://x.example", ""), (92, "http://x.example", "")]
     pages = spark.createDataFrame([(*r, 7) for r in rows], "page_id long, url string, html string, n_chars int")
-    got = {r.page_id: r for r in html_text.extract(pages, group=4).collect()}
+    got = {r.page_id: r for r in html_text.extract(pages).collect()}
     assert {n: got[n].text for n in range(6)} == {n: want(n) for n in range(6)}
     assert (got[90].text, got[91].text, got[92].n_chars) == ("alone <b>", "", 0)
     assert all(r.n_chars == len(r.text) for r in got.values())
     assert html_text.extract(pages).count() == len(rows)
 
 
-def test_template_classes():
-    pages = [html_text.parse(f"<html><body><h2>Menu</h2><p>{i}</p><h3>Foot</h3></body></html>") for i in range(4)]
-    known = html_text.template(pages)
-    assert ("/html/body/h2", "Menu") in known
-    assert all(("/html/body/p", str(i)) not in known for i in range(4))
+def brute_template(pages, share):
+    """Keys of valid classes of the distinct pages of one host, by whole occurrence vectors."""
+    lines = [html_text.Parser().parse(p).line().tolist() for p in sorted(set(pages))]
+    vectors = {k: tuple(line.count(k) for line in lines) for line in lines for k in line}
+    groups = defaultdict(set)
+    for k, v in vectors.items():
+        if sum(map(bool, v)) >= max(html_text.LEAST_PAGES, share * len(lines)):
+            groups[v].add(k)
+    large = {v: ks for v, ks in groups.items() if len(ks) >= html_text.LEAST_TOKENS}
+    on = lambda v: sum(map(bool, v))
+    ranked = sorted(large, key=lambda v: (-on(v), sum(v), -len(large[v]), sorted(large[v])))
+    frame = next((large[v] for v in ranked if on(v) == sum(v)), set())
+    found = set()
+    for v, ks in large.items():
+        orders, nests = set(), set()
+        for line in lines:
+            at = [i for i, k in enumerate(line) if k in ks]
+            for j in range(0, len(at), len(ks)):
+                turn = at[j : j + len(ks)]
+                orders.add(tuple(line[i] for i in turn))
+                if any(k in frame for k in line):
+                    nests.add(tuple(sum(k in frame for k in line[turn[0] : i + 1]) - (line[turn[0]] in frame) for i in turn))
+        if len(orders) == 1 and len(next(iter(orders))) == len(set(next(iter(orders)))) == len(ks) and len(nests) <= 1:
+            found |= ks
+    return found
+
+
+def page_tables(spark, rows):
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    return pages.select(html_text.host_of(pages.url).alias("host"), F.xxhash64("html").alias("page"), "html")
+
+
+def test_classes_against_brute_force(spark):
+    rng, rows = random.Random(31), []
+    for host in range(4):
+        for i in range(14):
+            items = "".join(f"<li><i>Item</i><b>{rng.randint(0, 99)}</b><s>end</s></li>" for _ in range(rng.randint(0, 4)))
+            parts = ["<h2>Menu</h2>", f"<ul>{items}</ul>", f"<p>{rng.random()}</p>", "<div><em>Foot</em><q>Note</q></div>", "<p>Same</p>" * rng.randint(0, 2)]
+            if host == 2:
+                rng.shuffle(parts)
+            rows.append((len(rows), f"http://h{host}.example/{i}", "<html><body>" + "".join(parts) + "</body></html>"))
+    rows += rows[:5]
+    parsed = html_text.tokens_of(page_tables(spark, rows))
+    got = {r.host: {k % (1 << 64) for k in r.known} for r in html_text.template(parsed).collect()}
+    ids = {r.url: r.host for r in spark.createDataFrame([(u,) for _, u, _ in rows], "url string").select("url", html_text.host_of(F.col("url")).alias("host")).collect()}
+    for host in range(4):
+        mine = [(u, p) for _, u, p in rows if u.startswith(f"http://h{host}.")]
+        want = {k % (1 << 64) for k in brute_template([p for _, p in mine], html_text.SHARE)}
+        assert got.get(ids[mine[0][0]], set()) == want
+        assert want
+
+
+@pytest.mark.parametrize("tag", ["article", "main", "div"])
+def test_template_decides_inside_the_article(spark, tag):
+    rows = [(n, "http://h.example/a", f"<html><body><{tag}><h1>Title {n}</h1><p>Read our other stories too.</p><p>Body {n} {'word ' * n}</p></{tag}></body></html>") for n in range(10)]
+    rows += [(n + 100, "http://other.example/", r) for n, (_, _, r) in enumerate(rows[:2])]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_text.extract(pages).collect()}
+    assert all(got[n] == f"Title {n} Body {n} {'word ' * n}".strip() for n in range(10))
+    assert got[101] == "Title 1 Read our other stories too. Body 1 word"  # two pages are no template
+
+
+def test_very_deep_pages_and_empty_tables(spark):
+    deep = "<div>" * 100_000 + "deep" + "<b>x</i></p>" * 50_000
+    pages = spark.createDataFrame([(1, "http://h.example/", deep, "t")], "page_id long, url string, html string, text string")
+    row = html_text.extract(pages).first()
+    assert row.text.startswith("deep") and row.n_chars == len(row.text)
+    assert html_text.extract(pages.limit(0)).count() == 0
+
