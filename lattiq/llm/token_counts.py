@@ -19,7 +19,9 @@ import copy
 import json
 from array import array
 from collections.abc import Iterator
+from bisect import bisect_right
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import regex
@@ -143,9 +145,21 @@ class ByteBpe:
         return sum(1 if p in self.special else self._part(p) for p in self.at_special.split(text))
 
     def fit(self, text: str, budget: int) -> int:
-        """Characters of the longest prefix within ``budget`` tokens. The table is only made
-        as far as the pieces before a place are within it: ``budget`` pieces at most."""
-        return PrefixTable(self, text, budget).longest(budget)
+        """Characters of the longest prefix within ``budget`` tokens.
+
+        Every chunk has a token at least, so the first ``budget`` chunks hold the place. Sums of
+        their counts find the chunk in which the budget is spent, and the prefix table of that
+        one and its neighbours, whose spaces may join its own, the character."""
+        budget = max(0, budget)
+        chunks = text.split(" ", budget + 4)
+        counts = [self._part(chunks[0]), *map(self.of_chunk.__getitem__, chunks[1 : budget + 4])]
+        if sum(counts) >= ODD or (self.at_special and "<|" in text):
+            return PrefixTable(self, text, budget).longest(budget)
+        sums = list(accumulate(counts))
+        at = max(0, bisect_right(sums, budget) - 1)
+        start = sum(map(len, chunks[:at])) + max(0, at - 1)
+        near = " ".join(["", *chunks[at : at + 3]] if at else chunks[:3])
+        return start + PrefixTable(self, near).longest(budget - (sums[at - 1] if at else 0))
 
     def table(self, text: str) -> PrefixTable:
         return PrefixTable(self, text)
@@ -166,35 +180,35 @@ class PrefixTable:
                 made.append(np.array([*(total - bpe._part(before) + n for n in cut), total + 1], np.int64))
                 total, before = total + 1, ""
             elif part:
-                for counts, whole in self.pieces(bpe, part):
+                for counts, whole, joined in self.pieces(bpe, part):
+                    if budget is not None and total > budget and not joined:
+                        break
                     made.append(counts + total)
                     total += whole
-                    if budget is not None and total > budget:
-                        break
                 if len(parts) > 1:
                     tail = bpe.tail.search(part)
                     before = (before if tail.start() == 0 else "") + tail.group()
-            if budget is not None and total > budget:
+            if budget is not None and total - bpe._part(before) > budget:
                 break
         self.counts = np.concatenate(made)
 
     @staticmethod
-    def pieces(bpe: ByteBpe, part: str) -> Iterator[tuple[np.ndarray, int]]:
-        """Counts of the prefixes of each piece, and the whole's. A run of white space that a cut
+    def pieces(bpe: ByteBpe, part: str) -> Iterator[tuple[np.ndarray, int, bool]]:
+        """Counts of the prefixes of each piece, the whole's, and whether it joins the piece before. A run of white space that a cut
         leaves at the end is one piece, though with more text its last space goes to the next word."""
         run = 0  # white space pieces' characters before the piece, of the same run
         for m in bpe.pattern.finditer(part):
             piece = m.group()
             own = bpe.of_piece[piece]
             counts = np.frombuffer(own, np.uint8).astype(np.int64) if isinstance(own, bytes) else np.array(own, np.int64)
-            if run and piece[0] in SPACES:
+            if joined := run > 0 and piece[0] in SPACES:
                 # as one run with what stands before it, whose own count is in the total already
                 lead = len(piece) - len(piece.lstrip(WHITE))
                 whole = bpe.of_piece[part[m.start() - run : m.start() + lead]]
                 head = bpe.of_piece[part[m.start() - run : m.start()]][-1]
                 counts[:lead] = [n - head for n in list(whole)[run:]]
-            run = len(piece) if piece[-1] in SPACES else 0
-            yield counts, own[-1]
+            run = (run if joined else 0) + len(piece) if piece.isspace() else 0
+            yield counts, own[-1], joined
 
     def count(self, n: int) -> int:
         """Tokens of the first ``n`` characters as a text of its own."""

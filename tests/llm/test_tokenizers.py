@@ -70,7 +70,7 @@ def fits(own, text, table):
         assert table.longest(budget) == own.fit(text, budget) == want
 
 
-MORE = ["you're we've they'll don't 're 've", "x-- --  -- y", "a!!<|endoftext|>'re", "word <|endoftext|><|endoftext|> more  ", "a\u2003 \u2003b - -- c", "unbelievablyinterestingly" * 4, " " * 40 + "x" + "\n" * 30]
+MORE = ["you're we've they'll don't 're 've", "x-- --  -- y", "a!!<|endoftext|>'re", "word <|endoftext|><|endoftext|> more  ", "a\u2003 \u2003b - -- c", "unbelievablyinterestingly" * 4, "a b\n c\n\n d e\tf g " * 6, "one two" + " " * 15 + "\n three four" + " " * 16 + "five", " " * 40 + "x" + "\n" * 30]
 
 
 @pytest.mark.parametrize("text", [*(t[:200] for t in TEXTS), *MORE])
