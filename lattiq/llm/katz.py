@@ -13,6 +13,8 @@ training, as in the add-one base. Each training text begins after an end token.
 
 Null and empty texts are one end token. A null doc_id is learned from. Repeated
 rows each get a row. Without training text every token is unknown, with score 0.
+Very long texts are one chunk each, in whole. An empty table gives no rows. Extra
+columns are left out. Equal n-grams of a chunk are one entry with their count.
 """
 
 from __future__ import annotations
@@ -37,8 +39,10 @@ from lattiq.llm.shingles import mix
 
 #: Tokens of a chunk, and bytes of packed n-grams that one reducing task holds.
 CHUNK, HELD = 3_000_000, 48 << 20
-#: Counts up to this are discounted.
-TOP = 5
+#: Counts up to this are discounted, along a line of this slope at least where they are irregular.
+TOP, SLOPE = 5, -1.1
+#: Bytes of input for each bucket of the table of chunks.
+INPUT = 16 << 20
 #: The hash of the end token, which is also the context of a text's first token.
 END = np.uint64(0x51ED270B76A5E3F1)
 CHUNKS = "chunk long, n_tokens long, n_words long, ids binary, null_ids binary, train binary, sizes binary, words binary, flat binary"
@@ -196,18 +200,18 @@ def discounts(ns: list[int]) -> np.ndarray:
     """Factors for counts 0 to TOP (0 unused): Good-Turing's ratios, made to leave counts above TOP alone.
 
     Where copies make the numbers of n-grams by count too irregular for that, the
-    numbers are first smoothed by a line through their logarithms; where no
-    falling line fits either, half a count is taken off."""
-    ns = ns[: TOP + 1]
-    if min(ns, default=0) > 0:
-        r = np.arange(1, TOP + 2)
-        slope, at = np.polyfit(np.log(r), np.log(ns), 1)
-        for n in (np.array(ns, float), np.exp(at + slope * np.log(r))):
-            share = (TOP + 1) * n[TOP] / n[0]
-            d = (r[1:] * n[1:] / (r[:-1] * n[:-1]) - share) / (1 - share) if share < 1 else np.zeros(TOP)
+    numbers are first smoothed by a line through their logarithms. A line at least as
+    steep as SLOPE always gives factors between 0 and 1; a flatter one is turned to it."""
+    n = np.array(ns[: TOP + 1], float)
+    r = np.arange(1, TOP + 2)
+    some = n > 0
+    slope = np.polyfit(np.log(r[some]), np.log(n[some]), 1)[0] if some.sum() > 1 else 2 * SLOPE
+    for n in (n, np.exp(min(slope, SLOPE) * np.log(r))):
+        if min(n) > 0 and (share := (TOP + 1) * n[TOP] / n[0]) < 1:
+            d = (r[1:] * n[1:] / (r[:-1] * n[:-1]) - share) / (1 - share)
             if ((d > 0) & (d < 1)).all():
-                return np.concatenate(([1.0], d))
-    return np.array([1.0, *(1 - 0.5 / r for r in range(1, TOP + 1))])
+                break
+    return np.concatenate(([1.0], d))
 
 
 @dataclass
@@ -341,8 +345,12 @@ def score(docs: DataFrame) -> DataFrame:
     # bucketed by chunk: later joins by chunk move the answers, never the tokens
     name = f"lattiq_chunks_{uuid.uuid4().hex}"
     tokens = chunks_of(docs)
-    tokens.write.format("parquet").option("path", f"{shared_dir(spark)}/{name}").option("compression", "zstd").bucketBy(least, "chunk").saveAsTable(name)
+    # what the plan knows of the input's size; an unknown one is given as near the largest number there is
+    held = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    held = 0 if held >= 1 << 60 else held
+    tokens.write.format("parquet").option("path", f"{shared_dir(spark)}/{name}").option("compression", "zstd").bucketBy(max(least, min(100_000, held // INPUT)), "chunk").saveAsTable(name)
     chunks = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # its files stay, and so does the frame; no name is left in the catalog
     size = chunks.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("t"), F.coalesce(F.sum("n_words"), F.lit(0)).alias("w")).first()
     words, pairs = (max(least, math.ceil(n * b / HELD)) for n, b in ((size.w, 24), (size.t, 9)))
     one = written(totals(grams(chunks, words, 1), 1), "unigrams")
