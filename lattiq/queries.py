@@ -29,18 +29,15 @@ CONFIG = {
         "forbidden_package_dependencies": [{"from": "Brand#1", "to": "Brand#{2,3}"}],
     },
     "runtime": {"browser_incompatible_packages": ["Brand#2*"], "edge_incompatible_packages": ["Brand#1?"]},
-    "rules": {"ARCH-006": {"max_depth": 4, "entrypoints": ["src/*/Brand-3/*.ts"]}, "ARCH-007": {"max_fan_out": 15}, "ARCH-008": {"max_fan_in": 15}, "ARCH-009": {"entrypoints": ["src/*/Brand-3/*.ts"]}},
+    "rules": {"ARCH-006": {"max_depth": 2, "entrypoints": ["src/*/Brand-3/*.ts"]}, "ARCH-007": {"max_fan_out": 15}, "ARCH-008": {"max_fan_in": 15}, "ARCH-009": {"entrypoints": ["src/*/Brand-3/*.ts"]}},
     "overrides": [{"files": ["src/promo/**"], "rules": {"ARCH-003": "warning"}}, {"files": ["src/promo/Brand-5/**"], "rules": {"ARCH-003": "off"}}],
 }
 RUNTIME = "CASE p_size % 6 WHEN 0 THEN 'browser' WHEN 1 THEN 'server' WHEN 2 THEN 'edge' WHEN 3 THEN 'node' WHEN 4 THEN 'universal' ELSE 'unknown' END"
 KIND = "CASE WHEN a.l_returnflag = 'A' THEN 'Static' WHEN a.l_returnflag = 'N' AND a.l_linestatus = 'O' THEN 'ReExport' WHEN a.l_returnflag = 'N' THEN 'Require' WHEN a.l_discount >= 0.08 THEN 'TypeOnly' ELSE 'Dynamic' END"
-MODULE_SQL = f"SELECT p_partkey, concat('src/', lower(p_type), '/', replace(p_brand, '#', '-'), '/m', p_partkey, '.ts') AS id, p_brand AS package, lower(p_type) AS layer, {RUNTIME} AS runtime, p_size % 10 = 0 AS rpc, CASE WHEN p_size = 50 THEN 'external' ELSE 'source' END AS kind FROM part"
+MODULE_SQL = f"SELECT p_partkey, concat('src/', lower(p_type), '/', replace(p_brand, '#', '-'), '/m', p_partkey, '.ts') AS id, p_brand AS package, lower(p_type) AS layer, {RUNTIME} AS runtime, p_size % 10 = 0 AND p_size != 50 AS rpc, CASE WHEN p_size = 50 THEN 'external' ELSE 'source' END AS kind FROM part"
 ITEM_SQL = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_extendedprice, l_quantity, l_discount, l_tax) AS rn FROM lineitem) x WHERE rn = 1"
 EDGE_SQL = f"SELECT a.l_partkey AS f, b.l_partkey AS t, {KIND} AS kind, a.l_orderkey AS line, a.l_linenumber AS col, a.l_returnflag AS flag, a.l_discount AS discount FROM items a JOIN items b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1"
 WITH = f"WITH RECURSIVE modules AS ({MODULE_SQL}), items AS ({ITEM_SQL}), edges AS ({EDGE_SQL}), deps AS (SELECT m.id AS f, n.id AS t, e.kind, e.line, e.col, e.flag, e.discount, m.layer AS fl, n.layer AS tl, m.package AS fp, n.package AS tp FROM edges e JOIN modules m ON e.f = m.p_partkey JOIN modules n ON e.t = n.p_partkey)"
-#: Sparse parts of the graph for traversals that SQL repeats; whole_NAME runs each of them over all dependencies.
-SPARSE = "flag = 'R' AND discount >= 0.065"
-LOOPY = "flag = 'R' AND discount >= 0.055"
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,7 +45,7 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def modules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = view(spark, sf_dir, "part").selectExpr("p_partkey", "concat('src/', lower(p_type), '/', replace(p_brand, '#', '-'), '/m', p_partkey, '.ts') AS id", "p_brand AS package", "lower(p_type) AS layer", f"{RUNTIME} AS runtime", "p_size % 10 = 0 AS rpc", "CASE WHEN p_size = 50 THEN 'external' ELSE 'source' END AS kind")
+    part = view(spark, sf_dir, "part").selectExpr("p_partkey", "concat('src/', lower(p_type), '/', replace(p_brand, '#', '-'), '/m', p_partkey, '.ts') AS id", "p_brand AS package", "lower(p_type) AS layer", f"{RUNTIME} AS runtime", "p_size % 10 = 0 AND p_size != 50 AS rpc", "CASE WHEN p_size = 50 THEN 'external' ELSE 'source' END AS kind")
     attrs = F.create_map(F.lit("rpcBoundary"), F.col("rpc").cast("string"))
     return part.select("p_partkey", "id", F.col("id").alias("path"), "package", "kind", "runtime", F.when(F.col("layer") != "standard", F.col("layer")).alias("layer"), F.struct(F.lit("nextjs").alias("adapter_id"), attrs.alias("attributes")).alias("framework"))
 
@@ -180,10 +177,10 @@ def coverage_threshold(spark, d):
     return rules.coverage(context(spark, d)).select("message", F.size("dependency_path").cast("long").alias("listed"))
 
 
-@query("SELECT fp AS source, tp AS target, count(*) AS imports FROM (SELECT DISTINCT fp, tp FROM deps WHERE fp != tp) GROUP BY fp, tp")
+@query("SELECT fp AS source, tp AS target, min(line * 16 + col) AS first FROM deps WHERE fp != tp GROUP BY fp, tp")
 def package_edges(spark, d):
     c = context(spark, d)
-    return c.packages.select(F.col("from").alias("source"), F.col("to").alias("target"), F.lit(1).cast("long").alias("imports"))
+    return c.packages.select(F.col("from").alias("source"), F.col("to").alias("target"), F.col("ord").alias("first"))
 
 
 @query("SELECT concat('package:', fp) AS source, concat('package:', tp) AS target, min(line * 16 + col) // 16 AS line FROM deps WHERE fp = 'Brand#1' AND tp IN ('Brand#2', 'Brand#3') GROUP BY fp, tp")
@@ -208,125 +205,126 @@ def seeds(spark, d) -> DataFrame:
     return modules(spark, d).where("package = 'Brand#3' AND kind = 'source'").select(F.lit("entry").alias("label"), F.col("id").alias("node"))
 
 
-REACH = f", s AS (SELECT DISTINCT f, t FROM deps WHERE {SPARSE}), r(id) AS ({SEEDS} UNION SELECT s.t FROM r JOIN s ON r.id = s.f)"
+REACH = f", s AS (SELECT DISTINCT f, t FROM deps), r(id) AS ({SEEDS} UNION SELECT s.t FROM r JOIN s ON r.id = s.f)"
 
 
 @query(f"{REACH} SELECT id AS node FROM r")
-def reachable_set(spark, d, where=SPARSE):
-    return graphs.reachable(dependencies(spark, d, where), seeds(spark, d).select("node"), mode="distributed")
+def reachable_set(spark, d):
+    return graphs.reachable(dependencies(spark, d), seeds(spark, d).select("node"), mode="distributed")
 
 
 @query(f"{REACH} SELECT id AS module, 'Source module is unreachable from every configured architecture entrypoint' AS message FROM modules WHERE kind = 'source' AND id NOT IN (SELECT id FROM r)")
-def orphan_modules(spark, d, where=SPARSE):
-    return single(rules.orphan(context(spark, d, where)))
+def orphan_modules(spark, d):
+    return single(rules.orphan(context(spark, d)))
 
 
-DEPTH = f", s AS (SELECT DISTINCT f, t FROM deps WHERE {SPARSE}), r(id, n) AS (SELECT id, 0 FROM modules WHERE package = 'Brand#3' AND kind = 'source' UNION SELECT s.t, r.n + 1 FROM r JOIN s ON r.id = s.f WHERE r.n < 60), best AS (SELECT id, min(n) AS n FROM r GROUP BY id)"
+DEPTH = f", s AS (SELECT DISTINCT f, t FROM deps), r(id, n) AS (SELECT id, 0 FROM modules WHERE package = 'Brand#3' AND kind = 'source' UNION SELECT s.t, r.n + 1 FROM r JOIN s ON r.id = s.f WHERE r.n < 60), best AS (SELECT id, min(n) AS n FROM r GROUP BY id)"
 
 
 @query(f"{DEPTH} SELECT id AS node, CAST(n AS BIGINT) AS depth FROM best")
-def dependency_depth(spark, d, where=SPARSE):
-    return graphs.spread(dependencies(spark, d, where), seeds(spark, d), mode="distributed").select("node", F.col("dist").cast("long").alias("depth"))
+def dependency_depth(spark, d):
+    return graphs.spread(dependencies(spark, d), seeds(spark, d), mode="distributed").select("node", F.col("dist").cast("long").alias("depth"))
 
 
-@query(f"{DEPTH} SELECT id AS module, concat('Dependency depth ', n, ' exceeds configured maximum 4') AS message, CAST(n + 1 AS BIGINT) AS path_length FROM best WHERE n > 4")
-def depth_violations(spark, d, where=SPARSE):
-    return rules.depth(context(spark, d, where)).select(F.element_at("dependency_path", -1).alias("module"), "message", F.size("dependency_path").cast("long").alias("path_length"))
+@query(f"{DEPTH} SELECT id AS module, concat('Dependency depth ', n, ' exceeds configured maximum 2') AS message, CAST(n + 1 AS BIGINT) AS path_length FROM best WHERE n > 2")
+def depth_violations(spark, d):
+    return rules.depth(context(spark, d)).select(F.element_at("dependency_path", -1).alias("module"), "message", F.size("dependency_path").cast("long").alias("path_length"))
 
 
-CHANGED = "SELECT concat('src/', lower(p_type), '/', replace(p_brand, '#', '-'), '/m', p_partkey, '.ts') AS id FROM part WHERE p_partkey IN (SELECT user_id FROM events WHERE event_type = 'error' AND event_id % 50 = 0)"
+CHANGED = "SELECT concat('src/', lower(p_type), '/', replace(p_brand, '#', '-'), '/m', p_partkey, '.ts') AS id FROM part WHERE p_partkey IN (SELECT user_id FROM events WHERE event_type = 'error')"
 
 
-SAMPLED = "event_type = 'error' AND event_id % 50 = 0"
-
-
-def changed(spark, d, users: str = SAMPLED) -> DataFrame:
-    users = view(spark, d, "events").where(users).select(F.col("user_id").alias("p_partkey")).distinct()
+def changed(spark, d) -> DataFrame:
+    users = view(spark, d, "events").where("event_type = 'error'").select(F.col("user_id").alias("p_partkey")).distinct()
     return modules(spark, d).join(users, "p_partkey", "left_semi").select(F.col("id").alias("path"), F.lit("M").alias("status"))
 
 
-@query(f", s AS (SELECT DISTINCT f, t FROM deps WHERE {SPARSE}), r(id) AS ({CHANGED} UNION SELECT s.f FROM r JOIN s ON r.id = s.t) SELECT id AS path FROM r")
-def impact_closure(spark, d, where=SPARSE, users=SAMPLED):
-    return views.impact(project(spark, d, where), changed(spark, d, users))
+@query(f", s AS (SELECT DISTINCT f, t FROM deps), r(id) AS ({CHANGED} UNION SELECT s.f FROM r JOIN s ON r.id = s.t) SELECT id AS path FROM r")
+def impact_closure(spark, d):
+    return views.impact(project(spark, d), changed(spark, d))
 
 
-@query(f", c AS ({CHANGED}) SELECT id AS path FROM c UNION SELECT t FROM deps WHERE {SPARSE} AND f IN (SELECT id FROM c) UNION SELECT f FROM deps WHERE {SPARSE} AND t IN (SELECT id FROM c)")
-def edge_affected_region(spark, d, where=SPARSE, users=SAMPLED):
-    return views.edge_region(dependencies(spark, d, where), changed(spark, d, users).select("path"))
+@query(f", c AS ({CHANGED}) SELECT id AS path FROM c UNION SELECT t FROM deps WHERE f IN (SELECT id FROM c) UNION SELECT f FROM deps WHERE t IN (SELECT id FROM c)")
+def edge_affected_region(spark, d):
+    return views.edge_region(dependencies(spark, d), changed(spark, d).select("path"))
 
 
 def reach_sql(targets: str, sources: str) -> str:
-    """Sources that reach targets over edges that run, not through boundaries (but from them)."""
-    return f", s AS (SELECT DISTINCT f, t FROM deps WHERE {SPARSE} AND kind != 'TypeOnly'), r(id) AS (SELECT id FROM modules WHERE {targets} UNION SELECT s.f FROM r JOIN s ON r.id = s.t WHERE r.id NOT IN (SELECT id FROM modules WHERE rpc)) SELECT id AS module FROM r WHERE id IN (SELECT id FROM modules WHERE kind != 'external' AND {sources})"
+    """Sources that reach targets over edges that run, not through boundaries (but from them), and the fewest steps."""
+    return (
+        f", s AS (SELECT DISTINCT f, t FROM deps WHERE kind != 'TypeOnly'), r(id, n) AS (SELECT id, 0 FROM modules WHERE {targets} UNION SELECT s.f, r.n + 1 FROM r JOIN s ON r.id = s.t WHERE r.n < 60 AND r.id NOT IN (SELECT id FROM modules WHERE rpc)) "
+        f"SELECT id AS module, CAST(min(n) AS BIGINT) AS hops FROM r WHERE id IN (SELECT id FROM modules WHERE kind != 'external' AND {sources}) GROUP BY id"
+    )
 
 
 def first_of(df: DataFrame) -> DataFrame:
-    return df.select(F.element_at("dependency_path", 1).alias("module"))
+    """Where the path that a rule shows begins, and its steps, the fewest there are."""
+    return df.select(F.element_at("dependency_path", 1).alias("module"), (F.size("dependency_path") - 1).cast("long").alias("hops"))
 
 
 @query(reach_sql("runtime = 'server'", "runtime = 'browser'"))
-def runtime_reach_server(spark, d, where=SPARSE):
-    return first_of(rules.browser_to_server(context(spark, d, where)))
+def runtime_reach_server(spark, d):
+    return first_of(rules.browser_to_server(context(spark, d)))
 
 
 @query(reach_sql("runtime = 'node'", "runtime = 'browser'"))
-def runtime_reach_node(spark, d, where=SPARSE):
-    return first_of(rules.browser_to_node(context(spark, d, where)))
+def runtime_reach_node(spark, d):
+    return first_of(rules.browser_to_node(context(spark, d)))
 
 
 @query(reach_sql("kind = 'external' AND regexp_matches(package, '^Brand#2[^/]*$')", "runtime = 'browser'"))
-def browser_incompatible_package(spark, d, where=SPARSE):
-    return first_of(rules.browser_package(context(spark, d, where)))
+def browser_incompatible_package(spark, d):
+    return first_of(rules.browser_package(context(spark, d)))
 
 
 @query(reach_sql("(runtime = 'node' OR (kind = 'external' AND regexp_matches(package, '^Brand#1[^/]$')))", "runtime = 'edge'"))
-def edge_incompatible(spark, d, where=SPARSE):
-    return first_of(rules.edge_runtime(context(spark, d, where)))
+def edge_incompatible(spark, d):
+    return first_of(rules.edge_runtime(context(spark, d)))
 
 
 @query(
-    f", s AS (SELECT DISTINCT f, t FROM deps WHERE {SPARSE} AND kind != 'TypeOnly'), shut AS (SELECT id FROM modules WHERE rpc), "
+    f", s AS (SELECT DISTINCT f, t FROM deps WHERE kind != 'TypeOnly'), shut AS (SELECT id FROM modules WHERE rpc), "
     "b(id) AS (SELECT id FROM modules WHERE runtime = 'browser' AND kind != 'external' UNION SELECT s.f FROM b JOIN s ON b.id = s.t WHERE b.id NOT IN (SELECT id FROM shut)), "
     "n(id) AS (SELECT id FROM modules WHERE runtime IN ('server', 'node') UNION SELECT s.f FROM n JOIN s ON n.id = s.t WHERE n.id NOT IN (SELECT id FROM shut)) "
     "SELECT id AS module FROM modules WHERE runtime = 'universal' AND kind != 'external' AND id IN (SELECT id FROM b) AND id IN (SELECT id FROM n)"
 )
-def universal_ambiguous(spark, d, where=SPARSE):
-    return first_of(rules.ambiguous(context(spark, d, where)))
+def universal_ambiguous(spark, d):
+    return first_of(rules.ambiguous(context(spark, d))).select("module")
 
 
 @query(
-    f", s AS (SELECT DISTINCT f, t FROM deps WHERE {SPARSE}), may AS (SELECT id FROM modules WHERE runtime = 'universal'), shut AS (SELECT id FROM modules WHERE rpc OR runtime NOT IN ('universal', 'browser')), "
+    f", s AS (SELECT DISTINCT f, t FROM deps), may AS (SELECT id FROM modules WHERE runtime = 'universal'), shut AS (SELECT id FROM modules WHERE rpc OR runtime NOT IN ('universal', 'browser')), "
     "r(id) AS (SELECT id FROM modules WHERE runtime = 'browser' AND kind != 'external' UNION SELECT s.t FROM r JOIN s ON r.id = s.f WHERE r.id NOT IN (SELECT id FROM shut)) "
     "SELECT runtime_after AS runtime, count(*) AS modules FROM (SELECT CASE WHEN kind != 'external' AND id IN (SELECT id FROM may) AND id IN (SELECT id FROM r) THEN 'browser' ELSE runtime END AS runtime_after FROM modules) GROUP BY 1"
 )
-def runtime_propagation(spark, d, where=SPARSE):
-    out = classify.propagate_client(modules(spark, d), dependencies(spark, d, where))
+def runtime_propagation(spark, d):
+    out = classify.propagate_client(modules(spark, d), dependencies(spark, d))
     return out.groupBy("runtime").agg(F.count(F.lit(1)).alias("modules"))
 
 
-CLOSURE = "s AS (SELECT DISTINCT f, t FROM deps WHERE {}), c(f, t) AS (SELECT f, t FROM s UNION SELECT c.f, s.t FROM c JOIN s ON c.t = s.f)"
+CLOSURE = "s AS (SELECT DISTINCT f, t FROM deps{}), c(f, t) AS (SELECT f, t FROM s UNION SELECT c.f, s.t FROM c JOIN s ON c.t = s.f)"
 
 
-@query(f", {CLOSURE.format(SPARSE)} SELECT a.f AS node, least(a.f, min(a.t)) AS scc FROM c a JOIN c b ON a.f = b.t AND a.t = b.f GROUP BY a.f")
-def scc_members(spark, d, where=SPARSE):
+@query(f", {CLOSURE.format('')} SELECT a.f AS node, least(a.f, min(a.t)) AS scc FROM c a JOIN c b ON a.f = b.t AND a.t = b.f GROUP BY a.f")
+def scc_members(spark, d):
     """Nodes on a cycle with the lowest node of their component, found by distributed loops."""
-    e = written(dependencies(spark, d, where).select("from", "to").distinct(), "edges")
+    e = written(dependencies(spark, d).select("from", "to").distinct(), "edges")
     found = written(graphs.components(e, "distributed"), "scc")
     many = found.groupBy("scc").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("scc")
     loops = e.where("`from` = `to`").select(F.col("from").alias("node"), F.col("from").alias("scc"))
     return found.join(many, "scc", "left_semi").select("node", "scc").unionByName(loops.join(found.join(many, "scc", "left_semi"), "node", "left_anti"))
 
 
-@query(f", {CLOSURE.format(LOOPY)}, m AS (SELECT a.f AS node, least(a.f, min(a.t)) AS scc FROM c a JOIN c b ON a.f = b.t AND a.t = b.f GROUP BY a.f) SELECT count(*) AS size, count(DISTINCT scc) AS cycles FROM m GROUP BY scc")
-def cyclic_modules(spark, d, where=LOOPY):
+@query(f", {CLOSURE.format('')}, m AS (SELECT a.f AS node, least(a.f, min(a.t)) AS scc FROM c a JOIN c b ON a.f = b.t AND a.t = b.f GROUP BY a.f) SELECT count(*) AS size FROM m GROUP BY scc")
+def cyclic_modules(spark, d):
     """Sizes of the components that rule ARCH-001 reports."""
-    found = graphs.cycles(dependencies(spark, d, where))
-    return found.select(F.col("size").cast("long").alias("size"), F.lit(1).cast("long").alias("cycles"))
+    found = graphs.cycles(dependencies(spark, d))
+    return found.select(F.col("size").cast("long").alias("size"))
 
 
-@query(f", {CLOSURE.format(SPARSE + ' AND fp != tp').replace('SELECT DISTINCT f, t', 'SELECT DISTINCT fp AS f, tp AS t')}, m AS (SELECT a.f AS node, least(a.f, min(a.t)) AS scc FROM c a JOIN c b ON a.f = b.t AND a.t = b.f GROUP BY a.f) SELECT count(*) AS packages FROM m GROUP BY scc")
-def package_cycles(spark, d, where=SPARSE):
-    return graphs.cycles(context(spark, d, where).packages).select(F.col("size").cast("long").alias("packages"))
+@query(f", {CLOSURE.format(' WHERE fp != tp').replace('SELECT DISTINCT f, t', 'SELECT DISTINCT fp AS f, tp AS t')}, m AS (SELECT a.f AS node, least(a.f, min(a.t)) AS scc FROM c a JOIN c b ON a.f = b.t AND a.t = b.f GROUP BY a.f) SELECT count(*) AS packages FROM m GROUP BY scc")
+def package_cycles(spark, d):
+    return graphs.cycles(context(spark, d).packages).select(F.col("size").cast("long").alias("packages"))
 
 
 @query()
@@ -341,9 +339,9 @@ def runtime_cycles(spark, d):
     return rules.runtime_cycle(context(spark, d)).select(F.array_join("dependency_path", " -> ").alias("path"), "message")
 
 
-@query(f", s AS (SELECT DISTINCT f, t FROM deps WHERE {SPARSE}), a AS (SELECT min(f) AS id FROM s), r(id, n) AS (SELECT id, 0 FROM a UNION SELECT s.t, r.n + 1 FROM r JOIN s ON r.id = s.f WHERE r.n < 60) SELECT id AS target, CAST(min(n) AS BIGINT) AS hops FROM r GROUP BY id")
-def shortest_path_pairs(spark, d, where=SPARSE):
-    e = dependencies(spark, d, where)
+@query(f", s AS (SELECT DISTINCT f, t FROM deps), a AS (SELECT min(f) AS id FROM s), r(id, n) AS (SELECT id, 0 FROM a UNION SELECT s.t, r.n + 1 FROM r JOIN s ON r.id = s.f WHERE r.n < 60) SELECT id AS target, CAST(min(n) AS BIGINT) AS hops FROM r GROUP BY id")
+def shortest_path_pairs(spark, d):
+    e = dependencies(spark, d)
     start = e.agg(F.min("from").alias("node")).select(F.lit("s").alias("label"), "node")
     return graphs.spread(e, start).select(F.col("node").alias("target"), (F.size("path") - 1).cast("long").alias("hops"))
 
@@ -405,9 +403,9 @@ def baseline_new(spark, d):
 
 
 @query(f", {POLICY} SELECT count(*) FILTER (fp_ IN (SELECT fp_ FROM p WHERE line % 2 = 0)) AS existing, count(*) FILTER (fp_ NOT IN (SELECT fp_ FROM p WHERE line % 2 = 0)) AS introduced, 1 AS fixed, (SELECT count(*) FROM ({CHANGED})) AS affected FROM p")
-def regression_summary(spark, d, users=SAMPLED):
+def regression_summary(spark, d):
     live = written(diagnostics.fingerprinted(rules.forbidden(context(spark, d))), "live")
-    return diagnostics.regression_summary(live, baseline(spark, d), changed(spark, d, users))
+    return diagnostics.regression_summary(live, baseline(spark, d), changed(spark, d))
 
 
 @query("SELECT id, list_reduce(list_prepend(14695981039346656037::UHUGEINT, list_transform(range(1, strlen(id) + 1), lambda x: ascii(substr(id, CAST(x AS INTEGER), 1))::UHUGEINT)), lambda h, b: (xor(h, b) * 1099511628211::UHUGEINT) % 18446744073709551616::UHUGEINT)::VARCHAR AS hash FROM modules")
@@ -502,21 +500,6 @@ def rule_catalogue(spark, d):
     return views.rules_table(spark)
 
 
-ERRORS = "event_type = 'error'"
-
-
-def whole(f: Callable, **every) -> None:
-    """Registers ``f`` over all rows as whole_NAME, beside the subset that its SQL can close."""
-    QUERIES[f"whole_{f.__name__}"] = lambda spark, d: f(spark, d, **every)
-
-
-for _f in (reachable_set, orphan_modules, dependency_depth, depth_violations, runtime_reach_server, runtime_reach_node, browser_incompatible_package, edge_incompatible, universal_ambiguous, runtime_propagation, scc_members, cyclic_modules, package_cycles, shortest_path_pairs):
-    whole(_f, where=None)
-for _f in (impact_closure, edge_affected_region):
-    whole(_f, where=None, users=ERRORS)
-whole(regression_summary, users=ERRORS)
-
-
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All configured edge, metric and package rules, arbitrated, with fingerprints."""
     only = {"ARCH-002", "ARCH-003", "ARCH-004", "ARCH-005", "ARCH-007", "ARCH-008", "ARCH-010", "ARCH-011", "PACKAGE-002", "PACKAGE-003", "PACKAGE-004"}

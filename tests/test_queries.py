@@ -2,7 +2,9 @@ import os
 
 import pytest
 
-from lattiq.queries import QUERIES, SQL
+from lattiq import ingest_queries, queries
+
+QUERIES, SQL = queries.QUERIES | ingest_queries.QUERIES, queries.SQL | ingest_queries.SQL
 
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -20,11 +22,12 @@ def duck():
     return c
 
 
-@pytest.mark.parametrize("name", sorted(set(SQL) - {"scc_members", "reachable_set", "dependency_depth"}))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_query_equals_sql(spark, duck, name):
     got, want = QUERIES[name](spark, DIR).toPandas(), duck.execute(SQL[name]).df()
     cols = sorted(want.columns)
     assert sorted(got.columns) == cols
+    assert len(got) == len(want)
     order = lambda x: x[cols].astype(str).sort_values(cols).reset_index(drop=True)
     assert order(got).equals(order(want))
 
