@@ -76,7 +76,7 @@ def render(a: Analysis, form: str, verbose: bool, regression: dict | None) -> st
 
 def cmd_check(args, spark: SparkSession) -> int:
     config = config_of(args)
-    a = check(spark, args.root, config)
+    a = check(spark, args.root, config, cache=args.cache)
     regression = None
     path = os.path.join(args.root, args.baseline or config["baseline"]["file"])
     if args.changed or args.baseline:
@@ -253,6 +253,7 @@ def parser() -> argparse.ArgumentParser:
         s = sub.add_parser(name)
         s.add_argument("--root", default=".")
         s.add_argument("--config")
+        s.add_argument("--cache")
         for flags, kw in options:
             s.add_argument(*flags, **kw)
         s.set_defaults(run=run)

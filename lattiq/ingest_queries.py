@@ -275,13 +275,13 @@ SAID = "CASE p_partkey % 7 WHEN 0 THEN concat('// lattiq-ignore ARCH-003 -- reas
 
 @query(
     "SELECT p_partkey AS line, p_partkey % 7 = 1 AS file_scope, CASE p_partkey % 7 WHEN 1 THEN 'ARCH-001' ELSE 'ARCH-003' END AS rule, CASE p_partkey % 7 WHEN 0 THEN concat('reason ', p_partkey) ELSE 'old -- code' END AS said FROM part WHERE p_partkey % 7 < 2 AND p_size % 2 = 0 "
-    "UNION ALL SELECT p_partkey, NULL, 'SUPPRESS-001', CASE p_partkey % 7 WHEN 2 THEN 'Suppression references unknown rule `NOPE`' ELSE 'Suppression for `ARCH-003` requires a reason after `--`' END FROM part WHERE p_partkey % 7 IN (2, 3) AND p_size % 2 = 0"
+    "UNION ALL SELECT p_partkey, false, 'SUPPRESS-001', CASE p_partkey % 7 WHEN 2 THEN 'Suppression references unknown rule `NOPE`' ELSE 'Suppression for `ARCH-003` requires a reason after `--`' END FROM part WHERE p_partkey % 7 IN (2, 3) AND p_size % 2 = 0"
 )
 def suppression_directives(spark, d):
     """What comments suppress, and warnings on those with unknown rules or without a reason; only comments that stand alone count."""
     text = F.struct(F.expr(SAID).alias("text"), F.col("p_partkey").cast("int").alias("line"), F.lit(1).alias("column"), (F.col("p_size") % 2 == 0).alias("standalone")).cast(COMMENT)
     good, bad = diagnostics.directives(view(spark, d, "part").select(F.lit("src/a.ts").alias("path"), text.alias("comment")))
-    wrong = bad.select(F.col("primary_location.line").cast("long").alias("line"), F.lit(None).cast("boolean").alias("file_scope"), F.col("rule_id").alias("rule"), F.col("message").alias("said"))
+    wrong = bad.select(F.col("primary_location.line").cast("long").alias("line"), F.lit(False).alias("file_scope"), F.col("rule_id").alias("rule"), F.col("message").alias("said"))
     return good.select(F.col("line").cast("long").alias("line"), "file_scope", "rule", F.col("reason").alias("said")).unionByName(wrong)
 
 

@@ -19,6 +19,8 @@ from lattiq.storage import written
 
 #: Edges up to which one task holds a graph.
 LOCAL_EDGES = 500_000
+#: Levels of a traversal after which what it has found is written as one table.
+LEVELS = 8
 
 
 class Graph:
@@ -176,6 +178,8 @@ def spread(edges: DataFrame, seeds: DataFrame, closed: DataFrame | None = None,
         fresh = fresh.join(found.select("label", "node"), ["label", "node"], "left_anti")
         frontier = ranked(fresh, ["label", "before", "node"]).select("label", "node", "dist", "via", "path", "rank")
         found = found.unionByName(frontier)
+        if level % LEVELS == 0:  # else a deep graph plans a scan for each level
+            found = written(found, "found")
     return found.drop("rank")
 
 
@@ -196,6 +200,19 @@ def reachable(edges: DataFrame, seeds: DataFrame, closed: DataFrame | None = Non
     return spread(edges, seeds.select(F.lit("s").alias("label"), "node"), closed, mode=mode, paths=False).select("node")
 
 
+def reachable_from(edges: DataFrame, start: str, mode: str = "auto") -> DataFrame:
+    """node of all that ``start`` reaches, itself left out."""
+    seed = edges.sparkSession.createDataFrame([(start,)], "node string")
+    return reachable(edges, seed, mode=mode).where(F.col("node") != start)
+
+
+def has_path(edges: DataFrame, nodes: DataFrame, start: str, end: str, mode: str = "auto") -> bool:
+    """Whether ``end`` can be reached; a node reaches itself if it is one of ``nodes`` (node)."""
+    if start == end:
+        return nodes.where(F.col("node") == start).limit(1).count() > 0
+    return shortest_path(edges, start, end, mode).limit(1).count() > 0
+
+
 def cycles(edges: DataFrame, mode: str = "auto") -> DataFrame:
     """cycle (closed path) of each strongly connected component that has one, and its size.
 

@@ -50,12 +50,12 @@ def read_project(spark: SparkSession, root: str, config: Config) -> Inputs:
     return Inputs(written(files, "files"), written(inputs, "inputs"), written(every, "every"), os.path.basename(root.rstrip("/")) or "project")
 
 
-def materialise(spark: SparkSession, given: Inputs, config: Config, mode: str = "auto", overlays: DataFrame | None = None) -> Frames:
+def materialise(spark: SparkSession, given: Inputs, config: Config, mode: str = "auto", overlays: DataFrame | None = None, parse=parse_files) -> Frames:
     """All relations of a project, up to the client runtime's propagation."""
     files = repository.overlaid(given.files, overlays) if overlays is not None else given.files
     every = given.every.select("path").unionByName(files.select("path")).distinct()
     manifests = repository.manifests(spark, given.inputs)
-    parsed = written(parse_files(files), "parsed")
+    parsed = written(parse(files), "parsed")
     imports = parsed.where("error is null").select(F.col("path").alias("module_id"), F.posexplode("imports").alias("k", "i")).select("module_id", "i.specifier", "i.kind", "i.location", F.struct("module_id", "k").alias("o"))
     imports = written(imports.orderBy("o").withColumn("ord", F.monotonically_increasing_id()).drop("o"), "imports")
     found = written(resolve.resolve(imports, every, manifests, repository.tsconfigs(spark, given.inputs), repository.scopes(given.inputs), config), "found")
@@ -141,12 +141,17 @@ def analyze(spark: SparkSession, frames: Frames, config: Config, mode: str = "au
     return Analysis(frames, config, diags, context, {"rules_s": time.time() - began})
 
 
-def check(spark: SparkSession, root: str, config: Config, mode: str = "auto", overlays: DataFrame | None = None, **kw) -> Analysis:
-    """A source tree from end to end."""
+def check(spark: SparkSession, root: str, config: Config, mode: str = "auto", overlays: DataFrame | None = None, cache: str | None = None, **kw) -> Analysis:
+    """A source tree from end to end; parsed facts are kept in a table at ``cache`` where one is named."""
     began = time.time()
     given = read_project(spark, root, config)
     scanned = time.time()
-    frames = materialise(spark, given, config, mode, overlays)
+    parse = parse_files
+    if cache:
+        from lattiq.plans.incremental import cached_parser, environment_hash
+
+        parse = cached_parser(cache, environment_hash(given.inputs, config))
+    frames = materialise(spark, given, config, mode, overlays, parse)
     built = time.time()
     out = analyze(spark, frames, config, mode, **kw)
     out.timings |= {"scan_s": scanned - began, "facts_s": built - scanned}

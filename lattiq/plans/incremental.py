@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import time
 from collections import OrderedDict
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,10 +18,12 @@ from lattiq.operators.diagnostics import FIELDS
 from lattiq.plans.analyze import Analysis, post_process
 from lattiq.registry import RULES
 from lattiq.schemas import Frames
+from lattiq.sources.parser import parse_files
 from lattiq.storage import written
 
 #: The cache's layout; a table of another one is not read.
 CACHE_VERSION, SHARDS = 1, 256
+PARSED_COLUMNS = ("path", "imports", "directives", "exported_runtime", "marker_imports", "comments", "error")
 
 
 def with_hashes(files: DataFrame) -> DataFrame:
@@ -46,6 +49,35 @@ def write_cache(parsed: DataFrame, files: DataFrame, environment: str, path: str
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
 
 
+def reusable(cache: DataFrame, files: DataFrame, environment: str) -> tuple[DataFrame, DataFrame]:
+    """(parsed, todo): cached rows of files whose content and environment are the same, and the files without one."""
+    same = cache.where((F.col("version") == CACHE_VERSION) & (F.col("environment") == environment))
+    kept = same.join(with_hashes(files).select("path", "hash"), ["path", "hash"], "left_semi")
+    return kept.select(*PARSED_COLUMNS), files.join(kept.select("path"), "path", "left_anti")
+
+
+def cached_parser(path: str, environment: str) -> Callable[[DataFrame], DataFrame]:
+    """A parser of files that keeps its rows in a table at ``path`` and parses only what isn't there."""
+
+    def parse(files: DataFrame) -> DataFrame:
+        spark = files.sparkSession
+        files = written(files.select("path", "source"), "sources")
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+            kept, todo = reusable(spark.read.parquet(path), files, environment)
+        else:
+            kept, todo = None, files
+        todo = written(todo, "todo")
+        fresh = parse_files(todo)
+        # the table is written over, so what is read of it ends here
+        every = written(fresh if kept is None else kept.unionByName(fresh), "parsed")
+        if kept is None or todo.limit(1).count():
+            write_cache(every, files, environment, path)
+        return every
+
+    return parse
+
+
 def valid(cache: DataFrame, files: DataFrame, environment: str, live: DataFrame, found: DataFrame) -> DataFrame:
     """Cached rows that still hold: same content and environment, resolved targets that
     still exist, and no candidate of an unresolved import that has appeared.
@@ -65,9 +97,14 @@ def overlay_changes(files: DataFrame, snapshot: DataFrame) -> DataFrame:
     return both.select("path", F.when(F.col("new").isNull(), "D").when(F.col("old").isNull(), "A").otherwise("M").alias("status"))
 
 
-def relation_hash(df: DataFrame) -> int:
-    """A hash of a relation's rows that doesn't depend on their order."""
-    return df.agg(F.coalesce(F.bit_xor(F.xxhash64(F.to_json(F.struct(*df.columns)))), F.lit(0)).alias("h"), F.count(F.lit(1)).alias("n")).select(F.xxhash64("h", "n").alias("h")).first().h
+def relation_hash(df: DataFrame | None) -> int:
+    """A hash of a relation's rows that doesn't depend on their order; repeated rows count. 0 for none."""
+    if df is None:
+        return 0
+    row = F.xxhash64(F.to_json(F.struct(*df.columns)))
+    # two sums of halves, which don't overflow below two thousand million rows
+    halves = [F.coalesce(F.sum(x), F.lit(0)).alias(n) for x, n in ((F.shiftrightunsigned(row, 32), "a"), (row.bitwiseAND(F.lit(0xFFFFFFFF)), "b"))]
+    return df.agg(*halves, F.count(F.lit(1)).alias("n")).select(F.xxhash64("a", "b", "n").alias("h")).first().h
 
 
 @dataclass
@@ -82,23 +119,30 @@ class Stats:
     removed: int = 0
 
 
+#: Relations that rules read beside modules and dependencies.
+READS = {"ARCH-002": ("resolved",), "ARCH-004": ("features",), "ARCH-005": ("features",), "ARCH-010": ("ownership",), "ARCH-011": ("ownership",), "PACKAGE-003": ("resolved", "declared"), "PACKAGE-004": ("resolved",)}
+
+
 @dataclass
 class RuleCache:
-    """Diagnostics of each rule with the hash of what its scope reads."""
+    """Diagnostics of each rule with the hashes of the graph and of what else the rule reads."""
 
-    partitions: dict[str, tuple[int, DataFrame]] = field(default_factory=dict)
+    partitions: dict[str, tuple[tuple[int, str], DataFrame]] = field(default_factory=dict)
 
 
-def scope_hashes(frames: Frames) -> dict[str, int]:
-    edges = relation_hash(frames.dependencies.select("from", "to", "kind", "location", "ord"))
-    mods = relation_hash(frames.modules)
-    return {"edge": hash((edges, mods)), "closure": hash((edges, mods)), "global": hash((edges, mods))}
+def rule_hashes(frames: Frames, config: Config) -> dict[str, tuple[int, str]]:
+    """For each rule a hash of modules and dependencies, and one of its other relations and the configuration."""
+    own = fnv_of(json.dumps(config.data, sort_keys=True, default=str))
+    graph = relation_hash(frames.dependencies.select("from", "to", "kind", "location", "ord")), relation_hash(frames.modules)
+    more = {n: relation_hash(getattr(frames, n)) for n in sorted({n for ns in READS.values() for n in ns})}
+    return {r: (fnv_of(str(graph)), fnv_of(str([own, *(more[n] for n in READS.get(r, ()))]))) for r in RULES}
 
 
 def reanalyze(frames: Frames, config: Config, cache: RuleCache, affected: DataFrame | None = None, mode: str = "auto") -> tuple[Analysis, Stats]:
-    """Rules over a changed project: unchanged partitions are reused, rules on edges run
-    over the affected region (path) alone and keep their other diagnostics, others run in full."""
-    stats, hashes = Stats(), scope_hashes(frames)
+    """Rules over a changed project: partitions of which nothing read has changed are reused. Where
+    the graph alone has changed, rules on edges run over the affected region (path) and keep
+    their other diagnostics; others run in full."""
+    stats, hashes = Stats(), rule_hashes(frames, config)
     full = rules.Context(frames, config, mode)
     near = None
     if affected is not None:
@@ -109,11 +153,11 @@ def reanalyze(frames: Frames, config: Config, cache: RuleCache, affected: DataFr
     for rule in config.enabled_rules():
         scope = RULES[rule].scope
         old = cache.partitions.get(rule)
-        if old and old[0] == hashes[scope]:
+        if old and old[0] == hashes[rule]:
             stats.rules_reused += 1
             parts.append(old[1])
             continue
-        if old and near is not None and scope == "edge" and rule not in ("ARCH-007", "ARCH-008", "PACKAGE-002"):
+        if old and near is not None and scope == "edge" and old[0][1] == hashes[rule][1] and rule not in ("ARCH-007", "ARCH-008", "PACKAGE-002"):
             stats.rules_scoped += 1
             touched = near.affected.select(F.col("path").alias("p"))
             ends = old[1].withColumn("p", F.explode("dependency_path")).join(touched, "p", "left_semi").select("fingerprint").distinct()
@@ -125,7 +169,7 @@ def reanalyze(frames: Frames, config: Config, cache: RuleCache, affected: DataFr
         if old:
             stats.added += fresh.join(old[1], "fingerprint", "left_anti").count()
             stats.removed += old[1].join(fresh, "fingerprint", "left_anti").count()
-        cache.partitions[rule] = (hashes[scope], fresh)
+        cache.partitions[rule] = (hashes[rule], fresh)
         parts.append(fresh)
     raw = parts[0] if parts else rules.none(full)
     for p in parts[1:]:
@@ -174,4 +218,4 @@ class Tickets:
         return ticket == self.current
 
 
-__all__ = ["RuleCache", "Sessions", "Stats", "Tickets", "environment_hash", "fnv1a", "overlay_changes", "reanalyze", "relation_hash", "valid", "with_hashes", "write_cache"]
+__all__ = ["RuleCache", "Sessions", "Stats", "Tickets", "cached_parser", "environment_hash", "fnv1a", "overlay_changes", "reanalyze", "relation_hash", "reusable", "rule_hashes", "valid", "with_hashes", "write_cache"]

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from itertools import groupby
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,13 +18,15 @@ from lattiq.schemas import CHANGES, FILES, MANIFESTS, TSCONFIGS
 #: Files beside sources that an analysis depends on (fixed values).
 INPUTS = r"(?:^|/)(?:package\.json|pnpm-workspace\.yaml|[tj]sconfig[^/]*\.json|next\.config\.[cm]?[jt]s)$"
 
-#: Larger files with hidden names aren't read.
-HIDDEN_BYTES = 4 << 20
+#: Ignore files up to this size are read, whatever the limit for sources.
+IGNORE_BYTES = 1 << 20
 
 
-def scan(spark: SparkSession, root: str) -> DataFrame:
+def scan(spark: SparkSession, root: str, most: int | None = 0) -> DataFrame:
     """path (relative, with slashes), length and content of all files below a folder of any store Spark reads.
 
+    Files with hidden names are all listed; of those up to ``most`` bytes (None: any) the content is read too.
+
     Spark's readers pass over names that begin with a dot or an underscore; a source
     tree has few of these, and they are read through the store's own client.
     """
@@ -39,10 +42,13 @@ def scan(spark: SparkSession, root: str) -> DataFrame:
         status = listing.next()
         path = re.sub("^[a-z]+:/*", "/", status.getPath().toString())[len(at) + 1 :]
         parts = path.split("/")
-        if any(p[:1] in "._" for p in parts) and not {".git", "node_modules"} & set(parts[:-1]) and status.getLen() <= HIDDEN_BYTES:
-            stream = fs.open(status.getPath())
-            rows.append((path, status.getLen(), bytearray(jvm.org.apache.commons.io.IOUtils.toByteArray(stream))))
-            stream.close()
+        if any(p[:1] in "._" for p in parts) and not {".git", "node_modules"} & set(parts[:-1]):
+            content = None
+            if most is None or status.getLen() <= most:
+                stream = fs.open(status.getPath())
+                content = bytearray(jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
+                stream.close()
+            rows.append((path, status.getLen(), content))
     hidden = spark.createDataFrame(rows, "path string, length bigint, content binary")
     return seen.join(hidden.select("path"), "path", "left_anti").unionByName(hidden)
 
@@ -75,9 +81,11 @@ def discover(spark: SparkSession, root: str, config: Config) -> tuple[DataFrame,
     for r in project["roots"]:
         if ".." in r.split("/") or os.path.isabs(r):
             raise ConfigError(f"project.roots: `{r}` leaves the project")
-    every = scan(spark, root).where(~F.col("path").rlike(r"(^|/)\.git/"))
+    every = scan(spark, root, max(project["max_file_size_kb"] * 1024, IGNORE_BYTES)).where(~F.col("path").rlike(r"(^|/)\.git/"))
     lists = every.where(F.col("path").rlike(r"(^|/)\.gitignore$")).select("path", F.decode("content", "UTF-8").alias("t")).collect()
-    for pattern, drop in ignored([(os.path.dirname(r.path), r.t) for r in lists]):
+    # one expression for each run of lines with the same verdict
+    for drop, run in groupby(ignored([(os.path.dirname(r.path), r.t or "") for r in lists]), key=lambda x: x[1]):
+        pattern = "|".join(f"(?:{p})" for p, _ in run)
         every = every.withColumn("gone", F.when(F.col("path").rlike(pattern), drop).otherwise(F.col("gone") if "gone" in every.columns else F.lit(False)))
     if "gone" in every.columns:
         every = every.where("not gone").drop("gone")

@@ -96,3 +96,15 @@ def test_modes_agree_on_cyclic_components_of_random_graphs(spark):
         found[mode] = {of[r.cycle[0]]: (r.size, r.cycle) for r in rows}
         assert len(found[mode]) == len(rows)
     assert {k: v[0] for k, v in found["local"].items()} == {k: v[0] for k, v in found["distributed"].items()}
+
+
+def test_long_chain_and_reachability(spark):
+    names = [f"n{i:03d}" for i in range(25)]
+    edges = spark.createDataFrame(list(zip(names, names[1:], strict=False)), "`from` string, to string")
+    seeds = spark.createDataFrame([("s", names[0])], "label string, node string")
+    got = {r.node: (r.dist, r.path) for r in graphs.spread(edges, seeds, mode="distributed").collect()}
+    assert got == {n: (i, names[: i + 1]) for i, n in enumerate(names)}
+    assert graphs.reachable_from(edges, names[20]).count() == 4
+    nodes = spark.createDataFrame([(n,) for n in names], "node string")
+    assert graphs.has_path(edges, nodes, names[3], names[9]) and not graphs.has_path(edges, nodes, names[9], names[3])
+    assert graphs.has_path(edges, nodes, names[3], names[3]) and not graphs.has_path(edges, nodes, "none", "none")

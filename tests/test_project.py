@@ -121,6 +121,46 @@ def test_incremental_equals_full(spark, done):
     assert found(again) == found(first) == found(done)
 
 
+def test_changes_beside_the_graph_are_seen(spark, done):
+    """What rules read beside modules and dependencies, and the configuration, ends their partitions."""
+    import dataclasses
+
+    cache, c = incremental.RuleCache(), config.from_dict(CONFIG)
+    incremental.reanalyze(done.frames, c, cache)
+    every = done.frames.modules.select("package").distinct()
+    declared = every.crossJoin(every.withColumnRenamed("package", "dependency"))
+    changed = dataclasses.replace(done.frames, declared=declared)
+    some = done.frames.files.select("path").limit(1)
+    again, stats = incremental.reanalyze(changed, c, cache, affected=some)
+    full, _ = incremental.reanalyze(changed, c, incremental.RuleCache())
+    assert (stats.rules_full, stats.rules_reused) == (1, 20)
+    assert found(again) == found(full)
+    other = config.from_dict(CONFIG | {"rules": {"ARCH-007": {"max_fan_out": 1}}})
+    assert incremental.reanalyze(changed, other, cache)[1].rules_reused == 0
+
+
+def test_relation_hash_counts_rows(spark):
+    df = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b")], "x int, y string")
+    same = df.orderBy(F.desc("x"))
+    assert incremental.relation_hash(df) == incremental.relation_hash(same)
+    pairs = [spark.createDataFrame([(k, "a"), (k, "a")], "x int, y string") for k in (1, 2)]
+    assert incremental.relation_hash(pairs[0]) != incremental.relation_hash(pairs[1])
+
+
+def test_parse_cache(spark, tmp_path):
+    at = f"file://{tmp_path}/cache"
+    files = spark.createDataFrame([(f"src/m{i}.ts", f"import './m{i + 1}'") for i in range(6)], "path string, source string")
+    parse = incremental.cached_parser(at, "e")
+    first = {r.path: r for r in parse(files).collect()}
+    edited = files.withColumn("source", F.when(F.col("path") == "src/m2.ts", F.lit("import 'x'")).otherwise(F.col("source"))).where("path != 'src/m5.ts'")
+    kept, todo = incremental.reusable(spark.read.parquet(at), edited, "e")
+    assert kept.count() == 4 and [r.path for r in todo.collect()] == ["src/m2.ts"]
+    second = {r.path: r for r in parse(edited).collect()}
+    assert second["src/m2.ts"].imports[0].specifier == "x"
+    assert {p: r for p, r in second.items() if p != "src/m2.ts"} == {p: r for p, r in first.items() if p not in ("src/m2.ts", "src/m5.ts")}
+    assert incremental.reusable(spark.read.parquet(at), edited, "other")[0].count() == 0
+
+
 def test_cache_validity(spark, done):
     files, frames = done.frames.files, done.frames
     rows = frames.extra["parsed"].join(incremental.with_hashes(files).drop("source"), "path").withColumn("environment", F.lit("e")).withColumn("version", F.lit(1))
