@@ -1,43 +1,18 @@
-"""Shared plumbing: the shared folder for written tables, and Arrow text maps."""
+"""Shared plumbing: joins on hot keys, and Arrow text maps."""
 
 from __future__ import annotations
 
 import contextlib
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows beyond which a lookup side is joined by shuffle instead of broadcast.
-BROADCAST_ROWS = 200_000
+from lattiq.storage import BROADCAST_ROWS, shared_dir, small, written
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a local one is made only where none is set."""
-    at = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    at = at or spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="lattiq-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return f"{at.rstrip('/')}/lattiq"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and reread it: lineage ends there, and
-    a lost executor costs only the tasks that it was running."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if a count proves it has at most ``limit`` rows."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+__all__ = ["BROADCAST_ROWS", "Memo", "batches", "join_hot", "map_texts", "release", "shared_dir", "slices", "small", "spark_schema", "texts_of", "written"]
 
 
 def join_hot(left: DataFrame, right: DataFrame, key: str, size: str, least: int = 512) -> DataFrame:
