@@ -3,8 +3,10 @@
 Tokens stay in chunks of a few million, written once in a table bucketed by
 chunk. A chunk's distinct n-grams travel as packed, sorted arrays to tables
 partitioned by a hash of the n-gram, are counted there, and the counts travel
-back; so a frequent word is one entry of each chunk, never a hot key. Three such
-rounds give unigram counts, bigram counts and the backoff weight of each context;
+back; so a frequent word is one entry of each chunk, never a hot key. Of many chunks
+FAN at a time are merged first, a part of the hashes each, and the merged tables go
+on to finer parts, level by level; so the arrays sent are FAN for each chunk and level,
+in proportion to the input, and none grows with it. Three such rounds give unigram counts, bigram counts and the backoff weight of each context;
 then each token is scored: the discounted bigram if it was seen, else the
 context's weight times the unigram, else the mass left for unknown words.
 
@@ -22,7 +24,7 @@ from __future__ import annotations
 import math
 import uuid
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -39,6 +41,8 @@ from lattiq.llm.shingles import mix
 
 #: Tokens of a chunk, and bytes of packed n-grams that one reducing task holds.
 CHUNK, HELD = 3_000_000, 48 << 20
+#: Chunks that are merged at once, and parts of the hashes that a merged table is sent to.
+FAN = 64
 #: Counts up to this are discounted, along a line of this slope at least where they are irregular.
 TOP, SLOPE = 5, -1.1
 #: Bytes of input for each bucket of the table of chunks.
@@ -146,12 +150,55 @@ def grams(chunks: DataFrame, buckets: int, order: int) -> DataFrame:
                 else:
                     _, _, keys, inverse = c.bigrams(buckets)
                     counts = np.bincount(inverse[c.train_tokens()], minlength=len(keys))
-                # most counts of a chunk fit a byte; a larger one is sent as it is
-                kind = np.uint8 if counts.max(initial=0) < 256 else np.int32
-                made = list(dealt(row["chunk"], keys, buckets, counts.astype(kind)))
-                yield pa.RecordBatch.from_arrays([pa.array([m[k] for m in made], t) for k, t in enumerate((pa.int32(), pa.int64(), pa.binary(), pa.binary()))], ["bucket", "chunk", "keys", "counts"])
+                made = list(dealt(row["chunk"], keys, buckets, least(counts)))
+                yield pa.RecordBatch.from_arrays([pa.array([m[k] for m in made], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.binary()))], ["bucket", "chunk", "keys", "counts"])
 
-    return chunks.select(*need).mapInArrow(run, "bucket int, chunk long, keys binary, counts binary")
+    return chunks.select(*need).mapInArrow(run, SENT)
+
+
+SENT = "bucket long, chunk long, keys binary, counts binary"
+TOLD = "kind int, bucket long, chunk long, keys binary, counts binary, owned binary, stats array<long>"
+
+
+def least(counts: np.ndarray) -> np.ndarray:
+    """Counts in the least width: most of a chunk's fit a byte."""
+    most = counts.max(initial=0)
+    return counts.astype(np.uint8 if most < 256 else np.int32 if most < 1 << 31 else np.int64)
+
+
+def column(frame: pd.DataFrame, name: str, keys: list[np.ndarray]) -> np.ndarray:
+    """The counts or numbers of all rows, one after the other."""
+    if name != "counts":
+        return np.concatenate([np.frombuffer(x, np.float64) for x in frame[name]])
+    kinds = {1: np.uint8, 4: np.int32, 8: np.int64}
+    return np.concatenate([np.frombuffer(x, kinds[len(x) // len(k)]).astype(np.int64) for x, k in zip(frame[name], keys, strict=True)])
+
+
+class Met:
+    """The rows of a bucket, by chunk: distinct keys, which one each entry has, and who had each first."""
+
+    def __init__(self, frame: pd.DataFrame):
+        self.frame = frame.sort_values("chunk", ignore_index=True)
+        self.bucket = int(frame["bucket"].iloc[0])
+        self.keys = [np.frombuffer(k, np.uint64) for k in self.frame["keys"]]
+        self.every, self.first, self.inverse = np.unique(np.concatenate(self.keys), return_index=True, return_inverse=True)
+        self.owned = np.zeros(len(self.inverse), bool)
+        self.owned[self.first] = True
+        ends = np.cumsum([len(k) for k in self.keys])
+        self.parts = list(zip(self.frame["chunk"].tolist(), np.concatenate(([0], ends[:-1])).tolist(), ends.tolist(), strict=True))
+
+    def values(self, name: str) -> np.ndarray:
+        return column(self.frame, name, self.keys)
+
+    def sums(self, name: str) -> np.ndarray:
+        # sums of integers are exact below 2 ** 53
+        return np.bincount(self.inverse, self.values(name).astype(np.float64), len(self.every))
+
+    def merged(self, payload: tuple[str, ...]) -> list[np.ndarray]:
+        """One table of the rows: counts of n-grams are summed; of contexts they are known and equal."""
+        if payload == ("counts",):
+            return [least(self.sums("counts").astype(np.int64))]
+        return [least(self.values("counts")[self.first]), self.sums("mass"), self.sums("uni")]
 
 
 def totals(sent: DataFrame, order: int) -> DataFrame:
@@ -164,26 +211,82 @@ def totals(sent: DataFrame, order: int) -> DataFrame:
     """
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("chunk", ignore_index=True)
-        keys = [np.frombuffer(k, np.uint64) for k in frame["keys"]]
-        counts = [np.frombuffer(c, np.uint8 if len(c) == len(k) else np.int32) for c, k in zip(frame["counts"], keys, strict=True)]
-        every, first, inverse = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
-        # integer sums, exact below 2 ** 53
-        total = np.bincount(inverse, np.concatenate(counts).astype(np.float64)).astype(np.int64)
-        owned = np.zeros(len(inverse), bool)
-        owned[first] = True
-        ends = np.cumsum([len(k) for k in keys])
+        met = Met(frame)
+        total = met.sums("counts").astype(np.int64)
         seen = total > 0
         stats = np.array([*((total == r).sum() for r in range(1, TOP + 2)), seen.sum(), total.sum()], np.int64)
-        kept = every[seen], total[seen]
-        rows = [(0, -1, kept[0].tobytes(), small(kept[1]), b"", stats.tolist())]
-        for chunk, a, b in zip(frame["chunk"], np.concatenate(([0], ends[:-1])), ends, strict=True):
-            rows.append((order, chunk, b"", small(total[inverse[a:b]]), np.packbits(owned[a:b]).tobytes() if order > 1 else b"", []))
+        rows = [(0, -1, met.every[seen].tobytes(), small(total[seen]), b"", stats.tolist())]
+        for chunk, a, b in met.parts:
+            rows.append((order, chunk, b"", small(total[met.inverse[a:b]]), np.packbits(met.owned[a:b]).tobytes() if order > 1 else b"", []))
         out = pd.DataFrame(rows, columns=["kind", "chunk", "keys", "counts", "owned", "stats"])
-        out.insert(1, "bucket", frame["bucket"].iloc[0])
+        out.insert(1, "bucket", met.bucket)
         return out
 
-    return sent.groupBy("bucket").applyInPandas(run, "kind int, bucket int, chunk long, keys binary, counts binary, owned binary, stats array<long>")
+    return sent.groupBy("bucket").applyInPandas(run, TOLD)
+
+
+def exchange(sent: DataFrame, chunks: int, parts: int, kind: int, payload: tuple[str, ...], settle: Callable[[DataFrame], DataFrame], schema: str, fan: int) -> DataFrame:
+    """What ``settle`` answers to each (bucket, chunk) of ``sent``. Of more than 2 * ``fan`` chunks, groups of about
+    ``fan`` are merged, a bucket each, and the merged tables are sent on as chunks to ``fan`` buckets in each
+    bucket. ``parts``: buckets so far."""
+    groups = -(-chunks // fan)
+    if chunks <= 2 * fan:
+        return settle(sent)
+    own = written(sent.withColumn("own", F.pmod(F.xxhash64("chunk"), F.lit(groups))), "sent")
+    fields = ", ".join(f"{n} binary" for n in payload)
+
+    def merge(frame: pd.DataFrame) -> pd.DataFrame:
+        met = Met(frame)
+        rows = []
+        order, cuts = digits(met.every, parts, fan)
+        columns = [c[order] for c in met.merged(payload)]
+        for d in range(fan):
+            i, j = cuts[d], cuts[d + 1]
+            if j > i:
+                rows.append((met.bucket * fan + d, int(frame["own"].iloc[0]), met.every[order][i:j].tobytes(), *(c[i:j].tobytes() for c in columns)))
+        return pd.DataFrame(rows, columns=["bucket", "chunk", "keys", *payload])
+
+    up = own.groupBy("bucket", "own").applyInPandas(merge, f"bucket long, chunk long, keys binary, {fields}")
+    told = written(exchange(up, groups, parts * fan, kind, payload, settle, schema, fan), "told")
+
+    def back(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        met = Met(left)
+        order = digits(met.every, parts, fan)[0]
+        right = right.sort_values("fine")
+        rows = []
+
+        def placed(name: str, unpack) -> np.ndarray:
+            flat = np.concatenate([unpack(x) for x in right[name]])
+            out = np.empty_like(flat)
+            out[order] = flat
+            return out
+
+        if kind < 3:
+            count = placed("counts", wide)
+            if kind > 1:
+                ours = np.empty(len(order), bool)
+                sizes = [len(wide(c)) for c in right["counts"]]
+                ours[order] = np.concatenate([np.unpackbits(np.frombuffer(o, np.uint8))[:n] for o, n in zip(right["owned"], sizes, strict=True)])
+                owned = met.owned & ours[met.inverse]
+            for chunk, a, b in met.parts:
+                rows.append((kind, met.bucket, chunk, b"", small(count[met.inverse[a:b]]), np.packbits(owned[a:b]).tobytes() if kind > 1 else b"", []))
+        else:
+            total, alpha = (placed(n, lambda x: np.frombuffer(x, np.float64)) for n in ("total", "alpha"))
+            for chunk, a, b in met.parts:
+                part = met.inverse[a:b]
+                rows.append((kind, met.bucket, chunk, total[part].tobytes(), alpha[part].tobytes()))
+        return pd.DataFrame(rows, columns=[f.split(" ")[0] for f in schema.split(", ")])
+
+    answers = told.where("kind > 0").withColumn("fine", F.col("bucket")).withColumn("bucket", F.expr(f"bucket div {fan}")).withColumn("own", F.col("chunk"))
+    out = own.groupBy("bucket", "own").cogroup(answers.groupBy("bucket", "own")).applyInPandas(back, schema)
+    return out.unionByName(told.where("kind = 0"))
+
+
+def digits(keys: np.ndarray, parts: int, fan: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of keys by the bucket of ``fan`` that each has after a modulus of ``parts``, and where each bucket starts."""
+    digit = (keys // np.uint64(parts)) % np.uint64(fan)
+    order = np.argsort(digit, kind="stable")
+    return order, np.searchsorted(digit[order], np.arange(fan + 1, dtype=np.uint64))
 
 
 def small(values: np.ndarray) -> bytes:
@@ -288,29 +391,23 @@ def weights_sent(chunks: DataFrame, told: DataFrame, model: Model, words: int, p
         rows = list(dealt(int(left["chunk"].iloc[0]), a.chunk.words[a.order], words, a.count[a.order], mass[a.order], uni[a.order]))
         return pd.DataFrame(rows, columns=["bucket", "chunk", "keys", "counts", "mass", "uni"])
 
-    return chunks.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInPandas(run, "bucket int, chunk long, keys binary, counts binary, mass binary, uni binary")
+    return chunks.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInPandas(run, "bucket long, chunk long, keys binary, counts binary, mass binary, uni binary")
+
+
+WEIGHED = "kind int, bucket long, chunk long, total binary, alpha binary"
 
 
 def weights(sent: DataFrame) -> DataFrame:
     """(kind 3, bucket, chunk, total, alpha): each chunk's divisors and backoff weights."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("chunk", ignore_index=True)
-        keys = [np.frombuffer(k, np.uint64) for k in frame["keys"]]
-        _, first, inverse = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
-        of = lambda name, t: np.concatenate([np.frombuffer(x, t) for x in frame[name]])
-        seen = of("counts", np.int64)[first].astype(np.float64)
-        total, alpha = Model.backoff(seen, np.bincount(inverse, of("mass", np.float64)), np.bincount(inverse, of("uni", np.float64)))
-        rows, at = [], 0
-        for chunk, k in zip(frame["chunk"], keys, strict=True):
-            part = inverse[at : at + len(k)]
-            rows.append((3, chunk, total[part].tobytes(), alpha[part].tobytes()))
-            at += len(k)
-        out = pd.DataFrame(rows, columns=["kind", "chunk", "total", "alpha"])
-        out.insert(1, "bucket", frame["bucket"].iloc[0])
-        return out
+        met = Met(frame)
+        seen = met.values("counts")[met.first].astype(np.float64)
+        total, alpha = Model.backoff(seen, met.sums("mass"), met.sums("uni"))
+        rows = [(3, met.bucket, chunk, total[met.inverse[a:b]].tobytes(), alpha[met.inverse[a:b]].tobytes()) for chunk, a, b in met.parts]
+        return pd.DataFrame(rows, columns=["kind", "bucket", "chunk", "total", "alpha"])
 
-    return sent.groupBy("bucket").applyInPandas(run, "kind int, bucket int, chunk long, total binary, alpha binary")
+    return sent.groupBy("bucket").applyInPandas(run, WEIGHED)
 
 
 def scored(chunks: DataFrame, told: DataFrame, model: Model, words: int, pairs: int) -> DataFrame:
@@ -338,27 +435,28 @@ def scored(chunks: DataFrame, told: DataFrame, model: Model, words: int, pairs:
     return chunks.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInPandas(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
-def score(docs: DataFrame) -> DataFrame:
+def score(docs: DataFrame, fan: int = FAN) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each document."""
     spark = docs.sparkSession
-    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # bucketed by chunk: later joins by chunk move the answers, never the tokens
-    name = f"lattiq_chunks_{uuid.uuid4().hex}"
-    tokens = chunks_of(docs)
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # what the plan knows of the input's size; an unknown one is given as near the largest number there is
     held = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     held = 0 if held >= 1 << 60 else held
-    tokens.write.format("parquet").option("path", f"{shared_dir(spark)}/{name}").option("compression", "zstd").bucketBy(max(least, min(100_000, held // INPUT)), "chunk").saveAsTable(name)
+    # bucketed by chunk: later joins by chunk move the answers, never the tokens
+    name = f"lattiq_chunks_{uuid.uuid4().hex}"
+    tokens = chunks_of(docs)
+    tokens.write.format("parquet").option("path", f"{shared_dir(spark)}/{name}").option("compression", "zstd").bucketBy(max(partitions, min(100_000, held // INPUT)), "chunk").saveAsTable(name)
     chunks = spark.table(name)
     spark.sql(f"DROP TABLE {name}")  # its files stay, and so does the frame; no name is left in the catalog
-    size = chunks.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("t"), F.coalesce(F.sum("n_words"), F.lit(0)).alias("w")).first()
-    words, pairs = (max(least, math.ceil(n * b / HELD)) for n, b in ((size.w, 24), (size.t, 9)))
-    one = written(totals(grams(chunks, words, 1), 1), "unigrams")
-    two = written(totals(grams(chunks, pairs, 2), 2), "bigrams")
+    size = chunks.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("t"), F.coalesce(F.sum("n_words"), F.lit(0)).alias("w")).first()
+    # few chunks meet in as many buckets as memory asks for; many in ``fan``, and in finer ones by levels
+    words, pairs = (fan if size.n > 2 * fan else max(partitions, math.ceil(x * b / HELD)) for x, b in ((size.w, 24), (size.t, 9)))
+    one = written(exchange(grams(chunks, words, 1), size.n, words, 1, ("counts",), lambda s: totals(s, 1), TOLD, fan), "unigrams")
+    two = written(exchange(grams(chunks, pairs, 2), size.n, pairs, 2, ("counts",), lambda s: totals(s, 2), TOLD, fan), "bigrams")
     model = Model.of(stats(one), stats(two))
     answers = lambda df: df.where("kind > 0").select("kind", "bucket", "chunk", "counts", "owned")
     told = answers(one).unionByName(answers(two))
-    three = written(weights(weights_sent(chunks, told, model, words, pairs)), "weights")
+    three = written(exchange(weights_sent(chunks, told, model, words, pairs), size.n, words, 3, ("counts", "mass", "uni"), weights, WEIGHED, fan), "weights")
     told = told.drop("owned").unionByName(three, allowMissingColumns=True)
     return scored(chunks, told, model, words, pairs)
 

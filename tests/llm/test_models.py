@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lattiq.llm import html_text, katz, toxicity
+from lattiq.llm.common import written
 
 
 def held(i):
@@ -67,6 +68,34 @@ def test_scores_against_brute_force(spark, monkeypatch):
         assert (g.base_score, g.score) == pytest.approx(w[5:])
 
 
+def test_levels_of_merges_equal_brute_force_and_grow_in_proportion(spark, monkeypatch):
+    sent = []
+
+    def kept(df, name):
+        out = written(df, name)
+        if name == "sent":
+            sent.append(out.count())
+        return out
+
+    monkeypatch.setattr(katz, "CHUNK", 200)
+    monkeypatch.setattr(katz, "written", kept)
+    rows = corpus()
+    for times in (1, 2):
+        own = [(i + 1000 * k, t) for k in range(times) for i, t in rows]
+        docs = spark.createDataFrame(own, "doc_id long, text string").coalesce(1)
+        sent.clear()
+        got = sorted(katz.score(docs, fan=4).collect(), key=lambda r: (r.doc_id, r.n_tokens))
+        n = katz.chunks_of(docs).count()
+        # a level's arrays are ``fan`` for each chunk, whatever their number; all at once they would be n * n
+        assert n > 8 and len(sent) == 3 * times
+        assert max(sent) <= 4 * (n + 4)  # groups are rounded up
+        if times == 1:
+            want = sorted(brute(rows), key=lambda r: (r[0], r[2]))
+            for g, w in zip(got, want, strict=True):
+                assert (g.doc_id, g.held_out, g.n_tokens, g.n_known, g.train_tokens) == w[:5]
+                assert (g.base_score, g.score) == pytest.approx(w[5:])
+
+
 def test_no_documents_to_learn_from(spark):
     out = next(i for i in range(100) if held(i))
     row = katz.score(spark.createDataFrame([(out, "a b")], "doc_id long, text string")).first()
