@@ -30,17 +30,16 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattiq.llm.common import Memo, release, shared_dir, slices, texts_of, written
+from lattiq.llm.common import release, shared_dir, slices, texts_of, written
 from lattiq.llm.common import batches as small_batches
-from lattiq.llm.shingles import mix
+from lattiq.llm.shingles import mix, words_of
 
 #: Tokens of a chunk, and bytes of packed n-grams that one reducing task holds.
-CHUNK, HELD = 3_000_000, 48 << 20
+CHUNK, HELD = 2_500_000, 48 << 20
 #: Chunks that are merged at once, and parts of the hashes that a merged table is sent to.
 FAN = 64
 #: Counts up to this are discounted, along a line of this slope at least where they are irregular.
@@ -65,18 +64,20 @@ def chunks_of(docs: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds, strict=True)], names)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = Memo(lambda w: xxhash.xxh64_intdigest(w))
         ids, hashes, sizes, held, number = [], [], [], 0, 0
-        end = np.array([END])
         for batch in batches:
             keys = batch.column(0).to_pylist()
             for a, b in slices(batch.column(1)):
-                for key, text in zip(keys[a:b], batch.column(1).slice(a, b - a).to_pylist(), strict=True):
-                    ws = text.encode().lower().split()
-                    ids.append(key)
-                    sizes.append(len(ws) + 1)
-                    hashes += [np.fromiter(map(memo.__getitem__, ws), np.uint64, len(ws)), end]
-                    held += len(ws) + 1
+                flat, own = with_ends(batch.column(1).slice(a, b - a).to_pylist())
+                ends, at = np.cumsum(own), 0
+                while at < b - a:  # a chunk ends with the text that fills it
+                    before = int(ends[at - 1]) if at else 0
+                    to = min(b - a, int(np.searchsorted(ends, before + CHUNK - held)) + 1)
+                    last = int(ends[to - 1])
+                    ids += keys[a + at : a + to]
+                    sizes += own[at:to].tolist()
+                    hashes.append(flat[before:last])
+                    held, at = held + last - before, to
                     if held >= CHUNK:
                         yield pack(number, ids, hashes, sizes)
                         ids, hashes, sizes, held, number = [], [], [], 0, number + 1
@@ -88,6 +89,15 @@ def chunks_of(docs: DataFrame) -> DataFrame:
     return texts_of(docs).mapInArrow(run, CHUNKS)
 
 
+def with_ends(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words with an end token after each text, and how many tokens each has."""
+    words = words_of(texts)
+    sizes = np.bincount(words.item, minlength=len(texts)) + 1
+    flat = np.full(len(words.hashes) + len(texts), END)
+    flat[np.arange(len(words.hashes)) + words.item] = words.hashes
+    return flat, sizes
+
+
 @dataclass
 class Chunk:
     """A row of the table of chunks, unpacked, with its distinct bigrams in the order in which they travel."""
@@ -151,7 +161,10 @@ def grams(chunks: DataFrame, buckets: int, order: int) -> DataFrame:
                     _, _, keys, inverse = c.bigrams(buckets)
                     counts = np.bincount(inverse[c.train_tokens()], minlength=len(keys))
                 made = list(dealt(row["chunk"], keys, buckets, least(counts)))
+                del c, keys, counts, row
                 yield pa.RecordBatch.from_arrays([pa.array([m[k] for m in made], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.binary()))], ["bucket", "chunk", "keys", "counts"])
+                del made
+                release()
 
     return chunks.select(*need).mapInArrow(run, SENT)
 
