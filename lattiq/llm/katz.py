@@ -142,7 +142,23 @@ def dealt(chunk: int, keys: np.ndarray, buckets: int, *values: np.ndarray) -> It
     for b in range(buckets):
         i, j = cuts[b], cuts[b + 1]
         if j > i:
-            yield (b, chunk, keys[i:j].tobytes(), *(x[i:j].tobytes() for x in values))
+            yield (b, chunk, packed(keys[i:j]), *(x[i:j].tobytes() for x in values))
+
+
+def packed(keys: np.ndarray) -> bytes:
+    """Ascending keys: how many bytes a step takes, the first, and the steps from one to the next."""
+    steps = np.diff(keys)
+    width = max(1, -(-int(steps.max(initial=0)).bit_length() // 8))
+    return bytes([width]) + keys[:1].tobytes() + steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    if len(raw) < 9:
+        return np.zeros(0, np.uint64)
+    narrow = np.frombuffer(raw, np.uint8, offset=9).reshape(-1, raw[0])
+    steps = np.zeros((len(narrow), 8), np.uint8)
+    steps[:, : raw[0]] = narrow
+    return np.cumsum(np.concatenate((np.frombuffer(raw, np.uint64, 1, 1), steps.reshape(-1).view("<u8"))), dtype=np.uint64)
 
 
 def grams(chunks: DataFrame, buckets: int, order: int) -> DataFrame:
@@ -193,7 +209,7 @@ class Met:
     def __init__(self, frame: pd.DataFrame):
         self.frame = frame.sort_values("chunk", ignore_index=True)
         self.bucket = int(frame["bucket"].iloc[0])
-        self.keys = [np.frombuffer(k, np.uint64) for k in self.frame["keys"]]
+        self.keys = [unpacked(k) for k in self.frame["keys"]]
         self.every, self.first, self.inverse = np.unique(np.concatenate(self.keys), return_index=True, return_inverse=True)
         self.owned = np.zeros(len(self.inverse), bool)
         self.owned[self.first] = True
@@ -228,7 +244,7 @@ def totals(sent: DataFrame, order: int) -> DataFrame:
         total = met.sums("counts").astype(np.int64)
         seen = total > 0
         stats = np.array([*((total == r).sum() for r in range(1, TOP + 2)), seen.sum(), total.sum()], np.int64)
-        rows = [(0, -1, met.every[seen].tobytes(), small(total[seen]), b"", stats.tolist())]
+        rows = [(0, -1, packed(met.every[seen]), small(total[seen]), b"", stats.tolist())]
         for chunk, a, b in met.parts:
             rows.append((order, chunk, b"", small(total[met.inverse[a:b]]), np.packbits(met.owned[a:b]).tobytes() if order > 1 else b"", []))
         out = pd.DataFrame(rows, columns=["kind", "chunk", "keys", "counts", "owned", "stats"])
@@ -256,7 +272,7 @@ def exchange(sent: DataFrame, chunks: int, parts: int, kind: int, payload: tuple
         for d in range(fan):
             i, j = cuts[d], cuts[d + 1]
             if j > i:
-                rows.append((met.bucket * fan + d, int(frame["own"].iloc[0]), met.every[order][i:j].tobytes(), *(c[i:j].tobytes() for c in columns)))
+                rows.append((met.bucket * fan + d, int(frame["own"].iloc[0]), packed(met.every[order][i:j]), *(c[i:j].tobytes() for c in columns)))
         return pd.DataFrame(rows, columns=["bucket", "chunk", "keys", *payload])
 
     up = own.groupBy("bucket", "own").applyInPandas(merge, f"bucket long, chunk long, keys binary, {fields}")

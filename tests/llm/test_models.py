@@ -105,6 +105,14 @@ def test_no_documents_to_learn_from(spark):
     assert katz.score(spark.createDataFrame([(None, "a b")], "doc_id long, text string")).first().doc_id is None
 
 
+def test_packed_keys():
+    rng = random.Random(4)
+    for n in (0, 1, 2, 1000):
+        keys = np.array(sorted({rng.getrandbits(64) for _ in range(n)}), np.uint64)
+        assert katz.unpacked(katz.packed(keys)).tolist() == keys.tolist()
+    assert len(katz.packed(np.arange(5, 1005, dtype=np.uint64))) == 9 + 999
+
+
 def test_discounts():
     d = katz.discounts([1000, 400, 200, 110, 70, 50])
     assert ((d[1:] > 0) & (d[1:] < 1)).all()
