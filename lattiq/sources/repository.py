@@ -22,35 +22,53 @@ INPUTS = r"(?:^|/)(?:package\.json|pnpm-workspace\.yaml|[tj]sconfig[^/]*\.json|n
 IGNORE_BYTES = 1 << 20
 
 
-def scan(spark: SparkSession, root: str, most: int | None = 0) -> DataFrame:
-    """path (relative, with slashes), length and content of all files below a folder of any store Spark reads.
+#: One entry of a folder's listing as the store's client prints it.
+ENTRY = re.compile(r"path=(.*?); isDirectory=(true|false)(?:; length=(\d+))?")
+
 
-    Files with hidden names are all listed; of those up to ``most`` bytes (None: any) the content is read too.
+def hidden(spark: SparkSession, root: str, most: int | None) -> list[tuple[str, int, bytearray | None]]:
+    """(path, length, content) of all files with hidden names, which Spark's readers pass over.
 
-    Spark's readers pass over names that begin with a dot or an underscore; a source
-    tree has few of these, and they are read through the store's own client.
+    Folders are listed through the store's own client, one call for each; a source tree has
+    few hidden files. Content is read up to ``most`` bytes (None: any), else it is null.
     """
     jvm = spark.sparkContext._jvm
     base = jvm.org.apache.hadoop.fs.Path(root)
     fs = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    at = re.sub("^[a-z]+:/*", "/", fs.makeQualified(base).toString().rstrip("/"))
+    top = fs.makeQualified(base).toString().rstrip("/")
+    rows, todo = [], [top]
+    while todo:
+        folder = todo.pop()
+        entries = jvm.org.apache.hadoop.util.functional.RemoteIterators.toList(fs.listStatusIterator(jvm.org.apache.hadoop.fs.Path(folder)))
+        for path, is_folder, length in ENTRY.findall(entries.toString()):
+            parts = path[len(top) + 1 :].split("/")
+            if is_folder == "true":
+                if parts[-1] not in (".git", "node_modules"):
+                    todo.append(path)
+            elif any(p[:1] in (".", "_") for p in parts):
+                content = None
+                if most is None or int(length) <= most:
+                    stream = fs.open(jvm.org.apache.hadoop.fs.Path(path))
+                    content = bytearray(jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
+                    stream.close()
+                rows.append(("/".join(parts), int(length), content))
+    return rows
+
+
+def scan(spark: SparkSession, root: str, most: int | None = 0, rows: list | None = None) -> DataFrame:
+    """path (relative, with slashes), length and content of all files below a folder of any store Spark reads.
+
+    Files with hidden names (``rows``, if they were listed before) are all there; of those up to ``most`` bytes the content is too.
+    """
+    jvm = spark.sparkContext._jvm
+    base = jvm.org.apache.hadoop.fs.Path(root)
+    top = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(base).toString().rstrip("/")
+    at = re.sub("^[a-z]+:/*", "/", top)
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     strip = F.regexp_replace(F.regexp_replace("path", "^[a-z]+:/*", "/"), "^" + re.escape(at) + "/", "")
     seen = raw.select(slashes(strip).alias("path"), "length", "content")
-    rows, listing = [], fs.listFiles(base, True)
-    while listing.hasNext():
-        status = listing.next()
-        path = re.sub("^[a-z]+:/*", "/", status.getPath().toString())[len(at) + 1 :]
-        parts = path.split("/")
-        if any(p[:1] in "._" for p in parts) and not {".git", "node_modules"} & set(parts[:-1]):
-            content = None
-            if most is None or status.getLen() <= most:
-                stream = fs.open(status.getPath())
-                content = bytearray(jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
-                stream.close()
-            rows.append((path, status.getLen(), content))
-    hidden = spark.createDataFrame(rows, "path string, length bigint, content binary")
-    return seen.join(hidden.select("path"), "path", "left_anti").unionByName(hidden)
+    own = spark.createDataFrame(hidden(spark, root, most) if rows is None else rows, "path string, length bigint, content binary")
+    return seen.join(F.broadcast(own.select("path")), "path", "left_anti").unionByName(own)
 
 
 def ignored(rules: list[tuple[str, str]]) -> list[tuple[str, bool]]:
@@ -81,10 +99,11 @@ def discover(spark: SparkSession, root: str, config: Config) -> tuple[DataFrame,
     for r in project["roots"]:
         if ".." in r.split("/") or os.path.isabs(r):
             raise ConfigError(f"project.roots: `{r}` leaves the project")
-    every = scan(spark, root, max(project["max_file_size_kb"] * 1024, IGNORE_BYTES)).where(~F.col("path").rlike(r"(^|/)\.git/"))
-    lists = every.where(F.col("path").rlike(r"(^|/)\.gitignore$")).select("path", F.decode("content", "UTF-8").alias("t")).collect()
+    rows = hidden(spark, root, max(project["max_file_size_kb"] * 1024, IGNORE_BYTES))
+    every = scan(spark, root, rows=rows).where(~F.col("path").rlike(r"(^|/)\.git/"))
+    lists = [(os.path.dirname(path), bytes(content or b"").decode("utf-8", "replace")) for path, _, content in rows if os.path.basename(path) == ".gitignore"]
     # one expression for each run of lines with the same verdict
-    for drop, run in groupby(ignored([(os.path.dirname(r.path), r.t or "") for r in lists]), key=lambda x: x[1]):
+    for drop, run in groupby(ignored(lists), key=lambda x: x[1]):
         pattern = "|".join(f"(?:{p})" for p, _ in run)
         every = every.withColumn("gone", F.when(F.col("path").rlike(pattern), drop).otherwise(F.col("gone") if "gone" in every.columns else F.lit(False)))
     if "gone" in every.columns:
