@@ -194,3 +194,31 @@ def test_models_tell_held_out_runs():
     fresh = secrets.samples_of(["reader", "writer", "orbit", "merge", "planet", "simple"], 500, seed=99)
     right = [(model.score(r) > model.threshold) == bool(label) for r, label in fresh if len(r) >= 20]
     assert sum(right) / len(right) > 0.9
+
+
+def test_words_of_all_documents(spark):
+    rows = [(1, "One two ONE Größe password=abcdef1 x"), (2, "two words-here " + "ab" * 12), (None, "two"), (3, None), (4, ""), (5, "f" * 30 + " last")]
+    docs = spark.createDataFrame([(i, t, "w", 0) for i, t in rows], "doc_id long, text string, word string, n int")
+    got = {r.word: r.n for r in secrets.words_of(docs).collect()}
+    assert got == {"one": 1, "two": 3, "words": 1, "here": 1, "last": 1}
+    assert secrets.train(docs.limit(0)).random("q9Zx7KpW2vLt8RbY")
+
+
+def test_short_runs_and_what_base_spans_leave():
+    model = secrets.Markov.train(secrets.samples_of(secrets.COMMON.split()))
+    spans = lambda t: secrets.joined(secrets.all_spans(model, t)[1])
+    assert spans("q9Zx7KpW2vLt8RbY") == "markov:0:16"
+    assert spans("value_of_counter connection-string 4845168114407329 2024-05-17/2024-06-01") == ""
+    hexes, rest = "0a1b2c3d4e5f60718293a4b5", "ZqX9Kp7WvL2tRbY8QxZ"
+    assert spans(hexes + rest) == f"hex:0:24,markov:24:{24 + len(rest)}"
+    assert spans(rest + hexes) == f"markov:0:{len(rest)},hex:{len(rest)}:{len(rest) + 24}"
+    assert spans("value_of_counter_" + hexes) == "hex:17:41"
+    assert secrets.redacted(model, f"a {hexes}{rest} b") == "a [SECRET][SECRET] b"
+
+
+def test_short_random_runs_held_out():
+    model = secrets.Markov.train(secrets.samples_of(secrets.COMMON.split()))
+    fresh = [(r, y) for r, y in secrets.samples_of(["reader", "writer", "orbit", "merge", "planet", "simple"], 2000, seed=99) if 16 <= len(r) < 20]
+    right = lambda label: [model.random(r) == bool(label) for r, y in fresh if y == label]
+    assert len(right(1)) > 50 and sum(right(1)) / len(right(1)) > 0.9
+    assert len(right(0)) > 50 and sum(right(0)) / len(right(0)) > 0.9
