@@ -35,8 +35,7 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return toxicity.classify(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+    return toxicity.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,11 @@ A word's embedding is the mean of hashed buckets of the word, its beginnings
 and its end; filters of several widths slide over the words, the largest answer of
 each in a text goes through one logistic layer. Thresholds are calibrated for
 each language as guessed from a text's own function words (never from the lang
-column), and scores are stretched so that 0.5 is the threshold.
+column), on all labelled rows of the training fold that the filters were not fitted
+on, and scores are stretched so that 0.5 is the threshold.
+
+Every document is rated once; labels meet these narrow rows, never the texts, and
+only counts by language, label and thousandth come to the driver.
 
 Null and empty texts hold padding alone and get the score of that; repeated rows
 each get a row; without labels of both kinds every score is 0.
@@ -13,22 +17,29 @@ each get a row; without labels of both kinds every score is 0.
 from __future__ import annotations
 
 import struct
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
 import xxhash
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattiq.llm.common import Memo, map_texts, texts_of
+from lattiq.llm.common import Memo, map_texts, texts_of, written
 
 BUCKETS, DIM, WIDTHS, FILTERS = 1 << 16, 16, (1, 2, 3), 16
-#: At most so many labelled rows of each class are learned from, the ones with the lowest hash.
-SAMPLE = 2000
+#: The filters are fitted on at most so many labelled rows of each class, the ones with the lowest hash;
+#: the thresholds come from all others.
+SAMPLE = 1500
+#: One in so many labelled rows is never fitted on, so that few labels leave some for the thresholds.
+SPARE = 4
+#: Thousandths of a score that are told apart when thresholds are set.
+BINS = 1000
 EPOCHS, BATCH, SEED = 6, 32, 11
 #: Steps at least, unless that takes over 60 epochs.
 STEPS = 1200
-#: Positive texts held out from which a threshold is set.
+#: Positive texts not fitted on from which a threshold is set.
 LEAST = 30
 STRIP = ".,;:!?\"'()[]{}<>|*#$%&-–—…«»¿¡"
 NO_WORD = struct.pack("i", 0)
@@ -194,80 +205,148 @@ class Cnn:
         return float(-np.mean(np.log(np.where(y == 1, p, 1 - p) + 1e-9)))
 
 
-def fit(texts: list[str], labels: list[int], share: float = 0.5, epochs: int = EPOCHS, seed: int = SEED) -> Cnn | None:
-    """Train on whole texts; every fourth is held out to calibrate thresholds.
-
-    share: the share of positives among labels at large, for weighing the two kinds of error."""
+def fit(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int = SEED) -> Cnn | None:
+    """Train on whole texts; thresholds stay at 0.5."""
     y = np.array(labels)
     if len(set(labels)) < 2:
         return None
     rng, words, model, seen = np.random.default_rng(seed), Words(), Cnn.fresh(seed), {}
-    order = rng.permutation(len(y))
-    held, used = order[::4], np.setdiff1d(order, order[::4])
-    epochs = max(epochs, min(60, STEPS * BATCH // max(1, len(used))))  # a small sample is gone over more often
+    epochs = max(epochs, min(60, STEPS * BATCH // len(y)))  # a small sample is gone over more often
     for epoch in range(epochs):
-        for at in np.array_split(rng.permutation(used), max(1, len(used) // BATCH)):
+        for at in np.array_split(rng.permutation(len(y)), max(1, len(y) // BATCH)):
             model.step(words.batch([texts[i] for i in at]), y[at], seen, 0.05 if epoch < epochs * 2 // 3 else 0.02)
-    calibrate(model, [texts[i] for i in held], y[held], share)
     return model
 
 
-def calibrate(model: Cnn, texts: list[str], y: np.ndarray, share: float) -> None:
-    """Set each language's threshold where the held-out error, weighed to ``share`` positives, is least; too few texts leave it at 0.5."""
-    if not len(texts):
-        return
-    words, s, lang = Words(), [], []
-    for i in range(0, len(texts), 256):
-        batch = words.batch(texts[i : i + 256])
-        s.append(model.raw(batch))
-        lang.append(batch.languages())
-    s, lang = np.concatenate(s), np.concatenate(lang)
-    weight = np.where(y == 1, share / max(1, (y == 1).sum()), (1 - share) / max(1, (y == 0).sum()))
-    for k in range(len(LANGUAGES)):
-        on = lang == k
-        if y[on].sum() < LEAST:  # too few of a language to move its threshold
+def thresholds(counts: np.ndarray, share: float) -> np.ndarray:
+    """Each language's threshold where the error, weighed to ``share`` positives, is least; too few positives leave it at 0.5.
+
+    counts: texts by language, label and thousandth of the score."""
+    weight = np.array([1 - share, share]) / np.maximum(1, counts.sum((0, 2)))
+    cuts = np.arange(BINS // 20, BINS - BINS // 20 + 1)  # from 0.05 to 0.95
+    out = np.full(len(counts), 0.5)
+    for k, (ordinary, toxic) in enumerate(counts):
+        if toxic.sum() < LEAST:
             continue
-        cuts = np.clip(np.unique(np.concatenate(([0.5], s[on]))), 0.05, 0.95)
-        error = np.array([(weight[on] * ((s[on] >= c) != (y[on] == 1))).sum() for c in cuts])
-        best = cuts[error <= error.min() + 1e-12]
-        model.thresholds[k] = best[np.abs(best - 0.5).argmin()]
+        below = np.concatenate(([0], np.cumsum(toxic)))[cuts]
+        above = ordinary.sum() - np.concatenate(([0], np.cumsum(ordinary)))[cuts]
+        error = weight[1] * below + weight[0] * above
+        best = cuts[error <= error.min() + 1e-12] / BINS
+        out[k] = best[np.abs(best - 0.5).argmin()]
+    return out
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Cnn | None:
-    """A model from at most ``sample`` labelled rows of each class whose crc32(doc_id) mod 5 is not 0."""
-    known = labels.where("doc_id is not null and toxic in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
+@dataclass
+class Labels:
+    """What is known of the training fold's rows, and which of them the filters were fitted on."""
+
+    known: DataFrame  # doc_id, toxic, r
+    last: dict[int, int]  # by class: the highest hash among rows fitted on
+    share: float
+
+    def counts(self, rated: DataFrame) -> np.ndarray:
+        """Texts not fitted on, of documents with ``raw`` and ``language``, by language, label and thousandth."""
+        used = F.lit(False)
+        for k, r in self.last.items():
+            used = used | ((F.col("toxic") == k) & ~spare() & (F.col("r") <= r))
+        bin_ = F.least(F.floor(F.col("raw") * BINS), F.lit(BINS - 1))
+        found = rated.join(self.known.where(~used), "doc_id").groupBy("language", "toxic", bin_.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+        out = np.zeros((len(LANGUAGES), 2, BINS), np.int64)
+        for r in found.collect():  # two classes and BINS bins a language at most
+            out[r.language, int(r.toxic), r.bin] = r.n
+        return out
+
+
+def spare():
+    return F.pmod(F.xxhash64(F.col("doc_id"), F.lit("spare")), F.lit(SPARE)) == 0
+
+
+def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Cnn | None, Labels | None]:
+    """A model fitted on at most ``sample`` labelled rows of each class whose crc32(doc_id) mod 5 is not 0, its thresholds not set."""
+    known = labels.where("doc_id is not null and toxic in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     known = known.where(~held_out()).withColumn("r", F.xxhash64("doc_id"))
-    picked = [known.where(F.col("toxic") == k).orderBy("r").limit(sample) for k in (0, 1)]
+    picked = [known.where((F.col("toxic") == k) & ~spare()).orderBy("r").limit(sample) for k in (0, 1)]
+    ids = written(picked[0].unionByName(picked[1]), "fitted")  # two samples at most
     counts = {r.toxic: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if len(counts) < 2:
-        return None
-    ids = F.broadcast(picked[0].unionByName(picked[1]).select("doc_id", "toxic", "r"))  # two samples at most
-    rows = texts_of(docs).join(ids, "doc_id").collect()
+    last = {r.toxic: r["last"] for r in ids.groupBy("toxic").agg(F.max("r").alias("last")).collect()}
+    if len(last) < 2:
+        return None, None
+    rows = texts_of(docs).join(F.broadcast(ids), "doc_id").collect()
     rows.sort(key=lambda r: (r.r, r.text))
-    return fit([r.text for r in rows], [r.toxic for r in rows], counts[1] / sum(counts.values()))
+    return fit([r.text for r in rows], [r.toxic for r in rows]), Labels(known, last, counts[1] / sum(counts.values()))
 
 
-def held_out():
-    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Cnn | None:
+    """A model with its thresholds set; rates all documents for these."""
+    model, known = learn(docs, labels, sample)
+    if model is not None:
+        model.thresholds = thresholds(known.counts(rate(docs, model)), known.share)
+    return model
 
 
-def classify(docs: DataFrame, model: Cnn | None) -> DataFrame:
-    """doc_id, held_out, score and predicted (score >= 0.5) of each document."""
-    known = docs.sparkSession.sparkContext.broadcast(model)  # its size is fixed by the constants above
+def rater(model: Broadcast) -> Callable:
+    """A function of whole texts to their unstretched scores and language numbers, made once a task."""
 
     def make():
-        words, cnn = Words(), known.value
+        words, cnn = Words(), model.value
 
-        def call(keys, texts):
-            score = []
+        def call(texts):
+            raw, language = [], []
             for part in parts(texts):
-                score += [0.0] * len(part) if cnn is None else cnn.scores(words.batch(part)).tolist()
-            return {"doc_id": keys, "score": score}
+                batch = words.batch(part)
+                raw += cnn.raw(batch).tolist()
+                language += batch.languages().astype(int).tolist()
+            return raw, language
 
         return call
 
-    out = map_texts(docs, make, "doc_id long, score double")
-    return out.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return make
+
+
+def rate(docs: DataFrame, model: Cnn) -> DataFrame:
+    """doc_id, raw and language of each document."""
+    make = rater(docs.sparkSession.sparkContext.broadcast(model))  # its size is fixed by the constants above
+
+    def keyed():
+        call = make()
+
+        def run(keys, texts):
+            raw, language = call(texts)
+            return {"doc_id": keys, "raw": raw, "language": language}
+
+        return run
+
+    return map_texts(docs, keyed, "doc_id long, raw double, language int")
+
+
+def stretched(at: np.ndarray, raw: str = "raw", language: str = "language"):
+    """The score column, as Cnn.scores, for these thresholds."""
+    s, t = F.col(raw), F.element_at(F.array(*map(F.lit, at.tolist())), F.col(language) + 1)
+    return F.when(s >= t, 0.5 + 0.5 * (s - t) / (1 - t)).otherwise(0.5 * s / t)
+
+
+def judge(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """As classify with a model trained on ``labels``, but each document is rated once."""
+    model, known = learn(docs, labels, sample)
+    if model is None:
+        return classify(docs, None)
+    rated = written(rate(docs, model), "rated")
+    return decided(rated.withColumn("score", stretched(thresholds(known.counts(rated), known.share))))
+
+
+def held_out():
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0
+
+
+def classify(docs: DataFrame, model: Cnn | None) -> DataFrame:
+    """doc_id, held_out, score and predicted (score >= 0.5) of each document."""
+    if model is None:
+        return decided(texts_of(docs).select("doc_id", F.lit(0.0).alias("score")))
+    return decided(rate(docs, model).withColumn("score", stretched(model.thresholds)))
+
+
+def decided(scored: DataFrame) -> DataFrame:
+    return scored.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def parts(texts: list[str], most: int = 1_200_000):

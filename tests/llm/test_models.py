@@ -149,6 +149,37 @@ def test_classifier_on_held_out_rows(spark):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in got)
 
 
+def test_thresholds_against_brute_force():
+    rng = np.random.default_rng(5)
+    counts = np.zeros((2, 2, toxicity.BINS), np.int64)
+    s = np.concatenate((rng.beta(2, 6, 300), rng.beta(6, 3, 90)))
+    y = np.repeat([0, 1], [300, 90])
+    np.add.at(counts[0], (y, (s * toxicity.BINS).astype(int)), 1)
+    counts[1, 1, 10] = toxicity.LEAST - 1  # too few of the second language
+    got = toxicity.thresholds(counts, 0.2)
+    total = counts.sum((0, 2))
+    weigh = lambda c: (0.8 * counts[0, 0, c:].sum() / total[0]) + (0.2 * counts[0, 1, :c].sum() / total[1])
+    errors = {c: weigh(c) for c in range(50, 951)}
+    best = [c for c, e in errors.items() if e <= min(errors.values()) + 1e-12]
+    assert round(got[0] * 1000) in best and got[1] == 0.5
+    assert abs(got[0] - 0.5) == pytest.approx(min(abs(c / 1000 - 0.5) for c in best))
+
+
+def test_thresholds_come_from_all_rows_not_fitted_on(spark):
+    rows = [(i, f"{'vile' if i % 3 == 0 else 'kind'} the word {i}", int(i % 3 == 0)) for i in range(400)]
+    docs = spark.createDataFrame([(i, t, 0.5) for i, t, _ in rows], "doc_id long, text string, raw double")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows] + [(None, 1), (7, None)], "doc_id long, toxic int")
+    model, known = toxicity.learn(docs, labels, sample=20)
+    counts = known.counts(toxicity.rate(docs, model))
+    fold = [y for i, _, y in rows if zlib.crc32(str(i).encode()) % 5]
+    assert counts.sum((0, 2)).tolist() == [fold.count(0) - 20, fold.count(1) - 20]
+    judged = {r.doc_id: r for r in toxicity.judge(docs, labels, sample=20).collect()}
+    model.thresholds = toxicity.thresholds(counts, known.share)
+    words = toxicity.Words()
+    for i, t, _ in rows[::20]:
+        assert judged[i].score == pytest.approx(float(model.scores(words.batch([t]))[0]), abs=1e-4)
+
+
 def test_without_labels(spark):
     docs = spark.createDataFrame([(1, "x")], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, toxic int")
