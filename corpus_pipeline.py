@@ -20,19 +20,21 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from lattiq.llm import bpe, decontaminate, near_dedup, secrets, toxicity
-from lattiq.llm.common import batches, release, shared_dir, slices, small, written
+from lattiq.llm.common import batches, release, shared_dir, slices, small, spark_schema, written
 
 #: A trained classifier decides in one stage, which SQL can't express.
 ORACLE_SQL = None
 
 
-def over_texts(docs: DataFrame, make: Callable[[], Callable[[list], list]], keep: bool) -> DataFrame:
-    """Rows with all their columns, by a function of whole texts: if ``keep``, those
-    for which it is true; else all, with the texts (and n_chars) that it returns."""
+def over_texts(docs: DataFrame, make: Callable[[], Callable], added: str = "") -> DataFrame:
+    """Rows with all their columns, by a function of whole texts: with the texts (and
+    n_chars) that it returns, or with the columns ``added`` (a schema), of which it returns the lists."""
     names = docs.columns
     at = names.index("text")
+    new = spark_schema(docs.sparkSession, added) if added else []
 
     def run(given: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         call = None
@@ -42,37 +44,33 @@ def over_texts(docs: DataFrame, make: Callable[[], Callable[[list], list]], keep
                 part = batch.slice(a, b - a)
                 texts = part.column(at).to_pylist()
                 found = call(["" if t is None else t for t in texts])
-                if keep:
-                    yield part.filter(pa.array(found, pa.bool_()))
-                    continue
-                new = [None if t is None else f for t, f in zip(texts, found, strict=True)]
                 cols = list(part.columns)
-                cols[at] = pa.array(new, cols[at].type)
+                if new:
+                    cols += [pa.array(f, kind) for f, (_, kind) in zip(found, new, strict=True)]
+                    yield pa.RecordBatch.from_arrays(cols, [*names, *(n for n, _ in new)])
+                    continue
+                changed = [None if t is None else f for t, f in zip(texts, found, strict=True)]
+                cols[at] = pa.array(changed, cols[at].type)
                 if "n_chars" in names:
                     k = names.index("n_chars")
-                    cols[k] = pa.array([n if t == f or f is None else len(f) for t, f, n in zip(texts, new, cols[k].to_pylist(), strict=True)], cols[k].type)
+                    cols[k] = pa.array([n if t == f or f is None else len(f) for t, f, n in zip(texts, changed, cols[k].to_pylist(), strict=True)], cols[k].type)
                 yield pa.RecordBatch.from_arrays(cols, schema=part.schema)
         call = None
         release()
 
     batches(docs.sparkSession)
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, *(StructType.fromDDL(added) if added else [])]))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = spark.sparkContext.broadcast(toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
-
-    def make():
-        words, cnn = toxicity.Words(), model.value
-
-        def call(texts):
-            if cnn is None:
-                return [True] * len(texts)
-            return [s < 0.5 for part in toxicity.parts(texts) for s in cnn.scores(words.batch(part))]
-
-        return call
-
-    return over_texts(docs, make, True)
+    model, known = toxicity.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    if model is None:
+        return docs
+    # each text is rated once: the thresholds are set from, and applied to, what is written here
+    rated = written(over_texts(docs, toxicity.rater(spark.sparkContext.broadcast(model)), "__raw double, __language int"), "rated")
+    narrow = rated.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("__raw").alias("raw"), F.col("__language").alias("language"))
+    at = toxicity.thresholds(known.counts(narrow), known.share)
+    return rated.where(toxicity.stretched(at, "__raw", "__language") < 0.5).drop("__raw", "__language")
 
 
 def text_hash() -> Column:
@@ -105,7 +103,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = secrets.train(docs)
-    return over_texts(docs, lambda: lambda texts: [secrets.redacted(model, t) for t in texts], False)
+    return over_texts(docs, lambda: lambda texts: [secrets.redacted(model, t) for t in texts])
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
