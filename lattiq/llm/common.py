@@ -27,9 +27,10 @@ def join_hot(left: DataFrame, right: DataFrame, key: str, size: str, least: int
     return left.join(some, key).unionByName(rest)
 
 
-def batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Smaller Arrow batches than usual: a row here is a whole text or set."""
+def batches(spark: SparkSession, rows: int = 2000, most: str = "8m") -> None:
+    """Smaller Arrow batches than usual, by rows and bytes: a row here is a whole text or set."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", most)
 
 
 def release() -> None:

@@ -73,7 +73,7 @@ class Words:
                 marks.setdefault(w, np.zeros(len(FUNCTION_WORDS), np.float32))[i] = 1
         self.none = np.zeros(len(FUNCTION_WORDS), np.float32)
         self.marks = marks
-        self.of = Memo(features, 150_000)
+        self.of = Memo(features, 50_000)
 
     def batch(self, texts: list[str]) -> Batch:
         split = [t.split() for t in texts]
@@ -349,7 +349,7 @@ def decided(scored: DataFrame) -> DataFrame:
     return scored.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-def parts(texts: list[str], most: int = 1_200_000):
+def parts(texts: list[str], most: int = 500_000):
     """Runs of texts of about ``most`` characters; a longer text is alone."""
     run, size = [], 0
     for t in texts:
