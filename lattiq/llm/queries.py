@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lattiq.llm import alignment, bpe, decontaminate, html_text, katz, near_dedup, quality, secrets, spellings, substring_dedup, token_counts, toxicity
+from lattiq.llm import alignment, bpe, decontaminate, html_text, katz, languages, near_dedup, quality, secrets, spellings, substring_dedup, token_counts, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,12 +58,16 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spellings.variants(table(spark, sf_dir, "documents"))
 
 
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages.identify(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe_codec, op2_substring_dedup, op3_decontaminate, op4_katz_scores, op5_quality_rules, op6_toxicity, op7_html_text, op8_secret_scan, op9_token_counts, op10_minhash_dedup, op11_spelling_variants, op13_tokenizer_alignment)}
+    return {f.__name__: f for f in (op1_bpe_codec, op2_substring_dedup, op3_decontaminate, op4_katz_scores, op5_quality_rules, op6_toxicity, op7_html_text, op8_secret_scan, op9_token_counts, op10_minhash_dedup, op11_spelling_variants, op12_language_id, op13_tokenizer_alignment)}
 
 
 def oracle_sql() -> dict[str, str]:
