@@ -1,10 +1,11 @@
 """Module resolution: candidates in order of priority, then the first that is a file.
 
-For each import a function makes the ordered list of paths that could satisfy it
-and what holds if none is a file; Spark joins the candidates with the files and
-takes the lowest priority. Manifests and aliases reach an import by equi joins
-on package names and on exploded ancestors, so none of them is broadcast unless
-it is small.
+Equal requests are answered once: imports of one folder and of one way of importing,
+or, where the folder does not matter, of one package or set of aliases. Each manifest
+is parsed once, into a row for each of its entry points; requests meet entry points and
+aliases in equi joins on the exact name or on how a pattern begins. Paths to probe are
+column expressions; Spark joins them with the files and takes the lowest priority.
+``plan`` says the same of one request, for traces and as the measure in tests.
 """
 
 from __future__ import annotations
@@ -16,11 +17,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lattiq.config import Config
-from lattiq.functions.globs import match
+from lattiq.functions.globs import match, matches
+from lattiq.functions.paths import normal, parent
 from lattiq.functions.paths import package_name as package_column
 from lattiq.operators.classify import module_format, nearest
 from lattiq.schemas import LOCATION
@@ -34,8 +36,6 @@ BUILTINS = frozenset("_http_agent _http_client _http_common _http_incoming _http
 PREFIX_ONLY = frozenset("sea sqlite test test/reporters".split())
 UNRESOLVED = "no resolver in the configured chain produced a module"
 ABSOLUTE = "absolute module specifiers are outside the project analysis boundary"
-#: Redirects between packages that are followed before a loop is reported.
-REDIRECTS = 8
 
 
 @dataclass
@@ -257,85 +257,345 @@ def candidate_paths(r: Request) -> list[str]:
     if r.alias and not s.startswith((".", "/")):
         for a in r.alias["aliases"]:
             head, star, tail = a["pattern"].partition("*")
-            if s == a["pattern"] if not star else s.startswith(head) and s.endswith(tail):
+            if s == a["pattern"] if not star else s.startswith(head) and s.endswith(tail) and len(s) >= len(head) + len(tail):
                 for t in a["targets"]:
                     found.update(possible(posixpath.join(r.alias["base_url"], t.replace("*", s[len(head) : len(s) - len(tail)] if star else ""))))
-    at = r.own if s.startswith("#") else r.package
-    if at and not s.startswith((".", "/")) and r.mode != "node10":
+        if not found and r.alias["resolve_bare"] and s[:1] != "#":
+            found.update(possible(posixpath.join(r.alias["base_url"], s)))
+    mine = s.startswith("#") and r.own
+    at = r.own if mine else r.package
+    if at and not s.startswith((".", "/")) and not (mine and r.mode == "node10"):
         m = at["manifest"]
         sub = s[len(package_name(s)) :].lstrip("/")
-        got = exported(m.get("imports") or {}, s, r.active) if s.startswith("#") else exported(entry_points(m), f"./{sub}" if sub else ".", r.active)
-        if got is False and not s.startswith("#") and "exports" not in m:
+        if mine or ("exports" in m and r.mode != "node10"):
+            got = exported(m.get("imports") or {}, s, r.active) if mine else exported(entry_points(m), f"./{sub}" if sub else ".", r.active)
+            got = got if isinstance(got, str) and got.startswith("./") else False
+        else:
             got = "./" + ((legacy(m, r.kind) or "src/index") if not sub else sub)
-        if isinstance(got, str) and (path := inside(at["root"], got)):
-            found.update(possible(path))
+        if isinstance(got, str) and (not (mine or "exports" in m) or r.mode == "node10" or inside("", got) is not None):
+            found.update(possible(posixpath.join(at["root"], got)))
     return sorted(found)
 
 
-PLANNED = "key bigint, handlers array<string>, paths array<string>, outcome string, value string, final string, candidates array<string>"
-
+#: What a name's resolution depends on beside its own text: the importer's folder (of relative and # names), the folders of
+#: compiler settings and of its own package ("/" before them, empty if there is none), and how it is imported.
+CONTEXT = ("folder", "settings", "own", "syntax", "typed", "strict")
+#: Names longer than this are not followed: a pattern that leads to an ever longer name has no end.
+LONGEST_NAME = 4096
+ENTRIES = "root string, map string, syntax string, typed boolean, head string, tail string, star boolean, leads string, value string"
+PACKAGES = "root string, name string, has_exports boolean, runtime_entry string, types_entry string"
 
-def requests(imports: DataFrame, manifests: DataFrame, tsconfigs: DataFrame, scopes: DataFrame) -> DataFrame:
-    """Imports with the settings and manifests that their resolution needs."""
-    rows = imports.withColumn("importer", F.col("module_id"))
-    near = nearest(rows, "importer", scopes.select(F.col("directory").alias("_scope"), "type"), "_scope").drop("_scope")
-    near = nearest(near, "importer", tsconfigs.withColumnRenamed("directory", "_ts"), "_ts").withColumn("alias", F.when(F.col("_ts").isNotNull(), F.to_json(F.struct("base_url", "resolve_bare", "aliases")))).drop("_ts", "base_url", "resolve_bare", "aliases")
-    near = nearest(near, "importer", manifests.select(F.col("root").alias("own_root"), F.col("json").alias("own_json")), "own_root")
-    named = manifests.select(F.col("name").alias("_name"), F.col("root").alias("package_root"), F.col("json").alias("package_json"))
-    near = near.withColumn("_name", package_column(F.col("specifier"))).join(small(named), "_name", "left").drop("_name")
-    return near.withColumn("esm", module_format(F.col("importer"), F.col("type")) == "esm")
 
+def opened(manifests: DataFrame, conditions: tuple[str, ...], mode: str) -> tuple[DataFrame, DataFrame]:
+    """(entries, packages): each manifest parsed once. An entry point of ``exports`` or ``imports`` has a row
+    for each way of importing, with where its conditions lead: to a path, another name, nothing."""
 
-def planned(rows: DataFrame, config: Config) -> DataFrame:
-    mode, conditions = config["resolution"]["mode"], tuple(config["resolution"]["custom_conditions"])
-
-    def manifest(root, text) -> dict | None:
-        return None if root is None or text is None else {"root": root, "manifest": json.loads(text)}
+    def leads(got, kind: str) -> tuple[str, str]:
+        if not isinstance(got, str):
+            return "none", ""
+        return ("path", got) if got.startswith("./") else ("name" if kind == "imports" else "none", got)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             out = []
             for t in f.itertuples(index=False):
-                r = Request(t.importer, t.specifier, t.kind, mode, bool(t.esm), conditions, (), json.loads(t.alias) if t.alias else None, manifest(t.package_root, t.package_json), manifest(t.own_root, t.own_json))
-                p = plan(r)
-                out.append((t.key, p.handlers, p.paths, p.outcome, p.value, p.final, candidate_paths(r)))
-            yield pd.DataFrame(out, columns=["key", "handlers", "paths", "outcome", "value", "final", "candidates"])
+                manifest = json.loads(t.json)
+                for kind, entries in (("exports", entry_points(manifest)), ("imports", manifest.get("imports") or {})):
+                    for pattern, value in entries.items():
+                        head, star, tail = pattern.partition("*")
+                        for syntax in ("import", "require"):
+                            for typed in (False, True):
+                                active = {"default", syntax, *conditions} | ({"types"} if typed else set()) | ({"node"} if mode != "bundler" else set())
+                                out.append((t.root, kind, syntax, typed, head, tail, bool(star), *leads(target(value, active), kind)))
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in ENTRIES.split(", ")])
+
+    def fields(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            loaded = [(t.root, t.name, json.loads(t.json)) for t in f[["root", "name", "json"]].itertuples(index=False)]
+            yield pd.DataFrame([(root, name, "exports" in m, legacy(m, "Static"), legacy(m, "TypeOnly")) for root, name, m in loaded], columns=[c.split()[0] for c in PACKAGES.split(", ")])
+
+    return written(manifests.mapInPandas(run, ENTRIES), "entries"), written(manifests.mapInPandas(fields, PACKAGES), "packages")
+
+
+def matched(names: DataFrame, patterns: DataFrame, on: list[str]) -> DataFrame:
+    """``names`` (.., name) with every row of ``patterns`` (*on, head, tail, star, ..) that fits, and ``part``, what the star stands for.
+
+    A name meets the patterns that begin as it does in an equi join: its beginnings of those lengths that patterns have."""
+    lengths = [r.n for r in patterns.select(F.length("head").alias("n")).distinct().where(F.col("n") <= LONGEST_NAME).collect()]
+    if not lengths:
+        lengths = [0]
+    name = F.col("name")
+    heads = F.array_distinct(F.array(*[F.when(F.length(name) >= n, F.substring(name, 1, n)) for n in sorted(lengths)]))
+    met = names.withColumn("head", F.explode(F.filter(heads, lambda h: h.isNotNull()))).join(small(patterns), [*on, "head"])
+    fits = F.when(F.col("star"), name.endswith(F.col("tail")) & (F.length(name) >= F.length("head") + F.length("tail"))).otherwise(name == F.col("head"))
+    return met.where(fits).withColumn("part", F.when(F.col("star"), F.substr(name, F.length("head") + 1, F.length(name) - F.length("head") - F.length("tail"))).otherwise(""))
+
+
+def starred(value: Column, part: Column) -> Column:
+    return F.replace(value, F.lit("*"), part)
+
+
+def entered(names: DataFrame, entries: DataFrame) -> DataFrame:
+    """``names`` (id, root, map, syntax, typed, name) with what leads on from their entry point: (id, leads, value).
+
+    An equal name comes first, then the longest pattern, then that with the longest beginning."""
+    order = F.struct(~F.col("star"), F.length("head") + F.length("tail"), F.length("head"))
+    found = matched(names, entries, ["root", "map", "syntax", "typed"])
+    return found.groupBy("id").agg(F.max_by(F.struct("leads", starred(F.col("value"), F.col("part")).alias("value")), order).alias("e")).select("id", "e.*")
+
+
+def redirects(roots: DataFrame, entries: DataFrame, aliases: DataFrame) -> DataFrame:
+    """(settings, own, syntax, typed, name, to): where each of ``roots``, and each name that they lead to, is sent on to.
+
+    Rounds take the names that are new, so they end when there are none; aliases come before packages and send nothing on.
+    What a package's own entries lead to is there from the start, so only names that patterns make need more rounds."""
+    context = ["settings", "own", "syntax", "typed"]
+    ahead = entries.where("map = 'imports' and leads = 'name' and value like '#%' and not star").select(F.concat(F.lit("/"), "root").alias("own"), "syntax", "typed", F.col("value").alias("name"))
+    new = roots.select(*context, "name").unionByName(roots.select(*context).distinct().join(small(ahead), ["own", "syntax", "typed"]).select(*context, "name")).distinct()
+    known = edges = None
+    while True:
+        rows = written(new.withColumn("id", F.monotonically_increasing_id()), "names")
+        known = rows.select(*context, "name") if known is None else known.unionByName(rows.select(*context, "name"))
+        free = rows.join(matched(rows, aliases, ["settings"]).select("id").distinct(), "id", "left_anti")
+        asked = free.select("id", "syntax", "typed", "name", F.substr("own", F.lit(2)).alias("root"), F.lit("imports").alias("map"))
+        step = written(rows.join(entered(asked, entries).where("leads = 'name'"), "id").select(*context, "name", F.col("value").alias("to")), "redirects")
+        edges = step if edges is None else edges.unionByName(step)
+        ahead = step.where(F.col("to").startswith("#") & (F.length("to") <= LONGEST_NAME)).select(*context, F.col("to").alias("name")).distinct()
+        new = written(ahead.join(known, [*context, "name"], "left_anti"), "ahead")
+        if not new.limit(1).count():
+            return edges
+
+
+def followed(edges: DataFrame, on: list[str]) -> DataFrame:
+    """(*on, name, last, loop): the last name that ``edges`` (*on, name, to) lead to, or the first that comes twice.
+
+    Each round doubles how far a name has come. What is still under way after as many rounds as any chain can need
+    goes round a loop; then all that it points to is in loops, and a name's own loop begins where it meets the first."""
+
+    def doubled(at: DataFrame, rounds: int) -> DataFrame:
+        for _ in range(rounds):
+            on_to = at.select(*on, F.col("name").alias("to"), F.col("to").alias("__to"))
+            step = at.join(on_to, [*on, "to"], "left")
+            if not step.where("__to is not null").limit(1).count():
+                break
+            at = written(step.select(*on, "name", F.coalesce("__to", "to").alias("to")), "followed")
+        return at
 
-    return rows.select("key", "importer", "specifier", "kind", "esm", "alias", "package_root", "package_json", "own_root", "own_json").mapInPandas(run, PLANNED)
+    rounds = edges.count().bit_length() + 1
+    at = doubled(edges, rounds)
+    under_way = written(at.join(at.select(*on, F.col("name").alias("to")), [*on, "to"], "left_semi"), "loops")
+    ended = at.join(under_way, [*on, "name"], "left_anti").select(*on, "name", F.col("to").alias("last"), F.lit(False).alias("loop"))
+    if not under_way.limit(1).count():
+        return ended
+    inside_loop = written(under_way.select(*on, F.col("to").alias("name")).distinct(), "inside")
+    tails = edges.join(under_way, [*on, "name"], "left_semi").join(inside_loop, [*on, "name"], "left_anti")
+    entered_at = doubled(tails, rounds).select(*on, "name", F.col("to").alias("last"))
+    return ended.unionByName(inside_loop.withColumn("last", F.col("name")).unionByName(entered_at).withColumn("loop", F.lit(True)))
+
+
+def joined(folder: Column, path: Column) -> Column:
+    return normal(F.when(path.startswith("/"), path).otherwise(F.concat_ws("/", folder, path)))
+
+
+def suffixed(base: Column, extensions) -> Column:
+    return F.array(*[F.concat(base, F.lit(f".{e}")) for e in extensions])
+
+
+def by_extension(base: Column, make) -> Column:
+    """What ``make`` gives for the extensions that may stand for the one of ``base``, or for all."""
+    ext = F.regexp_extract(base, r"(?:^|/)\.*[^./][^/]*\.(js|mjs|cjs)$", 1)
+    out = F.when(ext == "js", make(MAPPED["js"]))
+    for e in ("mjs", "cjs"):
+        out = out.when(ext == e, make(MAPPED[e]))
+    return out
+
+
+def probe_columns(base: Column, strict: Column) -> Column:
+    """``probes`` as a column of a normal path; ``strict``: what Node's loader allows."""
+    stem = F.regexp_replace(base, r"\.(js|mjs|cjs)$", "")
+    index = F.when(base == "", F.array(*[F.lit(f"index.{e}") for e in EXTENSIONS])).otherwise(F.array(*[F.concat(base, F.lit(f"/index.{e}")) for e in EXTENSIONS]))
+    mapped = by_extension(base, lambda some: suffixed(stem, some))
+    any_ext = base.rlike(r"(?:^|/)\.*[^./][^/]*\.[^./]*$")
+    exact = F.coalesce(mapped, F.when(any_ext, F.array(base)), F.array().cast("array<string>"))
+    return F.when(strict, exact).otherwise(F.concat(F.array(base), F.coalesce(mapped, suffixed(base, EXTENSIONS)), index))
+
+
+def possible_columns(base: Column) -> Column:
+    """``possible`` as a column of a normal path."""
+    stem = F.regexp_replace(base, r"((?:^|/)\.*[^./][^/]*)\.[^./]*$", "$1")
+    some = lambda ext: F.concat(suffixed(stem, ext), suffixed(F.concat(base, F.lit("/index")), ext))
+    return F.concat(F.array(base), F.coalesce(by_extension(base, some), some(EXTENSIONS)))
+
+
+def stays_inside(path: Column) -> Column:
+    """Whether a path below a package's root never leaves it."""
+    deep = F.aggregate(F.split(path, "/"), F.array(F.lit(0), F.lit(0)), lambda a, p: F.array(a[0] + F.when(p == "..", -1).when(p.isin("", "."), 0).otherwise(1), F.least(a[1], a[0] + F.when(p == "..", -1).when(p.isin("", "."), 0).otherwise(1))))
+    return F.element_at(deep, 2) >= 0
+
+
+@dataclass
+class Tables:
+    """What resolution looks up: compiler settings, their aliases, packages and their entry points."""
+
+    settings: DataFrame
+    aliases: DataFrame
+    entries: DataFrame
+    packages: DataFrame
+
+
+def tables(manifests: DataFrame, tsconfigs: DataFrame, config: Config) -> Tables:
+    entries, packages = opened(manifests, tuple(config["resolution"]["custom_conditions"]), config["resolution"]["mode"])
+    at = F.concat(F.lit("/"), "directory").alias("settings")
+    patterns = tsconfigs.select(at, "base_url", F.posexplode("aliases").alias("rank", "a")).select("settings", "base_url", "rank", F.substring_index("a.pattern", "*", 1).alias("head"), F.col("a.pattern").contains("*").alias("star"), F.col("a.pattern").alias("pattern"), F.col("a.targets").alias("targets"))
+    aliases = patterns.withColumn("tail", F.when(F.col("star"), F.substr("pattern", F.length("head") + 2)).otherwise("")).drop("pattern")
+    return Tables(written(tsconfigs.select(at, "base_url", "resolve_bare"), "settings"), written(aliases, "aliases"), entries, packages)
+
+
+def contexts(imports: DataFrame, manifests: DataFrame, tsconfigs: DataFrame, scopes: DataFrame) -> DataFrame:
+    """folder, type, settings and own of each folder that holds an importer."""
+    rows = imports.select(parent(F.col("module_id")).alias("folder")).distinct().withColumn("at", F.concat_ws("/", F.when(F.col("folder") != "", F.col("folder")), F.lit("x")))
+    rows = nearest(rows, "at", scopes.select(F.col("directory").alias("_scope"), "type"), "_scope").drop("_scope")
+    rows = nearest(rows, "at", tsconfigs.select(F.col("directory").alias("_ts")), "_ts")
+    rows = nearest(rows, "at", manifests.select(F.col("root").alias("_own")), "_own")
+    mark = lambda c: F.coalesce(F.concat(F.lit("/"), c), F.lit(""))
+    return rows.select("folder", "type", mark("_ts").alias("settings"), mark("_own").alias("own"))
+
+
+def requested(imports: DataFrame, near: DataFrame, mode: str) -> DataFrame:
+    """``imports`` with the columns of CONTEXT, empty where the specifier does not depend on them, so that equal requests are one."""
+    modern = mode in ("node16", "nodenext")
+    rows = imports.withColumn("folder", parent(F.col("module_id"))).join(small(near), "folder")
+    esm = module_format(F.col("module_id"), F.col("type")) == "esm"
+    required = (F.col("kind") == "Require") | ((F.col("kind") != "Dynamic") & F.lit(modern) & ~esm)
+    relative, hash_ = F.col("specifier").startswith("."), F.col("specifier").startswith("#")
+    return rows.select(
+        *imports.columns, F.when(relative | hash_, F.col("folder")).otherwise("").alias("folder"), F.when(relative, "").otherwise(F.col("settings")).alias("settings"), F.when(hash_, F.col("own")).otherwise("").alias("own"),
+        F.when(relative, "").when(required, "require").otherwise("import").alias("syntax"), (~relative & (F.col("kind") == "TypeOnly")).alias("typed"), ((relative | hash_) & F.lit(modern) & esm & ~required).alias("strict"),
+    )
+
+
+def bases(names: DataFrame, t: Tables, mode: str) -> DataFrame:
+    """(id, rank, a, b, handler, base): the paths that a name (id, *CONTEXT, name) may mean, in order of rank, a and b."""
+    name = F.col("name")
+    zero = F.lit(0)
+    row = lambda rank, handler, base, a=zero, b=zero: [F.col("id"), F.lit(rank).alias("rank"), a.cast("int").alias("a"), b.cast("int").alias("b"), F.lit(handler).alias("handler"), base.alias("base")]
+    near = names.where(name.startswith(".")).select(*row(0, "relative", normal(F.concat_ws("/", F.when(F.col("folder") != "", F.col("folder")), name))))
+    far = names.where(~name.startswith(".") & ~name.startswith("/"))
+    # an alias without targets still answers, with a row that has no path
+    hits = matched(far.select("id", "settings", "name"), t.aliases, ["settings"]).select("id", "base_url", F.col("rank").alias("a"), "part", F.posexplode_outer("targets").alias("b", "to"))
+    aliased = hits.select(*row(1, "tsconfig-alias", F.when(F.col("to").isNotNull(), joined(F.col("base_url"), starred(F.col("to"), F.col("part")))), F.col("a"), F.coalesce("b", zero)))
+    bare = far.where(~name.startswith("#")).join(small(t.settings.where("resolve_bare")), "settings").select(*row(2, "tsconfig-alias", joined(F.col("base_url"), name)))
+    named = package_of(far, t, mode)
+    through = entered(named.where("map is not null").select("id", "root", "map", "syntax", "typed", F.col("key").alias("name")), t.entries).where("leads = 'path'")
+    to = named.where("map is not null").select("id", "root").join(through, "id").select("id", "root", "value")
+    entry = F.coalesce(F.when(F.col("typed"), F.col("types_entry")).otherwise(F.col("runtime_entry")), F.lit("src/index"))
+    plain = named.where("map is null and key is not null").select("id", "root", F.when(F.col("sub") != "", F.col("sub")).otherwise(entry).alias("value"))
+    packaged = to.where(stays_inside(F.col("value"))).unionByName(plain)
+    return near.unionByName(aliased).unionByName(bare).unionByName(packaged.select(*row(3, "workspace-package", joined(F.when(F.col("root") != "", F.col("root")), F.col("value")))))
+
+
+def package_of(names: DataFrame, t: Tables, mode: str) -> DataFrame:
+    """``names`` that a workspace package answers for, with its root: map and key say which of its entry
+    points is asked for, without map ``sub`` below its root; # names have neither in the oldest mode."""
+    name, modern = F.col("name"), mode != "node10"
+    mine = name.startswith("#") & (F.col("own") != "")
+    none = F.lit(None).cast("string")
+    own = names.where(mine).withColumn("root", F.substr("own", F.lit(2))).join(small(t.packages.drop("name")), "root").select("id", "syntax", "typed", "root", (F.lit("imports") if modern else none).alias("map"), (name if modern else none).alias("key"), F.lit("").alias("sub"), "runtime_entry", "types_entry")
+    other = names.where(~mine).withColumn("package", package_column(name)).join(small(t.packages.withColumnRenamed("name", "package")), "package")
+    other = other.withColumn("sub", F.regexp_replace(F.substr(name, F.length("package") + 1), "^/+", ""))
+    key = F.when(F.col("sub") == "", ".").otherwise(F.concat(F.lit("./"), "sub"))
+    return own.unionByName(other.select("id", "syntax", "typed", "root", F.when(F.col("has_exports") & F.lit(modern), "exports").alias("map"), key.alias("key"), "sub", "runtime_entry", "types_entry"))
+
+
+@dataclass
+class Answers:
+    """Equal requests answered once: ``requests`` (request, *CONTEXT, specifier), ``tries`` (request, path and its
+    order, handler), the inverted index from a path to the requests that may mean it, and ``rest`` (request, what
+    holds if no path is a file, candidates)."""
+
+    requests: DataFrame
+    tries: DataFrame
+    rest: DataFrame
+
+
+def is_builtin(name: Column) -> Column:
+    bare = F.regexp_replace(name, "^node:", "")
+    return bare.isin(*sorted(BUILTINS)) | (name.startswith("node:") & bare.isin(*sorted(PREFIX_ONLY)))
+
+
+def prepared(requests: DataFrame, t: Tables, config: Config) -> Answers:
+    """All that can be said of ``requests`` (request, *CONTEXT, specifier) without knowing which files there are."""
+    mode, context = config["resolution"]["mode"], ["settings", "own", "syntax", "typed"]
+    asked = requests.withColumnRenamed("request", "id").withColumnRenamed("specifier", "name")
+    aimed = asked.withColumn("loop", F.lit(False)).withColumn("redirected", F.lit(False))
+    roots = asked.where(F.col("name").startswith("#") & (F.col("own") != ""))
+    sent = redirects(roots, t.entries, t.aliases) if mode != "node10" and roots.limit(1).count() else None
+    if sent is not None and sent.limit(1).count():
+        last = written(followed(sent, context), "last")
+        aimed = asked.join(last, [*context, "name"], "left").select("id", *CONTEXT, F.coalesce("last", "name").alias("name"), F.coalesce("loop", F.lit(False)).alias("loop"), F.col("last").isNotNull().alias("redirected"))
+    aimed = written(aimed, "aimed")
+    own = written(bases(asked, t, mode), "bases")
+    meant, listed = own, own
+    if sent is not None:
+        far = aimed.where("redirected")
+        meant = written(own.join(far.select("id"), "id", "left_anti").unionByName(bases(far.where("not loop").select("id", *CONTEXT, "name"), t, mode)), "meant")
+    aliased = meant.where("rank = 1").select("id").distinct().withColumn("aliased", F.lit(True))
+    packaged = package_of(aimed.where(~F.col("name").startswith(".") & ~F.col("name").startswith("/")), t, mode).select("id").distinct().withColumn("packaged", F.lit(True))
+    name, bare = F.col("name"), F.regexp_replace("name", "^node:", "")
+    rest = aimed.join(aliased, "id", "left").join(packaged, "id", "left")
+    said = lambda outcome, value="", handler="none": F.struct(F.lit(outcome).alias("outcome"), (value if isinstance(value, Column) else F.lit(value)).alias("value"), F.lit(handler).alias("handler"))
+    final = (
+        F.when(F.col("loop"), said("invalid", F.format_string("package resolution redirect loop at `%s`", "name")))
+        .when(is_builtin(name), said("builtin", F.concat(F.lit("node:"), bare), "node-builtin"))
+        .when(name.startswith("/"), said("invalid", ABSOLUTE, "relative"))
+        .when(name.startswith("."), said("unresolved", "", "relative"))
+        .when(F.col("aliased"), said("unresolved", "", "tsconfig-alias"))
+        .when(F.col("packaged"), said("unresolved", "", "workspace-package"))
+        .otherwise(said("external", package_column(name), "external-package"))
+    )
+    rest = written(rest.select("id", "strict", F.coalesce("aliased", F.lit(False)).alias("aliased"), (F.col("loop") | is_builtin(name)).alias("settled"), final.alias("final")), "final")
+    usable = meant.join(rest, "id").where("base is not null and not settled and (rank < 2 or not aliased)")
+    tries = usable.select("id", "rank", "a", "b", "handler", F.posexplode(probe_columns(F.col("base"), F.col("strict") & (F.col("rank") == 0))).alias("k", "path"))
+    tries = written(tries.select(F.col("id").alias("request"), F.struct("rank", "a", "b", "k").alias("order"), "handler", "path"), "tries")
+    # without an alias the bare name below the settings' folder may be meant too
+    first = listed.where("rank = 1 and base is not null").select("id").distinct()
+    some = listed.where("rank != 2").unionByName(listed.where("rank = 2").join(first, "id", "left_anti")).where("base is not null")
+    candidates = some.select("id", F.explode(possible_columns(F.col("base"))).alias("path")).groupBy("id").agg(F.sort_array(F.collect_set("path")).alias("candidates"))
+    rest = rest.join(candidates, "id", "left").select(F.col("id").alias("request"), "final.*", F.coalesce("candidates", F.array().cast("array<string>")).alias("candidates"))
+    return Answers(requests, tries, written(rest, "rest"))
+
+
+def decided(answers: Answers, files: DataFrame) -> DataFrame:
+    """(request, outcome, value, handler, candidates): the first try that is one of ``files`` (path), else what holds without."""
+    hit = answers.tries.join(files.select("path").distinct(), "path", "left_semi").groupBy("request").agg(F.min_by(F.struct("path", F.col("handler").alias("by")), "order").alias("hit"))
+    done = answers.rest.join(hit, "request", "left")
+    known = F.col("hit").isNotNull()
+    return done.select("request", F.when(known, "module").otherwise(F.col("outcome")).alias("outcome"), F.coalesce("hit.path", "value").alias("value"), F.coalesce("hit.by", "handler").alias("handler"), "candidates")
+
+
+def numbered(asked: DataFrame) -> DataFrame:
+    """The different requests of ``asked``, with a number each."""
+    return written(asked.select(*CONTEXT, "specifier").distinct().withColumn("request", F.monotonically_increasing_id()), "requests")
 
 
 def resolve(imports: DataFrame, files: DataFrame, manifests: DataFrame, tsconfigs: DataFrame, scopes: DataFrame, config: Config) -> DataFrame:
     """imports with outcome (module, builtin, external, unresolved, invalid), value, handler and candidates.
 
-    files: (path) of every file that exists, excluded ones too.
+    files: (path) of every file that exists, excluded ones too. Redirects are followed to their end.
     """
+    asked = written(requested(imports, contexts(imports, manifests, tsconfigs, scopes), config["resolution"]["mode"]), "asked")
+    answers = prepared(numbered(asked), tables(manifests, tsconfigs, config), config)
+    return answered(asked, answers.requests, decided(answers, files), config)
+
+
+def answered(asked: DataFrame, requests: DataFrame, found: DataFrame, config: Config) -> DataFrame:
+    """Imports with the answers to their requests."""
     virtual = config["resolution"]["virtual_modules"]
-    todo = imports.withColumn("asked", F.col("specifier")).withColumn("visited", F.array("specifier"))
-    every = None
-    for _ in range(REDIRECTS):
-        # keys must not change between the uses below
-        rows = written(todo.withColumn("key", F.monotonically_increasing_id()), "imports")
-        plans = written(planned(requests(rows, manifests, tsconfigs, scopes), config), "plans")
-        tries = plans.select("key", F.posexplode(F.arrays_zip("handlers", "paths")).alias("priority", "c")).select("key", "priority", "c.handlers", F.col("c.paths").alias("path"))
-        found = tries.join(files.select("path").distinct(), "path", "left_semi").groupBy("key").agg(F.min_by(F.struct("path", F.col("handlers").alias("handler")), "priority").alias("hit"))
-        done = rows.join(plans.drop("handlers", "paths"), "key").join(found, "key", "left")
-        done = done.withColumn("outcome", F.when(F.col("hit").isNotNull(), "module").otherwise(F.col("outcome"))).withColumn("value", F.coalesce("hit.path", "value")).withColumn("handler", F.coalesce("hit.handler", "final"))
-        looped = F.array_contains("visited", F.col("value"))
-        again = F.col("outcome") == "redirect"
-        reason = F.format_string("package resolution redirect loop at `%s`", "value")
-        done = written(done.withColumn("value", F.when(again & looped, reason).otherwise(F.col("value"))).withColumn("outcome", F.when(again & looped, "invalid").otherwise(F.col("outcome"))), "resolved")
-        finished = done.where("outcome != 'redirect'")
-        every = finished if every is None else every.unionByName(finished)
-        left = done.where("outcome = 'redirect'")
-        if not left.limit(1).count():
-            break
-        todo = left.withColumn("visited", F.concat("visited", F.array("value"))).withColumn("specifier", F.col("value")).select(todo.columns)
+    every = asked.join(requests.join(found, "request"), [*CONTEXT, "specifier"])
     if virtual:
-        from lattiq.functions.globs import matches
-
-        on = (F.col("outcome") == "unresolved") & matches(F.col("asked"), virtual, crossing=True)
-        every = every.withColumn("value", F.when(on, F.concat(F.lit("virtual:"), "asked")).otherwise(F.col("value"))).withColumn("handler", F.when(on, "virtual-module").otherwise(F.col("handler"))).withColumn("outcome", F.when(on, "external").otherwise(F.col("outcome")))
-    return every.select("module_id", F.col("asked").alias("specifier"), "kind", F.col("location").cast(LOCATION).alias("location"), "ord", "outcome", "value", "handler", "candidates")
+        on = (F.col("outcome") == "unresolved") & matches(F.col("specifier"), virtual, crossing=True)
+        every = every.withColumn("value", F.when(on, F.concat(F.lit("virtual:"), "specifier")).otherwise(F.col("value"))).withColumn("handler", F.when(on, "virtual-module").otherwise(F.col("handler"))).withColumn("outcome", F.when(on, "external").otherwise(F.col("outcome")))
+    return every.select("module_id", "specifier", "kind", F.col("location").cast(LOCATION).alias("location"), "ord", "outcome", "value", "handler", "candidates")
 
 
 def trace(r: Request, files: set[str]) -> list[tuple[str, str, str]]:
