@@ -7,6 +7,7 @@ the operators should find in them from SQL alone.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,12 +16,13 @@ from pyspark.sql import functions as F
 from lattiq.config import from_dict
 from lattiq.functions.globs import matches
 from lattiq.operators import classify, diagnostics, hygiene, resolve, rules, views
-from lattiq.plans import analyze, incremental
+from lattiq.plans import analyze, incremental, restore
+from lattiq.plans.store import Store
 from lattiq.queries import ALLOWED, CONFIG, KIND, WITH, context, dependencies, modules, project, view
 from lattiq.schemas import COMMENT, LOCATION, MANIFESTS, PARSED, TSCONFIGS, empty
 from lattiq.sources import repository
 from lattiq.sources.parser import parse_files
-from lattiq.storage import written
+from lattiq.storage import shared_dir, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -221,6 +223,73 @@ def workspace_resolution(spark, d):
     return told(resolved(spark, d, imports, files, repository.manifests(spark, inputs(spark, d))))
 
 
+MODES = ("node10", "node16", "nodenext", "bundler")
+ASKED = f"CASE ord % 5 WHEN 0 THEN concat('../../', {REST}) WHEN 1 THEN concat('../../', {REST}, '.js') WHEN 2 THEN '@w/c' WHEN 3 THEN concat('./virt-', ord) ELSE concat('../../', {REST}, '.ts') END"
+STRICT = "mode IN ('node16', 'nodenext') AND kind != 'Require'"
+
+
+@query(
+    f"{EDGES}, m AS (SELECT unnest(['node10', 'node16', 'nodenext', 'bundler']) AS mode), x AS (SELECT *, {ASKED} AS specifier FROM e CROSS JOIN m), y AS (SELECT mode, f AS module, specifier, ord, kind, "
+    f"CASE WHEN ord % 5 = 0 THEN CASE WHEN {STRICT} THEN NULL ELSE t END WHEN ord % 5 IN (1, 4) THEN t "
+    "WHEN ord % 5 = 2 THEN concat('packages/c/', CASE mode WHEN 'node10' THEN 'main' WHEN 'node16' THEN 'n' WHEN 'nodenext' THEN 'c' ELSE CASE kind WHEN 'Require' THEN 'r' ELSE 'd' END END, '.ts') END AS hit FROM x) "
+    "SELECT mode, module, specifier, ord, kind, CASE WHEN hit IS NOT NULL THEN 'module' WHEN ord % 5 = 3 AND mode = 'bundler' THEN 'external' ELSE 'unresolved' END AS outcome, "
+    "CASE WHEN hit IS NOT NULL THEN hit WHEN ord % 5 = 3 AND mode = 'bundler' THEN concat('virtual:', specifier) ELSE '' END AS value, "
+    "CASE WHEN ord % 5 = 2 THEN 'workspace-package' WHEN ord % 5 = 3 AND mode = 'bundler' THEN 'virtual-module' ELSE 'relative' END AS handler FROM y"
+)
+def resolution_modes(spark, d):
+    """Every mode over importers that are ES modules: extensions that Node's loader asks for, conditions of
+    exports and custom ones, the legacy entry of the oldest mode, virtual modules."""
+    manifest = '{"name":"@w/c","main":"./main.ts","exports":{".":{"custom":"./c.ts","node":"./n.ts","require":"./r.ts","default":"./d.ts"}}}'
+    manifests = spark.createDataFrame([("packages/c", "@w/c", manifest)], MANIFESTS)
+    imports = written(asked(spark, d, ASKED), "asked")
+    files = modules(spark, d).select("path").unionByName(spark.createDataFrame([(f"packages/c/{n}.ts",) for n in ("main", "c", "n", "r", "d")], "path string"))
+    scopes = spark.createDataFrame([("", "module")], "directory string, type string")
+    out = None
+    for mode in MODES:
+        own = {"mode": mode, "custom_conditions": ["custom"] if mode == "nodenext" else [], "virtual_modules": ["./virt*"] if mode == "bundler" else []}
+        found = told(resolve.resolve(imports, files, manifests, empty(spark, TSCONFIGS), scopes, from_dict(CONFIG | {"resolution": own})), "kind").withColumn("mode", F.lit(mode))
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+@query(
+    "WITH RECURSIVE n AS (SELECT CAST(n_nationkey AS INT) AS k, CASE WHEN n_nationkey + 3 <= 24 THEN CAST(n_nationkey + 3 AS INT) END AS nk, CAST((n_nationkey * n_nationkey + 1) % 25 AS INT) AS lk FROM nation), "
+    "w(k, here) AS (SELECT k, k FROM n UNION ALL SELECT w.k, n.nk FROM w JOIN n ON w.here = n.k WHERE n.nk IS NOT NULL), ends AS (SELECT k, max(here) AS last FROM w GROUP BY k), "
+    "r(k, here, seen) AS (SELECT k, k, [k] FROM n UNION ALL SELECT r.k, n.lk, list_append(r.seen, n.lk) FROM r JOIN n ON r.here = n.k WHERE NOT list_contains(r.seen, n.lk)), "
+    "loops AS (SELECT r.k AS k, arg_max(n.lk, len(r.seen)) AS first FROM r JOIN n ON r.here = n.k GROUP BY r.k), "
+    "o AS (SELECT o_orderkey, CAST(o_orderkey % 25 AS INT) AS k, CAST(o_orderkey % 3 AS INT) AS style FROM orders) "
+    "SELECT concat('src/o', o_orderkey, '.ts') AS module, concat(CASE style WHEN 0 THEN '#l' ELSE '#n' END, o.k) AS specifier, CAST(o_orderkey AS BIGINT) AS ord, "
+    "CASE WHEN style = 0 THEN 'invalid' WHEN last = 23 THEN 'unresolved' ELSE 'module' END AS outcome, "
+    "CASE WHEN style = 0 THEN concat('package resolution redirect loop at `#l', first, '`') WHEN last = 23 THEN '' ELSE concat('lib/n', last, '.ts') END AS value, "
+    "CASE WHEN style = 0 THEN 'none' ELSE 'workspace-package' END AS handler FROM o JOIN ends ON o.k = ends.k JOIN loops ON o.k = loops.k"
+)
+def redirect_chains(spark, d):
+    """Package-internal names that lead to each other: chains of up to nine to their end, and loops with what leads into them."""
+    nations = view(spark, d, "nation").select(F.col("n_nationkey").cast("int").alias("k"))
+    nations.createOrReplaceTempView("nations")
+    entry = "concat('\"#n', k, '\":\"', CASE WHEN k + 3 <= 24 THEN concat('#n', k + 3) ELSE concat('./lib/n', k, '.ts') END, '\",\"#l', k, '\":\"#l', (k * k + 1) % 25, '\"')"
+    manifests = spark.sql(f"SELECT '' AS root, 'root' AS name, concat('{{\"name\":\"root\",\"imports\":{{', concat_ws(',', collect_list({entry})), '}}}}') AS json FROM nations")
+    orders = view(spark, d, "orders").select("o_orderkey")
+    name = F.concat(F.when(F.col("o_orderkey") % 3 == 0, "#l").otherwise("#n"), F.col("o_orderkey") % 25)
+    imports = orders.select(F.concat(F.lit("src/o"), "o_orderkey", F.lit(".ts")).alias("module_id"), name.alias("specifier"), F.lit("Static").alias("kind"), F.lit(None).cast(LOCATION).alias("location"), F.col("o_orderkey").cast("long").alias("ord"))
+    return told(resolved(spark, d, imports, spark.sql("SELECT concat('lib/n', k, '.ts') AS path FROM nations WHERE k != 23"), manifests))
+
+
+@query(
+    f"{EDGES}, p AS (SELECT DISTINCT id AS path FROM modules WHERE id NOT LIKE '%9.ts'), x AS (SELECT e.*, p.path IS NOT NULL AS there FROM e LEFT JOIN p ON e.t = p.path) "
+    f"SELECT f AS module, {RELATIVE} AS specifier, ord, CASE WHEN ord % 5 < 3 AND there THEN 'module' ELSE 'unresolved' END AS outcome, CASE WHEN ord % 5 < 3 AND there THEN t ELSE '' END AS value, 'relative' AS handler FROM x"
+)
+def restored_resolutions(spark, d):
+    """Answers after files came and went and imports were added, most of them restored from the run before."""
+    store = Store(spark, f"{shared_dir(spark)}/resolutions-{uuid.uuid4().hex}")
+    imports, files = written(asked(spark, d, RELATIVE), "asked"), modules(spark, d).select("path")
+    none = [empty(spark, x) for x in (MANIFESTS, TSCONFIGS, "directory string, type string")]
+    before = files.where("path NOT LIKE '%7.ts'"), imports.where("ord % 11 != 0")
+    restore.restored(store, before[1], before[0], *none, from_dict(CONFIG), "e")
+    found, _ = restore.restored(store, imports, files.where("path NOT LIKE '%9.ts'"), *none, from_dict(CONFIG), "e")
+    return told(found)
+
+
 EXT = "CASE p_partkey % 5 WHEN 0 THEN 'ts' WHEN 1 THEN 'mts' WHEN 2 THEN 'cts' WHEN 3 THEN 'js' ELSE 'cjs' END"
 
 

@@ -50,15 +50,15 @@ def read_project(spark: SparkSession, root: str, config: Config) -> Inputs:
     return Inputs(written(files, "files"), written(inputs, "inputs"), written(every, "every"), os.path.basename(root.rstrip("/")) or "project")
 
 
-def materialise(spark: SparkSession, given: Inputs, config: Config, mode: str = "auto", overlays: DataFrame | None = None, parse=parse_files) -> Frames:
-    """All relations of a project, up to the client runtime's propagation."""
+def materialise(spark: SparkSession, given: Inputs, config: Config, mode: str = "auto", overlays: DataFrame | None = None, parse=parse_files, resolver=resolve.resolve) -> Frames:
+    """All relations of a project, up to the client runtime's propagation; ``parse`` and ``resolver`` may keep what they find."""
     files = repository.overlaid(given.files, overlays) if overlays is not None else given.files
     every = given.every.select("path").unionByName(files.select("path")).distinct()
     manifests = repository.manifests(spark, given.inputs)
     parsed = written(parse(files), "parsed")
     imports = parsed.where("error is null").select(F.col("path").alias("module_id"), F.posexplode("imports").alias("k", "i")).select("module_id", "i.specifier", "i.kind", "i.location", F.struct("module_id", "k").alias("o"))
     imports = written(imports.orderBy("o").withColumn("ord", F.monotonically_increasing_id()).drop("o"), "imports")
-    found = written(resolve.resolve(imports, every, manifests, repository.tsconfigs(spark, given.inputs), repository.scopes(given.inputs), config), "found")
+    found = written(resolver(imports, every, manifests, repository.tsconfigs(spark, given.inputs), repository.scopes(given.inputs), config), "found")
     to = F.when(F.col("outcome") == "module", F.col("value")).when(F.col("outcome").isin("external", "builtin"), F.concat("outcome", F.lit(":"), "value"))
     dependencies = found.where(to.isNotNull()).select(F.col("module_id").alias("from"), to.alias("to"), "kind", "location", "ord")
     modules = modules_of(given, parsed, found, manifests, config)
@@ -79,7 +79,7 @@ def materialise(spark: SparkSession, given: Inputs, config: Config, mode: str =
     packages = modules.where("kind = 'external'").select(F.col("package").alias("name"), F.lit("").alias("root_path")).unionByName(classify.packages_of(modules.where("kind != 'external'").select("path"), manifests, given.name).select(F.col("package").alias("name"), F.col("package_root").alias("root_path"))).dropDuplicates(["name"])
     return Frames(
         modules=modules, dependencies=written(dependencies, "dependencies"), resolved=written(resolved, "resolved"), packages=packages, declared=repository.declared(manifests), ownership=ownership, features=features,
-        facts=facts(parsed, found), comments=parsed.where("error is null").select("path", F.explode("comments").alias("comment")), files=files, extra={"parsed": parsed, "found": found, "imports": imports},
+        facts=facts(parsed, found), comments=parsed.where("error is null").select("path", F.explode("comments").alias("comment")), files=files, extra={"parsed": parsed, "found": found, "imports": imports, "inputs": given.inputs, "every": every},
     )
 
 
@@ -142,19 +142,29 @@ def analyze(spark: SparkSession, frames: Frames, config: Config, mode: str = "au
 
 
 def check(spark: SparkSession, root: str, config: Config, mode: str = "auto", overlays: DataFrame | None = None, cache: str | None = None, **kw) -> Analysis:
-    """A source tree from end to end; parsed facts are kept in a table at ``cache`` where one is named."""
+    """A source tree from end to end; parsed facts and resolutions are kept in tables below ``cache`` where one is named."""
     began = time.time()
     given = read_project(spark, root, config)
     scanned = time.time()
-    parse = parse_files
+    parse, resolver, again = parse_files, resolve.resolve, []
     if cache:
-        from lattiq.plans.incremental import cached_parser, environment_hash
+        from lattiq.plans import incremental, restore
+        from lattiq.plans.store import Store
 
-        parse = cached_parser(cache, environment_hash(given.inputs, config))
-    frames = materialise(spark, given, config, mode, overlays, parse)
+        parse = incremental.cached_parser(Store(spark, f"{cache}/parsed"))
+        answers = Store(spark, f"{cache}/resolutions")
+
+        def resolver(*relations):
+            found, done = restore.restored(answers, *relations, restore.settings_hash(given.inputs, config))
+            again.append(done)
+            return found
+
+    frames = materialise(spark, given, config, mode, overlays, parse, resolver)
     built = time.time()
     out = analyze(spark, frames, config, mode, **kw)
     out.timings |= {"scan_s": scanned - began, "facts_s": built - scanned}
+    if again:
+        out.timings |= {"requests": again[0].requests, "resolved_again": again[0].resolved}
     return out
 
 

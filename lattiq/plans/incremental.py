@@ -16,13 +16,14 @@ from lattiq.functions.hashes import fnv1a
 from lattiq.operators import rules, views
 from lattiq.operators.diagnostics import FIELDS
 from lattiq.plans.analyze import Analysis, post_process
+from lattiq.plans.store import Store
 from lattiq.registry import RULES
 from lattiq.schemas import Frames
 from lattiq.sources.parser import parse_files
 from lattiq.storage import written
 
 #: The cache's layout; a table of another one is not read.
-CACHE_VERSION, SHARDS = 1, 256
+CACHE_VERSION, SHARDS = 2, 256
 PARSED_COLUMNS = ("path", "imports", "directives", "exported_runtime", "marker_imports", "comments", "error")
 
 
@@ -43,53 +44,39 @@ def fnv_of(text: str) -> str:
     return fnv1a_text(text)
 
 
-def write_cache(parsed: DataFrame, files: DataFrame, environment: str, path: str) -> None:
-    """Parsed facts by shard; only shards with new rows are written anew."""
-    rows = parsed.join(with_hashes(files).drop("source"), "path").withColumn("environment", F.lit(environment)).withColumn("version", F.lit(CACHE_VERSION))
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
+def reusable(cache: DataFrame | None, files: DataFrame) -> tuple[DataFrame | None, DataFrame]:
+    """(parsed, todo): cached rows of files whose content is the same, and the files without one.
 
+    What a file says depends on its own text alone, so no setting makes a row worthless."""
+    if cache is None:
+        return None, files
+    kept = cache.where(F.col("version") == CACHE_VERSION).join(with_hashes(files).select("path", "hash"), ["path", "hash"], "left_semi").dropDuplicates(["path"])
+    return kept, files.join(kept.select("path"), "path", "left_anti")
 
-def reusable(cache: DataFrame, files: DataFrame, environment: str) -> tuple[DataFrame, DataFrame]:
-    """(parsed, todo): cached rows of files whose content and environment are the same, and the files without one."""
-    same = cache.where((F.col("version") == CACHE_VERSION) & (F.col("environment") == environment))
-    kept = same.join(with_hashes(files).select("path", "hash"), ["path", "hash"], "left_semi")
-    return kept.select(*PARSED_COLUMNS), files.join(kept.select("path"), "path", "left_anti")
 
+def cached_parser(store: Store) -> Callable[[DataFrame], DataFrame]:
+    """A parser of files that keeps its rows in ``store`` and parses only what isn't there.
 
-def cached_parser(path: str, environment: str) -> Callable[[DataFrame], DataFrame]:
-    """A parser of files that keeps its rows in a table at ``path`` and parses only what isn't there."""
+    New rows are appended; when half of what is kept is of files or texts that are gone, the rest is written anew."""
 
     def parse(files: DataFrame) -> DataFrame:
-        spark = files.sparkSession
         files = written(files.select("path", "source"), "sources")
-        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
-            kept, todo = reusable(spark.read.parquet(path), files, environment)
-        else:
-            kept, todo = None, files
+        cache = store.table("parsed")
+        kept, todo = reusable(cache, files)
         todo = written(todo, "todo")
-        fresh = parse_files(todo)
-        # the table is written over, so what is read of it ends here
-        every = written(fresh if kept is None else kept.unionByName(fresh), "parsed")
-        if kept is None or todo.limit(1).count():
-            write_cache(every, files, environment, path)
-        return every
+        n = todo.count()
+        if not n and kept is not None:
+            return kept.select(*PARSED_COLUMNS)
+        fresh = parse_files(todo).join(with_hashes(todo).drop("source", "shard"), "path").withColumn("version", F.lit(CACHE_VERSION))
+        if kept is None or cache.count() > 2 * max(1, kept.count()):
+            store.commit({"parsed": fresh if kept is None else kept.unionByName(fresh)})
+        else:
+            store.commit({}, {"parsed": fresh})
+        return reusable(store.table("parsed"), files)[0].select(*PARSED_COLUMNS)
 
     return parse
 
 
-def valid(cache: DataFrame, files: DataFrame, environment: str, live: DataFrame, found: DataFrame) -> DataFrame:
-    """Cached rows that still hold: same content and environment, resolved targets that
-    still exist, and no candidate of an unresolved import that has appeared.
-
-    live: (path) of all files. found: the resolution rows of the cached run.
-    """
-    same = cache.where((F.col("version") == CACHE_VERSION) & (F.col("environment") == environment)).join(with_hashes(files).select("path", "hash"), ["path", "hash"], "left_semi")
-    gone = found.where("outcome = 'module'").select(F.col("module_id").alias("path"), F.col("value").alias("target")).join(live.withColumnRenamed("path", "target"), "target", "left_anti").select("path")
-    come = found.where("outcome = 'unresolved'").select(F.col("module_id").alias("path"), F.explode("candidates").alias("target")).join(live.withColumnRenamed("path", "target"), "target", "left_semi").select("path")
-    return same.join(gone.unionByName(come).distinct(), "path", "left_anti")
-
-
 def overlay_changes(files: DataFrame, snapshot: DataFrame) -> DataFrame:
     """CHANGES between two states of files."""
     a, b = with_hashes(files).select("path", F.col("hash").alias("new")), with_hashes(snapshot).select("path", F.col("hash").alias("old"))
@@ -218,4 +205,4 @@ class Tickets:
         return ticket == self.current
 
 
-__all__ = ["RuleCache", "Sessions", "Stats", "Tickets", "cached_parser", "environment_hash", "fnv1a", "overlay_changes", "reanalyze", "relation_hash", "reusable", "rule_hashes", "valid", "with_hashes", "write_cache"]
+__all__ = ["RuleCache", "Sessions", "Stats", "Tickets", "cached_parser", "environment_hash", "fnv1a", "overlay_changes", "reanalyze", "relation_hash", "reusable", "rule_hashes", "with_hashes"]

@@ -1,11 +1,13 @@
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
 from lattiq import cli, config
-from lattiq.operators import diagnostics, views
-from lattiq.plans import analyze, incremental
+from lattiq.operators import diagnostics, resolve, views
+from lattiq.plans import analyze, incremental, restore
+from lattiq.plans.store import Store
 from lattiq.sources import repository, sinks
 
 FILES = {
@@ -148,28 +150,80 @@ def test_relation_hash_counts_rows(spark):
 
 
 def test_parse_cache(spark, tmp_path):
-    at = f"file://{tmp_path}/cache"
+    at = Store(spark, f"file://{tmp_path}/cache")
     files = spark.createDataFrame([(f"src/m{i}.ts", f"import './m{i + 1}'") for i in range(6)], "path string, source string")
-    parse = incremental.cached_parser(at, "e")
+    parse = incremental.cached_parser(at)
     first = {r.path: r for r in parse(files).collect()}
     edited = files.withColumn("source", F.when(F.col("path") == "src/m2.ts", F.lit("import 'x'")).otherwise(F.col("source"))).where("path != 'src/m5.ts'")
-    kept, todo = incremental.reusable(spark.read.parquet(at), edited, "e")
+    kept, todo = incremental.reusable(at.table("parsed"), edited)
     assert kept.count() == 4 and [r.path for r in todo.collect()] == ["src/m2.ts"]
     second = {r.path: r for r in parse(edited).collect()}
     assert second["src/m2.ts"].imports[0].specifier == "x"
     assert {p: r for p, r in second.items() if p != "src/m2.ts"} == {p: r for p, r in first.items() if p not in ("src/m2.ts", "src/m5.ts")}
-    assert incremental.reusable(spark.read.parquet(at), edited, "other")[0].count() == 0
-
-
-def test_cache_validity(spark, done):
-    files, frames = done.frames.files, done.frames
-    rows = frames.extra["parsed"].join(incremental.with_hashes(files).drop("source"), "path").withColumn("environment", F.lit("e")).withColumn("version", F.lit(1))
-    live = files.select("path")
-    ok = {r.path for r in incremental.valid(rows, files, "e", live, frames.extra["found"]).collect()}
-    assert len(ok) == files.count()
-    appeared = live.unionByName(spark.createDataFrame([("packages/web/src/app/lost.ts",)], "path string"))
-    assert ok - {r.path for r in incremental.valid(rows, files, "e", appeared, frames.extra["found"]).collect()} == {"packages/web/src/app/page.tsx"}
-    assert incremental.valid(rows, files, "other", live, frames.extra["found"]).count() == 0
+    assert at.refresh().table("parsed").count() == 7 and at.state["generation"] == 2  # one row appended
+    parse(edited.limit(2))
+    assert at.state["generation"] == 2  # nothing to parse, nothing written
+    parse(edited.where("path = 'src/m2.ts'").withColumn("source", F.lit("import 'y'")))
+    assert at.table("parsed").count() == 1  # most of what was kept is gone
+
+
+def test_store_keeps_whole_generations(spark, tmp_path):
+    at = f"file://{tmp_path}/store"
+    store = Store(spark, at)
+    rows = lambda *v: spark.createDataFrame([(x,) for x in v], "x int")
+    store.commit({"a": rows(1, 2), "b": rows(5)}, environment="e")
+    broken = rows(0).select(F.raise_error(F.lit("lost")).cast("int").alias("x"))
+    with pytest.raises(Exception, match="lost"):
+        store.commit({"a": broken})
+    again = Store(spark, at)
+    assert (again.facts, again.state["generation"], sorted(r.x for r in again.table("a").collect())) == ({"environment": "e"}, 1, [1, 2])
+    for k in range(10):
+        again.commit({}, {"a": rows(10 + k)})
+    assert sorted(r.x for r in store.refresh().table("a").collect()) == [1, 2, *range(10, 20)]
+    assert len(store.state["tables"]["a"]["parts"]) < 8 and store.table("b").count() == 1 and store.table("none") is None
+    assert sum(n.startswith("generation-") for n in os.listdir(tmp_path / "store")) == 2
+    other = Store(spark, at)
+    store.commit({"b": rows(6)})
+    with pytest.raises(Exception, match="already exists"):
+        other.commit({"b": rows(7)})
+
+
+def test_restored_resolutions(spark, done, tmp_path):
+    """After any change of files, imports or settings the answers are those of a full run."""
+    inputs, c = done.frames.extra["inputs"], config.from_dict(CONFIG)
+    manifests, tsconfigs, scopes = repository.manifests(spark, inputs), repository.tsconfigs(spark, inputs), repository.scopes(inputs)
+    imports = done.frames.extra["imports"]
+    files = done.frames.extra["every"]
+    store = Store(spark, f"file://{tmp_path}/resolutions")
+
+    def same(imports, files, environment="e"):
+        found, stats = restore.restored(store, imports, files, manifests, tsconfigs, scopes, c, environment)
+        want = resolve.resolve(imports, files, manifests, tsconfigs, scopes, c)
+        assert sorted(found.collect(), key=str) == sorted(want.collect(), key=str)
+        return stats
+
+    n = same(imports, files).new
+    assert n > 5
+    assert same(imports, files).resolved == 0
+    lost = files.unionByName(spark.createDataFrame([("packages/web/src/app/lost.ts",)], "path string"))
+    assert 0 < same(imports, lost).affected < n
+    hit = done.frames.extra["found"].where("outcome = 'module'").first().value
+    assert 0 < same(imports, files.where(F.col("path") != hit)).affected < n
+    more = imports.unionByName(imports.limit(1).withColumn("specifier", F.lit("./quite/new")))
+    stats = same(more, files)
+    assert stats.new == 1 and stats.affected > 0
+    assert same(imports.limit(0), files.limit(0)).new == 0
+    assert same(imports, files, "other").new == n
+
+
+def test_second_check_resolves_nothing_again(spark, root, tmp_path):
+    import shutil
+
+    own = f"{tmp_path}/tree"
+    shutil.copytree(root, own)
+    first = analyze.check(spark, own, config.from_dict(CONFIG), cache=f"file://{tmp_path}/cache")
+    again = analyze.check(spark, own, config.from_dict(CONFIG), cache=f"file://{tmp_path}/cache")
+    assert found(first) == found(again) and first.timings["resolved_again"] > 0 and again.timings["resolved_again"] == 0
 
 
 def test_sessions():
