@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections import deque
 from collections.abc import Callable, Iterable
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -21,6 +22,8 @@ from lattiq.storage import written
 LOCAL_EDGES = 500_000
 #: Levels of a traversal after which what it has found is written as one table.
 LEVELS = 8
+#: Rounds in which nodes without an edge in or out go, before chains are sought again.
+TRIMMED = 3
 
 
 class Graph:
@@ -166,21 +169,35 @@ def spread(edges: DataFrame, seeds: DataFrame, closed: DataFrame | None = None,
 
         return in_one_task(parts, work, SPREAD)
     step = edges.select(F.col("to" if back else "from").alias("at"), F.col("from" if back else "to").alias("next"))
-    first = seeds.select("label", "node").distinct().select("label", "node", F.lit(0).alias("dist"), F.lit(None).cast("string").alias("via"), F.array("node").alias("path") if paths else F.array().cast("array<string>").alias("path"), "node")
-    found = frontier = ranked(first.select("label", "node", "dist", "via", "path"), ["label", "node"])
-    level = 0
+    first = seeds.select("label", "node").distinct().select("label", "node", F.lit(0).alias("dist"), F.lit(None).cast("string").alias("via"))
+    frontier = ranked(first, ["label", "node"])
+    tables, level = [frontier], 0
     while frontier.limit(1).count():
         level += 1
         active = frontier if closed is None else frontier.join(closed.select("node"), "node", "left_anti")
-        reached = active.join(step, active["node"] == step["at"]).groupBy("label", "next").agg(F.min(F.struct("rank", F.col("node").alias("via"), "path")).alias("x"))
-        path = (F.concat(F.array("next"), "x.path") if back else F.concat("x.path", F.array("next"))) if paths else F.col("x.path")
-        fresh = reached.select("label", F.col("next").alias("node"), F.lit(level).alias("dist"), F.col("x.via").alias("via"), path.alias("path"), F.col("x.rank").alias("before"))
-        fresh = fresh.join(found.select("label", "node"), ["label", "node"], "left_anti")
-        frontier = ranked(fresh, ["label", "before", "node"]).select("label", "node", "dist", "via", "path", "rank")
-        found = found.unionByName(frontier)
-        if level % LEVELS == 0:  # else a deep graph plans a scan for each level
-            found = written(found, "found")
-    return found.drop("rank")
+        reached = active.join(step, active["node"] == step["at"]).groupBy("label", "next").agg(F.min(F.struct("rank", F.col("node").alias("via"))).alias("x"))
+        fresh = reached.select("label", F.col("next").alias("node"), F.lit(level).alias("dist"), F.col("x.via").alias("via"), F.col("x.rank").alias("before"))
+        fresh = fresh.join(reduce(DataFrame.unionByName, tables).select("label", "node"), ["label", "node"], "left_anti")
+        frontier = ranked(fresh, ["label", "before", "node"]).select("label", "node", "dist", "via", "rank")
+        tables.append(frontier)
+        if len(tables) > LEVELS:  # so the plan of a level stays as long as it is
+            tables = [written(reduce(DataFrame.unionByName, tables), "found")]
+    found = reduce(DataFrame.unionByName, tables).drop("rank")
+    if not paths:
+        return found.withColumn("path", F.array().cast("array<string>"))
+    return with_paths(written(found, "found"), level, back)
+
+
+def with_paths(found: DataFrame, deepest: int, back: bool) -> DataFrame:
+    """``found`` (label, node, dist, via) with the path of each node, put together by doubling: a part of a path is
+    joined with the part that goes on where it ends, so what is sent is at most twice what comes out."""
+    parts = found.select("label", "node", F.col("via").alias("on"), F.array("node").alias("path"))
+    for _ in range(deepest.bit_length()):
+        rest = parts.select("label", F.col("node").alias("on"), F.col("on").alias("__on"), F.col("path").alias("__path"))
+        longer = parts.where("on is not null").join(rest, ["label", "on"]).select("label", "node", F.col("__on").alias("on"), F.concat("path", "__path").alias("path"))
+        parts = written(parts.where("on is null").unionByName(longer), "paths")
+    path = F.col("path") if back else F.reverse("path")
+    return found.join(parts.select("label", "node", path.alias("path")), ["label", "node"])
 
 
 def ranked(df: DataFrame, by: list[str]) -> DataFrame:
@@ -255,17 +272,25 @@ def components(edges: DataFrame, mode: str = "auto") -> DataFrame:
         return in_one_task({"edge": edges}, work, "node string, scc string")
     every = edges.select(F.explode(F.array("from", "to")).alias("node")).distinct()
     rest = written(edges.where("`from` != `to`"), "rest")
-    done = None
+    done, between = None, []
     while True:
-        # nodes without an edge in or out inside what is left are components alone
-        while True:
+        # chains become one edge each and rings are done, however long; then nodes without an edge in or out go, alone
+        rest, rings, inside = contracted(rest)
+        if rings is not None:
+            done = rings if done is None else done.unionByName(rings)
+        if inside is not None:
+            between.append(inside)
+        for _ in range(TRIMMED):
             ends = rest.select(F.col("from").alias("node")).distinct().join(rest.select(F.col("to").alias("node")).distinct(), "node", "left_semi")
             kept = written(rest.join(ends.withColumnRenamed("node", "from"), "from", "left_semi").join(ends.withColumnRenamed("node", "to"), "to", "left_semi").select("from", "to"), "rest")
-            if kept.count() == rest.count():
-                break
+            same = kept.count() == rest.count()
             rest = kept
+            if same:
+                break
         if not rest.limit(1).count():
             break
+        if inside is not None:
+            continue
         # each node takes the lowest node that reaches it; one that is its own is a root
         colour = written(rest.select(F.explode(F.array("from", "to")).alias("node")).distinct().withColumn("low", F.col("node")), "colour")
         while True:
@@ -283,9 +308,48 @@ def components(edges: DataFrame, mode: str = "auto") -> DataFrame:
         done = part if done is None else done.unionByName(part)
         gone = part.select("node")
         rest = written(rest.join(gone.withColumnRenamed("node", "from"), "from", "left_anti").join(gone.withColumnRenamed("node", "to"), "to", "left_anti").select("from", "to"), "rest")
-    if done is None:
-        return every.select("node", F.col("node").alias("scc"))
-    return every.join(done, "node", "left").select("node", F.coalesce("scc", "node").alias("scc"))
+    named = every if done is None else every.join(done, "node", "left")
+    named = written(every.select("node", F.col("node").alias("scc")) if done is None else named.select("node", F.coalesce("scc", "node").alias("scc")), "named")
+    if not between:
+        return named
+    # the last chains were made of edges that earlier ones had become, so they are looked up first
+    for inside in reversed(between):
+        end = lambda c: named.select(F.col("node").alias(c), F.col("scc").alias(f"{c}_scc"))  # noqa: E731, B023
+        held = inside.join(end("before"), "before").join(end("after"), "after").where("before_scc = after_scc").select("node", F.col("before_scc").alias("__scc"))
+        named = written(named.join(held, "node", "left").select("node", F.coalesce("__scc", "scc").alias("scc")), "named")
+    low = named.groupBy("scc").agg(F.min("node").alias("low"))
+    return named.join(low, "scc").select("node", F.col("low").alias("scc"))
+
+
+def contracted(edges: DataFrame) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+    """``edges`` without the nodes that have one edge in and one out; (node, scc) of rings of such nodes; and (node,
+    before, after) of the others, each with the ends of its chain, which has become an edge between them.
+
+    What one end reaches stays the same, and a chain is in a component if both its ends are in it.
+    Pointers double how far they lead, so a chain of any length takes a logarithm of rounds."""
+    one = lambda a, b: edges.groupBy(F.col(a).alias("node")).agg(F.count("*").alias("n"), F.min(b).alias(b)).where("n = 1").select("node", b)
+    thin = written(one("from", "to").join(one("to", "from"), "node").select("node", F.col("to").alias("after"), F.col("from").alias("before")), "thin")
+    n = thin.count()
+    if not n:
+        return edges, None, None
+    # from each thin node on: the last thin node that the pointer has come to, what comes after it, the lowest passed
+    at = thin.select("node", F.col("node").alias("last"), "after", F.col("node").alias("low"))
+    for _ in range(n.bit_length() + 1):
+        on = at.select(F.col("node").alias("after"), F.col("last").alias("__last"), F.col("after").alias("__after"), F.col("low").alias("__low"))
+        step = at.join(on, "after", "left")
+        at = written(step.select("node", F.coalesce("__last", "last").alias("last"), F.coalesce("__after", "after").alias("after"), F.least("low", F.coalesce("__low", "low")).alias("low")), "chains")
+        if not at.join(thin.select(F.col("node").alias("after")), "after", "left_semi").limit(1).count():
+            break
+    ring = at.join(thin.select(F.col("node").alias("after")), "after", "left_semi")
+    open_ = written(at.join(ring.select("node"), "node", "left_anti"), "open")
+    # the first of a chain is the one that no thin node leads to
+    first = open_.join(thin.select("node", "before"), "node").join(thin.select(F.col("node").alias("before")), "before", "left_anti").select("last", "before")
+    inside = written(open_.join(first, "last").select("node", "before", "after"), "inside")
+    gone = thin.select("node")
+    left = edges.join(gone.withColumnRenamed("node", "from"), "from", "left_anti").join(gone.withColumnRenamed("node", "to"), "to", "left_anti").select("from", "to")
+    new = inside.select(F.col("before").alias("from"), F.col("after").alias("to")).where("`from` != `to`")
+    rest = written(left.unionByName(new).distinct(), "rest")
+    return rest, written(ring.select("node", F.col("low").alias("scc")), "rings"), inside
 
 
 def degrees(edges: DataFrame, out: bool = True) -> DataFrame:

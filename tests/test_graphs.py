@@ -4,6 +4,7 @@ import pytest
 
 from lattiq.operators import graphs
 from lattiq.operators.graphs import Graph
+from lattiq.storage import written
 
 
 def frame(spark, edges):
@@ -108,3 +109,40 @@ def test_long_chain_and_reachability(spark):
     nodes = spark.createDataFrame([(n,) for n in names], "node string")
     assert graphs.has_path(edges, nodes, names[3], names[9]) and not graphs.has_path(edges, nodes, names[9], names[3])
     assert graphs.has_path(edges, nodes, names[3], names[3]) and not graphs.has_path(edges, nodes, "none", "none")
+
+
+def test_components_of_long_rings_and_chains(spark, monkeypatch):
+    """Rounds grow with the logarithm of a ring's length; chains between, into and out of components are whole."""
+    n = 3000
+    ring = [(f"r{i:05d}", f"r{(i + 1) % n:05d}") for i in range(n)]
+    tail = [(f"t{i:05d}", f"t{i + 1:05d}") for i in range(500)] + [("t00500", "r00007"), ("r00009", "z0")]
+    ear = [("r00100", "e0"), *((f"e{i}", f"e{i + 1}") for i in range(40)), ("e40", "r00050"), ("a", "b"), ("b", "a")]
+    rounds = []
+    monkeypatch.setattr(graphs, "written", lambda df, name: (rounds.append(name), written(df, name))[1])
+    e = frame(spark, ring + tail + ear)
+    got = {r.node: r.scc for r in graphs.components(e, "distributed").collect()}
+    assert got == {r.node: r.scc for r in graphs.components(e, "local").collect()}
+    assert len(rounds) < 60
+    rounds.clear()
+    only = graphs.components(frame(spark, ring), "distributed")
+    assert {r.scc for r in only.select("scc").distinct().collect()} == {"r00000"} and len(rounds) <= 24
+
+
+def test_components_agree_on_random_graphs(spark):
+    rng, edges = random.Random(5), set()
+    for g in range(40):
+        size, out = rng.choice([(6, 7), (12, 13), (20, 24), (9, 20)])
+        nodes = [f"g{g:02d}n{i:02d}" for i in range(size)]
+        edges |= {(rng.choice(nodes), rng.choice(nodes)) for _ in range(out)}
+    e = frame(spark, sorted(edges))
+    assert sorted(graphs.components(e, "distributed").collect()) == sorted(graphs.components(e, "local").collect())
+
+
+def test_paths_by_doubling_of_several_seeds(spark):
+    rng = random.Random(9)
+    nodes = [f"n{i:02d}" for i in range(40)]
+    edges = [(a, b) for a, b in zip(nodes, nodes[1:])] + [(rng.choice(nodes), rng.choice(nodes)) for _ in range(10)]
+    seeds = spark.createDataFrame([("s", "n00"), ("s", "n20"), ("t", "n39")], "label string, node string")
+    for back in (False, True):
+        both = [sorted((r.label, r.node, r.dist, r.via, r.path) for r in graphs.spread(frame(spark, edges), seeds, back=back, mode=m).collect()) for m in ("local", "distributed")]
+        assert [[(*r[:3], r[4]) for r in b] for b in both][0] == [[(*r[:3], r[4]) for r in b] for b in both][1]
