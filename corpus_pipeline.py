@@ -13,6 +13,7 @@ doc_id and text pass through; n_chars, where there is one, follows the text.
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -23,7 +24,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from lattiq.llm import bpe, decontaminate, near_dedup, secrets, toxicity
-from lattiq.llm.common import batches, release, shared_dir, slices, small, spark_schema, written
+from lattiq.llm.common import Memo, batches, release, shared_dir, slices, small, spark_schema, written
+
+#: Bytes of texts that a worker decodes at a time, and words and pieces that it keeps: the stages share executors whose
+#: other memory is taken by then.
+SLICE, KEPT = 1 << 20, 40_000
 
 #: A trained classifier decides in one stage, which SQL can't express.
 ORACLE_SQL = None
@@ -40,7 +45,7 @@ def over_texts(docs: DataFrame, make: Callable[[], Callable], added: str = "") -
         call = None
         for batch in given:
             call = call or make()
-            for a, b in slices(batch.column(at)):
+            for a, b in slices(batch.column(at), SLICE):
                 part = batch.slice(a, b - a)
                 texts = part.column(at).to_pylist()
                 found = call(["" if t is None else t for t in texts])
@@ -107,7 +112,20 @@ def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.digest_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+    path = public_tokenizers.path("word_bpe_49k.json")
+
+    def make():
+        own = bpe.word_bpe(path).fresh()
+        own.of_piece, own.of_chunk = Memo(own._piece, KEPT), Memo(own._chunk, KEPT)
+
+        def call(texts):
+            packed = [own.packed(t) for t in texts]
+            return [len(ids) // 4 for ids, _ in packed], [hashlib.sha256(ids).hexdigest() for ids, _ in packed], [hashlib.sha256(decoded.encode()).hexdigest() for _, decoded in packed]
+
+        return call
+
+    digests = over_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")), make, "n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return digests.drop("text")
 
 
 STAGES = [("toxicity", drop_toxic), ("near_dedup", drop_near_copies), ("decontaminate", drop_contaminated), ("secrets", hide_secrets), ("bpe", encode)]
