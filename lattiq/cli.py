@@ -30,9 +30,20 @@ def session() -> SparkSession:
     return SparkSession.builder.appName("lattiq").config("spark.sql.session.timeZone", "UTC").getOrCreate()
 
 
+def config_path(args) -> str | None:
+    return args.config or next((p for n in CONFIG_NAMES if os.path.exists(p := os.path.join(args.root, n))), None)
+
+
 def config_of(args) -> C.Config:
-    path = args.config or next((p for n in CONFIG_NAMES if os.path.exists(p := os.path.join(args.root, n))), None)
-    return C.load(path)
+    return C.load(config_path(args))
+
+
+def replace_text(path: str, text: str) -> None:
+    """A file's new text in one step: a reader sees the old or the new one."""
+    temp = path + ".tmp"
+    with open(temp, "w", encoding="utf-8", newline="") as f:
+        f.write(text)
+    os.replace(temp, path)
 
 
 def git_changes(root: str, base: str | None) -> list[str]:
@@ -59,10 +70,7 @@ def read_baseline(spark: SparkSession, path: str):
 def write_baseline(df, path: str) -> int:
     rows = [r.asDict() for r in df.orderBy("fingerprint").collect()]
     os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
-    temp = path + ".tmp"
-    with open(temp, "w", encoding="utf-8") as f:
-        json.dump({"schemaVersion": 3, "entries": rows}, f, indent=2, ensure_ascii=False)
-    os.replace(temp, path)
+    replace_text(path, json.dumps({"schemaVersion": 3, "entries": rows}, indent=2, ensure_ascii=False))
     return len(rows)
 
 
@@ -176,7 +184,12 @@ def cmd_suppressions(args, spark: SparkSession) -> int:
         print(f"{len(entries)} entries, {len(old)} expired")
         return VIOLATIONS if old else OK
     if args.action == "prune":
-        print(C.to_yaml(config.prune_expired()))
+        path = config_path(args)
+        with open(path, encoding="utf-8", newline="") as f:
+            text, gone = C.pruned_text(f.read())
+        if gone:
+            replace_text(path, text)
+        print(f"{gone} removed")
         return OK
     for kind, i, e in entries:
         print(f"{kind}[{i}]", e.get("pattern") or e.get("fingerprint"), e.get("reason", ""), "expired" if C.expired(e) else "active")

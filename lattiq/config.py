@@ -101,6 +101,52 @@ def expired(entry: dict, today: datetime.date | None = None) -> bool:
     return bool(at) and datetime.date.fromisoformat(str(at)) <= (today or datetime.datetime.now(datetime.timezone.utc).date())
 
 
+def pruned_text(text: str, today: datetime.date | None = None) -> tuple[str, int]:
+    """A document's text without its own suppressions that have expired, and how many went.
+
+    Lines of other entries, comments and the order stay as they are: an entry's lines are those of its nodes
+    in the YAML tree. JSON has no comments and is written anew. What the text then says is compared with what it should."""
+    import yaml
+
+    want = parse(text)
+    lists = {k: v for k in ENTRY_KEYS if isinstance(v := (want.get("suppressions") or {}).get(k), list)}
+    gone = {k: [i for i, e in enumerate(v) if isinstance(e, dict) and expired(e, today)] for k, v in lists.items()}
+    count = sum(map(len, gone.values()))
+    if not count:
+        return text, 0
+    for k, v in lists.items():
+        v[:] = [e for i, e in enumerate(v) if i not in gone[k]]
+    if text.lstrip().startswith("{"):
+        return json.dumps(want, indent=2, ensure_ascii=False) + "\n", count
+    child = lambda node, key: next((pair for pair in node.value if pair[0].value == key), (None, None))
+    _, section = child(yaml.compose(text), "suppressions")
+    lines, cuts = text.splitlines(keepends=True), []
+
+    def last(node: yaml.Node) -> int:
+        """The last line of a node's own text; a block's end mark stands where the next token does."""
+        if isinstance(node, yaml.ScalarNode):
+            return node.end_mark.line - (node.end_mark.column == 0 and node.end_mark.line > node.start_mark.line)
+        inner = [x for v in node.value for x in (v if isinstance(v, tuple) else (v,))]
+        return max(map(last, inner)) if inner and not node.flow_style else node.end_mark.line
+
+    for k, which in gone.items():
+        if not which:
+            continue
+        key, items = child(section, k)
+        if items.flow_style:
+            raise ConfigError(f"suppressions.{k}: must be a block list to be pruned")
+        cuts += [(items.value[i].start_mark.line, last(items.value[i]) + 1) for i in which]
+        if not lists[k]:  # an empty block list is written out
+            at = key.start_mark.line
+            lines[at] = lines[at].replace(":", ": []", 1)
+    for start, end in sorted(cuts, reverse=True):
+        del lines[start:end]
+    made = "".join(lines)
+    if parse(made) != want:
+        raise ConfigError("suppressions: the text can't be edited without changing other entries")
+    return made, count
+
+
 def _rule(value: Any) -> dict[str, Any]:
     if isinstance(value, str):
         return {"enabled": False} if value == "off" else {"severity": value, "enabled": True}

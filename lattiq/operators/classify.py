@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -70,6 +71,11 @@ def module_format(path: Column, scope_type: Column) -> Column:
     return F.when(ext.isin("mjs", "mts"), "esm").when(ext.isin("cjs", "cts"), "commonjs").when(scope_type == "module", "esm").otherwise("commonjs")
 
 
+#: Adapters of other frameworks: from modules (path, package_root, directives, exported_runtime, marker_imports, kind) to a column of
+#: (adapter_id, attributes, runtime) structs, null where an adapter has no say. The first that has one is taken.
+ADAPTERS: list[Callable[[DataFrame], Column]] = []
+
+
 def with_framework(df: DataFrame) -> DataFrame:
     """``df`` with f (adapter_id, attributes, runtime) by the conventions of the app and pages routers.
 

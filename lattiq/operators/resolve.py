@@ -13,8 +13,9 @@ from __future__ import annotations
 import json
 import os
 import posixpath
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -433,6 +434,20 @@ def stays_inside(path: Column) -> Column:
     return F.element_at(deep, 2) >= 0
 
 
+@dataclass(frozen=True)
+class Handler:
+    """A plug-in of the chain: ``make`` goes from names (id, *CONTEXT, name) to the paths (id, a, b, base) that they may mean to
+    it, in order of a and b. ``rank`` is its place among RANKS; after an alias that fits, none of a higher rank is asked."""
+
+    name: str
+    rank: int
+    make: Callable[[DataFrame], DataFrame]
+
+
+#: Places of the chain's own handlers.
+RANKS = {"relative": 0, "tsconfig-alias": 10, "base-url": 20, "workspace-package": 30}
+
+
 @dataclass
 class Tables:
     """What resolution looks up: compiler settings, their aliases, packages and their entry points."""
@@ -441,14 +456,15 @@ class Tables:
     aliases: DataFrame
     entries: DataFrame
     packages: DataFrame
+    handlers: tuple[Handler, ...] = ()
 
 
-def tables(manifests: DataFrame, tsconfigs: DataFrame, config: Config) -> Tables:
+def tables(manifests: DataFrame, tsconfigs: DataFrame, config: Config, handlers: Sequence[Handler] = ()) -> Tables:
     entries, packages = opened(manifests, tuple(config["resolution"]["custom_conditions"]), config["resolution"]["mode"])
     at = F.concat(F.lit("/"), "directory").alias("settings")
     patterns = tsconfigs.select(at, "base_url", F.posexplode("aliases").alias("rank", "a")).select("settings", "base_url", "rank", F.substring_index("a.pattern", "*", 1).alias("head"), F.col("a.pattern").contains("*").alias("star"), F.col("a.pattern").alias("pattern"), F.col("a.targets").alias("targets"))
     aliases = patterns.withColumn("tail", F.when(F.col("star"), F.substr("pattern", F.length("head") + 2)).otherwise("")).drop("pattern")
-    return Tables(written(tsconfigs.select(at, "base_url", "resolve_bare"), "settings"), written(aliases, "aliases"), entries, packages)
+    return Tables(written(tsconfigs.select(at, "base_url", "resolve_bare"), "settings"), written(aliases, "aliases"), entries, packages, tuple(handlers))
 
 
 def contexts(imports: DataFrame, manifests: DataFrame, tsconfigs: DataFrame, scopes: DataFrame) -> DataFrame:
@@ -483,15 +499,16 @@ def bases(names: DataFrame, t: Tables, mode: str) -> DataFrame:
     far = names.where(~name.startswith(".") & ~name.startswith("/"))
     # an alias without targets still answers, with a row that has no path
     hits = matched(far.select("id", "settings", "name"), t.aliases, ["settings"]).select("id", "base_url", F.col("rank").alias("a"), "part", F.posexplode_outer("targets").alias("b", "to"))
-    aliased = hits.select(*row(1, "tsconfig-alias", F.when(F.col("to").isNotNull(), joined(F.col("base_url"), starred(F.col("to"), F.col("part")))), F.col("a"), F.coalesce("b", zero)))
-    bare = far.where(~name.startswith("#")).join(small(t.settings.where("resolve_bare")), "settings").select(*row(2, "tsconfig-alias", joined(F.col("base_url"), name)))
+    aliased = hits.select(*row(10, "tsconfig-alias", F.when(F.col("to").isNotNull(), joined(F.col("base_url"), starred(F.col("to"), F.col("part")))), F.col("a"), F.coalesce("b", zero)))
+    bare = far.where(~name.startswith("#")).join(small(t.settings.where("resolve_bare")), "settings").select(*row(20, "tsconfig-alias", joined(F.col("base_url"), name)))
     named = package_of(far, t, mode)
     through = entered(named.where("map is not null").select("id", "root", "map", "syntax", "typed", F.col("key").alias("name")), t.entries).where("leads = 'path'")
     to = named.where("map is not null").select("id", "root").join(through, "id").select("id", "root", "value")
     entry = F.coalesce(F.when(F.col("typed"), F.col("types_entry")).otherwise(F.col("runtime_entry")), F.lit("src/index"))
     plain = named.where("map is null and key is not null").select("id", "root", F.when(F.col("sub") != "", F.col("sub")).otherwise(entry).alias("value"))
     packaged = to.where(stays_inside(F.col("value"))).unionByName(plain)
-    return near.unionByName(aliased).unionByName(bare).unionByName(packaged.select(*row(3, "workspace-package", joined(F.when(F.col("root") != "", F.col("root")), F.col("value")))))
+    more = [h.make(names).select(*row(h.rank, h.name, normal(F.col("base")), F.col("a"), F.col("b"))) for h in t.handlers]
+    return reduce(DataFrame.unionByName, more, near).unionByName(aliased).unionByName(bare).unionByName(packaged.select(*row(30, "workspace-package", joined(F.when(F.col("root") != "", F.col("root")), F.col("value")))))
 
 
 def package_of(names: DataFrame, t: Tables, mode: str) -> DataFrame:
@@ -539,7 +556,7 @@ def prepared(requests: DataFrame, t: Tables, config: Config) -> Answers:
     if sent is not None:
         far = aimed.where("redirected")
         meant = written(own.join(far.select("id"), "id", "left_anti").unionByName(bases(far.where("not loop").select("id", *CONTEXT, "name"), t, mode)), "meant")
-    aliased = meant.where("rank = 1").select("id").distinct().withColumn("aliased", F.lit(True))
+    aliased = meant.where("rank = 10").select("id").distinct().withColumn("aliased", F.lit(True))
     packaged = package_of(aimed.where(~F.col("name").startswith(".") & ~F.col("name").startswith("/")), t, mode).select("id").distinct().withColumn("packaged", F.lit(True))
     name, bare = F.col("name"), F.regexp_replace("name", "^node:", "")
     rest = aimed.join(aliased, "id", "left").join(packaged, "id", "left")
@@ -554,12 +571,12 @@ def prepared(requests: DataFrame, t: Tables, config: Config) -> Answers:
         .otherwise(said("external", package_column(name), "external-package"))
     )
     rest = written(rest.select("id", "strict", F.coalesce("aliased", F.lit(False)).alias("aliased"), (F.col("loop") | is_builtin(name)).alias("settled"), final.alias("final")), "final")
-    usable = meant.join(rest, "id").where("base is not null and not settled and (rank < 2 or not aliased)")
+    usable = meant.join(rest, "id").where("base is not null and not settled and (rank <= 10 or not aliased)")
     tries = usable.select("id", "rank", "a", "b", "handler", F.posexplode(probe_columns(F.col("base"), F.col("strict") & (F.col("rank") == 0))).alias("k", "path"))
     tries = written(tries.select(F.col("id").alias("request"), F.struct("rank", "a", "b", "k").alias("order"), "handler", "path"), "tries")
     # without an alias the bare name below the settings' folder may be meant too
-    first = listed.where("rank = 1 and base is not null").select("id").distinct()
-    some = listed.where("rank != 2").unionByName(listed.where("rank = 2").join(first, "id", "left_anti")).where("base is not null")
+    first = listed.where("rank = 10 and base is not null").select("id").distinct()
+    some = listed.where("rank != 20").unionByName(listed.where("rank = 20").join(first, "id", "left_anti")).where("base is not null")
     candidates = some.select("id", F.explode(possible_columns(F.col("base"))).alias("path")).groupBy("id").agg(F.sort_array(F.collect_set("path")).alias("candidates"))
     rest = rest.join(candidates, "id", "left").select(F.col("id").alias("request"), "final.*", F.coalesce("candidates", F.array().cast("array<string>")).alias("candidates"))
     return Answers(requests, tries, written(rest, "rest"))
@@ -578,13 +595,13 @@ def numbered(asked: DataFrame) -> DataFrame:
     return written(asked.select(*CONTEXT, "specifier").distinct().withColumn("request", F.monotonically_increasing_id()), "requests")
 
 
-def resolve(imports: DataFrame, files: DataFrame, manifests: DataFrame, tsconfigs: DataFrame, scopes: DataFrame, config: Config) -> DataFrame:
+def resolve(imports: DataFrame, files: DataFrame, manifests: DataFrame, tsconfigs: DataFrame, scopes: DataFrame, config: Config, handlers: Sequence[Handler] = ()) -> DataFrame:
     """imports with outcome (module, builtin, external, unresolved, invalid), value, handler and candidates.
 
     files: (path) of every file that exists, excluded ones too. Redirects are followed to their end.
     """
     asked = written(requested(imports, contexts(imports, manifests, tsconfigs, scopes), config["resolution"]["mode"]), "asked")
-    answers = prepared(numbered(asked), tables(manifests, tsconfigs, config), config)
+    answers = prepared(numbered(asked), tables(manifests, tsconfigs, config, handlers), config)
     return answered(asked, answers.requests, decided(answers, files), config)
 
 

@@ -47,7 +47,7 @@ class Analysis:
 def read_project(spark: SparkSession, root: str, config: Config) -> Inputs:
     files, inputs = repository.discover(spark, root, config)
     every = repository.scan(spark, root).select("path")
-    return Inputs(written(files, "files"), written(inputs, "inputs"), written(every, "every"), os.path.basename(root.rstrip("/")) or "project")
+    return Inputs(files, inputs, written(every, "every"), os.path.basename(root.rstrip("/")) or "project")
 
 
 def materialise(spark: SparkSession, given: Inputs, config: Config, mode: str = "auto", overlays: DataFrame | None = None, parse=parse_files, resolver=resolve.resolve) -> Frames:
@@ -99,7 +99,7 @@ def modules_of(given: Inputs, parsed: DataFrame, found: DataFrame, manifests: Da
     layers = classify.layers_of(F.col("path"), config)
     # sources outside a framework keep no runtime of their own
     own = written(classify.with_framework(own.withColumn("forced", forced)), "classified")
-    own = own.withColumn("f", F.when(F.col("forced"), F.col("f"))).withColumn("layer", F.get(layers, F.lit(0)))
+    own = own.withColumn("f", F.coalesce(*[make(own).cast(own.schema["f"].dataType) for make in classify.ADAPTERS], F.when(F.col("forced"), F.col("f")))).withColumn("layer", F.get(layers, F.lit(0)))
     plain = F.struct(F.lit(None).cast("string").alias("adapter_id"), F.create_map().cast(MAPS).alias("attributes"))
     own = own.select(F.col("path").alias("id"), "path", "package", "kind", F.coalesce("f.runtime", F.lit("unknown")).alias("runtime"), "layer", F.when(F.col("f").isNotNull(), F.struct("f.adapter_id", "f.attributes")).otherwise(plain).alias("framework"), "package_root")
     outer = found.where("outcome in ('external', 'builtin')").select("outcome", "value").distinct()

@@ -8,12 +8,14 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from lattiq.functions.paths import extension
 from lattiq.schemas import PARSED
 
 WORD = re.compile(r"[A-Za-z_$\u0080-\U0010ffff][\w$\u0080-\U0010ffff]*|#[\w$]+")
@@ -406,12 +408,21 @@ def directives(tokens: list[Token], source: str) -> Iterator[str]:
         i += 2 if after is not None and after.text == ";" else 1
 
 
+#: Parsers of other languages by extension: from (path, source) to PARSED rows. They come before this module's own.
+PARSERS: dict[str, Callable[[DataFrame], DataFrame]] = {}
+
+
 def parse_files(files: DataFrame) -> DataFrame:
-    """PARSED rows of (path, source); the sources themselves are dropped here."""
+    """PARSED rows of (path, source), each by its extension's parser; the sources themselves are dropped here."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = [parse(p, s) for p, s in zip(frame["path"], frame["source"], strict=True)]
             yield pd.DataFrame(rows, columns=["path", "imports", "directives", "exported_runtime", "marker_imports", "comments", "error"])
 
-    return files.select("path", "source").mapInPandas(run, PARSED)
+    of, own = extension(F.col("path")), files.select("path", "source")
+    out = own.where(~of.isin(*PARSERS)) if PARSERS else own
+    out = out.mapInPandas(run, PARSED)
+    for ext, parser in PARSERS.items():
+        out = out.unionByName(parser(own.where(of == ext)).select(out.columns))
+    return out

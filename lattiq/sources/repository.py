@@ -14,13 +14,12 @@ from lattiq.config import Config, ConfigError, parse
 from lattiq.functions.globs import match, matches, regex_of
 from lattiq.functions.paths import normal, slashes
 from lattiq.schemas import CHANGES, FILES, MANIFESTS, TSCONFIGS
+from lattiq.storage import written
 
 #: Files beside sources that an analysis depends on (fixed values).
 INPUTS = r"(?:^|/)(?:package\.json|pnpm-workspace\.yaml|[tj]sconfig[^/]*\.json|next\.config\.[cm]?[jt]s)$"
 
-#: Ignore files up to this size are read, whatever the limit for sources.
-IGNORE_BYTES = 1 << 20
-
+IGNORE_FILE = ".gitignore"
 
 #: One entry of a folder's listing as the store's client prints it.
 ENTRY = re.compile(r"path=(.*?); isDirectory=(true|false)(?:; length=(\d+))?")
@@ -30,7 +29,8 @@ def hidden(spark: SparkSession, root: str, most: int | None) -> list[tuple[str,
     """(path, length, content) of all files with hidden names, which Spark's readers pass over.
 
     Folders are listed through the store's own client, one call for each; a source tree has
-    few hidden files. Content is read up to ``most`` bytes (None: any), else it is null.
+    few hidden files. Content is read up to ``most`` bytes (None: any), else it is null; that of
+    ignore files is read at any size.
     """
     jvm = spark.sparkContext._jvm
     base = jvm.org.apache.hadoop.fs.Path(root)
@@ -47,7 +47,7 @@ def hidden(spark: SparkSession, root: str, most: int | None) -> list[tuple[str,
                     todo.append(path)
             elif any(p[:1] in (".", "_") for p in parts):
                 content = None
-                if most is None or int(length) <= most:
+                if most is None or int(length) <= most or parts[-1] == IGNORE_FILE:
                     stream = fs.open(jvm.org.apache.hadoop.fs.Path(path))
                     content = bytearray(jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
                     stream.close()
@@ -99,9 +99,9 @@ def discover(spark: SparkSession, root: str, config: Config) -> tuple[DataFrame,
     for r in project["roots"]:
         if ".." in r.split("/") or os.path.isabs(r):
             raise ConfigError(f"project.roots: `{r}` leaves the project")
-    rows = hidden(spark, root, max(project["max_file_size_kb"] * 1024, IGNORE_BYTES))
+    rows = hidden(spark, root, project["max_file_size_kb"] * 1024)
     every = scan(spark, root, rows=rows).where(~F.col("path").rlike(r"(^|/)\.git/"))
-    lists = [(os.path.dirname(path), bytes(content or b"").decode("utf-8", "replace")) for path, _, content in rows if os.path.basename(path) == ".gitignore"]
+    lists = [(os.path.dirname(path), bytes(content or b"").decode("utf-8", "replace")) for path, _, content in rows if os.path.basename(path) == IGNORE_FILE]
     # one expression for each run of lines with the same verdict
     for drop, run in groupby(ignored(lists), key=lambda x: x[1]):
         pattern = "|".join(f"(?:{p})" for p, _ in run)
@@ -112,9 +112,12 @@ def discover(spark: SparkSession, root: str, config: Config) -> tuple[DataFrame,
     below = F.lit(False)
     for r in roots:
         below = below | (F.lit(True) if not r else F.col("path").startswith(r + "/"))
-    own = every.where(below & ~matches(F.col("path"), project["exclude"]) & matches(F.col("path"), project["include"]) & (F.col("length") <= project["max_file_size_kb"] * 1024))
-    inputs = every.where(F.col("path").rlike(INPUTS) & ~F.col("path").rlike(r"(^|/)node_modules/"))
-    return own.select("path", F.decode("content", "UTF-8").alias("source"), "length"), inputs.select("path", F.decode("content", "UTF-8").alias("source"))
+    is_source = below & ~matches(F.col("path"), project["exclude"]) & matches(F.col("path"), project["include"]) & (F.col("length") <= project["max_file_size_kb"] * 1024)
+    is_input = F.col("path").rlike(INPUTS) & ~F.col("path").rlike(r"(^|/)node_modules/")
+    # contents are read once for both
+    some = every.select("path", "length", "content", is_source.alias("own"), is_input.alias("input")).where("own or input")
+    some = written(some.select("path", F.decode("content", "UTF-8").alias("source"), "length", "own", "input"), "scanned")
+    return some.where("own").select("path", "source", "length"), some.where("input").select("path", "source")
 
 
 def overlaid(files: DataFrame, overlays: DataFrame) -> DataFrame:

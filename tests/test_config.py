@@ -49,3 +49,59 @@ def test_expiry_is_inclusive():
 @pytest.mark.parametrize("name", ["blank", "fsd", "next", "nx"])
 def test_presets_are_valid(name):
     C.from_dict(C.preset(name))
+
+
+DOCUMENT = """\
+# ours
+version: 1  # first
+suppressions:
+  require_reason: false # loose
+  paths: # by place
+    # about a
+    - pattern: a/**
+      rules: [ARCH-001]
+      expires_at: 2020-01-01   # long ago
+    # about b
+    - pattern: "b/**"
+      reason: |
+        two
+        lines
+
+    - {pattern: c, expires_at: 2020-01-02}
+  fingerprints:
+    - fingerprint: x
+      expires_at: "2020-01-01"
+    # tail
+rules:
+  ARCH-001: off
+"""
+
+
+def test_prune_keeps_all_other_text():
+    today = datetime.date(2024, 1, 1)
+    text, n = C.pruned_text(DOCUMENT, today)
+    assert n == 3
+    assert text == """\
+# ours
+version: 1  # first
+suppressions:
+  require_reason: false # loose
+  paths: # by place
+    # about a
+    # about b
+    - pattern: "b/**"
+      reason: |
+        two
+        lines
+
+  fingerprints: []
+    # tail
+rules:
+  ARCH-001: off
+"""
+    assert C.pruned_text(text, today) == (text, 0)
+    assert C.pruned_text(DOCUMENT.replace("\n", "\r\n"), today)[0] == text.replace("\n", "\r\n")
+    with pytest.raises(C.ConfigError, match="block list"):
+        C.pruned_text('suppressions:\n  paths: [{pattern: a, expires_at: "2020-01-01"}]\n', today)
+    js, n = C.pruned_text('{"suppressions": {"paths": [{"pattern": "a", "expires_at": "2020-01-01"}, {"pattern": "b"}]}}', today)
+    assert n == 1 and json.loads(js) == {"suppressions": {"paths": [{"pattern": "b"}]}}
