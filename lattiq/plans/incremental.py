@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import json
+import threading
 import time
 from collections import OrderedDict
 from collections.abc import Callable
+from concurrent.futures import Future
 from dataclasses import dataclass, field
 
+from pyspark import InheritableThread
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +18,7 @@ from lattiq.config import Config
 from lattiq.functions.hashes import fnv1a
 from lattiq.operators import rules, views
 from lattiq.operators.diagnostics import FIELDS
-from lattiq.plans.analyze import Analysis, post_process
+from lattiq.plans.analyze import Analysis, Inputs, post_process
 from lattiq.plans.store import Store
 from lattiq.registry import RULES
 from lattiq.schemas import Frames
@@ -186,23 +189,101 @@ class Sessions:
         return value
 
 
+class Cancelled(Exception):
+    """A newer generation has begun."""
+
+
 @dataclass
 class Tickets:
-    """Generations: a result is published only if no newer run has begun."""
+    """Generations: a newer one cancels the jobs of those before, whose results are not published."""
 
     spark: SparkSession
     current: int = 0
+    lock: threading.Lock = field(default_factory=threading.Lock)
+
+    def tag(self, ticket: int) -> str:
+        return f"lattiq-{id(self)}-{ticket}"
 
     def begin(self) -> int:
-        if self.current:
-            self.spark.interruptTag(f"generation-{self.current}")
-            self.spark.removeTag(f"generation-{self.current}")
-        self.current += 1
-        self.spark.addTag(f"generation-{self.current}")
-        return self.current
-
-    def publish(self, ticket: int) -> bool:
+        with self.lock:
+            self.current += 1
+            older, ticket = self.current - 1, self.current
+        if older:
+            self.spark.sparkContext.cancelJobsWithTag(self.tag(older))
+        return ticket
+
+    def valid(self, ticket: int) -> bool:
         return ticket == self.current
 
+    def run(self, ticket: int, work: Callable[[], object], publish: Callable[[object], None]) -> None:
+        """``work`` in this thread under the ticket's tag, then ``publish`` of what it gives, if no newer generation has begun by then."""
+        self.spark.sparkContext.addJobTag(self.tag(ticket))
+        try:
+            if not self.valid(ticket):
+                raise Cancelled
+            done = work()
+        except Exception as e:
+            if not self.valid(ticket):
+                raise Cancelled from e
+            raise
+        finally:
+            self.spark.sparkContext.removeJobTag(self.tag(ticket))
+        with self.lock:  # no newer one can begin while this one is published
+            if not self.valid(ticket):
+                raise Cancelled
+            publish(done)
+
+
+def content_hash(given: Inputs, config: Config) -> str:
+    """One hash of all that an analysis reads: files, manifests and settings by content, which files there are, the configuration."""
+    own = [relation_hash(d.select("path", F.sha2("source", 256).alias("h"))) for d in (given.files, given.inputs)]
+    return fnv_of(str([*own, relation_hash(given.every.select("path")), json.dumps(config.data, sort_keys=True, default=str)]))
+
+
+@dataclass
+class Project:
+    """The latest analysis of a project. Updates run one after the other or at once in threads of their own: the newest
+    wins, and one whose content is that of the analysis published last is that analysis."""
+
+    spark: SparkSession
+    analyse: Callable[[Inputs, Config], Analysis]
+    content: str = ""
+    analysis: Analysis | None = None
+    generation: int = 0
+    reused: int = 0
+    tickets: Tickets | None = None
+
+    def __post_init__(self):
+        self.tickets = self.tickets or Tickets(self.spark)
+
+    def update(self, given: Inputs, config: Config, ticket: int | None = None) -> Analysis:
+        """The analysis of ``given``; Cancelled if a newer update has begun meanwhile."""
+        ticket = self.tickets.begin() if ticket is None else ticket
+
+        def work():
+            content = content_hash(given, config)
+            known = self.analysis
+            return (content, known, True) if known is not None and content == self.content else (content, self.analyse(given, config), False)
+
+        def publish(done):
+            self.content, self.analysis, same = done
+            self.generation, self.reused = ticket, self.reused + same
+
+        self.tickets.run(ticket, work, publish)
+        return self.analysis
+
+    def submit(self, given: Inputs, config: Config) -> Future:
+        """``update`` in a thread of its own; the generation begins at once."""
+        ticket, out = self.tickets.begin(), Future()
+
+        def run():
+            try:
+                out.set_result(self.update(given, config, ticket))
+            except BaseException as e:  # noqa: BLE001  the future's own
+                out.set_exception(e)
+
+        InheritableThread(target=run, daemon=True).start()
+        return out
+
 
-__all__ = ["RuleCache", "Sessions", "Stats", "Tickets", "cached_parser", "environment_hash", "fnv1a", "overlay_changes", "reanalyze", "relation_hash", "reusable", "rule_hashes", "with_hashes"]
+__all__ = ["Cancelled", "Project", "RuleCache", "Sessions", "Stats", "Tickets", "content_hash", "cached_parser", "environment_hash", "fnv1a", "overlay_changes", "reanalyze", "relation_hash", "reusable", "rule_hashes", "with_hashes"]

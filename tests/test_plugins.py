@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from lattiq import config
 from lattiq.operators import classify, resolve
-from lattiq.plans import analyze
+from lattiq.plans import analyze, incremental
 from lattiq.schemas import LOCATION, MANIFESTS, TSCONFIGS
 from lattiq.sources import parser, repository
 
@@ -58,3 +58,39 @@ def test_large_ignore_file_and_hidden_sources(spark, tmp_path):
     (tmp_path / ".gitignore").write_text("# " + "x" * 3_000_000 + "\nsrc/gen.ts\n")
     files, _ = repository.discover(spark, str(tmp_path), config.from_dict({}))
     assert {r.path: r.source for r in files.collect()} == {"src/kept.ts": "2", ".config/x.ts": "3", "only.ts": "5"}
+
+
+def test_newer_generations_cancel_older_ones(spark):
+    """A slow update is interrupted when a newer one begins; nothing stale is published, equal content is not analysed again."""
+    import time
+
+    calls = []
+
+    def analyse(given, c):
+        calls.append(c["version"])
+        if given.name == "slow":
+            slow = F.udf(lambda x: time.sleep(60) or x, "long")
+            spark.range(8).select(slow("id")).collect()
+        return given.name
+
+    def inputs(name, text):
+        files = spark.createDataFrame([("a.ts", text)], "path string, source string")
+        return analyze.Inputs(files, files.limit(0), files.select("path"), name)
+
+    project, c = incremental.Project(spark, analyse), config.from_dict({})
+    began = time.time()
+    late = project.submit(inputs("slow", "1"), c)
+    while not calls:
+        time.sleep(0.1)
+    time.sleep(1)
+    assert project.submit(inputs("fast", "2"), c).result(120) == "fast"
+    with pytest.raises(incremental.Cancelled):
+        late.result(120)
+    assert time.time() - began < 55 and (project.analysis, project.generation, project.reused) == ("fast", 2, 0)
+    assert project.update(inputs("other", "2"), c) == "fast" and project.reused == 1 and len(calls) == 2
+    assert project.update(inputs("new", "3"), c) == "new"
+    with pytest.raises(incremental.Cancelled):
+        project.update(inputs("stale", "4"), c, ticket=1)
+    assert project.analysis == "new"
+    with pytest.raises(ValueError, match="broken"):
+        incremental.Project(spark, lambda *_: (_ for _ in ()).throw(ValueError("broken"))).update(inputs("x", "5"), c)
