@@ -8,7 +8,8 @@ Null, empty and wordless texts have an empty set and are linked with nothing.
 Rows with equal texts form one group, and a row's component is that of its own
 text. A null doc_id is linked with nothing, gets a null component and is kept.
 Very long texts are sketched whole, one at a time. An empty table gives no rows.
-Extra columns are left out. Shingles are compared as 64-bit hashes.
+Extra columns are left out. Shingles are compared as 64-bit hashes. Of a component's
+rows the lowest doc_id stays, and all rows that share it.
 """
 
 from __future__ import annotations

@@ -11,7 +11,10 @@ Every document is rated once; labels meet these narrow rows, never the texts, an
 only counts by language, label and thousandth come to the driver.
 
 Null and empty texts hold padding alone and get the score of that; repeated rows
-each get a row; without labels of both kinds every score is 0.
+each get a row; without labels of both kinds every score is 0. Very long texts are rated
+whole, each alone. Of equal words' answers a filter has the one number; a score of 0.5
+counts as toxic. An empty table gives no rows; extra columns are left out; a null doc_id
+is in no held-out fold and stays null.
 """
 
 from __future__ import annotations
