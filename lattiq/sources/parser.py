@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from lattiq.functions.paths import extension
 from lattiq.schemas import PARSED
+from lattiq.sources.statements import first_error
 
 WORD = re.compile(r"[A-Za-z_$\u0080-\U0010ffff][\w$\u0080-\U0010ffff]*|#[\w$]+")
 NUMBER = re.compile(r"\.?\d(?:[\w.]|(?<=[eE])[+-])*")
@@ -377,6 +378,9 @@ def parse(path: str, source: str | None) -> dict:
     except ParseError as e:
         row["error"] = place(e.at) | {"message": f"syntax error: {e.message}"}
         return row
+    if wrong := first_error(tokens, source, path.rsplit(".", 1)[-1], _in_markup):
+        row["error"] = place(wrong[0]) | {"message": f"syntax error: {wrong[1]}"}
+        return row
     reader = Reader(tokens)
     reader.read()
     seen = set()

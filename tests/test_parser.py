@@ -46,3 +46,37 @@ def test_escapes(raw, value):
 
 def test_deep_nesting():
     assert parse("d.ts", "(" * 2000 + "require('x')" + ")" * 2000)["imports"][0]["specifier"] == "x"
+
+
+BAD = [
+    ("const x = ;", 1, 11), ("let let = 1 2 3", 1, 13), ("import x from", 1, 14), ("export { a as } from 'q'", 1, 15), ("import { a b } from 'x'", 1, 14), ("import a, from 'x'", 1, 11), ("import * from 'x'", 1, 10),
+    ("import { a } form 'x'", 1, 14), ("export * as from 'x'", 1, 18), ("export foo;", 1, 8), ("a;\nimport x from 'y' z", 2, 19), ("export { a, , b }", 1, 13), ("import 'a' 'b'", 1, 12), ("import {a", 1, 8),
+]
+GOOD = [
+    "import x, * as y from 'a'; import x, { default as z, type T, type U as V, 'a b' as w, } from 'b' with { type: 'json' }\nimport {} from 'c'",
+    "import type from 'a'; import type, { x } from 'b'\nimport type from from 'c'\nimport type { x } from 'd'\nimport defer * as n from 'e'\nimport type = require('f')",
+    "import x = require('a'); import y = A.B.C; export import z = A.B\nimport('x').then(); import.meta.url\nexport = x\nexport as namespace X",
+    "export { a, b as c, type d, type e as f, default as 'g h' } from 'x'\nexport { a }\nexport {}\nexport type { T } from 'y'; export type * from 'z'; export * as ns from 'w' assert { type: 'json' }; export type X = 1",
+    "export default class {}; export const a = 1, b = 2; export abstract class Q {} export enum E { a = 'x' } export declare const z: 'a' | 'b'\n@dec() export class D {}",
+    "const o = { import: 1, export: 2 }; o.import; o.export; class K { import() {} export() {} }\nnamespace N { export { a } }",
+    "type A = 'x' extends string ? 1 : 2; const b = 'a' as const; for (const c of 'abc') if ('a' in o) x = 1\n2\nconst t = 1 satisfies number; switch (a) { case 1: case 'x': break }",
+    "const e = a\n  ? 'b'\n  : 'c'\nlet f = 'x'\n'use strict'\nconst g = [1, 'a']; const h = `a` + 1",
+]
+
+
+@pytest.mark.parametrize(("source", "line", "column"), BAD)
+def test_declarations_that_no_grammar_has(source, line, column):
+    error = parse("e.ts", source)["error"]
+    assert error is not None and error["message"].startswith("syntax error") and (error["line"], error["column"]) == (line, column)
+
+
+@pytest.mark.parametrize("source", GOOD)
+@pytest.mark.parametrize("path", ["g.ts", "g.js"])
+def test_declarations_that_are_right(source, path):
+    assert parse(path, source)["error"] is None
+
+
+def test_markup_reads_like_anything():
+    text = "const a = <p>\nimport x from the shop\nexport what = ; 1 2\n</p>;\nimport b from 'b';\n"
+    row = parse("m.tsx", text)
+    assert row["error"] is None and [i["specifier"] for i in row["imports"]] == ["b"]
