@@ -15,7 +15,7 @@ from lattiq.config import from_dict
 from lattiq.functions.hashes import fnv1a
 from lattiq.operators import classify, diagnostics, graphs, rules, views
 from lattiq.schemas import LOCATION, Frames
-from lattiq.storage import written
+from lattiq.storage import small, written
 
 LAYERS = ["economy", "large", "medium", "promo", "small", "standard"]
 #: Each layer may import those after it.
@@ -51,13 +51,17 @@ def modules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dependencies(spark: SparkSession, sf_dir: str, where: str | None = None) -> DataFrame:
-    own = Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax")
-    items = view(spark, sf_dir, "lineitem").withColumn("rn", F.row_number().over(own)).where("rn = 1").select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag", "l_linestatus", "l_discount")
-    a, b = items.alias("a"), items.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("l_partkey").alias("t")).alias("b")
-    e = a.join(b, ["l_orderkey", "l_linenumber"]).selectExpr("l_partkey AS f", "t", f"{KIND} AS kind", "l_orderkey AS line", "l_linenumber AS col", "l_returnflag AS flag", "l_discount AS discount")
+    # one shuffle by order serves both: the first of equal line numbers stays, then each line is followed by the next one
+    line, order = F.col("l_linenumber"), Window.partitionBy("l_orderkey")
+    rows = view(spark, sf_dir, "lineitem").where("l_orderkey is not null and l_linenumber is not null")
+    items = rows.withColumn("again", F.lag(line).over(order.orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax")).eqNullSafe(line))
+    items = items.where("not again").select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag", "l_linestatus", "l_discount")
+    next_ = lambda c: F.lead(c).over(order.orderBy("l_linenumber"))
+    a = items.withColumns({"t": next_("l_partkey"), "after": next_("l_linenumber")}).where("after = l_linenumber + 1").alias("a")
+    e = a.selectExpr("l_partkey AS f", "t", f"{KIND} AS kind", "l_orderkey AS line", "l_linenumber AS col", "l_returnflag AS flag", "l_discount AS discount")
     if where:
         e = e.where(where)
-    ids = modules(spark, sf_dir).select("p_partkey", "id")
+    ids = small(modules(spark, sf_dir).select("p_partkey", "id"))
     e = e.join(ids.toDF("f", "from"), "f").join(ids.toDF("t", "to"), "t")
     at = F.struct(F.col("from").alias("file"), F.col("line").cast("int").alias("line"), F.col("col").cast("int").alias("column"))
     return e.select("from", "to", "kind", at.cast(LOCATION).alias("location"), (F.col("line") * 16 + F.col("col")).cast("long").alias("ord"))
