@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattiq.storage import written
+from lattiq.storage import BROADCAST_ROWS, written
 
 #: Edges up to which one task holds a graph.
 LOCAL_EDGES = 500_000
@@ -139,6 +139,29 @@ def pairs(frame: pd.DataFrame) -> list[tuple[str, str]]:
     return list(zip(frame["a"], frame["b"], strict=True))
 
 
+def coded(edges: DataFrame, *more: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(ids, edges): a number for each node of ``edges`` and of ``more`` (node), in the order of their names, and the
+    edges by number, so that what loops send again and again are longs."""
+    nodes = reduce(DataFrame.unionByName, more, edges.select(F.explode(F.array("from", "to")).alias("node"))).distinct()
+    ids = written(nodes.orderBy("node").withColumn("id", F.monotonically_increasing_id()), "ids").hint("merge")
+    return ids, written(numbers(numbers(edges, ids, "from"), ids, "to").select("from", "to"), "coded")
+
+
+def numbers(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+    """``df`` with the number in place of the name in ``column``."""
+    return df.join(ids.withColumnsRenamed({"node": column, "id": "__id"}), column).drop(column).withColumnRenamed("__id", column)
+
+
+def names(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+    """``df`` with the name in place of the number in ``column``, null where there is none."""
+    return df.join(ids.withColumnsRenamed({"node": "__name", "id": column}), column, "left").drop(column).withColumnRenamed("__name", column)
+
+
+def held(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` of so many rows to be looked up in: its files may be far smaller than its rows."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df.hint("merge")
+
+
 SPREAD = "label string, node string, dist int, via string, path array<string>"
 
 
@@ -168,24 +191,38 @@ def spread(edges: DataFrame, seeds: DataFrame, closed: DataFrame | None = None,
             return pd.DataFrame(rows, columns=["label", "node", "dist", "via", "path"])
 
         return in_one_task(parts, work, SPREAD)
+    edges = written(edges, "edges")
+    ids, step = coded(edges, seeds.select("node"))
+    shut = numbers(closed.select("node").distinct(), ids, "node") if closed is not None else None
+    found, level = frontiers(step, numbers(seeds.select("label", "node").distinct(), ids, "node"), shut, back)
+    found = names(names(found, ids, "node"), ids, "via").select("label", "node", "dist", "via")
+    if not paths:
+        return found.withColumn("path", F.array().cast("array<string>"))
+    return with_paths(written(found, "found"), level, back)
+
+
+def frontiers(edges: DataFrame, seeds: DataFrame, closed: DataFrame | None = None, back: bool = False) -> tuple[DataFrame, int]:
+    """label, node, dist, via of all that is reached, by number, and how many levels there are."""
     step = edges.select(F.col("to" if back else "from").alias("at"), F.col("from" if back else "to").alias("next"))
-    first = seeds.select("label", "node").distinct().select("label", "node", F.lit(0).alias("dist"), F.lit(None).cast("string").alias("via"))
+    first = seeds.select("label", "node", F.lit(0).alias("dist"), F.lit(None).cast("long").alias("via"))
+    shut = written(closed, "closed") if closed is not None else None
+    shut = held(shut, shut.count()) if shut is not None else None
     frontier = ranked(first, ["label", "node"])
-    tables, level = [frontier], 0
-    while frontier.limit(1).count():
+    tables, level, rows = [frontier], 0, frontier.count()
+    known = rows
+    while rows:
         level += 1
-        active = frontier if closed is None else frontier.join(closed.select("node"), "node", "left_anti")
-        reached = active.join(step, active["node"] == step["at"]).groupBy("label", "next").agg(F.min(F.struct("rank", F.col("node").alias("via"))).alias("x"))
+        active = frontier if shut is None else frontier.join(shut, "node", "left_anti")
+        reached = step.join(held(active, rows), F.col("node") == F.col("at")).groupBy("label", "next").agg(F.min(F.struct("rank", F.col("node").alias("via"))).alias("x"))
         fresh = reached.select("label", F.col("next").alias("node"), F.lit(level).alias("dist"), F.col("x.via").alias("via"), F.col("x.rank").alias("before"))
-        fresh = fresh.join(reduce(DataFrame.unionByName, tables).select("label", "node"), ["label", "node"], "left_anti")
+        fresh = fresh.join(held(reduce(DataFrame.unionByName, tables).select("label", "node"), known), ["label", "node"], "left_anti")
         frontier = ranked(fresh, ["label", "before", "node"]).select("label", "node", "dist", "via", "rank")
+        rows = frontier.count()
+        known += rows
         tables.append(frontier)
         if len(tables) > LEVELS:  # so the plan of a level stays as long as it is
             tables = [written(reduce(DataFrame.unionByName, tables), "found")]
-    found = reduce(DataFrame.unionByName, tables).drop("rank")
-    if not paths:
-        return found.withColumn("path", F.array().cast("array<string>"))
-    return with_paths(written(found, "found"), level, back)
+    return reduce(DataFrame.unionByName, tables).drop("rank"), level
 
 
 def with_paths(found: DataFrame, deepest: int, back: bool) -> DataFrame:
@@ -247,17 +284,21 @@ def cycles(edges: DataFrame, mode: str = "auto") -> DataFrame:
             return pd.DataFrame(rows, columns=["cycle", "size"])
 
         return in_one_task({"edge": edges}, work, "cycle array<string>, size int")
+    ids, edges = coded(written(edges, "edges"))
     loops = edges.where("`from` = `to`").select(F.col("from").alias("node"))
-    members = components(edges, "distributed")
-    many = members.groupBy("scc").agg(F.count(F.lit(1)).cast("int").alias("size")).where("size > 1")
+    members = written(joined_up(edges), "members").hint("merge")
+    many = written(members.groupBy("scc").agg(F.count(F.lit(1)).cast("int").alias("size")).where("size > 1"), "many")
     inner = edges.join(members.select(F.col("node").alias("from"), F.col("scc").alias("label")), "from").join(members.select(F.col("node").alias("to"), F.col("scc").alias("other")), "to").where("label = other").select("label", "from", "to")
-    inner = written(inner.join(many.select(F.col("scc").alias("label")), "label", "left_semi"), "inner")
+    inner = written(inner.join(held(many.select(F.col("scc").alias("label")), many.count()), "label", "left_semi"), "inner")
     # edges stay inside their component, so components spread side by side
     starts = inner.where("label = `from` and `from` != `to`").groupBy("label").agg(F.min("to").alias("node"))
-    back = spread(inner, starts, mode="distributed").where("node = label")
-    closed = back.join(many.withColumnRenamed("scc", "label"), "label").select(F.concat(F.array("label"), "path").alias("cycle"), "size")
-    alone = loops.join(members.join(many, "scc", "left_semi"), "node", "left_anti").select(F.array("node", "node").alias("cycle"), F.lit(1).alias("size"))
-    return closed.unionByName(alone)
+    found, level = frontiers(inner, starts)
+    back = with_paths(written(found, "found"), level, False).where("node = label")
+    at = written(back.withColumn("nodes", F.concat(F.array("label"), "path")).select("label", F.posexplode("nodes").alias("k", "node")), "at")
+    named = names(at, ids, "node").groupBy("label").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "node"))), lambda x: x["node"]).alias("cycle"))
+    closed = named.join(held(many.withColumnRenamed("scc", "label"), many.count()), "label").select("cycle", "size")
+    alone = loops.join(members.join(held(many, many.count()), "scc", "left_semi"), "node", "left_anti")
+    return closed.unionByName(names(alone, ids, "node").select(F.array("node", "node").alias("cycle"), F.lit(1).alias("size")))
 
 
 def components(edges: DataFrame, mode: str = "auto") -> DataFrame:
@@ -270,6 +311,12 @@ def components(edges: DataFrame, mode: str = "auto") -> DataFrame:
             return pd.DataFrame(rows, columns=["node", "scc"])
 
         return in_one_task({"edge": edges}, work, "node string, scc string")
+    ids, edges = coded(written(edges, "edges"))
+    return names(names(joined_up(edges), ids, "node"), ids, "scc").select("node", "scc")
+
+
+def joined_up(edges: DataFrame) -> DataFrame:
+    """node, scc of distinct edges by number, in loops over tables."""
     every = edges.select(F.explode(F.array("from", "to")).alias("node")).distinct()
     rest = written(edges.where("`from` != `to`"), "rest")
     done, between = None, []
@@ -292,10 +339,10 @@ def components(edges: DataFrame, mode: str = "auto") -> DataFrame:
         if inside is not None:
             continue
         # each node takes the lowest node that reaches it; one that is its own is a root
-        colour = written(rest.select(F.explode(F.array("from", "to")).alias("node")).distinct().withColumn("low", F.col("node")), "colour")
+        colour = written(rest.select(F.explode(F.array("from", "to")).alias("node")).distinct().withColumn("low", F.col("node")), "colour").hint("merge")
         while True:
             told = rest.join(colour.withColumnRenamed("node", "from"), "from").groupBy("to").agg(F.min("low").alias("sent"))
-            after = written(colour.join(told.withColumnRenamed("to", "node"), "node", "left").select("node", F.least("low", F.coalesce("sent", "low")).alias("low")), "colour")
+            after = written(colour.join(told.withColumnRenamed("to", "node"), "node", "left").select("node", F.least("low", F.coalesce("sent", "low")).alias("low")), "colour").hint("merge")
             same = after.join(colour, ["node", "low"], "left_anti").limit(1).count() == 0
             colour = after
             if same:
@@ -304,7 +351,7 @@ def components(edges: DataFrame, mode: str = "auto") -> DataFrame:
         tinted = rest.join(colour.select(F.col("node").alias("from"), F.col("low").alias("label")), "from").join(colour.select(F.col("node").alias("to"), F.col("low").alias("other")), "to").where("label = other").select("label", "from", "to")
         tinted = written(tinted, "tinted")
         roots = colour.where("node = low").select(F.col("low").alias("label"), "node")
-        part = written(spread(tinted, roots, back=True, mode="distributed", paths=False).select("node", F.col("label").alias("scc")), "part")
+        part = written(frontiers(tinted, roots, back=True)[0].select("node", F.col("label").alias("scc")), "part")
         done = part if done is None else done.unionByName(part)
         gone = part.select("node")
         rest = written(rest.join(gone.withColumnRenamed("node", "from"), "from", "left_anti").join(gone.withColumnRenamed("node", "to"), "to", "left_anti").select("from", "to"), "rest")
