@@ -1,9 +1,12 @@
 """What must not grow faster than the input: how often edges are made, and what passes through the driver."""
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
-from lattiq.operators import graphs
+from lattiq import queries
+from lattiq.operators import graphs, rules
 from lattiq.storage import small
 
 
@@ -37,3 +40,13 @@ def test_edges_are_made_once(spark, work):
     else:
         assert {(tuple(r.cycle), r["size"]) for r in graphs.cycles(edges, mode="distributed").collect()} == {(("a", "b", "c", "a"), 3), (("d", "d"), 1)}
     assert made.value == len(pairs)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables here")
+def test_one_rule_spreads_from_its_own_targets_alone(spark, monkeypatch):
+    seen, spread = [], graphs.spread
+    monkeypatch.setattr(graphs, "spread", lambda edges, seeds, *a, **k: seen.append({r.label for r in seeds.select("label").distinct().collect()}) or spread(edges, seeds, *a, **k))
+    c = queries.context(spark, "/root/testdata/sf0.001")
+    rules.browser_to_server(c)
+    rules.edge_runtime(c)
+    assert seen[0] == {"server"} and seen[1] <= {"node", "edge-packages"}
