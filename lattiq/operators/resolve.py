@@ -27,7 +27,7 @@ from lattiq.functions.paths import normal, parent
 from lattiq.functions.paths import package_name as package_column
 from lattiq.operators.classify import module_format, nearest
 from lattiq.schemas import LOCATION
-from lattiq.storage import small, written
+from lattiq.storage import sized, written
 
 #: Extensions tried on a path without a file, and those that stand for an emitted one (fixed values).
 EXTENSIONS = ("ts", "tsx", "js", "jsx", "mts", "cts", "mjs", "cjs")
@@ -327,7 +327,7 @@ def matched(names: DataFrame, patterns: DataFrame, on: list[str]) -> DataFrame:
         lengths = [0]
     name = F.col("name")
     heads = F.array_distinct(F.array(*[F.when(F.length(name) >= n, F.substring(name, 1, n)) for n in sorted(lengths)]))
-    met = names.withColumn("head", F.explode(F.filter(heads, lambda h: h.isNotNull()))).join(small(patterns), [*on, "head"])
+    met = names.withColumn("head", F.explode(F.filter(heads, lambda h: h.isNotNull()))).join(sized(patterns), [*on, "head"])
     fits = F.when(F.col("star"), name.endswith(F.col("tail")) & (F.length(name) >= F.length("head") + F.length("tail"))).otherwise(name == F.col("head"))
     return met.where(fits).withColumn("part", F.when(F.col("star"), F.substr(name, F.length("head") + 1, F.length(name) - F.length("head") - F.length("tail"))).otherwise(""))
 
@@ -352,7 +352,7 @@ def redirects(roots: DataFrame, entries: DataFrame, aliases: DataFrame) -> DataF
     What a package's own entries lead to is there from the start, so only names that patterns make need more rounds."""
     context = ["settings", "own", "syntax", "typed"]
     ahead = entries.where("map = 'imports' and leads = 'name' and value like '#%' and not star").select(F.concat(F.lit("/"), "root").alias("own"), "syntax", "typed", F.col("value").alias("name"))
-    new = roots.select(*context, "name").unionByName(roots.select(*context).distinct().join(small(ahead), ["own", "syntax", "typed"]).select(*context, "name")).distinct()
+    new = roots.select(*context, "name").unionByName(roots.select(*context).distinct().join(sized(ahead), ["own", "syntax", "typed"]).select(*context, "name")).distinct()
     known = edges = None
     while True:
         rows = written(new.withColumn("id", F.monotonically_increasing_id()), "names")
@@ -480,7 +480,7 @@ def contexts(imports: DataFrame, manifests: DataFrame, tsconfigs: DataFrame, sco
 def requested(imports: DataFrame, near: DataFrame, mode: str) -> DataFrame:
     """``imports`` with the columns of CONTEXT, empty where the specifier does not depend on them, so that equal requests are one."""
     modern = mode in ("node16", "nodenext")
-    rows = imports.withColumn("folder", parent(F.col("module_id"))).join(small(near), "folder")
+    rows = imports.withColumn("folder", parent(F.col("module_id"))).join(sized(near), "folder")
     esm = module_format(F.col("module_id"), F.col("type")) == "esm"
     required = (F.col("kind") == "Require") | ((F.col("kind") != "Dynamic") & F.lit(modern) & ~esm)
     relative, hash_ = F.col("specifier").startswith("."), F.col("specifier").startswith("#")
@@ -500,7 +500,7 @@ def bases(names: DataFrame, t: Tables, mode: str) -> DataFrame:
     # an alias without targets still answers, with a row that has no path
     hits = matched(far.select("id", "settings", "name"), t.aliases, ["settings"]).select("id", "base_url", F.col("rank").alias("a"), "part", F.posexplode_outer("targets").alias("b", "to"))
     aliased = hits.select(*row(10, "tsconfig-alias", F.when(F.col("to").isNotNull(), joined(F.col("base_url"), starred(F.col("to"), F.col("part")))), F.col("a"), F.coalesce("b", zero)))
-    bare = far.where(~name.startswith("#")).join(small(t.settings.where("resolve_bare")), "settings").select(*row(20, "tsconfig-alias", joined(F.col("base_url"), name)))
+    bare = far.where(~name.startswith("#")).join(sized(t.settings.where("resolve_bare")), "settings").select(*row(20, "tsconfig-alias", joined(F.col("base_url"), name)))
     named = package_of(far, t, mode)
     through = entered(named.where("map is not null").select("id", "root", "map", "syntax", "typed", F.col("key").alias("name")), t.entries).where("leads = 'path'")
     to = named.where("map is not null").select("id", "root").join(through, "id").select("id", "root", "value")
@@ -517,8 +517,8 @@ def package_of(names: DataFrame, t: Tables, mode: str) -> DataFrame:
     name, modern = F.col("name"), mode != "node10"
     mine = name.startswith("#") & (F.col("own") != "")
     none = F.lit(None).cast("string")
-    own = names.where(mine).withColumn("root", F.substr("own", F.lit(2))).join(small(t.packages.drop("name")), "root").select("id", "syntax", "typed", "root", (F.lit("imports") if modern else none).alias("map"), (name if modern else none).alias("key"), F.lit("").alias("sub"), "runtime_entry", "types_entry")
-    other = names.where(~mine).withColumn("package", package_column(name)).join(small(t.packages.withColumnRenamed("name", "package")), "package")
+    own = names.where(mine).withColumn("root", F.substr("own", F.lit(2))).join(sized(t.packages.drop("name")), "root").select("id", "syntax", "typed", "root", (F.lit("imports") if modern else none).alias("map"), (name if modern else none).alias("key"), F.lit("").alias("sub"), "runtime_entry", "types_entry")
+    other = names.where(~mine).withColumn("package", package_column(name)).join(sized(t.packages.withColumnRenamed("name", "package")), "package")
     other = other.withColumn("sub", F.regexp_replace(F.substr(name, F.length("package") + 1), "^/+", ""))
     key = F.when(F.col("sub") == "", ".").otherwise(F.concat(F.lit("./"), "sub"))
     return own.unionByName(other.select("id", "syntax", "typed", "root", F.when(F.col("has_exports") & F.lit(modern), "exports").alias("map"), key.alias("key"), "sub", "runtime_entry", "types_entry"))

@@ -19,7 +19,7 @@ from lattiq.config import Config
 from lattiq.functions.hashes import fnv1a_text
 from lattiq.operators import resolve
 from lattiq.plans.store import Store
-from lattiq.storage import small, written
+from lattiq.storage import sized, written
 
 #: The tables' layout; those of another one are not read.
 LAYOUT, SHARDS = 1, 64
@@ -81,13 +81,13 @@ def restored(store: Store, imports: DataFrame, files: DataFrame, manifests: Data
         index = tries
         if done.changed_files <= LISTED:
             index = index.where(F.col("shard").isin(*sorted({r.shard for r in changed.select(shard().alias("shard")).distinct().collect()})))
-        again = written(index.join(small(changed), "path").select("request").distinct(), "affected")
+        again = written(index.join(sized(changed), "path").select("request").distinct(), "affected")
         done.affected = again.count()
     if not done.resolved and not done.changed_files:
         return resolve.answered(asked, requests, found, config), done
     parts = [found]
     if done.affected:
-        near = small(again)
+        near = sized(again)
         parts = [found.join(near, "request", "left_anti"), resolve.decided(resolve.Answers(requests, tries.join(near, "request", "left_semi").drop("shard"), rest.join(near, "request", "left_semi")), live)]
     if more is not None:
         parts.append(resolve.decided(more, live))

@@ -15,7 +15,7 @@ from lattiq.config import from_dict
 from lattiq.functions.hashes import fnv1a
 from lattiq.operators import classify, diagnostics, graphs, rules, views
 from lattiq.schemas import LOCATION, Frames
-from lattiq.storage import small, written
+from lattiq.storage import sized, written
 
 LAYERS = ["economy", "large", "medium", "promo", "small", "standard"]
 #: Each layer may import those after it.
@@ -61,7 +61,7 @@ def dependencies(spark: SparkSession, sf_dir: str, where: str | None = None) ->
     e = a.selectExpr("l_partkey AS f", "t", f"{KIND} AS kind", "l_orderkey AS line", "l_linenumber AS col", "l_returnflag AS flag", "l_discount AS discount")
     if where:
         e = e.where(where)
-    ids = small(modules(spark, sf_dir).select("p_partkey", "id"))
+    ids = sized(modules(spark, sf_dir).select("p_partkey", "id"))
     e = e.join(ids.toDF("f", "from"), "f").join(ids.toDF("t", "to"), "t")
     at = F.struct(F.col("from").alias("file"), F.col("line").cast("int").alias("line"), F.col("col").cast("int").alias("column"))
     return e.select("from", "to", "kind", at.cast(LOCATION).alias("location"), (F.col("line") * 16 + F.col("col")).cast("long").alias("ord"))

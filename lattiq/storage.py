@@ -31,6 +31,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """A broadcast hint if a count proves ``df`` has at most ``limit`` rows, else one against: Spark goes by the size of
-    files, where columns that compress well hide millions of rows, which would all pass through the driver."""
+    """A broadcast hint if a count proves ``df`` has at most ``limit`` rows."""
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
+def sized(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """``small``, with a hint against a broadcast of more rows: Spark goes by the size of files, where columns that compress
+    well hide millions of rows, which would all pass through the driver."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df.hint("merge")

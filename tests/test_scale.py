@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lattiq import queries
 from lattiq.operators import graphs, rules
-from lattiq.storage import small
+from lattiq.storage import sized
 
 
 def counted(spark, pairs):
@@ -24,9 +24,9 @@ def counted(spark, pairs):
 
 def test_many_rows_in_small_files_are_not_broadcast(spark):
     rows = spark.range(50).select("id", F.lit("same").alias("x"))
-    plan = rows.join(small(rows.withColumnRenamed("x", "y"), limit=10), "id")._jdf.queryExecution().executedPlan().toString()
+    plan = rows.join(sized(rows.withColumnRenamed("x", "y"), limit=10), "id")._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" not in plan
-    assert "BroadcastHashJoin" in rows.join(small(rows.withColumnRenamed("x", "y")), "id")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in rows.join(sized(rows.withColumnRenamed("x", "y")), "id")._jdf.queryExecution().executedPlan().toString()
 
 
 @pytest.mark.parametrize("work", ["spread", "cycles"])
