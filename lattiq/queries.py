@@ -82,8 +82,8 @@ def project(spark: SparkSession, sf_dir: str, where: str | None = None, keep: bo
     return Frames(mods, deps, resolved, None, declared, classify.ownership(mods, config), features)
 
 
-def context(spark: SparkSession, sf_dir: str, where: str | None = None) -> rules.Context:
-    return rules.Context(project(spark, sf_dir, where), from_dict(CONFIG))
+def context(spark: SparkSession, sf_dir: str, where: str | None = None, keep: bool = False) -> rules.Context:
+    return rules.Context(project(spark, sf_dir, where, keep), from_dict(CONFIG))
 
 
 def pair(df: DataFrame) -> DataFrame:
@@ -312,10 +312,10 @@ CLOSURE = "s AS (SELECT DISTINCT f, t FROM deps{}), c(f, t) AS (SELECT f, t FROM
 @query(f", {CLOSURE.format('')} SELECT a.f AS node, least(a.f, min(a.t)) AS scc FROM c a JOIN c b ON a.f = b.t AND a.t = b.f GROUP BY a.f")
 def scc_members(spark, d):
     """Nodes on a cycle with the lowest node of their component, found by distributed loops."""
-    e = written(dependencies(spark, d).select("from", "to").distinct(), "edges")
+    e = written(dependencies(spark, d).select("from", "to"), "edges")
     found = written(graphs.components(e, "distributed"), "scc")
     many = found.groupBy("scc").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("scc")
-    loops = e.where("`from` = `to`").select(F.col("from").alias("node"), F.col("from").alias("scc"))
+    loops = e.where("`from` = `to`").select(F.col("from").alias("node"), F.col("from").alias("scc")).distinct()
     return found.join(many, "scc", "left_semi").select("node", "scc").unionByName(loops.join(found.join(many, "scc", "left_semi"), "node", "left_anti"))
 
 
@@ -334,13 +334,13 @@ def package_cycles(spark, d):
 @query()
 def circular_dependencies(spark, d):
     """ARCH-001 with evidence paths, which SQL can't choose."""
-    c = context(spark, d)
+    c = context(spark, d, keep=True)
     return rules.circular(c).select(F.array_join("dependency_path", " -> ").alias("path"), "message")
 
 
 @query()
 def runtime_cycles(spark, d):
-    return rules.runtime_cycle(context(spark, d)).select(F.array_join("dependency_path", " -> ").alias("path"), "message")
+    return rules.runtime_cycle(context(spark, d, keep=True)).select(F.array_join("dependency_path", " -> ").alias("path"), "message")
 
 
 @query(f", s AS (SELECT DISTINCT f, t FROM deps), a AS (SELECT min(f) AS id FROM s), r(id, n) AS (SELECT id, 0 FROM a UNION SELECT s.t, r.n + 1 FROM r JOIN s ON r.id = s.f WHERE r.n < 60) SELECT id AS target, CAST(min(n) AS BIGINT) AS hops FROM r GROUP BY id")

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lattiq import queries
+from lattiq.functions.hashes import fnv1a, fnv1a_text
 from lattiq.operators import graphs, rules
 from lattiq.storage import sized
 
@@ -42,6 +43,29 @@ def test_edges_are_made_once(spark, work):
     assert made.value == len(pairs)
 
 
+@pytest.mark.parametrize("work", [graphs.cycles, graphs.components])
+def test_edges_are_made_before_they_are_counted(spark, work, monkeypatch):
+    monkeypatch.setattr(graphs, "is_small", lambda edges: graphs.LOCAL_EDGES > edges.count() > 2)
+    pairs = [("a", "b"), ("b", "a"), ("b", "c"), ("c", "d"), ("d", "c"), ("d", "d")]
+    edges, made = counted(spark, pairs)
+    assert work(edges).count() == (2 if work is graphs.cycles else 4)
+    assert made.value == len(pairs)
+
+
+def test_nodes_that_go_do_not_move_edges(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(20)], "`from` long, `to` long")
+    plan = graphs.without(edges, spark.createDataFrame([(3,)], "node long"), 1)
+    assert sorted(r[0] for r in plan.collect()) == [i for i in range(20) if i not in (2, 3)]
+    assert "Exchange hashpartitioning" not in plan._jdf.queryExecution().executedPlan().toString()
+
+
+def test_text_is_hashed_in_one_pass(spark):
+    df = spark.createDataFrame([("aä|b",), ("",), (None,)], "x string")
+    made = df.select(fnv1a(F.concat("x", F.lit("|y"))).alias("h"))
+    assert [r.h for r in made.collect()] == [fnv1a_text("aä|b|y"), fnv1a_text("|y"), fnv1a_text("")]
+    assert made._jdf.queryExecution().analyzed().toString().count("concat(x") == 1
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables here")
 def test_one_rule_spreads_from_its_own_targets_alone(spark, monkeypatch):
     seen, spread = [], graphs.spread
