@@ -115,6 +115,7 @@ def asked(spark, d, specifier: str) -> DataFrame:
 
 def resolved(spark, d, imports: DataFrame, files: DataFrame | None = None, manifests: DataFrame | None = None, tsconfigs: DataFrame | None = None) -> DataFrame:
     none = lambda ddl: empty(spark, ddl)
+    imports = written(imports, "imports")  # read for their folders and for themselves
     files = modules(spark, d).select("path") if files is None else files
     scopes = none("directory string, type string")
     return resolve.resolve(imports, files, none(MANIFESTS) if manifests is None else manifests, none(TSCONFIGS) if tsconfigs is None else tsconfigs, scopes, from_dict(CONFIG))

@@ -4,7 +4,8 @@ Equal requests are answered once: imports of one folder and of one way of import
 or, where the folder does not matter, of one package or set of aliases. Each manifest
 is parsed once, into a row for each of its entry points; requests meet entry points and
 aliases in equi joins on the exact name or on how a pattern begins. Paths to probe are
-column expressions; Spark joins them with the files and takes the lowest priority.
+column expressions; a file offers the few names it may be asked for by, which Spark joins
+with those asked, so no probe is a row, and the lowest priority is taken.
 ``plan`` says the same of one request, for traces and as the measure in tests.
 """
 
@@ -428,6 +429,28 @@ def possible_columns(base: Column) -> Column:
     return F.concat(F.array(base), F.coalesce(by_extension(base, some), some(EXTENSIONS)))
 
 
+def sought(base: Column) -> Column:
+    """The names among those that a file offers by which one of ``probe_columns`` is found: the path, and its stem if its
+    extension may stand for others."""
+    stem = F.regexp_replace(base, r"\.(js|mjs|cjs)$", "")
+    return F.array_distinct(F.array(base, stem))
+
+
+def offered(files: DataFrame) -> DataFrame:
+    """(key, path) of each of ``files`` (path): what a probe may have been made of, the path itself, without its extension, and
+    the folder of an index file."""
+    path, ends = F.col("path"), "|".join(EXTENSIONS)
+    cut = F.when(path.rlike(rf"\.({ends})$"), F.regexp_replace(path, r"\.[^.]*$", ""))
+    index = F.when(path.rlike(rf"(^|/)index\.({ends})$"), parent(path))
+    return files.select(F.explode(F.array_compact(F.array(path, cut, index))).alias("key"), "path")
+
+
+def tried(tries: DataFrame, files: DataFrame) -> DataFrame:
+    """``tries`` with each of ``files`` (path) that is one of their probes, and ``k``, its place among them."""
+    met = tries.join(files, "key").withColumn("k", F.array_position(probe_columns(F.col("base"), F.col("strict")), F.col("path")))
+    return met.where("k > 0")
+
+
 def stays_inside(path: Column) -> Column:
     """Whether a path below a package's root never leaves it."""
     deep = F.aggregate(F.split(path, "/"), F.array(F.lit(0), F.lit(0)), lambda a, p: F.array(a[0] + F.when(p == "..", -1).when(p.isin("", "."), 0).otherwise(1), F.least(a[1], a[0] + F.when(p == "..", -1).when(p.isin("", "."), 0).otherwise(1))))
@@ -526,9 +549,9 @@ def package_of(names: DataFrame, t: Tables, mode: str) -> DataFrame:
 
 @dataclass
 class Answers:
-    """Equal requests answered once: ``requests`` (request, *CONTEXT, specifier), ``tries`` (request, path and its
-    order, handler), the inverted index from a path to the requests that may mean it, and ``rest`` (request, what
-    holds if no path is a file, candidates)."""
+    """Equal requests answered once: ``requests`` (request, *CONTEXT, specifier), ``tries`` (request, base and its
+    order, strict, handler, key), the inverted index from what files offer to the requests that may mean them, and
+    ``rest`` (request, what holds if no path is a file, the bases of candidates)."""
 
     requests: DataFrame
     tries: DataFrame
@@ -550,7 +573,7 @@ def prepared(requests: DataFrame, t: Tables, config: Config) -> Answers:
     if sent is not None and sent.limit(1).count():
         last = written(followed(sent, context), "last")
         aimed = asked.join(last, [*context, "name"], "left").select("id", *CONTEXT, F.coalesce("last", "name").alias("name"), F.coalesce("loop", F.lit(False)).alias("loop"), F.col("last").isNotNull().alias("redirected"))
-    aimed = written(aimed, "aimed")
+        aimed = written(aimed, "aimed")
     own = written(bases(asked, t, mode), "bases")
     meant, listed = own, own
     if sent is not None:
@@ -572,22 +595,21 @@ def prepared(requests: DataFrame, t: Tables, config: Config) -> Answers:
     )
     rest = written(rest.select("id", "strict", F.coalesce("aliased", F.lit(False)).alias("aliased"), (F.col("loop") | is_builtin(name)).alias("settled"), final.alias("final")), "final")
     usable = meant.join(rest, "id").where("base is not null and not settled and (rank <= 10 or not aliased)")
-    tries = usable.select("id", "rank", "a", "b", "handler", F.posexplode(probe_columns(F.col("base"), F.col("strict") & (F.col("rank") == 0))).alias("k", "path"))
-    tries = written(tries.select(F.col("id").alias("request"), F.struct("rank", "a", "b", "k").alias("order"), "handler", "path"), "tries")
+    tries = usable.select(F.col("id").alias("request"), F.struct("rank", "a", "b").alias("order"), "handler", "base", (F.col("strict") & (F.col("rank") == 0)).alias("strict"))
+    tries = written(tries.withColumn("key", F.explode(sought(F.col("base")))), "tries")
     # without an alias the bare name below the settings' folder may be meant too
     first = listed.where("rank = 10 and base is not null").select("id").distinct()
     some = listed.where("rank != 20").unionByName(listed.where("rank = 20").join(first, "id", "left_anti")).where("base is not null")
-    candidates = some.select("id", F.explode(possible_columns(F.col("base"))).alias("path")).groupBy("id").agg(F.sort_array(F.collect_set("path")).alias("candidates"))
-    rest = rest.join(candidates, "id", "left").select(F.col("id").alias("request"), "final.*", F.coalesce("candidates", F.array().cast("array<string>")).alias("candidates"))
+    rest = rest.join(some.groupBy("id").agg(F.collect_set("base").alias("bases")), "id", "left").select(F.col("id").alias("request"), "final.*", F.coalesce("bases", F.array().cast("array<string>")).alias("bases"))
     return Answers(requests, tries, written(rest, "rest"))
 
 
 def decided(answers: Answers, files: DataFrame) -> DataFrame:
-    """(request, outcome, value, handler, candidates): the first try that is one of ``files`` (path), else what holds without."""
-    hit = answers.tries.join(files.select("path").distinct(), "path", "left_semi").groupBy("request").agg(F.min_by(F.struct("path", F.col("handler").alias("by")), "order").alias("hit"))
+    """(request, outcome, value, handler, bases): the first try that is one of ``files`` (path), else what holds without."""
+    hit = tried(answers.tries, offered(files)).groupBy("request").agg(F.min_by(F.struct("path", F.col("handler").alias("by")), F.struct("order", "k")).alias("hit"))
     done = answers.rest.join(hit, "request", "left")
     known = F.col("hit").isNotNull()
-    return done.select("request", F.when(known, "module").otherwise(F.col("outcome")).alias("outcome"), F.coalesce("hit.path", "value").alias("value"), F.coalesce("hit.by", "handler").alias("handler"), "candidates")
+    return done.select("request", F.when(known, "module").otherwise(F.col("outcome")).alias("outcome"), F.coalesce("hit.path", "value").alias("value"), F.coalesce("hit.by", "handler").alias("handler"), "bases")
 
 
 def numbered(asked: DataFrame) -> DataFrame:
@@ -612,7 +634,8 @@ def answered(asked: DataFrame, requests: DataFrame, found: DataFrame, config: Co
     if virtual:
         on = (F.col("outcome") == "unresolved") & matches(F.col("specifier"), virtual, crossing=True)
         every = every.withColumn("value", F.when(on, F.concat(F.lit("virtual:"), "specifier")).otherwise(F.col("value"))).withColumn("handler", F.when(on, "virtual-module").otherwise(F.col("handler"))).withColumn("outcome", F.when(on, "external").otherwise(F.col("outcome")))
-    return every.select("module_id", "specifier", "kind", F.col("location").cast(LOCATION).alias("location"), "ord", "outcome", "value", "handler", "candidates")
+    candidates = F.sort_array(F.array_distinct(F.flatten(F.transform("bases", possible_columns))))
+    return every.select("module_id", "specifier", "kind", F.col("location").cast(LOCATION).alias("location"), "ord", "outcome", "value", "handler", candidates.alias("candidates"))
 
 
 def trace(r: Request, files: set[str]) -> list[tuple[str, str, str]]:

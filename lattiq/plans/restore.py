@@ -1,9 +1,9 @@
 """Resolutions kept between runs: only imports whose answer can have changed are resolved again.
 
 A request's answer depends on its settings, which the environment's hash stands for, and on
-which of the paths that it may mean are files. The table of those paths is an inverted
-index: files that came or went lead to the requests that name them, by an equi join that
-reads the index's shards of those paths alone. New requests are prepared and resolved, all
+which of the paths that it may mean are files. The table of what those paths are made of is
+an inverted index: files that came or went lead to the requests that name them, by an equi
+join that reads the index's shards of what these files offer alone. New requests are prepared and resolved, all
 other answers are restored.
 """
 
@@ -22,7 +22,7 @@ from lattiq.plans.store import Store
 from lattiq.storage import sized, written
 
 #: The tables' layout; those of another one are not read.
-LAYOUT, SHARDS = 1, 64
+LAYOUT, SHARDS = 2, 64
 #: Changed paths up to which their shards are listed, to skip the others.
 LISTED = 1000
 
@@ -41,8 +41,8 @@ class Restored:
         return self.new + self.affected
 
 
-def shard(path: str = "path"):
-    return F.pmod(F.xxhash64(path), F.lit(SHARDS)).cast("int")
+def shard():
+    return F.pmod(F.xxhash64("key"), F.lit(SHARDS)).cast("int")
 
 
 def settings_hash(inputs: DataFrame, config: Config) -> str:
@@ -78,10 +78,10 @@ def restored(store: Store, imports: DataFrame, files: DataFrame, manifests: Data
         more = resolve.prepared(numbers, resolve.tables(manifests, tsconfigs, config), config)
     again = None
     if done.changed_files:
-        index = tries
+        index, offers = tries, resolve.offered(changed)
         if done.changed_files <= LISTED:
-            index = index.where(F.col("shard").isin(*sorted({r.shard for r in changed.select(shard().alias("shard")).distinct().collect()})))
-        again = written(index.join(sized(changed), "path").select("request").distinct(), "affected")
+            index = index.where(F.col("shard").isin(*sorted({r.shard for r in offers.select(shard().alias("shard")).distinct().collect()})))
+        again = written(resolve.tried(index, sized(offers)).select("request").distinct(), "affected")
         done.affected = again.count()
     if not done.resolved and not done.changed_files:
         return resolve.answered(asked, requests, found, config), done

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lattiq import queries
 from lattiq.functions.hashes import fnv1a, fnv1a_text
-from lattiq.operators import graphs, rules
+from lattiq.operators import graphs, resolve, rules
 from lattiq.storage import sized
 
 
@@ -74,3 +74,13 @@ def test_one_rule_spreads_from_its_own_targets_alone(spark, monkeypatch):
     rules.browser_to_server(c)
     rules.edge_runtime(c)
     assert seen[0] == {"server"} and seen[1] <= {"node", "edge-packages"}
+
+
+def test_tries_are_few_and_find_every_probe(spark):
+    bases = ["src/a", "src/a.js", "src/a.b.mjs", "", "x/.cjs", "lib/index", "a.css"]
+    tries = spark.createDataFrame([(i, b, False) for i, b in enumerate(bases)], "request int, base string, strict boolean").withColumn("key", F.explode(resolve.sought(F.col("base")))).cache()
+    probes = {(i, p) for i, b in enumerate(bases) for p in resolve.probes(b)}
+    files = spark.createDataFrame([(p,) for p in sorted({p for _, p in probes} | {"src", "src/a.txt", "index"})], "path string")
+    got = {(r.request, r.path, r.k) for r in resolve.tried(tries, resolve.offered(files)).collect()}
+    assert got == {(i, p, resolve.probes(bases[i]).index(p) + 1) for i, p in probes}
+    assert tries.count() <= 2 * len(bases)
