@@ -154,8 +154,10 @@ def sets_in(docs: DataFrame, least: int) -> DataFrame:
 def clusters_of(places: DataFrame, key: str, within: bool) -> DataFrame:
     """key, first (doc_id, start, paragraph) and n_occurrences of the keys that several documents (or places) have."""
     place = F.struct("doc_id", "start", "paragraph")
-    more = F.min("doc_id") != F.max("doc_id") if not within else F.min(place) != F.max(place)
-    return places.groupBy(key).agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n_occurrences"), more.alias("more")).where("more").drop("more")
+    # the first place tells the lowest doc_id, so it is not sent a second time
+    far = F.max(place if within else F.col("doc_id")).alias("far")
+    found = places.groupBy(key).agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n_occurrences"), far)
+    return found.where(F.col("first" if within else "first.doc_id") != F.col("far")).drop("far")
 
 
 def judged(places: DataFrame, clusters: DataFrame, key: str) -> DataFrame:

@@ -193,3 +193,13 @@ def test_equal_windows_of_a_text_do_not_overlap():
     at = sorted(got["start"].tolist())
     assert at and all(y - x >= 64 for x, y in zip(at, at[1:], strict=False))
     assert set(got["text"].tolist()) == {1}
+
+
+def test_clusters_send_the_lowest_document_once(spark):
+    from lattiq.llm.substring_dedup import clusters_of
+
+    places = spark.createDataFrame([(1, 0, 0, 7), (2, 5, 1, 7), (3, 0, 0, 8), (3, 9, 1, 8), (4, 0, 0, 9)], "doc_id long, start long, paragraph long, node long")
+    made = {w: clusters_of(places, "node", w) for w in (False, True)}
+    assert [(r.node, tuple(r["first"]), r.n_occurrences) for r in made[False].collect()] == [(7, (1, 0, 0), 2)]
+    assert sorted((r.node, tuple(r["first"]), r.n_occurrences) for r in made[True].collect()) == [(7, (1, 0, 0), 2), (8, (3, 0, 0), 2)]
+    assert "min(doc_id" not in made[False]._jdf.queryExecution().optimizedPlan().toString()
