@@ -12,7 +12,24 @@ from pyspark.sql import functions as F
 
 from lattiq.storage import BROADCAST_ROWS, shared_dir, small, written
 
-__all__ = ["BROADCAST_ROWS", "Memo", "batches", "join_hot", "map_texts", "release", "shared_dir", "slices", "small", "spark_schema", "texts_of", "written"]
+__all__ = ["BROADCAST_ROWS", "Memo", "batches", "hot_and_cold", "join_hot", "map_texts", "release", "shared_dir", "slices", "small", "spark_schema", "texts_of", "written"]
+
+#: Counters by which keys of many rows are told from the others.
+COUNTERS = 4096
+
+
+def hot_and_cold(rows: DataFrame, key: str, least: int = 512) -> tuple[DataFrame | None, DataFrame]:
+    """``rows``, of a written table, dealt by key: all rows of keys that may have many (None: there are none), and the rest.
+
+    Rows are counted by a hash of their key, and the driver gets these COUNTERS numbers alone.
+    A key with more rows than two counters hold on average, and than ``least``, is always hot,
+    so the rest can be sent to tasks by key, once.
+    """
+    slot = F.pmod(F.xxhash64(key), F.lit(COUNTERS))
+    counts = rows.groupBy(slot.alias("slot")).agg(F.count(F.lit(1)).alias("n")).collect()  # COUNTERS rows
+    most = max(least, 2 * sum(r.n for r in counts) // COUNTERS)
+    hot = [r.slot for r in counts if r.n > most]
+    return (rows.where(slot.isin(hot)), rows.where(~slot.isin(hot))) if hot else (None, rows)
 
 
 def join_hot(left: DataFrame, right: DataFrame, key: str, size: str, least: int = 512) -> DataFrame:

@@ -19,11 +19,11 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattiq.llm.common import batches as small_batches
-from lattiq.llm.common import join_hot, release, small, written
+from lattiq.llm.common import hot_and_cold, join_hot, release, small, written
 from lattiq.llm.components import components
 
 #: Members of a bucket that are all centres at once, centres of a larger one in a round, and pairs that share one copy of their centre's set.
@@ -128,6 +128,20 @@ def prefixes(sets: DataFrame, percent: int) -> DataFrame:
     return sets.select("node", "set").mapInArrow(run, "key long, node long, n long, rest long")
 
 
+def members_of(keyed: DataFrame) -> DataFrame:
+    """key, node and a, the key's lowest node, of each node of the keys that several nodes have. keyed: (node, key), of a written table.
+
+    Nodes are sent once, by key; only those of keys with very many rows are summed up before they are joined.
+    """
+    hot, cold = hot_and_cold(keyed, "key")
+    own = Window.partitionBy("key")
+    found = cold.select("key", "node", F.min("node").over(own).alias("a"), F.max("node").over(own).alias("hi")).where("a != hi").drop("hi").distinct()
+    if hot:
+        lows = hot.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("hi")).where("a != hi").drop("hi")
+        found = found.unionByName(hot.join(small(written(lows, "lows")), "key").select("key", "node", "a").distinct())
+    return found
+
+
 def link(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int = 75) -> DataFrame:
     """(node, comp) of the nodes that have a link.
 
@@ -136,9 +150,7 @@ def link(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: i
     ascending 64-bit integers.
     """
     small_batches(nodes.sparkSession, 1000)
-    keyed = nodes.select("node", F.explode("bands").alias("key"))
-    lows = written(keyed.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("hi")).where("a != hi").drop("hi"), "lows")
-    members = written(keyed.join(small(lows), "key").distinct(), "members")
+    members = written(members_of(nodes.select("node", F.explode("bands").alias("key"))), "members")
     if not members.limit(1).count():
         return nodes.sparkSession.createDataFrame([], "node long, comp long")
     sets = written(sets_of(members.select("node").distinct()), "sets")

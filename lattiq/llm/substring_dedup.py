@@ -28,10 +28,10 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lattiq.llm.common import join_hot, map_texts, small, written
+from lattiq.llm.common import hot_and_cold, join_hot, map_texts, small, written
 from lattiq.llm.links import link
 from lattiq.llm.shingles import Sets, Words, band_keys, rolled, sets_by, sketches, words_of
 
@@ -151,18 +151,36 @@ def sets_in(docs: DataFrame, least: int) -> DataFrame:
     return map_texts(docs, make, "node long, set binary")
 
 
-def clusters_of(places: DataFrame, key: str, within: bool) -> DataFrame:
-    """key, first (doc_id, start, paragraph) and n_occurrences of the keys that several documents (or places) have."""
+def totals(within: bool) -> tuple[Column, Column, Column]:
+    """first (doc_id, start, paragraph), n_occurrences and far of the places of a key; several documents (or places) have it if ``spread``."""
     place = F.struct("doc_id", "start", "paragraph")
     # the first place tells the lowest doc_id, so it is not sent a second time
-    far = F.max(place if within else F.col("doc_id")).alias("far")
-    found = places.groupBy(key).agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n_occurrences"), far)
-    return found.where(F.col("first" if within else "first.doc_id") != F.col("far")).drop("far")
+    return F.min(place), F.count(F.lit(1)), F.max(place if within else F.col("doc_id"))
+
 
+def spread(within: bool) -> Column:
+    return F.col("first" if within else "first.doc_id") != F.col("far")
 
-def judged(places: DataFrame, clusters: DataFrame, key: str) -> DataFrame:
-    """The places in clusters, with first_doc_id, first_paragraph, n_occurrences and removed."""
-    out = join_hot(places, clusters, key, "n_occurrences")
+
+def clusters_of(places: DataFrame, key: str, within: bool) -> DataFrame:
+    """key, first (doc_id, start, paragraph) and n_occurrences of the keys that several documents (or places) have."""
+    first, n, far = totals(within)
+    found = places.groupBy(key).agg(first.alias("first"), n.alias("n_occurrences"), far.alias("far"))
+    return found.where(spread(within)).drop("far")
+
+
+def judged(places: DataFrame, key: str, within: bool) -> DataFrame:
+    """The places, of a written table, in clusters, with first_doc_id, first_paragraph, n_occurrences and removed.
+
+    Places are sent once, by key; only those of keys with very many are summed up before they are joined.
+    """
+    hot, cold = hot_and_cold(places, key)
+    own = Window.partitionBy(key)
+    first, n, far = (x.over(own) for x in totals(within))
+    # dealt before the window, else its structs would be sent as well
+    out = cold.repartition(key).select("*", first.alias("first"), n.alias("n_occurrences"), far.alias("far")).where(spread(within)).drop("far")
+    if hot:
+        out = out.unionByName(join_hot(hot, written(clusters_of(hot, key, within), "clusters"), key, "n_occurrences"))
     gone = F.struct("doc_id", "start", "paragraph") != F.col("first")
     return out.select("doc_id", "paragraph", "last", "start", "end", F.col("first.doc_id").alias("first_doc_id"), F.col("first.paragraph").alias("first_paragraph"), "n_occurrences", gone.alias("removed"), key)
 
@@ -180,13 +198,12 @@ def repeated_lines(docs: DataFrame, made: DataFrame, percent: int, least: int, w
     nodes = nodes.join(small(labels), "node", "left").where("size > 1 or comp is not null")
     nodes = written(nodes.select("node", F.coalesce("comp", "node").alias("cluster"), "size"), "repeated")
     places = written(join_hot(made.drop("bands", "whole"), nodes, "node", "size").drop("node", "size"), "places")
-    return judged(places, written(clusters_of(places, "cluster", within), "clusters"), "cluster").drop("last", "cluster")
+    return judged(places, "cluster", within).drop("last", "cluster")
 
 
 def repeated_windows(made: DataFrame, lines: DataFrame, within: bool) -> DataFrame:
     """Runs of windows that repeat and that no line of ``lines`` tells."""
-    places = made.drop("bands", "whole")
-    found = judged(places, written(clusters_of(places, "node", within), "clusters"), "node")
+    found = judged(made.drop("bands", "whole"), "node", within)
     # what a removed line holds is gone, and a place that stays in a line that stays is told by the line
     told = small(lines.select("doc_id", "paragraph", F.col("paragraph").alias("last"), F.col("removed").alias("gone")))
     same = [found[c] == told[c] for c in ("doc_id", "paragraph", "last")]

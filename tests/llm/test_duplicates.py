@@ -203,3 +203,40 @@ def test_clusters_send_the_lowest_document_once(spark):
     assert [(r.node, tuple(r["first"]), r.n_occurrences) for r in made[False].collect()] == [(7, (1, 0, 0), 2)]
     assert sorted((r.node, tuple(r["first"]), r.n_occurrences) for r in made[True].collect()) == [(7, (1, 0, 0), 2), (8, (3, 0, 0), 2)]
     assert "min(doc_id" not in made[False]._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_places_of_a_key_are_sent_once(spark, monkeypatch, tmp_path):
+    from lattiq.llm import common, links
+
+    rng = random.Random(4)
+    rows = [(rng.randint(0, 40), 0, 0, 9 * k, 9 * k + 5, rng.randint(0, 300)) for k in range(600)]
+    rows += [(k, 1, 1, 7, 12, 1000) for k in range(700)] + [(3, 2, 2, 10 * k, 10 * k + 5, 1001) for k in range(700)]  # keys of many rows
+    spark.createDataFrame(rows, "doc_id long, paragraph long, last long, start long, end long, node long").write.parquet(f"{tmp_path}/places")
+    places = spark.read.parquet(f"{tmp_path}/places")
+    of = {}
+    for r in rows:
+        of.setdefault(r[5], []).append((r[0], r[3], r[1]))
+    for within in (False, True):
+        clusters = {n for n, p in of.items() if len(set(p) if within else {x[0] for x in p}) > 1}
+        want = sorted((*r[:5], min(of[r[5]])[0], min(of[r[5]])[2], len(of[r[5]]), (r[0], r[3], r[1]) != min(of[r[5]]), r[5]) for r in rows if r[5] in clusters)
+        for least, hot in ((512, {1000, 1001}), (10**6, set())):  # both ways give the same
+            monkeypatch.setattr(substring_dedup, "hot_and_cold", lambda x, key, least=least: common.hot_and_cold(x, key, least))
+            some = common.hot_and_cold(places, "node", least)[0]
+            assert hot <= ({r.node for r in some.select("node").distinct().collect()} if some else set())
+            assert bool(some) == bool(hot)
+            got = substring_dedup.judged(places, "node", within)
+            assert sorted(map(tuple, got.collect())) == want
+    plan = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+    assert "struct(" not in plan[plan.index("Exchange hashpartitioning") :]  # what a window needs besides is not sent
+
+    pairs = sorted({(r[5], r[0]) for r in rows})
+    keyed = places.select(places["node"].alias("key"), places["doc_id"].alias("node"))
+    lows = {k: min(n for x, n in pairs if x == k) for k, _ in pairs}
+    want = sorted((k, n, lows[k]) for k, n in pairs if any(x == k and m != n for x, m in pairs))
+    for least in (512, 10**6):
+        monkeypatch.setattr(links, "hot_and_cold", lambda x, key, least=least: common.hot_and_cold(x, key, least))
+        got = links.members_of(keyed)
+        assert sorted(map(tuple, got.collect())) == want
+    plan = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
