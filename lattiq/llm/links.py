@@ -105,14 +105,14 @@ def counter(values: np.ndarray) -> np.ndarray:
 
 
 def prefixes(sets: DataFrame, percent: int) -> DataFrame:
-    """(key, node, n, rest): the elements of each set's prefix, the set's size, and how many elements follow, the element included."""
+    """(key, node, n, rest, comp): the elements of each set's prefix, the set's size, how many elements follow, the element included, and its comp."""
     known = sets.sparkSession.sparkContext.broadcast(frequencies(sets))  # COUNTERS numbers
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = known.value
         for batch in batches:
-            keys, nodes, sizes, rests = [], [], [], []
-            for node, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            keys, nodes, sizes, rests, comps = [], [], [], [], []
+            for node, blob, comp in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
                 own = np.frombuffer(blob.as_buffer(), np.uint64)
                 n = len(own)
                 least = -(-percent * n // 100)  # elements that a similar set shares at least
@@ -121,11 +121,12 @@ def prefixes(sets: DataFrame, percent: int) -> DataFrame:
                 nodes.append(np.full(len(first), node))
                 sizes.append(np.full(len(first), n))
                 rests.append(n - np.arange(len(first)))
-            flat = [np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in (keys, nodes, sizes, rests)]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in flat], ["key", "node", "n", "rest"])
+                comps.append(np.full(len(first), comp))
+            flat = [np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in (keys, nodes, sizes, rests, comps)]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in flat], ["key", "node", "n", "rest", "comp"])
         release()
 
-    return sets.select("node", "set").mapInArrow(run, "key long, node long, n long, rest long")
+    return sets.select("node", "set", "comp").mapInArrow(run, "key long, node long, n long, rest long, comp long")
 
 
 def members_of(keyed: DataFrame) -> DataFrame:
@@ -159,7 +160,9 @@ def link(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: i
     named = members.select("key", "node").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     mixed = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo != hi").select("key", "size")
     open_ = join_hot(members.select("key", "node"), written(mixed, "mixed"), "key", "size").select("node").distinct()
-    rest = written(sets.join(open_, "node", "left_semi"), "open")
+    # their component goes with the sets, so it need not be joined to each element
+    open_ = open_.join(labels, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"))
+    rest = written(sets.join(open_, "node"), "open")
     if not rest.limit(1).count():
         return labels
     return link_exactly(prefixes(rest, percent), rest, labels, percent)
@@ -172,15 +175,14 @@ def may_link(x: str, y: str, percent: int) -> Column:
 
 
 def link_exactly(members: DataFrame, sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """``labels`` with all links among the members of the prefix buckets (key, node, n, rest)."""
+    """``labels`` with all links among the members of the prefix buckets (key, node, n, rest, and comp by ``labels``)."""
     more = 1
     while True:
-        named = members.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        mixed = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("n").alias("low"), F.count(F.lit(1)).alias("size")).where("lo != hi").select("key", "low", "size")
+        mixed = members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("n").alias("low"), F.count(F.lit(1)).alias("size")).where("lo != hi").select("key", "low", "size")
         # buckets of one component are closed for good, and members that can't
         # link even to the smallest left in their bucket leave it
         fit = F.col("rest") * (100 + percent) >= (F.col("n") + F.col("low")) * percent
-        named = written(named.join(mixed, "key").where(fit).drop("low"), "open")
+        named = written(members.join(mixed, "key").where(fit).drop("low"), "open")
         slot = F.when(F.col("size") <= WHOLE * more, F.col("node")).otherwise(F.pmod(F.xxhash64("node"), F.lit(SLOTS * more)))
         more = LATER
         # of a slot the smallest set: if any links to a member, it does
@@ -189,7 +191,7 @@ def link_exactly(members: DataFrame, sets: DataFrame, labels: DataFrame, percent
         if not centres.limit(1).count():
             return labels
         # a centre meets all members of its bucket now, and leaves it
-        members = named.join(centres, ["key", "node"], "left_anti").select("key", "node", "n", "rest")
+        members = named.join(centres, ["key", "node"], "left_anti").select("key", "node", "n", "rest", "comp")
         x, y = centres.alias("x"), named.alias("y")
         both = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") != F.col("y.comp")) & may_link("x", "y", percent))
         pairs = both.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
@@ -205,3 +207,4 @@ def link_exactly(members: DataFrame, sets: DataFrame, labels: DataFrame, percent
             above = components(found)
             known = labels.join(above.select(F.col("node").alias("comp"), F.col("comp").alias("above")), "comp", "left").select("node", F.coalesce("above", "comp").alias("comp"))
             labels = written(known.unionByName(above.join(labels, "node", "left_anti")), "labels")
+            members = members.drop("comp").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))

@@ -240,3 +240,13 @@ def test_places_of_a_key_are_sent_once(spark, monkeypatch, tmp_path):
         assert sorted(map(tuple, got.collect())) == want
     plan = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
     assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+
+
+def test_prefixes_carry_the_component(spark):
+    from lattiq.llm import links
+
+    sets = {7: (np.arange(10), 3), 8: (np.arange(5, 17), 8)}
+    rows = [(n, bytearray(s.astype(np.uint64).tobytes()), c) for n, (s, c) in sets.items()]
+    got = links.prefixes(spark.createDataFrame(rows, "node long, set binary, comp long"), 75).collect()
+    assert {(r.node, r.n, r.comp) for r in got} == {(7, 10, 3), (8, 12, 8)}
+    assert all(r.key in sets[r.node][0] for r in got) and len(got) == 3 + 4
