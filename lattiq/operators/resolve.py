@@ -28,7 +28,7 @@ from lattiq.functions.paths import normal, parent
 from lattiq.functions.paths import package_name as package_column
 from lattiq.operators.classify import module_format, nearest
 from lattiq.schemas import LOCATION
-from lattiq.storage import sized, written
+from lattiq.storage import shuffled, sized, written
 
 #: Extensions tried on a path without a file, and those that stand for an emitted one (fixed values).
 EXTENSIONS = ("ts", "tsx", "js", "jsx", "mts", "cts", "mjs", "cjs")
@@ -358,12 +358,12 @@ def redirects(roots: DataFrame, entries: DataFrame, aliases: DataFrame) -> DataF
     while True:
         rows = written(new.withColumn("id", F.monotonically_increasing_id()), "names")
         known = rows.select(*context, "name") if known is None else known.unionByName(rows.select(*context, "name"))
-        free = rows.join(matched(rows, aliases, ["settings"]).select("id").distinct(), "id", "left_anti")
+        free = rows.join(shuffled(matched(rows, aliases, ["settings"]).select("id").distinct()), "id", "left_anti")
         asked = free.select("id", "syntax", "typed", "name", F.substr("own", F.lit(2)).alias("root"), F.lit("imports").alias("map"))
-        step = written(rows.join(entered(asked, entries).where("leads = 'name'"), "id").select(*context, "name", F.col("value").alias("to")), "redirects")
+        step = written(rows.join(shuffled(entered(asked, entries).where("leads = 'name'")), "id").select(*context, "name", F.col("value").alias("to")), "redirects")
         edges = step if edges is None else edges.unionByName(step)
         ahead = step.where(F.col("to").startswith("#") & (F.length("to") <= LONGEST_NAME)).select(*context, F.col("to").alias("name")).distinct()
-        new = written(ahead.join(known, [*context, "name"], "left_anti"), "ahead")
+        new = written(ahead.join(shuffled(known), [*context, "name"], "left_anti"), "ahead")
         if not new.limit(1).count():
             return edges
 
@@ -377,7 +377,7 @@ def followed(edges: DataFrame, on: list[str]) -> DataFrame:
     def doubled(at: DataFrame, rounds: int) -> DataFrame:
         for _ in range(rounds):
             on_to = at.select(*on, F.col("name").alias("to"), F.col("to").alias("__to"))
-            step = at.join(on_to, [*on, "to"], "left")
+            step = at.join(shuffled(on_to), [*on, "to"], "left")
             if not step.where("__to is not null").limit(1).count():
                 break
             at = written(step.select(*on, "name", F.coalesce("__to", "to").alias("to")), "followed")
@@ -385,12 +385,12 @@ def followed(edges: DataFrame, on: list[str]) -> DataFrame:
 
     rounds = edges.count().bit_length() + 1
     at = doubled(edges, rounds)
-    under_way = written(at.join(at.select(*on, F.col("name").alias("to")), [*on, "to"], "left_semi"), "loops")
-    ended = at.join(under_way, [*on, "name"], "left_anti").select(*on, "name", F.col("to").alias("last"), F.lit(False).alias("loop"))
+    under_way = written(at.join(shuffled(at.select(*on, F.col("name").alias("to"))), [*on, "to"], "left_semi"), "loops")
+    ended = at.join(shuffled(under_way), [*on, "name"], "left_anti").select(*on, "name", F.col("to").alias("last"), F.lit(False).alias("loop"))
     if not under_way.limit(1).count():
         return ended
     inside_loop = written(under_way.select(*on, F.col("to").alias("name")).distinct(), "inside")
-    tails = edges.join(under_way, [*on, "name"], "left_semi").join(inside_loop, [*on, "name"], "left_anti")
+    tails = edges.join(shuffled(under_way), [*on, "name"], "left_semi").join(shuffled(inside_loop), [*on, "name"], "left_anti")
     entered_at = doubled(tails, rounds).select(*on, "name", F.col("to").alias("last"))
     return ended.unionByName(inside_loop.withColumn("last", F.col("name")).unionByName(entered_at).withColumn("loop", F.lit(True)))
 
@@ -526,7 +526,7 @@ def bases(names: DataFrame, t: Tables, mode: str) -> DataFrame:
     bare = far.where(~name.startswith("#")).join(sized(t.settings.where("resolve_bare")), "settings").select(*row(20, "tsconfig-alias", joined(F.col("base_url"), name)))
     named = package_of(far, t, mode)
     through = entered(named.where("map is not null").select("id", "root", "map", "syntax", "typed", F.col("key").alias("name")), t.entries).where("leads = 'path'")
-    to = named.where("map is not null").select("id", "root").join(through, "id").select("id", "root", "value")
+    to = named.where("map is not null").select("id", "root").join(shuffled(through), "id").select("id", "root", "value")
     entry = F.coalesce(F.when(F.col("typed"), F.col("types_entry")).otherwise(F.col("runtime_entry")), F.lit("src/index"))
     plain = named.where("map is null and key is not null").select("id", "root", F.when(F.col("sub") != "", F.col("sub")).otherwise(entry).alias("value"))
     packaged = to.where(stays_inside(F.col("value"))).unionByName(plain)
@@ -564,7 +564,9 @@ def is_builtin(name: Column) -> Column:
 
 
 def prepared(requests: DataFrame, t: Tables, config: Config) -> Answers:
-    """All that can be said of ``requests`` (request, *CONTEXT, specifier) without knowing which files there are."""
+    """All that can be said of ``requests`` (request, *CONTEXT, specifier) without knowing which files there are.
+
+    Joins on a request shuffle: files of numbers and flags are so small for their rows that Spark would broadcast them."""
     mode, context = config["resolution"]["mode"], ["settings", "own", "syntax", "typed"]
     asked = requests.withColumnRenamed("request", "id").withColumnRenamed("specifier", "name")
     aimed = asked.withColumn("loop", F.lit(False)).withColumn("redirected", F.lit(False))
@@ -572,17 +574,17 @@ def prepared(requests: DataFrame, t: Tables, config: Config) -> Answers:
     sent = redirects(roots, t.entries, t.aliases) if mode != "node10" and roots.limit(1).count() else None
     if sent is not None and sent.limit(1).count():
         last = written(followed(sent, context), "last")
-        aimed = asked.join(last, [*context, "name"], "left").select("id", *CONTEXT, F.coalesce("last", "name").alias("name"), F.coalesce("loop", F.lit(False)).alias("loop"), F.col("last").isNotNull().alias("redirected"))
+        aimed = asked.join(sized(last), [*context, "name"], "left").select("id", *CONTEXT, F.coalesce("last", "name").alias("name"), F.coalesce("loop", F.lit(False)).alias("loop"), F.col("last").isNotNull().alias("redirected"))
         aimed = written(aimed, "aimed")
     own = written(bases(asked, t, mode), "bases")
     meant, listed = own, own
     if sent is not None:
         far = aimed.where("redirected")
-        meant = written(own.join(far.select("id"), "id", "left_anti").unionByName(bases(far.where("not loop").select("id", *CONTEXT, "name"), t, mode)), "meant")
+        meant = written(own.join(shuffled(far.select("id")), "id", "left_anti").unionByName(bases(far.where("not loop").select("id", *CONTEXT, "name"), t, mode)), "meant")
     aliased = meant.where("rank = 10").select("id").distinct().withColumn("aliased", F.lit(True))
     packaged = package_of(aimed.where(~F.col("name").startswith(".") & ~F.col("name").startswith("/")), t, mode).select("id").distinct().withColumn("packaged", F.lit(True))
     name, bare = F.col("name"), F.regexp_replace("name", "^node:", "")
-    rest = aimed.join(aliased, "id", "left").join(packaged, "id", "left")
+    rest = aimed.join(shuffled(aliased), "id", "left").join(shuffled(packaged), "id", "left")
     said = lambda outcome, value="", handler="none": F.struct(F.lit(outcome).alias("outcome"), (value if isinstance(value, Column) else F.lit(value)).alias("value"), F.lit(handler).alias("handler"))
     final = (
         F.when(F.col("loop"), said("invalid", F.format_string("package resolution redirect loop at `%s`", "name")))
@@ -594,20 +596,20 @@ def prepared(requests: DataFrame, t: Tables, config: Config) -> Answers:
         .otherwise(said("external", package_column(name), "external-package"))
     )
     rest = written(rest.select("id", "strict", F.coalesce("aliased", F.lit(False)).alias("aliased"), (F.col("loop") | is_builtin(name)).alias("settled"), final.alias("final")), "final")
-    usable = meant.join(rest, "id").where("base is not null and not settled and (rank <= 10 or not aliased)")
+    usable = meant.join(shuffled(rest), "id").where("base is not null and not settled and (rank <= 10 or not aliased)")
     tries = usable.select(F.col("id").alias("request"), F.struct("rank", "a", "b").alias("order"), "handler", "base", (F.col("strict") & (F.col("rank") == 0)).alias("strict"))
     tries = written(tries.withColumn("key", F.explode(sought(F.col("base")))), "tries")
     # without an alias the bare name below the settings' folder may be meant too
     first = listed.where("rank = 10 and base is not null").select("id").distinct()
-    some = listed.where("rank != 20").unionByName(listed.where("rank = 20").join(first, "id", "left_anti")).where("base is not null")
-    rest = rest.join(some.groupBy("id").agg(F.collect_set("base").alias("bases")), "id", "left").select(F.col("id").alias("request"), "final.*", F.coalesce("bases", F.array().cast("array<string>")).alias("bases"))
+    some = listed.where("rank != 20").unionByName(listed.where("rank = 20").join(shuffled(first), "id", "left_anti")).where("base is not null")
+    rest = rest.join(shuffled(some.groupBy("id").agg(F.collect_set("base").alias("bases"))), "id", "left").select(F.col("id").alias("request"), "final.*", F.coalesce("bases", F.array().cast("array<string>")).alias("bases"))
     return Answers(requests, tries, written(rest, "rest"))
 
 
 def decided(answers: Answers, files: DataFrame) -> DataFrame:
     """(request, outcome, value, handler, bases): the first try that is one of ``files`` (path), else what holds without."""
-    hit = tried(answers.tries, offered(files)).groupBy("request").agg(F.min_by(F.struct("path", F.col("handler").alias("by")), F.struct("order", "k")).alias("hit"))
-    done = answers.rest.join(hit, "request", "left")
+    hit = tried(answers.tries, sized(offered(files))).groupBy("request").agg(F.min_by(F.struct("path", F.col("handler").alias("by")), F.struct("order", "k")).alias("hit"))
+    done = answers.rest.join(shuffled(hit), "request", "left")
     known = F.col("hit").isNotNull()
     return done.select("request", F.when(known, "module").otherwise(F.col("outcome")).alias("outcome"), F.coalesce("hit.path", "value").alias("value"), F.coalesce("hit.by", "handler").alias("handler"), "bases")
 
@@ -630,7 +632,7 @@ def resolve(imports: DataFrame, files: DataFrame, manifests: DataFrame, tsconfig
 def answered(asked: DataFrame, requests: DataFrame, found: DataFrame, config: Config) -> DataFrame:
     """Imports with the answers to their requests."""
     virtual = config["resolution"]["virtual_modules"]
-    every = asked.join(requests.join(found, "request"), [*CONTEXT, "specifier"])
+    every = asked.join(shuffled(requests.join(shuffled(found), "request")), [*CONTEXT, "specifier"])
     if virtual:
         on = (F.col("outcome") == "unresolved") & matches(F.col("specifier"), virtual, crossing=True)
         every = every.withColumn("value", F.when(on, F.concat(F.lit("virtual:"), "specifier")).otherwise(F.col("value"))).withColumn("handler", F.when(on, "virtual-module").otherwise(F.col("handler"))).withColumn("outcome", F.when(on, "external").otherwise(F.col("outcome")))

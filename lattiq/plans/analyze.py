@@ -16,7 +16,7 @@ from lattiq.operators.hygiene import candidate_text
 from lattiq.schemas import MODULES, Frames, empty
 from lattiq.sources import repository
 from lattiq.sources.parser import parse_files
-from lattiq.storage import written
+from lattiq.storage import sized, written
 
 MAPS = "map<string,string>"
 
@@ -116,7 +116,7 @@ def facts(parsed: DataFrame, found: DataFrame) -> DataFrame:
     lost = found.where("outcome = 'unresolved'")
     miss = diagnostics.of(lost, "RESOLVE-001", F.format_string("Cannot resolve `%s`", "specifier"), F.array("module_id"), F.col("location"), metadata={"specifier": F.col("specifier")}, target=F.concat(F.lit("unresolved:"), "specifier"))
     listed = diagnostics.of(lost, "RESOLVE-001", F.format_string("Cannot resolve `%s`", "specifier"), F.array("module_id"), F.col("location"), metadata={"specifier": F.col("specifier"), "candidatePaths": candidate_text(F.col("candidates"))}, target=F.concat(F.lit("unresolved:"), "specifier"))
-    miss = listed.where("metadata['candidatePaths'] != '[]'").unionByName(miss.join(lost.where("size(candidates) = 0").select(F.col("location").alias("primary_location")).distinct(), "primary_location", "left_semi").select(miss.columns))
+    miss = listed.where("metadata['candidatePaths'] != '[]'").unionByName(miss.join(sized(lost.where("size(candidates) = 0").select(F.col("location").alias("primary_location")).distinct()), "primary_location", "left_semi").select(miss.columns))
     wrong = diagnostics.of(found.where("outcome = 'invalid'"), "RESOLVE-002", F.col("value"), none, F.col("location"))
     return diagnostics.fingerprinted(parse.unionByName(miss).unionByName(wrong))
 

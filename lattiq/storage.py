@@ -39,3 +39,8 @@ def sized(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """``small``, with a hint against a broadcast of more rows: Spark goes by the size of files, where columns that compress
     well hide millions of rows, which would all pass through the driver."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df.hint("merge")
+
+
+def shuffled(df: DataFrame) -> DataFrame:
+    """A hint against a broadcast of ``df``, whose rows grow with the input, without a count of them."""
+    return df.hint("merge")

@@ -1,14 +1,18 @@
 """What must not grow faster than the input: how often edges are made, and what passes through the driver."""
 
 import os
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from lattiq import queries
+from lattiq.config import from_dict
 from lattiq.functions.hashes import fnv1a, fnv1a_text
 from lattiq.operators import graphs, resolve, rules
-from lattiq.storage import sized
+from lattiq.schemas import LOCATION, MANIFESTS
+from lattiq.sources import repository
+from lattiq.storage import shuffled, sized
 
 
 def counted(spark, pairs):
@@ -84,3 +88,25 @@ def test_tries_are_few_and_find_every_probe(spark):
     got = {(r.request, r.path, r.k) for r in resolve.tried(tries, resolve.offered(files)).collect()}
     assert got == {(i, p, resolve.probes(bases[i]).index(p) + 1) for i, p in probes}
     assert tries.count() <= 2 * len(bases)
+
+
+def planned(spark, monkeypatch, module, run):
+    """What ``run`` returns, and the joins of each table that ``module`` writes by name, where no lookup counts as small."""
+    plans, write = {}, module.written
+    joins = lambda df: set(re.findall(r"BroadcastHashJoin|SortMergeJoin", df._jdf.queryExecution().executedPlan().toString()))
+    monkeypatch.setattr(module, "written", lambda df, name: plans.setdefault(name, set()).update(joins(df)) or write(df, name))
+    for m in {resolve, queries, module}:
+        monkeypatch.setattr(m, "sized", shuffled)
+    out = run()
+    return out, plans | {"": joins(out)}
+
+
+def test_requests_are_joined_by_shuffle(spark, monkeypatch):
+    imports = spark.createDataFrame([("src/a.ts", s, "Static", None, i) for i, s in enumerate(["./b", "./none", "@/b", "#in", "@w/p", "@w/p/x", "fs", "lib/y"])], f"module_id string, specifier string, kind string, location {LOCATION}, ord long")
+    files = spark.createDataFrame([(p,) for p in ("src/a.ts", "src/b.ts", "p/main.ts")], "path string")
+    manifests = spark.createDataFrame([("", "root", '{"imports":{"#in":"./src/b.ts"}}'), ("p", "@w/p", '{"exports":{".":"./main.ts"}}')], MANIFESTS)
+    settings = repository.tsconfigs(spark, spark.createDataFrame([("tsconfig.json", '{"compilerOptions":{"paths":{"@/*":["src/*"]}}}')], "path string, source string"))
+    scopes = spark.createDataFrame([], "directory string, type string")
+    out, plans = planned(spark, monkeypatch, resolve, lambda: resolve.resolve(imports, files, manifests, settings, scopes, from_dict({"version": 1})))
+    assert not [n for n in ("bases", "final", "tries", "rest", "") if "BroadcastHashJoin" in plans[n]]
+    assert {r.specifier: r.value for r in out.collect()} == {"./b": "src/b.ts", "./none": "", "@/b": "src/b.ts", "#in": "src/b.ts", "@w/p": "p/main.ts", "@w/p/x": "", "fs": "node:fs", "lib/y": "lib"}
