@@ -110,3 +110,22 @@ def test_requests_are_joined_by_shuffle(spark, monkeypatch):
     out, plans = planned(spark, monkeypatch, resolve, lambda: resolve.resolve(imports, files, manifests, settings, scopes, from_dict({"version": 1})))
     assert not [n for n in ("bases", "final", "tries", "rest", "") if "BroadcastHashJoin" in plans[n]]
     assert {r.specifier: r.value for r in out.collect()} == {"./b": "src/b.ts", "./none": "", "@/b": "src/b.ts", "#in": "src/b.ts", "@w/p": "p/main.ts", "@w/p/x": "", "fs": "node:fs", "lib/y": "lib"}
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables here")
+def test_all_diagnostics_asks_every_rule(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(rules, "EVALUATORS", {r: lambda c, r=r: asked.append(r) or rules.none(c) for r in rules.EVALUATORS})
+    queries.all_diagnostics(spark, "/root/testdata/sf0.001")
+    assert set(asked) == set(rules.EVALUATORS)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables here")
+def test_all_diagnostics_has_what_graph_rules_find(spark):
+    c = queries.context(spark, "/root/testdata/sf0.001", keep=True)
+    want = {r: {tuple(x.dependency_path) for x in f(c).collect()} for r, f in rules.EVALUATORS.items() if r in ("ARCH-001", "ARCH-006", "PACKAGE-001", "RUNTIME-001")}
+    got = {}
+    for x in queries.all_diagnostics(spark, "/root/testdata/sf0.001").collect():
+        got.setdefault(x.rule_id, set()).add(tuple(x.path.split(" -> ")))
+    assert want["ARCH-001"] and want["RUNTIME-001"]
+    assert {r: got.get(r, set()) for r in want} == want
