@@ -22,7 +22,7 @@ from lattiq.queries import ALLOWED, CONFIG, KIND, WITH, context, dependencies, m
 from lattiq.schemas import COMMENT, LOCATION, MANIFESTS, PARSED, TSCONFIGS, empty
 from lattiq.sources import repository
 from lattiq.sources.parser import parse_files
-from lattiq.storage import shared_dir, written
+from lattiq.storage import shared_dir, sized, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -219,7 +219,7 @@ def workspace_resolution(spark, d):
     """Packages of the workspace by exports (patterns, conditions, blocked paths), by main, or by their sources."""
     view(spark, d, "part").createOrReplaceTempView("part")
     files = spark.sql(f"SELECT explode(array(concat('packages/', {BRAND}, '/lib/m', p_partkey, '.ts'), concat('packages/', {BRAND}, '/main.ts'), concat('packages/', {BRAND}, '/lib/entry.ts'), concat('packages/', {BRAND}, '/src/index.ts'))) AS path FROM part")
-    deps = dependencies(spark, d).join(modules(spark, d).select(F.col("id").alias("to"), F.col("package").alias("tp")), "to")
+    deps = dependencies(spark, d).join(sized(modules(spark, d).select(F.col("id").alias("to"), F.col("package").alias("tp"))), "to")
     imports = deps.select(F.col("from").alias("module_id"), F.regexp_extract("to", "(m[0-9]+)[.]ts$", 1).alias("m"), "tp", "kind", "location", "ord").select("module_id", F.expr(WORKSPACE).alias("specifier"), "kind", "location", "ord")
     return told(resolved(spark, d, imports, files, repository.manifests(spark, inputs(spark, d))))
 

@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from lattiq import queries
+from lattiq import ingest_queries, queries
 from lattiq.config import from_dict
 from lattiq.functions.hashes import fnv1a, fnv1a_text
 from lattiq.operators import graphs, resolve, rules
@@ -112,6 +112,12 @@ def test_requests_are_joined_by_shuffle(spark, monkeypatch):
     assert {r.specifier: r.value for r in out.collect()} == {"./b": "src/b.ts", "./none": "", "@/b": "src/b.ts", "#in": "src/b.ts", "@w/p": "p/main.ts", "@w/p/x": "", "fs": "node:fs", "lib/y": "lib"}
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables here")
+def test_packages_of_targets_are_joined_by_shuffle(spark, monkeypatch):
+    _, plans = planned(spark, monkeypatch, ingest_queries, lambda: ingest_queries.workspace_resolution(spark, "/root/testdata/sf0.001"))
+    assert plans["imports"] == {"SortMergeJoin"}
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables here")
 def test_all_diagnostics_asks_every_rule(spark, monkeypatch):
     asked = []
