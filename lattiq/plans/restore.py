@@ -19,7 +19,7 @@ from lattiq.config import Config
 from lattiq.functions.hashes import fnv1a_text
 from lattiq.operators import resolve
 from lattiq.plans.store import Store
-from lattiq.storage import sized, written
+from lattiq.storage import shuffled, sized, written
 
 #: The tables' layout; those of another one are not read.
 LAYOUT, SHARDS = 2, 64
@@ -67,9 +67,9 @@ def restored(store: Store, imports: DataFrame, files: DataFrame, manifests: Data
         n = answers.requests.count()
         return resolve.answered(asked, store.table("requests"), store.table("found"), config), Restored(n, n)
     requests, tries, rest, found, old = (store.table(t) for t in ("requests", "tries", "rest", "found", "live"))
-    came, went = live.join(old, "path", "left_anti"), old.join(live, "path", "left_anti")
+    came, went = live.join(shuffled(old), "path", "left_anti"), old.join(shuffled(live), "path", "left_anti")
     changed = written(came.unionByName(went), "changed")
-    fresh = written(asked.select(*key).distinct().join(requests, key, "left_anti"), "fresh")
+    fresh = written(asked.select(*key).distinct().join(shuffled(requests), key, "left_anti"), "fresh")
     done = Restored(requests.count(), fresh.count(), 0, changed.count())
     more = None
     if done.new:

@@ -10,6 +10,8 @@ from lattiq import ingest_queries, queries
 from lattiq.config import from_dict
 from lattiq.functions.hashes import fnv1a, fnv1a_text
 from lattiq.operators import graphs, resolve, rules
+from lattiq.plans import restore
+from lattiq.plans.store import Store
 from lattiq.schemas import LOCATION, MANIFESTS
 from lattiq.sources import repository
 from lattiq.storage import shuffled, sized
@@ -112,6 +114,18 @@ def test_requests_are_joined_by_shuffle(spark, monkeypatch):
     assert {r.specifier: r.value for r in out.collect()} == {"./b": "src/b.ts", "./none": "", "@/b": "src/b.ts", "#in": "src/b.ts", "@w/p": "p/main.ts", "@w/p/x": "", "fs": "node:fs", "lib/y": "lib"}
 
 
+def test_kept_tables_are_joined_by_shuffle(spark, monkeypatch, tmp_path):
+    at = lambda *names: spark.createDataFrame([(f"src/{n}.ts",) for n in names], "path string")
+    imports = spark.createDataFrame([(f"src/{n}.ts", f"./{s}", "Static", None, i) for i, (n, s) in enumerate([("a", "b"), ("a", "c"), ("b", "d")])], f"module_id string, specifier string, kind string, location {LOCATION}, ord long")
+    none = [spark.createDataFrame([], x) for x in (MANIFESTS, "directory string, base_url string, resolve_bare boolean, aliases array<struct<pattern:string,targets:array<string>>>", "directory string, type string")]
+    run = lambda store, i, f: restore.restored(store, i, f, *none, from_dict({"version": 1}), "e")[0]
+    store = Store(spark, f"file://{tmp_path}/kept")
+    run(store, imports.where("ord < 2"), at("a", "b", "d"))
+    out, plans = planned(spark, monkeypatch, restore, lambda: run(store, imports, at("a", "c", "d")))
+    assert not [n for n in ("changed", "fresh") if "BroadcastHashJoin" in plans[n]]
+    assert {r.specifier: r.value for r in out.collect()} == {"./b": "", "./c": "src/c.ts", "./d": "src/d.ts"}
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables here")
 def test_packages_of_targets_are_joined_by_shuffle(spark, monkeypatch):
     _, plans = planned(spark, monkeypatch, ingest_queries, lambda: ingest_queries.workspace_resolution(spark, "/root/testdata/sf0.001"))
